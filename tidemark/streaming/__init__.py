@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no streaming work: its clickstream is a stored table that is
+re-queried in batch, with no watermark, window, state or late-data handling.
+Nothing is built here; the batch reports in ``tidemark.plans`` cover it.
+"""
