@@ -363,3 +363,51 @@ def experiment_assignment() -> str:
 
 def orders_built() -> str:
     return _q("\nSELECT order_id, user_id, session_id, amount, category, order_date FROM app_orders")
+
+
+# --- cart model inputs ------------------------------------------------------------
+
+_PAST = "(SELECT COUNT(*) FROM app_orders o WHERE o.user_id = s.user_id AND o.order_date < s.session_date)"
+
+_CART_FEATURES = f"""
+, cart_features AS (
+  SELECT s.session_id, s.session_duration,
+    COUNT(CASE WHEN e.event_type = 'View Product' THEN 1 END) AS num_products_viewed,
+    COUNT(CASE WHEN e.event_type = 'Add To Cart' THEN 1 END) AS items_added_to_cart,
+    s.discount_coupon_applied,
+    {_PAST} AS past_purchases_count,
+    CASE WHEN s.device_type = 'iOS' THEN 1 ELSE 0 END AS is_ios,
+    CASE WHEN COUNT(CASE WHEN e.event_type = 'Purchase' THEN 1 END) > 0 THEN 0 ELSE 1 END AS abandoned
+  FROM app_sessions s LEFT JOIN app_events e ON s.session_id = e.session_id
+  GROUP BY s.session_id, s.session_duration, s.discount_coupon_applied, s.user_id, s.session_date, s.device_type
+  HAVING COUNT(CASE WHEN e.event_type = 'Add To Cart' THEN 1 END) > 0
+)"""
+
+
+def past_purchases() -> str:
+    return _q(f"""
+SELECT s.session_id, s.user_id, s.session_date, {_PAST} AS past_purchases_count
+FROM app_sessions s""")
+
+
+def cart_features() -> str:
+    return _q(_CART_FEATURES + "\nSELECT * FROM cart_features")
+
+
+def label_distribution() -> str:
+    return _q(_CART_FEATURES + """
+SELECT abandoned, COUNT(*) AS n,
+  CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS fraction
+FROM cart_features GROUP BY abandoned""")
+
+
+def stratified_split(test_pct: int = 20, seed: int = 42) -> str:
+    return _q(_CART_FEATURES + f"""
+, ranked AS (
+  SELECT session_id, abandoned,
+    ROW_NUMBER() OVER (PARTITION BY abandoned ORDER BY md5('{seed}:' || CAST(session_id AS VARCHAR))) AS rn,
+    COUNT(*) OVER (PARTITION BY abandoned) AS n
+  FROM cart_features
+)
+SELECT session_id, abandoned, CASE WHEN rn <= (n * {test_pct} + 50) // 100 THEN 'test' ELSE 'train' END AS split
+FROM ranked""")

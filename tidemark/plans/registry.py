@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import entities
-from tidemark.plans import oracle, reports
+from tidemark.plans import ml, oracle, reports
 from tidemark.sources.driver_data import load_app_tables
 
 # Report parameters used by the filtered keys.
@@ -61,6 +61,14 @@ def queries() -> dict[str, Builder]:
         "user_segments": _on_tables(lambda t: t.users),
         "experiment_assignment": _on_tables(lambda t: t.experiments),
         "orders_built": _on_tables(lambda t: t.orders),
+        "past_purchases": _on_tables(ml.past_purchases),
+        "cart_features": _on_tables(ml.cart_features),
+        "label_distribution": _on_tables(lambda t: ml.label_distribution(ml.cart_features(t))),
+        "stratified_split": _on_tables(
+            lambda t: ml.stratified_split(ml.cart_features(t)).select("session_id", "abandoned", "split")
+        ),
+        "model_metrics": _on_tables(ml.model_metrics_report),
+        "cart_risk_scores": _on_tables(ml.cart_risk_scores),
     }
 
 
@@ -92,4 +100,8 @@ def oracle_sql() -> dict[str, str]:
         "user_segments": oracle.user_segments(),
         "experiment_assignment": oracle.experiment_assignment(),
         "orders_built": oracle.orders_built(),
+        "past_purchases": oracle.past_purchases(),
+        "cart_features": oracle.cart_features(),
+        "label_distribution": oracle.label_distribution(),
+        "stratified_split": oracle.stratified_split(),
     }
