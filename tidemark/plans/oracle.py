@@ -411,3 +411,28 @@ def stratified_split(test_pct: int = 20, seed: int = 42) -> str:
 )
 SELECT session_id, abandoned, CASE WHEN rn <= (n * {test_pct} + 50) // 100 THEN 'test' ELSE 'train' END AS split
 FROM ranked""")
+
+
+# --- integrity audit ----------------------------------------------------------------
+
+
+def integrity_audit() -> str:
+    parts = []
+    for table, key in schemas.PRIMARY_KEYS.items():
+        parts.append(
+            f"SELECT 'duplicate_key' AS check_name, '{table}' AS table_name, '{key}' AS column_name, "
+            f"(SELECT COUNT(*) FROM (SELECT {key} FROM app_{table} GROUP BY {key} HAVING COUNT(*) > 1)) AS violations"
+        )
+    for table, schema in schemas.TABLE_SCHEMAS.items():
+        for f in schema.fields:
+            if not f.nullable:
+                parts.append(
+                    f"SELECT 'null_value', '{table}', '{f.name}', "
+                    f"(SELECT COUNT(*) FROM app_{table} WHERE \"{f.name}\" IS NULL)"
+                )
+    for child, col, parent, pcol in schemas.FOREIGN_KEYS:
+        parts.append(
+            f"SELECT 'orphan_key', '{child}', '{col}', (SELECT COUNT(*) FROM app_{child} c WHERE c.{col} IS NOT NULL "
+            f"AND NOT EXISTS (SELECT 1 FROM app_{parent} p WHERE p.{pcol} = c.{col}))"
+        )
+    return _q("\n" + "\nUNION ALL ".join(parts))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import entities
+from tidemark.operators import audit, entities
 from tidemark.plans import ml, oracle, reports
 from tidemark.sources.driver_data import load_app_tables
 
@@ -67,6 +67,7 @@ def queries() -> dict[str, Builder]:
         "stratified_split": _on_tables(
             lambda t: ml.stratified_split(ml.cart_features(t)).select("session_id", "abandoned", "split")
         ),
+        "integrity_audit": _on_tables(audit.integrity_audit),
         "model_metrics": _on_tables(ml.model_metrics_report),
         "cart_risk_scores": _on_tables(ml.cart_risk_scores),
     }
@@ -104,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "cart_features": oracle.cart_features(),
         "label_distribution": oracle.label_distribution(),
         "stratified_split": oracle.stratified_split(),
+        "integrity_audit": oracle.integrity_audit(),
     }
