@@ -37,6 +37,7 @@ def sessionize(
     day_col: str = "event_date",
     order_col: str = "event_id",
     first_event_attrs: dict[str, Column] | None = None,
+    extra_aggs: list[Column] | None = None,
 ) -> DataFrame:
     """I1 + I2: one row per session.
 
@@ -48,6 +49,8 @@ def sessionize(
     ``session_duration`` is the whole seconds between the first and last event
     (0 for single-event sessions). ``first_event_attrs`` maps output names to
     expressions evaluated on the session's lowest-``order_col`` event.
+    ``extra_aggs`` are further per-session aggregates computed in the same
+    pass (e.g. stage counts, so the session mart needs no second scan).
     """
     aggs = [
         F.min(user_col).alias("user_id"),
@@ -56,6 +59,7 @@ def sessionize(
     ]
     for name, expr in (first_event_attrs or {}).items():
         aggs.append(F.min_by(expr, F.col(order_col)).alias(name))
+    aggs.extend(extra_aggs or [])
     return events.groupBy(F.col(session_col).alias("session_id")).agg(*aggs)
 
 

@@ -22,15 +22,23 @@ def has_col(stage_key: str) -> str:
     return f"has_{stage_key}"
 
 
-def stage_counts(events: DataFrame, *keys: str, type_col: str = "event_type") -> DataFrame:
-    """Per ``keys``: the number of events of each stage (``n_<stage>``) and of
-    all events (``n_events``)."""
+COUNT_COLS = [n_col(k) for k in schemas.STAGE_KEYS] + ["n_events"]
+
+
+def stage_count_aggs(type_col: str = "event_type") -> list[Column]:
+    """Aggregate expressions: events of each stage (``n_<stage>``) and of all
+    types (``n_events``)."""
     aggs = [
         F.count_if(F.col(type_col) == F.lit(stage)).alias(n_col(key))
         for stage, key in zip(schemas.STAGES, schemas.STAGE_KEYS)
     ]
     aggs.append(F.count(F.lit(1)).alias("n_events"))
-    return events.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def stage_counts(events: DataFrame, *keys: str, type_col: str = "event_type") -> DataFrame:
+    """Per ``keys``: the number of events of each stage and of all events."""
+    return events.groupBy(*keys).agg(*stage_count_aggs(type_col))
 
 
 def has_flag(stage_key: str) -> Column:

@@ -16,7 +16,7 @@ from tidemark.operators import flags
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
 
-_COUNT_COLS = [flags.n_col(k) for k in schemas.STAGE_KEYS] + ["n_events"]
+_COUNT_COLS = flags.COUNT_COLS
 
 
 def order_facts(orders: DataFrame) -> DataFrame:
@@ -34,10 +34,12 @@ def session_mart(tables: AppTables) -> DataFrame:
     (0 for sessions without events), ``has_<stage>`` flags (0/1),
     ``n_orders`` (0 when none) and ``order_amount`` (NULL when none).
     """
-    counts = flags.stage_counts(tables.events, "session_id")
+    if tables.session_rollup is not None:
+        with_counts = tables.session_rollup
+    else:
+        with_counts = tables.sessions.join(flags.stage_counts(tables.events, "session_id"), "session_id", "left")
     mart = (
-        tables.sessions.join(counts, "session_id", "left")
-        .join(order_facts(tables.orders), "session_id", "left")
+        with_counts.join(order_facts(tables.orders), "session_id", "left")
         .fillna(0, subset=_COUNT_COLS + ["n_orders"])
     )
     return mart.select(

@@ -436,3 +436,54 @@ def integrity_audit() -> str:
             f"AND NOT EXISTS (SELECT 1 FROM app_{parent} p WHERE p.{pcol} = c.{col}))"
         )
     return _q("\n" + "\nUNION ALL ".join(parts))
+
+
+# --- briefing context ---------------------------------------------------------------
+
+
+def _unpivot(cte: str, section: str, entity: str, metrics: list[str]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{section}' AS section, CAST({entity} AS VARCHAR) AS entity, '{m}' AS metric, "
+        f"CAST({m} AS DOUBLE) AS value FROM {cte}"
+        for m in metrics
+    )
+
+
+def briefing_context() -> str:
+    from tidemark.plans.reports import BRIEFING_METRICS as M  # noqa: PLC0415
+
+    ctes = {
+        "fa": funnel_sessions(),
+        "fi": funnel_sessions(device_type="iOS"),
+        "fd": funnel_sessions(device_type="Android"),
+        "rt": retention_by_channel(),
+        "ab": ab_results(),
+        "sg": segment_performance(),
+        "lf": ab_lift(),
+    }
+    with_sql = ",\n".join(f"{name} AS ({sql})" for name, sql in ctes.items())
+    gap_d1 = pct2("(SUM(day1_active_users) OVER () - day1_active_users)", "(SUM(cohort_size) OVER () - cohort_size)")
+    gap_d7 = pct2("(SUM(day7_active_users) OVER () - day7_active_users)", "(SUM(cohort_size) OVER () - cohort_size)")
+    body = [
+        _unpivot("fa", "funnel_all", "funnel_stage", M["funnel"]),
+        _unpivot("fi", "funnel_ios", "funnel_stage", M["funnel"]),
+        _unpivot("fd", "funnel_android", "funnel_stage", M["funnel"]),
+        _unpivot("rt", "retention", "acquisition_channel", M["retention"]),
+        _unpivot("ab", "ab_test", "experiment_group", M["ab_test"]),
+        _unpivot("sg", "segments", "user_segment", M["segments"]),
+        _unpivot(
+            "(SELECT 'Checkout' AS stage, "
+            "(SELECT step_conversion_pct FROM fi WHERE funnel_stage = 'Checkout') - "
+            "(SELECT step_conversion_pct FROM fd WHERE funnel_stage = 'Checkout') AS step_conversion_gap_pts, "
+            "(SELECT step_dropoff_pct FROM fi WHERE funnel_stage = 'Checkout') - "
+            "(SELECT step_dropoff_pct FROM fd WHERE funnel_stage = 'Checkout') AS step_dropoff_gap_pts)",
+            "ios_vs_android", "stage", ["step_conversion_gap_pts", "step_dropoff_gap_pts"],
+        ),
+        _unpivot(
+            f"(SELECT acquisition_channel, day1_retention_pct - {gap_d1} AS day1_retention_gap_pts, "
+            f"day7_retention_pct - {gap_d7} AS day7_retention_gap_pts FROM rt)",
+            "channel_vs_others", "acquisition_channel", ["day1_retention_gap_pts", "day7_retention_gap_pts"],
+        ),
+        _unpivot("(SELECT 'B vs A' AS comparison, * FROM lf)", "b_vs_a", "comparison", ["abs_lift_pts", "rel_lift_pct"]),
+    ]
+    return f"WITH {with_sql}\n" + "\nUNION ALL ".join(body)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators import audit, entities
 from tidemark.plans import ml, oracle, reports
 from tidemark.sources.driver_data import load_app_tables
+from tidemark.sources.io import materialize_tables
 
 # Report parameters used by the filtered keys.
 FUNNEL_DEVICE = "iOS"
@@ -33,6 +34,18 @@ def _on_tables(fn, **kwargs) -> Builder:
     return run
 
 
+def _on_materialized(fn, **kwargs) -> Builder:
+    """For composite reports that read the derived tables many times: the
+    tables are written once to the shared checkpoint folder first (see
+    ``materialize_tables``)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(materialize_tables(load_app_tables(spark, sf_dir)), **kwargs)
+
+    run.__name__ = getattr(fn, "__name__", "report")
+    return run
+
+
 def queries() -> dict[str, Builder]:
     return {
         "funnel_by_device": _on_tables(reports.funnel_by_device),
@@ -67,7 +80,8 @@ def queries() -> dict[str, Builder]:
         "stratified_split": _on_tables(
             lambda t: ml.stratified_split(ml.cart_features(t)).select("session_id", "abandoned", "split")
         ),
-        "integrity_audit": _on_tables(audit.integrity_audit),
+        "integrity_audit": _on_materialized(audit.integrity_audit),
+        "briefing_context": _on_materialized(reports.briefing_context),
         "model_metrics": _on_tables(ml.model_metrics_report),
         "cart_risk_scores": _on_tables(ml.cart_risk_scores),
     }
@@ -106,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
         "label_distribution": oracle.label_distribution(),
         "stratified_split": oracle.stratified_split(),
         "integrity_audit": oracle.integrity_audit(),
+        "briefing_context": oracle.briefing_context(),
     }

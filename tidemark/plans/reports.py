@@ -160,9 +160,15 @@ def retention_validation(tables: AppTables) -> DataFrame:
     """Load-check formulation: distinct users per channel and distinct users
     active on day 0 / 1 / 7, with unrounded rates that are 0 for an empty
     channel. Must equal ``retention_grid``'s counts."""
-    per_user = retention_flags(tables, (0, 1, 7))
+    per_user = (
+        retention_flags(tables, (0, 1, 7))
+        .groupBy("acquisition_channel", "user_id")
+        .agg(*[F.max(f"d{n}_active").alias(f"d{n}_active") for n in (0, 1, 7)])
+    )
+    # One row per (channel, user): counting rows counts distinct users,
+    # without the row expansion a distinct aggregate next to sums needs.
     out = per_user.groupBy("acquisition_channel").agg(
-        F.count_distinct("user_id").alias("total_users"),
+        F.count("user_id").alias("total_users"),
         _sum_long("d0_active").alias("d0_users"),
         _sum_long("d1_active").alias("d1_users"),
         _sum_long("d7_active").alias("d7_users"),
@@ -186,6 +192,21 @@ def acquisition_share(tables: AppTables) -> DataFrame:
 # --- J1 / J9 KPIs -------------------------------------------------------------
 
 
+def _order_totals(orders: DataFrame) -> DataFrame:
+    """One row: revenue (SUM), AOV (AVG over order rows) and the number of
+    distinct sessions with an order. Orders are first totalled per session
+    (map-side combined), so the distinct count is a plain count and no
+    distinct-aggregate expansion is needed."""
+    per_session = orders.groupBy("session_id").agg(
+        F.sum("amount").alias("_amount"), F.count("amount").alias("_n")
+    )
+    return per_session.agg(
+        F.sum("_amount").alias("revenue"),
+        (F.sum("_amount") / F.nullif(F.sum("_n"), F.lit(0))).alias("aov"),
+        F.count("session_id").alias("total_orders"),
+    )
+
+
 def business_kpis(
     tables: AppTables,
     city: str | None = None,
@@ -200,14 +221,9 @@ def business_kpis(
     carts and no purchases give 100.0."""
     mart = mart if mart is not None else session_mart(tables)
     users = optional_eq(optional_eq(tables.users, "city", city), "acquisition_channel", channel).select("user_id")
-    order_part = (
-        tables.orders.select("user_id", "session_id", "amount")
-        .join(users, "user_id")
-        .agg(
-            F.coalesce(F.sum("amount"), F.lit(0.0)).alias("revenue"),
-            F.coalesce(F.avg("amount"), F.lit(0.0)).alias("aov"),
-            F.count_distinct("session_id").alias("total_orders"),
-        )
+    order_part = _order_totals(tables.orders.select("user_id", "session_id", "amount").join(users, "user_id"))
+    order_part = order_part.select(
+        F.coalesce("revenue", F.lit(0.0)).alias("revenue"), F.coalesce("aov", F.lit(0.0)).alias("aov"), "total_orders"
     )
     session_part = (
         mart.select("session_id", "user_id", flags.has_col("add_to_cart"), flags.has_col("purchase"))
@@ -234,11 +250,7 @@ def business_kpis(
 def topline_kpis(tables: AppTables) -> DataFrame:
     """SQL-pack KPIs over the base tables (no user join, so orphan orders and
     events count); NULL on empty input."""
-    order_part = tables.orders.agg(
-        F.sum("amount").alias("revenue"),
-        F.avg("amount").alias("aov"),
-        F.count_distinct("session_id").alias("total_orders"),
-    )
+    order_part = _order_totals(tables.orders)
     session_part = tables.sessions.agg(F.count_distinct("session_id").alias("total_sessions"))
     ev = flags.stage_counts(tables.events.select("session_id", "event_type"), "session_id")
     funnel_part = ev.agg(
@@ -290,15 +302,16 @@ def segment_performance(tables: AppTables) -> DataFrame:
     per_user = per_session.groupBy("user_id").agg(
         F.count("session_id").alias("n_sessions"), F.sum("order_amount").alias("spend")
     )
-    seg = (
+    per_segment_user = (
         tables.users.select("user_id", "user_segment")
         .join(per_user, "user_id", "left")
-        .groupBy("user_segment")
-        .agg(
-            F.count_distinct("user_id").alias("user_count"),
-            _sum_long("n_sessions").alias("total_sessions"),
-            F.coalesce(F.sum("spend"), F.lit(0.0)).alias("spend"),
-        )
+        .groupBy("user_segment", "user_id")
+        .agg(F.sum("n_sessions").alias("n_sessions"), F.sum("spend").alias("spend"))
+    )
+    seg = per_segment_user.groupBy("user_segment").agg(
+        F.count("user_id").alias("user_count"),
+        _sum_long("n_sessions").alias("total_sessions"),
+        F.coalesce(F.sum("spend"), F.lit(0.0)).alias("spend"),
     )
     return seg.select(
         "user_segment",
@@ -462,6 +475,98 @@ def device_leakage(tables: AppTables, threshold_pts: float = 10.0, mart: DataFra
     return out.select("*", gap.alias("gap_pts"), F.coalesce(gap > F.lit(threshold_pts), F.lit(False)).alias("leakage_flag"))
 
 
+# --- J19 briefing context ---------------------------------------------------------
+
+BRIEFING_METRICS = {
+    "funnel": ["session_volume", "step_conversion_pct", "step_dropoff_pct", "overall_completion_pct"],
+    "retention": ["cohort_size", "day1_active_users", "day1_retention_pct", "day7_active_users", "day7_retention_pct"],
+    "ab_test": ["checkout_sessions", "purchase_sessions", "conversion_rate_pct"],
+    "segments": ["user_count", "total_sessions", "avg_sessions_per_user", "total_spend_usd", "arpu"],
+}
+
+
+def _long(df: DataFrame, section: str, entity: str, metrics: list[str]) -> DataFrame:
+    """Unpivot a report to (section, entity, metric, value)."""
+    wide = df.select(
+        F.lit(section).alias("section"),
+        F.col(entity).cast("string").alias("entity"),
+        *[F.col(m).cast("double").alias(m) for m in metrics],
+    )
+    return wide.unpivot(["section", "entity"], metrics, "metric", "value")
+
+
+def briefing_context(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
+    """The briefing's input tables as one long table (section, entity, metric,
+    value): session funnels (all, iOS, Android), retention by channel, A/B
+    results and segment performance, plus the comparisons the briefing asks
+    for — iOS vs Android at the checkout step, each channel's retention vs
+    all other channels pooled, and group B vs A."""
+    mart = mart if mart is not None else session_mart(tables)
+    funnel_all = funnel_sessions(tables, mart=mart)
+    funnel_ios = funnel_sessions(tables, device_type="iOS", mart=mart)
+    funnel_android = funnel_sessions(tables, device_type="Android", mart=mart)
+    retention = retention_by_channel(tables)
+    ab = ab_results(tables, mart)
+    parts = [
+        _long(funnel_all, "funnel_all", "funnel_stage", BRIEFING_METRICS["funnel"]),
+        _long(funnel_ios, "funnel_ios", "funnel_stage", BRIEFING_METRICS["funnel"]),
+        _long(funnel_android, "funnel_android", "funnel_stage", BRIEFING_METRICS["funnel"]),
+        _long(retention, "retention", "acquisition_channel", BRIEFING_METRICS["retention"]),
+        _long(ab, "ab_test", "experiment_group", BRIEFING_METRICS["ab_test"]),
+        _long(segment_performance(tables), "segments", "user_segment", BRIEFING_METRICS["segments"]),
+    ]
+
+    # iOS vs Android at the Add To Cart → Checkout step (six-row inputs).
+    checkout = "Checkout"
+    tagged = funnel_ios.filter(F.col("funnel_stage") == checkout).select(
+        F.lit("iOS").alias("device"), "step_conversion_pct", "step_dropoff_pct"
+    ).unionByName(
+        funnel_android.filter(F.col("funnel_stage") == checkout).select(
+            F.lit("Android").alias("device"), "step_conversion_pct", "step_dropoff_pct"
+        )
+    )
+
+    def on(device: str, col: str) -> F.Column:
+        return F.max(F.when(F.col("device") == device, F.col(col)))
+
+    device_gap = tagged.agg(
+        (on("iOS", "step_conversion_pct") - on("Android", "step_conversion_pct")).alias("step_conversion_gap_pts"),
+        (on("iOS", "step_dropoff_pct") - on("Android", "step_dropoff_pct")).alias("step_dropoff_gap_pts"),
+    ).select(F.lit(checkout).alias("stage"), "*")
+    parts.append(_long(device_gap, "ios_vs_android", "stage", ["step_conversion_gap_pts", "step_dropoff_gap_pts"]))
+
+    # Each channel vs all other channels pooled (window over the channel rows).
+    everything = Window.partitionBy()
+    others = retention.select(
+        "acquisition_channel",
+        (
+            F.col("day1_retention_pct")
+            - pct2(
+                F.sum("day1_active_users").over(everything) - F.col("day1_active_users"),
+                F.sum("cohort_size").over(everything) - F.col("cohort_size"),
+            )
+        ).alias("day1_retention_gap_pts"),
+        (
+            F.col("day7_retention_pct")
+            - pct2(
+                F.sum("day7_active_users").over(everything) - F.col("day7_active_users"),
+                F.sum("cohort_size").over(everything) - F.col("cohort_size"),
+            )
+        ).alias("day7_retention_gap_pts"),
+    )
+    parts.append(
+        _long(others, "channel_vs_others", "acquisition_channel", ["day1_retention_gap_pts", "day7_retention_gap_pts"])
+    )
+
+    lift = ab_lift(tables, mart).select(F.lit("B vs A").alias("comparison"), "abs_lift_pts", "rel_lift_pct")
+    parts.append(_long(lift, "b_vs_a", "comparison", ["abs_lift_pts", "rel_lift_pct"]))
+
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
 DISPLAY_NAMES = {
     "funnel_sessions": {
         "funnel_stage": "Funnel Stage",

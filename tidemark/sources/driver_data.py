@@ -20,7 +20,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import entities
+from tidemark.operators import entities, flags
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
 
@@ -106,16 +106,21 @@ def enriched_events(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataF
     )
 
 
-def build_sessions(events: DataFrame) -> DataFrame:
+def build_session_rollup(events: DataFrame) -> DataFrame:
+    """Sessions and their stage counts from a single aggregation of events."""
     k = F.col("k")
-    sessions = entities.sessionize(
+    return entities.sessionize(
         events,
         first_event_attrs={
             "device_type": _pick(k % 3, schemas.DEVICES),
             "discount_coupon_applied": F.when(k % 5 == 0, F.lit(1)).otherwise(F.lit(0)),
         },
+        extra_aggs=flags.stage_count_aggs(),
     )
-    return sessions.select(*schemas.SESSIONS.fieldNames())
+
+
+def build_sessions(events: DataFrame) -> DataFrame:
+    return build_session_rollup(events).select(*schemas.SESSIONS.fieldNames())
 
 
 def build_orders(events: DataFrame) -> DataFrame:
@@ -128,7 +133,8 @@ def load_app_tables(spark: SparkSession, sf_dir: str, end_date: dt.date = END_DA
     """The five app tables over the test data in ``sf_dir`` (lazy plans)."""
     users0 = base_users(spark, sf_dir)
     ev = enriched_events(spark, sf_dir, users0)
-    sessions = build_sessions(ev)
+    rollup = build_session_rollup(ev)
+    sessions = rollup.select(*schemas.SESSIONS.fieldNames())
     users = entities.segment_users(users0, sessions, end_date).select(*schemas.USERS.fieldNames())
     return AppTables(
         users=users,
@@ -136,6 +142,7 @@ def load_app_tables(spark: SparkSession, sf_dir: str, end_date: dt.date = END_DA
         events=ev.select(*schemas.EVENTS.fieldNames()),
         orders=build_orders(ev),
         experiments=entities.assign_experiments(users0, schemas.EXPERIMENT_FEATURE, ORIGIN),
+        session_rollup=rollup.select(*schemas.SESSIONS.fieldNames(), *flags.COUNT_COLS),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,13 @@ class AppTables:
     events: DataFrame
     orders: DataFrame
     experiments: DataFrame
+    # Optional: sessions already joined with their per-session stage counts
+    # (``tidemark.operators.flags.COUNT_COLS``), when both come from one pass
+    # over events. Used by the session mart instead of a second aggregation.
+    session_rollup: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name in schemas.TABLE_SCHEMAS}
 
     def register_views(self, prefix: str = "") -> None:
         """Expose the tables to ``spark.sql`` as temp views."""
@@ -31,6 +36,40 @@ class AppTables:
             df.createOrReplaceTempView(prefix + name)
 
 
+def materialize(df: DataFrame, name: str, run_dir: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and return a
+    reader over the files: the lineage is cut (a lost executor re-reads files
+    instead of recomputing the plan), the data is computed exactly once, and
+    later scans keep column pruning and filter pushdown."""
+    from tidemark.session import checkpoint_dir  # noqa: PLC0415
+
+    spark = df.sparkSession
+    base = run_dir or f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = f"{base}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def materialize_tables(tables: AppTables, include_events: bool = False) -> AppTables:
+    """Materialise the derived tables once for a multi-report job (see
+    ``materialize``). The event table stays its source scan unless asked,
+    since copying the largest table rarely pays off; sessions are read back
+    as a projection of the materialised rollup when there is one."""
+    from tidemark.session import checkpoint_dir  # noqa: PLC0415
+
+    run_dir = f"{checkpoint_dir(tables.users.sparkSession).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    rollup = materialize(tables.session_rollup, "session_rollup", run_dir) if tables.session_rollup is not None else None
+    done = {}
+    for name, df in tables.as_dict().items():
+        if name == "events" and not include_events:
+            done[name] = df
+        elif name == "sessions" and rollup is not None:
+            done[name] = rollup.select(*schemas.SESSIONS.fieldNames())
+        else:
+            done[name] = materialize(df, name, run_dir)
+    return AppTables(**done, session_rollup=rollup)
+
+
 def read_app_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> AppTables:
     """Read the five tables from ``{path}/{table}`` with declared schemas (no
     inference; the reader prunes columns and pushes filters to the files)."""
