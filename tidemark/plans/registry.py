@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import audit, entities
-from tidemark.plans import ml, oracle, reports
+from tidemark.plans import ml, oracle, reports, sql_reports
 from tidemark.sources.driver_data import load_app_tables
 from tidemark.sources.io import materialize_tables
 
@@ -67,6 +67,7 @@ def queries() -> dict[str, Builder]:
         "ab_raw": _on_tables(reports.ab_raw),
         "ab_lift": _on_tables(reports.ab_lift),
         "ab_significance": _on_tables(reports.ab_significance),
+        "ab_pvalue": _on_tables(reports.ab_pvalue),
         "device_checkout": _on_tables(reports.device_checkout),
         "device_leakage": _on_tables(reports.device_leakage, threshold_pts=LEAKAGE_THRESHOLD_PTS),
         "sessions_built": _on_tables(lambda t: t.sessions),
@@ -80,6 +81,11 @@ def queries() -> dict[str, Builder]:
         "stratified_split": _on_tables(
             lambda t: ml.stratified_split(ml.cart_features(t)).select("session_id", "abandoned", "split")
         ),
+        "funnel_by_device_sql": _on_tables(sql_reports.funnel_by_device_sql),
+        "retention_grid_sql": _on_tables(sql_reports.retention_grid_sql),
+        "topline_kpis_sql": _on_tables(sql_reports.topline_kpis_sql),
+        "business_kpis_sql": _on_tables(sql_reports.business_kpis_sql),
+        "business_kpis_filtered_sql": _on_tables(sql_reports.business_kpis_sql, city=KPI_CITY, channel=KPI_CHANNEL),
         "integrity_audit": _on_materialized(audit.integrity_audit),
         "briefing_context": _on_materialized(reports.briefing_context),
         "model_metrics": _on_tables(ml.model_metrics_report),
@@ -119,6 +125,11 @@ def oracle_sql() -> dict[str, str]:
         "cart_features": oracle.cart_features(),
         "label_distribution": oracle.label_distribution(),
         "stratified_split": oracle.stratified_split(),
+        "funnel_by_device_sql": oracle.funnel_by_device(),
+        "retention_grid_sql": oracle.retention_grid(),
+        "topline_kpis_sql": oracle.topline_kpis(),
+        "business_kpis_sql": oracle.business_kpis(),
+        "business_kpis_filtered_sql": oracle.business_kpis(city=KPI_CITY, channel=KPI_CHANNEL),
         "integrity_audit": oracle.integrity_audit(),
         "briefing_context": oracle.briefing_context(),
     }

@@ -252,7 +252,9 @@ def topline_kpis(tables: AppTables) -> DataFrame:
     events count); NULL on empty input."""
     order_part = _order_totals(tables.orders)
     session_part = tables.sessions.agg(F.count_distinct("session_id").alias("total_sessions"))
-    ev = flags.stage_counts(tables.events.select("session_id", "event_type"), "session_id")
+    ev = flags.stage_counts(
+        tables.events.select("session_id", "event_type").filter(F.col("session_id").isNotNull()), "session_id"
+    )
     funnel_part = ev.agg(
         F.count_if(F.col(flags.n_col("add_to_cart")) > 0).alias("cart_sessions"),
         F.count_if(F.col(flags.n_col("purchase")) > 0).alias("purchase_sessions"),
@@ -439,6 +441,36 @@ def ab_significance(tables: AppTables, mart: DataFrame | None = None) -> DataFra
     )
 
 
+def ab_pvalue(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
+    """Pearson chi-square test of independence between group (A / B) and
+    purchase, over sessions with a Checkout (Spark ML ``ChiSquareTest``, a
+    distributed count of (group, outcome) pairs). With one degree of freedom
+    the statistic equals ``z_score²`` of ``ab_significance``; the p-value is
+    what the dashboard only asserted as text."""
+    from pyspark.ml.feature import VectorAssembler  # noqa: PLC0415
+    from pyspark.ml.functions import vector_to_array  # noqa: PLC0415
+    from pyspark.ml.stat import ChiSquareTest  # noqa: PLC0415
+
+    mart = mart if mart is not None else session_mart(tables)
+    trials = (
+        _experiment_sessions(tables, mart)
+        .filter(F.col("experiment_group").isin(schemas.GROUP_A, schemas.GROUP_B))
+        .filter(F.col(flags.has_col("checkout")) == 1)
+        .select(
+            F.when(F.col("experiment_group") == schemas.GROUP_B, F.lit(1.0)).otherwise(F.lit(0.0)).alias("is_b"),
+            F.col(flags.has_col("purchase")).cast("double").alias("purchased"),
+        )
+    )
+    vec = VectorAssembler(inputCols=["is_b"], outputCol="group_vec").transform(trials)
+    res = ChiSquareTest.test(vec, "group_vec", "purchased")
+    return res.select(
+        vector_to_array("pValues")[0].alias("p_value"),
+        vector_to_array("statistics")[0].alias("chi2_statistic"),
+        F.col("degreesOfFreedom")[0].alias("dof"),
+        (vector_to_array("pValues")[0] < F.lit(0.01)).alias("significant_99"),
+    )
+
+
 # --- J10 / J16 device checkout ----------------------------------------------
 
 
