@@ -98,12 +98,17 @@ def _order_totals_sql(source: str) -> str:
 )"""
 
 
-# The three one-row aggregates are combined with scalar subqueries (merged
-# by Catalyst into one subquery per CTE), not with a join.
+# The three one-row aggregates are combined without a join: stacked with
+# UNION ALL (each filling its own columns) and folded by one global MAX.
 _ONE_ROW = """, one_row AS (
-  SELECT (SELECT revenue FROM o) AS revenue, (SELECT aov FROM o) AS aov,
-         (SELECT total_orders FROM o) AS total_orders, (SELECT total_sessions FROM s) AS total_sessions,
-         (SELECT cart_sessions FROM f) AS cart_sessions, (SELECT purchase_sessions FROM f) AS purchase_sessions
+  SELECT MAX(revenue) AS revenue, MAX(aov) AS aov, MAX(total_orders) AS total_orders,
+         MAX(total_sessions) AS total_sessions, MAX(cart_sessions) AS cart_sessions,
+         MAX(purchase_sessions) AS purchase_sessions
+  FROM (
+    SELECT revenue, aov, total_orders, NULL AS total_sessions, NULL AS cart_sessions, NULL AS purchase_sessions FROM o
+    UNION ALL SELECT NULL, NULL, NULL, total_sessions, NULL, NULL FROM s
+    UNION ALL SELECT NULL, NULL, NULL, NULL, cart_sessions, purchase_sessions FROM f
+  )
 )"""
 
 
