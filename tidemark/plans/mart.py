@@ -33,7 +33,14 @@ def session_mart(tables: AppTables) -> DataFrame:
     Columns: the session's own columns, ``n_<stage>`` and ``n_events``
     (0 for sessions without events), ``has_<stage>`` flags (0/1),
     ``n_orders`` (0 when none) and ``order_amount`` (NULL when none).
+    The plan is built once per ``AppTables`` and shared by its reports.
     """
+    if "session_mart" not in tables.memo:
+        tables.memo["session_mart"] = _build_mart(tables)
+    return tables.memo["session_mart"]
+
+
+def _build_mart(tables: AppTables) -> DataFrame:
     if tables.session_rollup is not None:
         with_counts = tables.session_rollup
     else:

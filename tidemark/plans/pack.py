@@ -1,10 +1,11 @@
 """The named report pack: every deterministic report built from
 one materialised session mart and written as one Parquet folder per report.
 
-The mart is checkpointed to the shared folder named by
-``spark.checkpoint.dir``: later reports read it instead of re-running the
-event aggregation, and a lost executor does not force recomputing the
-lineage. A failing report is recorded and does not stop the others.
+The derived tables and the mart are written once as Parquet to the shared
+folder named by ``spark.checkpoint.dir`` and read back: later reports read
+them instead of re-running the event aggregation, and a lost executor does
+not force recomputing the lineage. A failing report is recorded and does not
+stop the others.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators import audit, entities
 from tidemark.plans import ml, reports
 from tidemark.plans.mart import session_mart
-from tidemark.session import checkpoint_dir
-from tidemark.sources.io import AppTables, write_reports
+from tidemark.sources.io import AppTables, materialize, materialize_tables, write_reports
 
 
 def report_builders(tables: AppTables, mart: DataFrame) -> dict[str, Callable[[], DataFrame]]:
@@ -48,15 +48,10 @@ def report_builders(tables: AppTables, mart: DataFrame) -> dict[str, Callable[[]
     }
 
 
-def materialized_mart(spark: SparkSession, tables: AppTables) -> DataFrame:
-    """The session mart, checkpointed (reliably, to the shared folder)."""
-    checkpoint_dir(spark)
-    return session_mart(tables).checkpoint(eager=True)
-
-
 def run_report_pack(spark: SparkSession, tables: AppTables, out_dir: str) -> dict[str, str]:
     """Write every report under ``out_dir/<name>``; returns per-report status."""
-    mart = materialized_mart(spark, tables)
+    tables = materialize_tables(tables)
+    mart = materialize(session_mart(tables), "session_mart")
     built = {}
     status = {}
     for name, build in report_builders(tables, mart).items():

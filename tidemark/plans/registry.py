@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators import audit, entities
 from tidemark.plans import ml, oracle, reports, sql_reports
 from tidemark.sources.driver_data import load_app_tables
-from tidemark.sources.io import materialize_tables
+from tidemark.sources.io import AppTables, materialize_tables
 
 # Report parameters used by the filtered keys.
 FUNNEL_DEVICE = "iOS"
@@ -26,9 +26,22 @@ LEAKAGE_THRESHOLD_PTS = 10.0
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+_TABLES: dict[tuple[str, str], AppTables] = {}
+
+
+def app_tables(spark: SparkSession, sf_dir: str) -> AppTables:
+    """The app tables over ``sf_dir``, defined once per Spark application and
+    folder (lazy plans: every report still reads and processes the whole
+    input; only the Python-side plan construction is shared)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = load_app_tables(spark, sf_dir)
+    return _TABLES[key]
+
+
 def _on_tables(fn, **kwargs) -> Builder:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(load_app_tables(spark, sf_dir), **kwargs)
+        return fn(app_tables(spark, sf_dir), **kwargs)
 
     run.__name__ = getattr(fn, "__name__", "report")
     return run
@@ -40,7 +53,7 @@ def _on_materialized(fn, **kwargs) -> Builder:
     ``materialize_tables``)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(materialize_tables(load_app_tables(spark, sf_dir)), **kwargs)
+        return fn(materialize_tables(app_tables(spark, sf_dir)), **kwargs)
 
     run.__name__ = getattr(fn, "__name__", "report")
     return run

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +26,9 @@ class AppTables:
     # (``tidemark.operators.flags.COUNT_COLS``), when both come from one pass
     # over events. Used by the session mart instead of a second aggregation.
     session_rollup: DataFrame | None = None
+    # Lazily built plans derived from these tables (e.g. the session mart),
+    # shared by the reports of one run. Holds DataFrame definitions only.
+    memo: dict = field(default_factory=dict, compare=False, repr=False)
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self) if f.name in schemas.TABLE_SCHEMAS}
