@@ -42,3 +42,12 @@ def test_random_pairs_match_exact_and_duckdb(spark):
     duck = {(a, b): p for a, b, p in con.execute(f"SELECT a, b, {oracle.pct2('a', 'b')} FROM t").fetchall()}
     for a, b in pairs:
         assert got[(a, b)] == exact(a, b) == duck[(a, b)], (a, b)
+
+
+def test_selector_labels_and_money_text(spark):
+    from tidemark.functions import money_text, none_if_all
+
+    assert none_if_all("All Regions") is None and none_if_all("All Devices") is None
+    assert none_if_all("") == "" and none_if_all("iOS") == "iOS" and none_if_all(None) is None
+    df = spark.createDataFrame([(1234.5,), (65844.77,), (0.0,)], "x double")
+    assert [r[0] for r in df.select(money_text("x")).collect()] == ["1,234.50", "65,844.77", "0.00"]

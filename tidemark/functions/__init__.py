@@ -1,3 +1,23 @@
-from tidemark.functions.metrics import optional_eq, pct2, ratio_pct, round2, round_ratio, signed_pct2
+from tidemark.functions.metrics import (
+    ALL_LABELS,
+    money_text,
+    none_if_all,
+    optional_eq,
+    pct2,
+    ratio_pct,
+    round2,
+    round_ratio,
+    signed_pct2,
+)
 
-__all__ = ["optional_eq", "pct2", "ratio_pct", "round2", "round_ratio", "signed_pct2"]
+__all__ = [
+    "ALL_LABELS",
+    "money_text",
+    "none_if_all",
+    "optional_eq",
+    "pct2",
+    "ratio_pct",
+    "round2",
+    "round_ratio",
+    "signed_pct2",
+]

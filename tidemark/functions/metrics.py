@@ -62,3 +62,19 @@ def optional_eq(df: DataFrame, column: str, value) -> DataFrame:
     if value is None:
         return df
     return df.filter(F.col(column) == F.lit(value))
+
+
+# Dashboard selector labels that mean "no filter" (fixed values).
+ALL_LABELS = ("All Regions", "All Channels", "All Devices")
+
+
+def none_if_all(choice: str | None) -> str | None:
+    """Map a selector's "All …" label to None (no filter); other values pass
+    through unchanged, including the empty string."""
+    return None if choice in ALL_LABELS else choice
+
+
+def money_text(x: Column | str) -> Column:
+    """Display text with thousands separators and two decimals
+    (``1234.5`` → ``1,234.50``), for presentation columns only."""
+    return F.format_number(_col(x), 2)

@@ -58,6 +58,12 @@ def cart_features(tables: AppTables, mart: DataFrame | None = None) -> DataFrame
     return session_features(tables, mart).filter(F.col("items_added_to_cart") > 0)
 
 
+def feature_sample(features: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` rows of the feature matrix by session id, for
+    inspection (a top-n: each partition keeps its own n before the merge)."""
+    return features.orderBy("session_id").limit(n)
+
+
 def past_purchases(tables: AppTables) -> DataFrame:
     """Per session: orders of the same user dated strictly before it."""
     return history.past_purchases(tables.sessions, tables.orders)
@@ -221,16 +227,14 @@ def train_cart_model(
     recomputing the feature plan each time would repeat its shuffles."""
     data = _model_input(features.join(split.select("session_id", "split"), "session_id"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    train = data.filter(F.col("split") == "train")
+    train = train.join(_class_weights(train, LABEL), LABEL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        train = data.filter(F.col("split") == "train")
-        test = data.filter(F.col("split") == "test")
-        train = train.join(_class_weights(train, LABEL), LABEL)
         model = build_pipeline(num_trees, max_depth, seed).fit(train)
-        values = {
-            r["metric"]: r["value"]  # a dozen numbers
-            for r in classification_metrics(model.transform(test.withColumn("weight", F.lit(1.0)))).collect()
-        }
+        test = data.filter(F.col("split") == "test").withColumn("weight", F.lit(1.0))
+        values = {r["metric"]: r["value"] for r in classification_metrics(model.transform(test)).collect()}
     finally:
+        train.unpersist()
         data.unpersist()
     spark = features.sparkSession
     metrics = spark.createDataFrame(list(values.items()), "metric string, value double")

@@ -394,6 +394,10 @@ def cart_features() -> str:
     return _q(_CART_FEATURES + "\nSELECT * FROM cart_features")
 
 
+def feature_sample(n: int = 5) -> str:
+    return _q(_CART_FEATURES + f"\nSELECT * FROM cart_features ORDER BY session_id LIMIT {n}")
+
+
 def label_distribution() -> str:
     return _q(_CART_FEATURES + """
 SELECT abandoned, COUNT(*) AS n,

@@ -90,6 +90,7 @@ def queries() -> dict[str, Builder]:
         "orders_built": _on_tables(lambda t: t.orders),
         "past_purchases": _on_tables(ml.past_purchases),
         "cart_features": _on_tables(ml.cart_features),
+        "feature_sample": _on_tables(lambda t: ml.feature_sample(ml.cart_features(t))),
         "label_distribution": _on_tables(lambda t: ml.label_distribution(ml.cart_features(t))),
         "stratified_split": _on_tables(
             lambda t: ml.stratified_split(ml.cart_features(t)).select("session_id", "abandoned", "split")
@@ -136,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "orders_built": oracle.orders_built(),
         "past_purchases": oracle.past_purchases(),
         "cart_features": oracle.cart_features(),
+        "feature_sample": oracle.feature_sample(),
         "label_distribution": oracle.label_distribution(),
         "stratified_split": oracle.stratified_split(),
         "funnel_by_device_sql": oracle.funnel_by_device(),
