@@ -65,3 +65,10 @@ def test_train_save_load_score(spark, small):
     no_cart = scored.filter(F.col("items_added_to_cart") == 0).select("risk_pct", "risk_band", "action").distinct()
     assert [tuple(r) for r in no_cart.collect()] in ([], [(100.0, "HIGH", "offer")])
     assert scored.filter((F.col("risk_pct") < 0) | (F.col("risk_pct") > 100)).count() == 0
+
+
+def test_per_class_tables_are_size_checked(spark):
+    n = (ml.MAX_CLASSES + 1) * 5  # five rows per class, so every class has a cut bucket
+    df = spark.range(n).select(F.col("id").alias("session_id"), (F.col("id") % (ml.MAX_CLASSES + 1)).alias("abandoned"))
+    with pytest.raises(ValueError):
+        ml.stratified_split(df)

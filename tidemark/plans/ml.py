@@ -84,6 +84,30 @@ def split_key(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
 
 
+MAX_CLASSES = 1000  # per-class tables below are collected; more classes is an error
+
+
+def _per_class(df: DataFrame, label_col: str, what: str) -> list:
+    """Collect a per-class table (one row per label value) after checking
+    that it is small: its size is bounded by the number of classes."""
+    rows = df.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{what}: more than {MAX_CLASSES} distinct values of {label_col!r}")
+    return rows
+
+
+def _by_class(label_col: str, values: dict, default=None) -> Column:
+    """CASE label WHEN v THEN values[v] … END — a per-class constant without a
+    join (a join keyed by the label would put each class in one partition)."""
+    expr = None
+    for label, value in values.items():
+        cond = F.col(label_col).isNull() if label is None else F.col(label_col) == F.lit(label)
+        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
+    if expr is None:
+        return F.lit(default)
+    return expr.otherwise(F.lit(default))
+
+
 def stratified_split(
     df: DataFrame,
     label_col: str = LABEL,
@@ -99,8 +123,9 @@ def stratified_split(
     Scalable without a per-label window over all rows: the key's first hex
     digits define up to 16^5 buckets; a histogram per (label, bucket) and a
     running count over it (bounded by the bucket count) locate each label's
-    cut bucket. Rows below it are test, above it train, and only the cut
-    bucket's few rows are ranked individually.
+    cut bucket. Only that small per-class result reaches the driver; rows
+    below the cut bucket are test, above it train, and only the cut bucket's
+    few rows are ranked individually.
     """
     key = split_key(F.col(id_col), seed)
     keyed = df.select(
@@ -120,16 +145,18 @@ def stratified_split(
     x = F.col("_n") * F.lit(test_pct) + F.lit(50)
     k = ((x - x % 100) / 100).cast("bigint")
     cut = hist.withColumn("_k", k).filter((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_cnt") < F.col("_k")))
-    cut = cut.select(
+    cut_rows = _per_class(
+        cut.select(label_col, "_bucket", (F.col("_k") - (F.col("_cum") - F.col("_cnt"))).alias("_take")),
         label_col,
-        F.col("_bucket").alias("_cut_bucket"),
-        (F.col("_k") - (F.col("_cum") - F.col("_cnt"))).alias("_take"),
+        "stratified_split",
     )
-    labelled = keyed.join(cut, label_col, "left")
+    # Labels without a cut bucket (k = 0) keep -1: every row is train.
+    cut_bucket = _by_class(label_col, {r[0]: r[1] for r in cut_rows}, -1)
+    take = _by_class(label_col, {r[0]: r[2] for r in cut_rows}, 0)
+    labelled = keyed.select("*", cut_bucket.alias("_cut_bucket"), take.alias("_take"))
     at_cut = F.col("_bucket") == F.col("_cut_bucket")
-    clear = labelled.filter(~F.coalesce(at_cut, F.lit(False))).withColumn(
-        "split",
-        F.when(F.col("_bucket") < F.col("_cut_bucket"), F.lit("test")).otherwise(F.lit("train")),
+    clear = labelled.filter(~at_cut).withColumn(
+        "split", F.when(F.col("_bucket") < F.col("_cut_bucket"), F.lit("test")).otherwise(F.lit("train"))
     )
     rank = F.row_number().over(Window.partitionBy(label_col).orderBy("_split_key"))
     boundary = (
@@ -155,12 +182,13 @@ class TrainedModel:
     gate_passed: bool
 
 
-def _class_weights(train: DataFrame, label_col: str) -> DataFrame:
-    """Balanced weights n / (2 · n_label), as a per-label frame."""
-    counts = train.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n_label"))
-    total = F.sum("_n_label").over(Window.partitionBy())
-    n_classes = F.count(F.lit(1)).over(Window.partitionBy())
-    return counts.select(label_col, (total / (n_classes * F.col("_n_label"))).alias("weight"))
+def _class_weights(train: DataFrame, label_col: str) -> Column:
+    """Balanced weights n / (n_classes · n_label) as a per-class constant
+    expression (the per-class counts are a checked, class-sized result)."""
+    counts = _per_class(train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")), label_col, "class weights")
+    total = sum(r["n"] for r in counts)
+    weights = {r[label_col]: total / (len(counts) * r["n"]) for r in counts}
+    return _by_class(label_col, weights, 1.0).cast("double")
 
 
 def build_pipeline(num_trees: int = 100, max_depth: int = 6, seed: int = 42) -> Pipeline:
@@ -228,7 +256,7 @@ def train_cart_model(
     data = _model_input(features.join(split.select("session_id", "split"), "session_id"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     train = data.filter(F.col("split") == "train")
-    train = train.join(_class_weights(train, LABEL), LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.withColumn("weight", _class_weights(train, LABEL)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = build_pipeline(num_trees, max_depth, seed).fit(train)
         test = data.filter(F.col("split") == "test").withColumn("weight", F.lit(1.0))

@@ -81,11 +81,12 @@ def funnel_sessions(
     excluded (inner join with users). Stages are not ordered in time: a stage
     counts sessions having any event of that type."""
     mart = mart if mart is not None else session_mart(tables)
-    sessions = optional_eq(mart.select("session_id", "user_id", "device_type", *HAS), "device_type", device_type)
+    sessions = optional_eq(mart.select("user_id", "device_type", *HAS), "device_type", device_type)
+    # Sessions per user first (map-side combined), so the join with users
+    # sees one row per user however many sessions a hot user has.
+    per_user = sessions.groupBy("user_id").agg(*[F.sum(h).alias(k) for h, k in zip(HAS, STAGE_KEYS)])
     users = optional_eq(tables.users.select("user_id", "acquisition_channel"), "acquisition_channel", channel)
-    wide = sessions.join(users.select("user_id"), "user_id").agg(
-        *[_sum_long(h).alias(k) for h, k in zip(HAS, STAGE_KEYS)]
-    )
+    wide = per_user.join(users.select("user_id"), "user_id").agg(*[_sum_long(k).alias(k) for k in STAGE_KEYS])
     base = F.greatest(F.col(STAGE_KEYS[0]), F.lit(1))
     rows = []
     for i, key in enumerate(STAGE_KEYS):
@@ -225,14 +226,15 @@ def business_kpis(
     order_part = order_part.select(
         F.coalesce("revenue", F.lit(0.0)).alias("revenue"), F.coalesce("aov", F.lit(0.0)).alias("aov"), "total_orders"
     )
-    session_part = (
-        mart.select("session_id", "user_id", flags.has_col("add_to_cart"), flags.has_col("purchase"))
-        .join(users, "user_id")
-        .agg(
-            F.count_distinct("session_id").alias("sessions_raw"),
-            _sum_long(flags.has_col("add_to_cart")).alias("cart_sessions"),
-            _sum_long(flags.has_col("purchase")).alias("purchase_sessions"),
-        )
+    per_user = mart.groupBy("user_id").agg(
+        F.count("session_id").alias("n_sessions"),
+        F.sum(flags.has_col("add_to_cart")).alias("n_cart"),
+        F.sum(flags.has_col("purchase")).alias("n_purchase"),
+    )
+    session_part = per_user.join(users, "user_id").agg(
+        _sum_long("n_sessions").alias("sessions_raw"),
+        _sum_long("n_cart").alias("cart_sessions"),
+        _sum_long("n_purchase").alias("purchase_sessions"),
     )
     row = _one_row(order_part, session_part)
     sessions = F.greatest(F.col("sessions_raw"), F.lit(1)).cast("bigint")
@@ -348,16 +350,28 @@ def _experiment_sessions(tables: AppTables, mart: DataFrame) -> DataFrame:
 
 
 def _ab_counts(tables: AppTables, mart: DataFrame | None) -> DataFrame:
+    """Per group: checkout sessions, purchase sessions and sessions with both.
+    Counted per user first (map-side combined), so the join with the
+    experiment groups sees one row per user, not per session."""
     mart = mart if mart is not None else session_mart(tables)
+    checkout, purchase = F.col(flags.has_col("checkout")), F.col(flags.has_col("purchase"))
+    per_user = (
+        mart.filter(F.col("n_events") > 0)
+        .groupBy("user_id")
+        .agg(
+            F.sum(checkout).alias("c"),
+            F.sum(purchase).alias("p"),
+            F.sum(checkout * purchase).alias("cp"),
+        )
+    )
+    groups = tables.experiments.select("user_id", "experiment_group").distinct()
     return (
-        _experiment_sessions(tables, mart)
+        per_user.join(groups, "user_id")
         .groupBy("experiment_group")
         .agg(
-            _sum_long(flags.has_col("checkout")).alias("checkout_sessions"),
-            _sum_long(flags.has_col("purchase")).alias("purchase_sessions"),
-            _sum_long(F.col(flags.has_col("checkout")) * F.col(flags.has_col("purchase"))).alias(
-                "checkout_purchase_sessions"
-            ),
+            _sum_long("c").alias("checkout_sessions"),
+            _sum_long("p").alias("purchase_sessions"),
+            _sum_long("cp").alias("checkout_purchase_sessions"),
         )
     )
 

@@ -68,31 +68,25 @@ def base_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def enriched_events(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
-    """Events of known users on or after their signup day, with the session
-    key, the app event type and the helper columns ``k``, ``value`` and
-    ``event_date``.
+def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events on or after their user's signup day, with the session key,
+    the app event type and the helper columns ``k``, ``value`` and
+    ``event_date`` — not yet restricted to known users.
 
-    The signup filter depends on user_id alone, so it runs before the join;
-    the join itself is a left-semi (existence) join that never duplicates an
-    event and lets AQE split a hot user's partition.
+    The signup day depends on user_id alone, so this filter needs no join.
     """
     raw = read_raw(spark, sf_dir, "events")
     day = F.to_date(F.col("ts"))
     k = F.get_json_object(F.col("props"), "$.k").cast("int")
-    ev = (
-        raw.select(
-            F.col("event_id").cast("bigint").alias("event_id"),
-            F.col("user_id").cast("bigint").alias("user_id"),
-            F.col("ts").alias("timestamp"),
-            F.col("event_type").alias("raw_type"),
-            F.col("value"),
-            k.alias("k"),
-            day.alias("event_date"),
-        )
-        .filter(F.col("event_date") >= _signup_date(F.col("user_id")))
-        .join(users.select("user_id"), "user_id", "left_semi")
-    )
+    ev = raw.select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        F.col("user_id").cast("bigint").alias("user_id"),
+        F.col("ts").alias("timestamp"),
+        F.col("event_type").alias("raw_type"),
+        F.col("value"),
+        k.alias("k"),
+        day.alias("event_date"),
+    ).filter(F.col("event_date") >= _signup_date(F.col("user_id")))
     return ev.select(
         "event_id",
         "user_id",
@@ -106,6 +100,17 @@ def enriched_events(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataF
     )
 
 
+def known_users_only(df: DataFrame, users: DataFrame) -> DataFrame:
+    """Rows of users that exist: a left-semi (existence) join, which never
+    duplicates a row and whose skewed partitions AQE can split."""
+    return df.join(users.select("user_id"), "user_id", "left_semi")
+
+
+def enriched_events(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
+    """Event rows of known users (see ``mapped_events``)."""
+    return known_users_only(mapped_events(spark, sf_dir), users)
+
+
 def build_session_rollup(events: DataFrame) -> DataFrame:
     """Sessions and their stage counts from a single aggregation of events."""
     k = F.col("k")
@@ -132,8 +137,13 @@ def build_orders(events: DataFrame) -> DataFrame:
 def load_app_tables(spark: SparkSession, sf_dir: str, end_date: dt.date = END_DATE) -> AppTables:
     """The five app tables over the test data in ``sf_dir`` (lazy plans)."""
     users0 = base_users(spark, sf_dir)
-    ev = enriched_events(spark, sf_dir, users0)
-    rollup = build_session_rollup(ev)
+    mapped = mapped_events(spark, sf_dir)
+    ev = known_users_only(mapped, users0)
+    # All events of a session share its user, so restricting to known users
+    # after sessionising is the same as before it — and the existence join
+    # then runs on one row per session instead of shuffling raw events by a
+    # (possibly hot) user_id.
+    rollup = known_users_only(build_session_rollup(mapped), users0)
     sessions = rollup.select(*schemas.SESSIONS.fieldNames())
     users = entities.segment_users(users0, sessions, end_date).select(*schemas.USERS.fieldNames())
     return AppTables(
