@@ -20,21 +20,37 @@ _BASE_CONF = {
 }
 
 
+# Starting points for a large cluster (hundreds of executors, tens of TB of
+# events): many initial shuffle partitions that AQE coalesces to ~256 MB,
+# skew splitting from 5x the median, 256 MB scan splits, and a broadcast
+# threshold that only AQE's measured sizes can trigger.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     app_name: str = "tidemark",
     extra_conf: dict[str, str] | None = None,
+    cluster: bool = False,
 ) -> SparkSession:
     """Return a SparkSession with the engine's defaults.
 
     ``master`` and ``shuffle_partitions`` are only set when given, so on a
-    cluster the submitter's settings win.
+    cluster the submitter's settings win; ``cluster=True`` adds
+    ``CLUSTER_CONF`` (explicit ``extra_conf`` still overrides it).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in _BASE_CONF.items():
+    for key, value in {**_BASE_CONF, **(CLUSTER_CONF if cluster else {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
