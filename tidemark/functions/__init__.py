@@ -1,5 +1,7 @@
 from tidemark.functions.metrics import (
     ALL_LABELS,
+    cents,
+    dollars,
     money_text,
     none_if_all,
     optional_eq,
@@ -12,6 +14,8 @@ from tidemark.functions.metrics import (
 
 __all__ = [
     "ALL_LABELS",
+    "cents",
+    "dollars",
     "money_text",
     "none_if_all",
     "optional_eq",

@@ -52,6 +52,18 @@ def round2(x: Column | str) -> Column:
     return F.round(_col(x), 2)
 
 
+def cents(amount: Column | str) -> Column:
+    """A money amount (at most two decimals, the declared DECIMAL(10,2)) as
+    whole cents. Sums of cents are exact and independent of summation
+    order, so totals and their rounded ratios are reproducible."""
+    return F.round(_col(amount) * F.lit(100)).cast("bigint")
+
+
+def dollars(cents_col: Column | str) -> Column:
+    """Whole cents back to a double amount."""
+    return _col(cents_col).cast("double") / F.lit(100.0)
+
+
 def optional_eq(df: DataFrame, column: str, value) -> DataFrame:
     """``WHERE (column = value OR value IS NULL)``: None means no filter; any
     other value (including the empty string) is an equality filter.

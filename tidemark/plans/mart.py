@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import cents, dollars
 from tidemark.operators import flags
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
@@ -20,10 +21,12 @@ _COUNT_COLS = flags.COUNT_COLS
 
 
 def order_facts(orders: DataFrame) -> DataFrame:
-    """Per session: number of order rows and their summed amount."""
+    """Per session: number of order rows and their summed amount (exact,
+    summed in cents)."""
     return orders.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_orders"),
-        F.sum("amount").alias("order_amount"),
+        dollars(F.sum(cents("amount"))).alias("order_amount"),
+        F.sum(cents("amount")).alias("order_cents"),
     )
 
 

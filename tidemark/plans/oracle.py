@@ -160,7 +160,7 @@ def business_kpis(city: str | None = None, channel: str | None = None) -> str:
     )
     return _q(f"""
 , o AS (
-  SELECT COALESCE(SUM(o.amount), 0) AS revenue, COALESCE(AVG(o.amount), 0) AS aov,
+  SELECT SUM(CAST(ROUND(o.amount * 100) AS BIGINT)) AS cents, COUNT(o.amount) AS n_amounts,
          COUNT(DISTINCT o.session_id) AS total_orders
   FROM app_orders o JOIN app_users u ON o.user_id = u.user_id WHERE {flt}
 ),
@@ -174,7 +174,8 @@ f AS (
   FROM app_sessions s JOIN app_events e ON s.session_id = e.session_id
   JOIN app_users u ON s.user_id = u.user_id WHERE {flt}
 )
-SELECT ROUND(o.revenue, 2) AS total_revenue, ROUND(o.aov, 2) AS avg_order_value,
+SELECT COALESCE(CAST(o.cents AS BIGINT) / 100.0, 0.0) AS total_revenue,
+  COALESCE({rr('o.cents', 'o.n_amounts * 100')}, 0.0) AS avg_order_value,
   {pct2('o.total_orders', 's.total_sessions')} AS conversion_rate,
   {spct2('(GREATEST(f.cart_sessions, 1) - f.purchase_sessions)', 'GREATEST(f.cart_sessions, 1)')} AS abandonment_rate,
   o.total_orders, CAST(s.total_sessions AS BIGINT) AS total_sessions
@@ -183,14 +184,16 @@ FROM o, s, f""")
 
 def topline_kpis() -> str:
     return _q(f"""
-, o AS (SELECT SUM(amount) AS revenue, AVG(amount) AS aov, COUNT(DISTINCT session_id) AS total_orders FROM app_orders),
+, o AS (SELECT SUM(CAST(ROUND(amount * 100) AS BIGINT)) AS cents, COUNT(amount) AS n_amounts,
+             COUNT(DISTINCT session_id) AS total_orders FROM app_orders),
 s AS (SELECT COUNT(DISTINCT session_id) AS total_sessions FROM app_sessions),
 f AS (
   SELECT COUNT(DISTINCT CASE WHEN event_type = 'Add To Cart' THEN session_id END) AS cart_sessions,
          COUNT(DISTINCT CASE WHEN event_type = 'Purchase' THEN session_id END) AS purchase_sessions
   FROM app_events
 )
-SELECT ROUND(o.revenue, 2) AS total_revenue_usd, ROUND(o.aov, 2) AS average_order_value_usd,
+SELECT CAST(o.cents AS BIGINT) / 100.0 AS total_revenue_usd,
+  {rr('o.cents', 'o.n_amounts * 100')} AS average_order_value_usd,
   {pct2('o.total_orders', 's.total_sessions')} AS overall_conversion_rate_pct,
   {spct2('(f.cart_sessions - f.purchase_sessions)', 'f.cart_sessions')} AS cart_abandonment_rate_pct
 FROM o, s, f""")
@@ -217,7 +220,7 @@ def segment_performance() -> str:
 , seg AS (
   SELECT u.user_segment, COUNT(DISTINCT u.user_id) AS user_count,
     COUNT(DISTINCT s.session_id) AS total_sessions,
-    COALESCE(SUM(o.amount), 0) AS spend
+    COALESCE(SUM(CAST(ROUND(o.amount * 100) AS BIGINT)), 0) AS spend
   FROM app_users u
   LEFT JOIN app_sessions s ON u.user_id = s.user_id
   LEFT JOIN app_orders o ON s.session_id = o.session_id
@@ -225,8 +228,8 @@ def segment_performance() -> str:
 )
 SELECT user_segment, user_count, total_sessions,
   {rr('total_sessions', 'user_count')} AS avg_sessions_per_user,
-  ROUND(spend, 2) AS total_spend_usd,
-  ROUND(spend / NULLIF(user_count, 0), 2) AS arpu
+  CAST(spend AS BIGINT) / 100.0 AS total_spend_usd,
+  {rr('spend', 'user_count * 100')} AS arpu
 FROM seg""")
 
 

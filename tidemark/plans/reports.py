@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import optional_eq, pct2, ratio_pct, round2, round_ratio, signed_pct2
+from tidemark.functions import cents, dollars, optional_eq, pct2, round_ratio, signed_pct2
 from tidemark.operators import flags
 from tidemark.plans.mart import order_facts, session_mart
 from tidemark.sources import schemas
@@ -194,16 +194,17 @@ def acquisition_share(tables: AppTables) -> DataFrame:
 
 
 def _order_totals(orders: DataFrame) -> DataFrame:
-    """One row: revenue (SUM), AOV (AVG over order rows) and the number of
-    distinct sessions with an order. Orders are first totalled per session
-    (map-side combined), so the distinct count is a plain count and no
-    distinct-aggregate expansion is needed."""
+    """One row: revenue and AOV (over order rows, rounded to cents, exact
+    half-up from integer cents) and the number of distinct sessions with an
+    order. Orders are first totalled per session (map-side combined), so the
+    distinct count is a plain count and no distinct-aggregate expansion is
+    needed. Revenue / AOV are NULL without orders."""
     per_session = orders.groupBy("session_id").agg(
-        F.sum("amount").alias("_amount"), F.count("amount").alias("_n")
+        F.sum(cents("amount")).alias("_cents"), F.count("amount").alias("_n")
     )
     return per_session.agg(
-        F.sum("_amount").alias("revenue"),
-        (F.sum("_amount") / F.nullif(F.sum("_n"), F.lit(0))).alias("aov"),
+        dollars(F.sum("_cents")).alias("revenue"),
+        round_ratio(F.sum("_cents"), F.sum("_n") * F.lit(100)).alias("aov"),
         F.count("session_id").alias("total_orders"),
     )
 
@@ -240,8 +241,8 @@ def business_kpis(
     sessions = F.greatest(F.col("sessions_raw"), F.lit(1)).cast("bigint")
     carts = F.greatest(F.col("cart_sessions"), F.lit(1))
     return row.select(
-        round2("revenue").alias("total_revenue"),
-        round2("aov").alias("avg_order_value"),
+        F.col("revenue").alias("total_revenue"),
+        F.col("aov").alias("avg_order_value"),
         pct2(F.col("total_orders"), sessions).alias("conversion_rate"),
         signed_pct2(carts - F.col("purchase_sessions"), carts).alias("abandonment_rate"),
         F.col("total_orders").cast("bigint").alias("total_orders"),
@@ -263,8 +264,8 @@ def topline_kpis(tables: AppTables) -> DataFrame:
     )
     row = _one_row(order_part, session_part, funnel_part)
     return row.select(
-        round2("revenue").alias("total_revenue_usd"),
-        round2("aov").alias("average_order_value_usd"),
+        F.col("revenue").alias("total_revenue_usd"),
+        F.col("aov").alias("average_order_value_usd"),
         pct2("total_orders", "total_sessions").alias("overall_conversion_rate_pct"),
         signed_pct2(F.col("cart_sessions") - F.col("purchase_sessions"), F.col("cart_sessions")).alias(
             "cart_abandonment_rate_pct"
@@ -301,10 +302,10 @@ def segment_performance(tables: AppTables) -> DataFrame:
     Orders reach the spend only through a session of the user; users without
     sessions count with 0 sessions. Spend is rounded to cents."""
     per_session = tables.sessions.select("session_id", "user_id").join(
-        order_facts(tables.orders).select("session_id", "order_amount"), "session_id", "left"
+        order_facts(tables.orders).select("session_id", "order_cents"), "session_id", "left"
     )
     per_user = per_session.groupBy("user_id").agg(
-        F.count("session_id").alias("n_sessions"), F.sum("order_amount").alias("spend")
+        F.count("session_id").alias("n_sessions"), F.sum("order_cents").alias("spend")
     )
     per_segment_user = (
         tables.users.select("user_id", "user_segment")
@@ -315,15 +316,15 @@ def segment_performance(tables: AppTables) -> DataFrame:
     seg = per_segment_user.groupBy("user_segment").agg(
         F.count("user_id").alias("user_count"),
         _sum_long("n_sessions").alias("total_sessions"),
-        F.coalesce(F.sum("spend"), F.lit(0.0)).alias("spend"),
+        F.coalesce(F.sum("spend"), F.lit(0)).alias("spend"),
     )
     return seg.select(
         "user_segment",
         "user_count",
         "total_sessions",
         round_ratio("total_sessions", "user_count").alias("avg_sessions_per_user"),
-        round2("spend").alias("total_spend_usd"),
-        round2(F.col("spend") / F.nullif(F.col("user_count").cast("double"), F.lit(0.0))).alias("arpu"),
+        dollars("spend").alias("total_spend_usd"),
+        round_ratio("spend", F.col("user_count") * F.lit(100)).alias("arpu"),
     )
 
 

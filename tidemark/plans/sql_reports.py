@@ -90,11 +90,18 @@ SELECT acquisition_channel, COUNT(user_id) AS cohort_size,
 FROM user_retention GROUP BY acquisition_channel""")
 
 
+def _rr(a: str, b: str) -> str:
+    d = f"NULLIF(CAST({b} AS BIGINT), 0)"
+    return f"(((200 * CAST({a} AS BIGINT) + {d}) div (2 * {d})) / 100.0D)"
+
+
 def _order_totals_sql(source: str) -> str:
+    """Revenue and AOV from exact integer cents; distinct order sessions."""
     return f"""(
-  SELECT SUM(amount_s) AS revenue, SUM(amount_s) / NULLIF(SUM(amount_n), 0) AS aov,
+  SELECT SUM(cents) / 100.0D AS revenue, {_rr('SUM(cents)', 'SUM(amount_n) * 100')} AS aov,
          COUNT(session_id) AS total_orders
-  FROM (SELECT session_id, SUM(amount) AS amount_s, COUNT(amount) AS amount_n FROM {source} GROUP BY session_id)
+  FROM (SELECT session_id, SUM(CAST(ROUND(amount * 100) AS BIGINT)) AS cents, COUNT(amount) AS amount_n
+        FROM {source} GROUP BY session_id)
 )"""
 
 
@@ -127,7 +134,7 @@ per_session AS (
 f AS (SELECT CAST(SUM(has_cart) AS BIGINT) AS cart_sessions, CAST(SUM(has_purchase) AS BIGINT) AS purchase_sessions
       FROM per_session WHERE session_id IS NOT NULL)
 {_ONE_ROW}
-SELECT ROUND(revenue, 2) AS total_revenue_usd, ROUND(aov, 2) AS average_order_value_usd,
+SELECT revenue AS total_revenue_usd, aov AS average_order_value_usd,
   {_pct2('total_orders', 'total_sessions')} AS overall_conversion_rate_pct,
   {_spct2('(cart_sessions - purchase_sessions)', 'cart_sessions')} AS cart_abandonment_rate_pct
 FROM one_row""")
@@ -155,7 +162,7 @@ per_session AS (
 f AS (SELECT COALESCE(SUM(has_cart), 0) AS cart_sessions, COALESCE(SUM(has_purchase), 0) AS purchase_sessions
       FROM per_session)
 {_ONE_ROW}
-SELECT ROUND(COALESCE(revenue, 0.0D), 2) AS total_revenue, ROUND(COALESCE(aov, 0.0D), 2) AS avg_order_value,
+SELECT COALESCE(revenue, 0.0D) AS total_revenue, COALESCE(aov, 0.0D) AS avg_order_value,
   {_pct2('total_orders', 'total_sessions')} AS conversion_rate,
   {_spct2('(GREATEST(cart_sessions, 1) - purchase_sessions)', 'GREATEST(cart_sessions, 1)')} AS abandonment_rate,
   CAST(total_orders AS BIGINT) AS total_orders, CAST(total_sessions AS BIGINT) AS total_sessions
