@@ -118,11 +118,19 @@ def read_jdbc_tables(
 
 def write_app_tables(tables: AppTables, path: str) -> None:
     """Full-refresh load: every table is replaced (``mode('overwrite')``);
-    sessions and orders are partitioned by day."""
+    sessions and orders are partitioned by day.
+
+    A ``rebalance`` hint by the partition column precedes each partitioned
+    write, so each day's rows are gathered into few files (not one file per
+    shuffle partition per day), while AQE still splits a day that holds a
+    large share of the rows into several tasks."""
     for name, df in tables.as_dict().items():
-        writer = df.select(*schemas.TABLE_SCHEMAS[name].fieldNames()).write.mode("overwrite")
-        if name in _PARTITION_COLUMNS:
-            writer = writer.partitionBy(_PARTITION_COLUMNS[name])
+        out = df.select(*schemas.TABLE_SCHEMAS[name].fieldNames())
+        part = _PARTITION_COLUMNS.get(name)
+        out = out.hint("rebalance", part) if part else out.hint("rebalance")
+        writer = out.write.mode("overwrite")
+        if part:
+            writer = writer.partitionBy(part)
         writer.parquet(f"{path}/{name}")
 
 
