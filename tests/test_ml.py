@@ -72,3 +72,16 @@ def test_per_class_tables_are_size_checked(spark):
     df = spark.range(n).select(F.col("id").alias("session_id"), (F.col("id") % (ml.MAX_CLASSES + 1)).alias("abandoned"))
     with pytest.raises(ValueError):
         ml.stratified_split(df)
+
+
+def test_classification_metrics_against_hand_counts(spark):
+    # label, prediction: TP(1)=3, FN(1)=1, FP(1)=2, TN=4
+    rows = [(1.0, 1.0)] * 3 + [(1.0, 0.0)] + [(0.0, 1.0)] * 2 + [(0.0, 0.0)] * 4
+    m = {r["metric"]: r["value"] for r in ml.classification_metrics(spark.createDataFrame(rows, "label double, prediction double")).collect()}
+    assert m["accuracy"] == pytest.approx(0.7)
+    assert m["precision_1"] == pytest.approx(3 / 5) and m["recall_1"] == pytest.approx(3 / 4)
+    assert m["f1_1"] == pytest.approx(2 * 3 / (5 + 4))
+    assert m["precision_0"] == pytest.approx(4 / 5) and m["recall_0"] == pytest.approx(4 / 6)
+    assert m["support_0"] == 6 and m["support_1"] == 4
+    assert m["f1_macro"] == pytest.approx((m["f1_0"] + m["f1_1"]) / 2)
+    assert m["recall_weighted"] == pytest.approx(0.7)  # weighted recall equals accuracy

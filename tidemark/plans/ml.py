@@ -213,9 +213,11 @@ def _model_input(df: DataFrame) -> DataFrame:
     ).fillna(0, subset=["discount_coupon_applied"])
 
 
-def classification_metrics(predictions: DataFrame, positive: float = 1.0) -> DataFrame:
-    """Accuracy, and precision / recall / F1 / support per class, from the
-    confusion counts (one aggregation, no rows on the driver)."""
+def classification_metrics(predictions: DataFrame) -> DataFrame:
+    """Accuracy; precision / recall / F1 / support per class; their macro and
+    support-weighted averages — from the confusion counts (one aggregation,
+    no rows on the driver). ``f1_1`` is the F1 of the abandoned class, which
+    the quality gate uses (not Spark's weighted ``f1``)."""
     conf = predictions.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
     per_class = []
     for cls in (0.0, 1.0):
@@ -231,6 +233,16 @@ def classification_metrics(predictions: DataFrame, positive: float = 1.0) -> Dat
         ]
     correct = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
     wide = conf.agg((correct / F.sum("n")).alias("accuracy"), *per_class)
+    # Macro and support-weighted averages, as in a per-class report.
+    support = F.col("support_0") + F.col("support_1")
+    averages = []
+    for m in ("precision", "recall", "f1"):
+        a, b = F.coalesce(F.col(f"{m}_0"), F.lit(0.0)), F.coalesce(F.col(f"{m}_1"), F.lit(0.0))
+        averages += [
+            ((a + b) / F.lit(2.0)).alias(f"{m}_macro"),
+            ((a * F.col("support_0") + b * F.col("support_1")) / F.nullif(support, F.lit(0.0))).alias(f"{m}_weighted"),
+        ]
+    wide = wide.select("*", *averages)
     return wide.select(
         F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in wide.columns]))
     )
