@@ -1,9 +1,11 @@
 """Independent DuckDB SQL for every deterministic report key.
 
 Each statement starts from the driver's raw views (through
-``driver_data.oracle_cte``) and is written in the reference's own relational
-form (``COUNT(DISTINCT CASE …)``, correlated filters, window lag), so it
-checks the Spark plans rather than restating them. Integer sums are cast to
+``driver_data.oracle_cte``) and uses a formulation deliberately different from
+the Spark plans — distinct (entity, event type) rows counted with ``FILTER``,
+``EXISTS`` for retention days, a stage dimension left-joined for the funnel,
+an inequality join for prior orders, window ``LAG`` for step rates — so it
+checks them rather than restating them. Integer sums are cast to
 BIGINT (DuckDB sums integers to HUGEINT); rounded rates use the same exact
 half-up rule as ``tidemark.functions.pct2``.
 """
@@ -35,10 +37,13 @@ def _q(body: str) -> str:
     return oracle_cte() + "\n" + body
 
 
+def _stage_counts(source: str, key: str, group: str | None = None) -> str:
+    """``COUNT(key) FILTER (WHERE event_type = stage)`` for the six stages over
+    a relation of distinct (group, key, event_type) rows."""
+    return ",\n    ".join(f"COUNT({key}) FILTER (WHERE event_type = '{s}') AS {k}" for s, k in zip(STAGES, KEYS))
+
+
 def funnel_by_device() -> str:
-    counts = ",\n    ".join(
-        f"COUNT(DISTINCT CASE WHEN e.event_type = '{s}' THEN s.user_id END) AS {k}" for s, k in zip(STAGES, KEYS)
-    )
     cols = ["device_type", "app_open AS app_open_users"]
     for prev, cur in zip(KEYS, KEYS[1:]):
         cols += [
@@ -48,41 +53,44 @@ def funnel_by_device() -> str:
         ]
     cols.append(f"{pct2('purchase', 'app_open')} AS overall_conversion_pct")
     return _q(f"""
-, funnel_base AS (
-  SELECT s.device_type,
-    {counts}
-  FROM app_sessions s LEFT JOIN app_events e ON s.session_id = e.session_id
-  GROUP BY s.device_type
+, reached AS (
+  SELECT DISTINCT s.device_type, s.user_id, e.event_type
+  FROM app_sessions s LEFT JOIN app_events e ON e.session_id = s.session_id
+),
+per_device AS (
+  SELECT device_type,
+    {_stage_counts('reached', 'user_id')}
+  FROM reached GROUP BY device_type
 )
-SELECT {', '.join(cols)} FROM funnel_base""")
+SELECT {', '.join(cols)} FROM per_device""")
 
 
 def funnel_sessions(device_type: str | None = None, channel: str | None = None) -> str:
-    counts = ",\n    ".join(
-        f"COUNT(DISTINCT CASE WHEN e.event_type = '{s}' THEN s.session_id END) AS {k}" for s, k in zip(STAGES, KEYS)
-    )
     where = []
     if device_type is not None:
         where.append(f"s.device_type = '{device_type}'")
     if channel is not None:
         where.append(f"u.acquisition_channel = '{channel}'")
     where_sql = ("WHERE " + " AND ".join(where)) if where else ""
-    unpivot = "\n  UNION ALL ".join(
-        f"SELECT {i} AS stage_idx, '{s}' AS funnel_stage, {k} AS session_volume FROM wide"
-        for i, (s, k) in enumerate(zip(STAGES, KEYS))
-    )
+    stage_rows = ", ".join(f"({i}, '{name}')" for i, name in enumerate(STAGES))
     return _q(f"""
-, wide AS (
-  SELECT {counts}
-  FROM app_sessions s LEFT JOIN app_events e ON s.session_id = e.session_id
-  JOIN app_users u ON s.user_id = u.user_id
+, reached AS (
+  SELECT DISTINCT s.session_id, e.event_type
+  FROM app_sessions s
+  JOIN app_users u ON u.user_id = s.user_id
+  LEFT JOIN app_events e ON e.session_id = s.session_id
   {where_sql}
 ),
-long AS ({unpivot}),
-lagged AS (
+stage_dim AS (SELECT * FROM (VALUES {stage_rows}) AS t(stage_idx, funnel_stage)),
+volumes AS (
+  SELECT d.stage_idx, d.funnel_stage, COUNT(r.session_id) AS session_volume
+  FROM stage_dim d LEFT JOIN reached r ON r.event_type = d.funnel_stage
+  GROUP BY d.stage_idx, d.funnel_stage
+),
+neighbours AS (
   SELECT *, LAG(session_volume) OVER (ORDER BY stage_idx) AS prev_volume,
          FIRST_VALUE(session_volume) OVER (ORDER BY stage_idx) AS first_volume
-  FROM long
+  FROM volumes
 )
 SELECT stage_idx, funnel_stage, session_volume,
   CASE WHEN stage_idx = 0 THEN 100.0 WHEN prev_volume > 0 THEN {pct2('session_volume', 'prev_volume')} ELSE 0.0 END
@@ -90,122 +98,133 @@ SELECT stage_idx, funnel_stage, session_volume,
   CASE WHEN stage_idx = 0 THEN 0.0 WHEN prev_volume > 0 THEN {spct2('(prev_volume - session_volume)', 'prev_volume')}
     ELSE 100.0 END AS step_dropoff_pct,
   {pct2('session_volume', 'GREATEST(first_volume, 1)')} AS overall_completion_pct
-FROM lagged""")
+FROM neighbours""")
 
 
-_RETENTION_USERS = """
-, user_sessions AS (SELECT DISTINCT user_id, session_date FROM app_sessions),
-user_retention AS (
+def _active_on(offset: int) -> str:
+    return (
+        f"CAST(EXISTS (SELECT 1 FROM app_sessions s WHERE s.user_id = u.user_id "
+        f"AND s.session_date = u.signup_date + {offset}) AS INTEGER)"
+    )
+
+
+_COHORT = f"""
+, cohort AS (
   SELECT u.user_id, u.acquisition_channel,
-    MAX(CASE WHEN s.session_date = u.signup_date THEN 1 ELSE 0 END) AS d0_active,
-    MAX(CASE WHEN s.session_date = u.signup_date + 1 THEN 1 ELSE 0 END) AS d1_active,
-    MAX(CASE WHEN s.session_date = u.signup_date + 7 THEN 1 ELSE 0 END) AS d7_active
-  FROM app_users u LEFT JOIN user_sessions s ON u.user_id = s.user_id
-  GROUP BY u.user_id, u.acquisition_channel, u.signup_date
+    {_active_on(0)} AS on_day0, {_active_on(1)} AS on_day1, {_active_on(7)} AS on_day7
+  FROM app_users u
 )"""
 
 
 def retention_by_channel() -> str:
-    return _q(_RETENTION_USERS + f"""
-SELECT acquisition_channel, COUNT(user_id) AS cohort_size,
-  CAST(SUM(d1_active) AS BIGINT) AS day1_active_users,
-  {pct2('SUM(d1_active)', 'COUNT(user_id)')} AS day1_retention_pct,
-  CAST(SUM(d7_active) AS BIGINT) AS day7_active_users,
-  {pct2('SUM(d7_active)', 'COUNT(user_id)')} AS day7_retention_pct
-FROM user_retention GROUP BY acquisition_channel""")
+    return _q(_COHORT + f"""
+SELECT acquisition_channel, COUNT(*) AS cohort_size,
+  CAST(SUM(on_day1) AS BIGINT) AS day1_active_users,
+  {pct2('SUM(on_day1)', 'COUNT(*)')} AS day1_retention_pct,
+  CAST(SUM(on_day7) AS BIGINT) AS day7_active_users,
+  {pct2('SUM(on_day7)', 'COUNT(*)')} AS day7_retention_pct
+FROM cohort GROUP BY acquisition_channel""")
 
 
 def retention_grid() -> str:
-    return _q(_RETENTION_USERS + f"""
-SELECT acquisition_channel, COUNT(user_id) AS cohort_size,
-  CAST(SUM(d0_active) AS BIGINT) AS d0_users,
-  CAST(SUM(d1_active) AS BIGINT) AS d1_users,
-  {pct2('SUM(d1_active)', 'COUNT(user_id)')} AS d1_retention_pct,
-  CAST(SUM(d7_active) AS BIGINT) AS d7_users,
-  {pct2('SUM(d7_active)', 'COUNT(user_id)')} AS d7_retention_pct
-FROM user_retention GROUP BY acquisition_channel""")
+    return _q(_COHORT + f"""
+SELECT acquisition_channel, COUNT(*) AS cohort_size,
+  CAST(SUM(on_day0) AS BIGINT) AS d0_users,
+  CAST(SUM(on_day1) AS BIGINT) AS d1_users,
+  {pct2('SUM(on_day1)', 'COUNT(*)')} AS d1_retention_pct,
+  CAST(SUM(on_day7) AS BIGINT) AS d7_users,
+  {pct2('SUM(on_day7)', 'COUNT(*)')} AS d7_retention_pct
+FROM cohort GROUP BY acquisition_channel""")
 
 
 def retention_validation() -> str:
-    return _q("""
-, counts AS (
-  SELECT u.acquisition_channel,
-    COUNT(DISTINCT u.user_id) AS total_users,
-    COUNT(DISTINCT CASE WHEN s.session_date = u.signup_date THEN u.user_id END) AS d0_users,
-    COUNT(DISTINCT CASE WHEN s.session_date = u.signup_date + 1 THEN u.user_id END) AS d1_users,
-    COUNT(DISTINCT CASE WHEN s.session_date = u.signup_date + 7 THEN u.user_id END) AS d7_users
-  FROM app_users u LEFT JOIN app_sessions s ON u.user_id = s.user_id
+    def on(n: int) -> str:
+        return f"COUNT(DISTINCT u.user_id) FILTER (WHERE date_diff('day', u.signup_date, s.session_date) = {n})"
+
+    return _q(f"""
+, per_channel AS (
+  SELECT u.acquisition_channel, COUNT(DISTINCT u.user_id) AS total_users,
+    {on(0)} AS d0_users, {on(1)} AS d1_users, {on(7)} AS d7_users
+  FROM app_users u LEFT JOIN app_sessions s ON s.user_id = u.user_id
   GROUP BY u.acquisition_channel
 )
 SELECT *,
   CASE WHEN total_users > 0 THEN d1_users / total_users * 100.0 ELSE 0.0 END AS d1_pct,
   CASE WHEN total_users > 0 THEN d7_users / total_users * 100.0 ELSE 0.0 END AS d7_pct
-FROM counts""")
+FROM per_channel""")
 
 
 def acquisition_share() -> str:
     return _q(f"""
 , sizes AS (SELECT acquisition_channel, COUNT(*) AS cohort_size FROM app_users GROUP BY acquisition_channel)
 SELECT acquisition_channel, cohort_size,
-  {pct2('cohort_size', '(SELECT SUM(cohort_size) FROM sizes)')} AS share_pct
+  {pct2('cohort_size', 'SUM(cohort_size) OVER ()')} AS share_pct
 FROM sizes""")
 
 
+def _cents(col: str) -> str:
+    return f"CAST(ROUND({col} * 100) AS BIGINT)"
+
+
 def business_kpis(city: str | None = None, channel: str | None = None) -> str:
-    city_sql = "NULL" if city is None else f"'{city}'"
-    channel_sql = "NULL" if channel is None else f"'{channel}'"
-    flt = (
-        f"(u.city = {city_sql} OR {city_sql} IS NULL) "
-        f"AND (u.acquisition_channel = {channel_sql} OR {channel_sql} IS NULL)"
-    )
+    conds = []
+    if city is not None:
+        conds.append(f"city = '{city}'")
+    if channel is not None:
+        conds.append(f"acquisition_channel = '{channel}'")
+    where_sql = ("WHERE " + " AND ".join(conds)) if conds else ""
     return _q(f"""
-, o AS (
-  SELECT SUM(CAST(ROUND(o.amount * 100) AS BIGINT)) AS cents, COUNT(o.amount) AS n_amounts,
-         COUNT(DISTINCT o.session_id) AS total_orders
-  FROM app_orders o JOIN app_users u ON o.user_id = u.user_id WHERE {flt}
+, kept AS (SELECT user_id FROM app_users {where_sql}),
+kept_sessions AS (SELECT session_id FROM app_sessions WHERE user_id IN (SELECT user_id FROM kept)),
+order_side AS (
+  SELECT SUM({_cents('amount')}) AS cents, COUNT(amount) AS n_amounts, COUNT(DISTINCT session_id) AS n_order_sessions
+  FROM app_orders WHERE user_id IN (SELECT user_id FROM kept)
 ),
-s AS (
-  SELECT GREATEST(COUNT(DISTINCT s.session_id), 1) AS total_sessions
-  FROM app_sessions s JOIN app_users u ON s.user_id = u.user_id WHERE {flt}
+event_side AS (
+  SELECT COUNT(DISTINCT session_id) FILTER (WHERE event_type = 'Add To Cart') AS carts,
+         COUNT(DISTINCT session_id) FILTER (WHERE event_type = 'Purchase') AS purchases
+  FROM app_events WHERE session_id IN (SELECT session_id FROM kept_sessions)
 ),
-f AS (
-  SELECT COUNT(DISTINCT CASE WHEN e.event_type = 'Add To Cart' THEN s.session_id END) AS cart_sessions,
-         COUNT(DISTINCT CASE WHEN e.event_type = 'Purchase' THEN s.session_id END) AS purchase_sessions
-  FROM app_sessions s JOIN app_events e ON s.session_id = e.session_id
-  JOIN app_users u ON s.user_id = u.user_id WHERE {flt}
+card AS (
+  SELECT (SELECT cents FROM order_side) AS cents, (SELECT n_amounts FROM order_side) AS n_amounts,
+         (SELECT n_order_sessions FROM order_side) AS total_orders,
+         GREATEST((SELECT COUNT(DISTINCT session_id) FROM kept_sessions), 1) AS total_sessions,
+         GREATEST((SELECT carts FROM event_side), 1) AS cart_base,
+         (SELECT purchases FROM event_side) AS purchases
 )
-SELECT COALESCE(CAST(o.cents AS BIGINT) / 100.0, 0.0) AS total_revenue,
-  COALESCE({rr('o.cents', 'o.n_amounts * 100')}, 0.0) AS avg_order_value,
-  {pct2('o.total_orders', 's.total_sessions')} AS conversion_rate,
-  {spct2('(GREATEST(f.cart_sessions, 1) - f.purchase_sessions)', 'GREATEST(f.cart_sessions, 1)')} AS abandonment_rate,
-  o.total_orders, CAST(s.total_sessions AS BIGINT) AS total_sessions
-FROM o, s, f""")
+SELECT COALESCE(CAST(cents AS BIGINT) / 100.0, 0.0) AS total_revenue,
+  COALESCE({rr('cents', 'n_amounts * 100')}, 0.0) AS avg_order_value,
+  {pct2('total_orders', 'total_sessions')} AS conversion_rate,
+  {spct2('(cart_base - purchases)', 'cart_base')} AS abandonment_rate,
+  total_orders, CAST(total_sessions AS BIGINT) AS total_sessions
+FROM card""")
 
 
 def topline_kpis() -> str:
     return _q(f"""
-, o AS (SELECT SUM(CAST(ROUND(amount * 100) AS BIGINT)) AS cents, COUNT(amount) AS n_amounts,
-             COUNT(DISTINCT session_id) AS total_orders FROM app_orders),
-s AS (SELECT COUNT(DISTINCT session_id) AS total_sessions FROM app_sessions),
-f AS (
-  SELECT COUNT(DISTINCT CASE WHEN event_type = 'Add To Cart' THEN session_id END) AS cart_sessions,
-         COUNT(DISTINCT CASE WHEN event_type = 'Purchase' THEN session_id END) AS purchase_sessions
-  FROM app_events
+, card AS (
+  SELECT (SELECT SUM({_cents('amount')}) FROM app_orders) AS cents,
+         (SELECT COUNT(amount) FROM app_orders) AS n_amounts,
+         (SELECT COUNT(DISTINCT session_id) FROM app_orders) AS order_sessions,
+         (SELECT COUNT(DISTINCT session_id) FROM app_sessions) AS all_sessions,
+         (SELECT COUNT(DISTINCT session_id) FILTER (WHERE event_type = 'Add To Cart') FROM app_events) AS carts,
+         (SELECT COUNT(DISTINCT session_id) FILTER (WHERE event_type = 'Purchase') FROM app_events) AS purchases
 )
-SELECT CAST(o.cents AS BIGINT) / 100.0 AS total_revenue_usd,
-  {rr('o.cents', 'o.n_amounts * 100')} AS average_order_value_usd,
-  {pct2('o.total_orders', 's.total_sessions')} AS overall_conversion_rate_pct,
-  {spct2('(f.cart_sessions - f.purchase_sessions)', 'f.cart_sessions')} AS cart_abandonment_rate_pct
-FROM o, s, f""")
+SELECT CAST(cents AS BIGINT) / 100.0 AS total_revenue_usd,
+  {rr('cents', 'n_amounts * 100')} AS average_order_value_usd,
+  {pct2('order_sessions', 'all_sessions')} AS overall_conversion_rate_pct,
+  {spct2('(carts - purchases)', 'carts')} AS cart_abandonment_rate_pct
+FROM card""")
 
 
 def filter_options() -> str:
     return _q("""
-SELECT * FROM (
-  SELECT DISTINCT 'city' AS option_type, city AS value FROM app_users
-  UNION ALL
-  SELECT DISTINCT 'acquisition_channel' AS option_type, acquisition_channel AS value FROM app_users
-) ORDER BY option_type, value""")
+, options AS (
+  SELECT 'city' AS option_type, city AS value FROM app_users
+  UNION
+  SELECT 'acquisition_channel', acquisition_channel FROM app_users
+)
+SELECT option_type, value FROM options ORDER BY option_type, value""")
 
 
 def table_counts() -> str:
@@ -217,20 +236,24 @@ def table_counts() -> str:
 
 def segment_performance() -> str:
     return _q(f"""
-, seg AS (
-  SELECT u.user_segment, COUNT(DISTINCT u.user_id) AS user_count,
-    COUNT(DISTINCT s.session_id) AS total_sessions,
-    COALESCE(SUM(CAST(ROUND(o.amount * 100) AS BIGINT)), 0) AS spend
+, per_user AS (
+  SELECT u.user_id, u.user_segment,
+    (SELECT COUNT(*) FROM app_sessions s WHERE s.user_id = u.user_id) AS n_sessions,
+    (SELECT COALESCE(SUM({_cents('o.amount')}), 0)
+       FROM app_orders o JOIN app_sessions s ON s.session_id = o.session_id
+      WHERE s.user_id = u.user_id) AS spend
   FROM app_users u
-  LEFT JOIN app_sessions s ON u.user_id = s.user_id
-  LEFT JOIN app_orders o ON s.session_id = o.session_id
-  GROUP BY u.user_segment
+),
+per_segment AS (
+  SELECT user_segment, COUNT(*) AS user_count, CAST(SUM(n_sessions) AS BIGINT) AS total_sessions,
+         CAST(SUM(spend) AS BIGINT) AS spend
+  FROM per_user GROUP BY user_segment
 )
 SELECT user_segment, user_count, total_sessions,
   {rr('total_sessions', 'user_count')} AS avg_sessions_per_user,
-  CAST(spend AS BIGINT) / 100.0 AS total_spend_usd,
+  spend / 100.0 AS total_spend_usd,
   {rr('spend', 'user_count * 100')} AS arpu
-FROM seg""")
+FROM per_segment""")
 
 
 def segment_by_channel() -> str:
@@ -240,38 +263,41 @@ FROM app_users GROUP BY acquisition_channel, user_segment
 ORDER BY acquisition_channel, user_segment""")
 
 
-_AB_BASE = """
-, ab AS (
-  SELECT ex.experiment_group,
-    COUNT(DISTINCT CASE WHEN e.event_type = 'Checkout' THEN s.session_id END) AS checkout_sessions,
-    COUNT(DISTINCT CASE WHEN e.event_type = 'Purchase' THEN s.session_id END) AS purchase_sessions
-  FROM app_sessions s
-  JOIN app_events e ON s.session_id = e.session_id
-  JOIN app_experiments ex ON s.user_id = ex.user_id
-  GROUP BY ex.experiment_group
+_GROUP_STAGES = """
+, session_types AS (
+  SELECT DISTINCT s.session_id, s.user_id, e.event_type
+  FROM app_sessions s JOIN app_events e ON e.session_id = s.session_id
+),
+user_groups AS (SELECT DISTINCT user_id, experiment_group FROM app_experiments),
+ab AS (
+  SELECT g.experiment_group,
+    COUNT(*) FILTER (WHERE t.event_type = 'Checkout') AS checkout_sessions,
+    COUNT(*) FILTER (WHERE t.event_type = 'Purchase') AS purchase_sessions
+  FROM session_types t JOIN user_groups g ON g.user_id = t.user_id
+  GROUP BY g.experiment_group
 )"""
 
 
 def ab_results() -> str:
-    return _q(_AB_BASE + f"""
+    return _q(_GROUP_STAGES + f"""
 SELECT experiment_group, checkout_sessions, purchase_sessions,
   {pct2('purchase_sessions', 'checkout_sessions')} AS conversion_rate_pct
 FROM ab""")
 
 
 def ab_raw() -> str:
-    return _q(_AB_BASE + """
+    return _q(_GROUP_STAGES + """
 SELECT experiment_group, checkout_sessions, purchase_sessions,
   purchase_sessions / NULLIF(checkout_sessions, 0) * 100.0 AS conversion_rate_pct
 FROM ab""")
 
 
 def ab_lift() -> str:
-    return _q(_AB_BASE + f"""
+    rate = pct2('purchase_sessions', 'checkout_sessions')
+    return _q(_GROUP_STAGES + f"""
 , rates AS (
-  SELECT MAX(CASE WHEN experiment_group = '{schemas.GROUP_A}' THEN {pct2('purchase_sessions', 'checkout_sessions')} END) AS rate_a,
-         MAX(CASE WHEN experiment_group = '{schemas.GROUP_B}' THEN {pct2('purchase_sessions', 'checkout_sessions')} END) AS rate_b
-  FROM ab
+  SELECT (SELECT {rate} FROM ab WHERE experiment_group = '{schemas.GROUP_A}') AS rate_a,
+         (SELECT {rate} FROM ab WHERE experiment_group = '{schemas.GROUP_B}') AS rate_b
 )
 SELECT rate_a, rate_b, rate_b - rate_a AS abs_lift_pts,
   (rate_b - rate_a) / NULLIF(rate_a, 0.0) * 100.0 AS rel_lift_pct
@@ -279,70 +305,70 @@ FROM rates""")
 
 
 def ab_significance() -> str:
+    a, b = schemas.GROUP_A, schemas.GROUP_B
     return _q(f"""
-, sess AS (
-  SELECT s.session_id, s.user_id,
-    MAX(CASE WHEN e.event_type = 'Checkout' THEN 1 ELSE 0 END) AS has_checkout,
-    MAX(CASE WHEN e.event_type = 'Purchase' THEN 1 ELSE 0 END) AS has_purchase
-  FROM app_sessions s JOIN app_events e ON s.session_id = e.session_id
-  GROUP BY s.session_id, s.user_id
-),
-g AS (
-  SELECT ex.experiment_group, SUM(has_checkout) AS n, SUM(has_checkout * has_purchase) AS x
-  FROM sess JOIN (SELECT DISTINCT user_id, experiment_group FROM app_experiments) ex ON sess.user_id = ex.user_id
-  GROUP BY ex.experiment_group
+, checked_out AS (SELECT DISTINCT session_id FROM app_events WHERE event_type = 'Checkout'),
+bought AS (SELECT DISTINCT session_id FROM app_events WHERE event_type = 'Purchase'),
+trials AS (
+  SELECT g.experiment_group, s.session_id, s.session_id IN (SELECT session_id FROM bought) AS success
+  FROM app_sessions s
+  JOIN checked_out c ON c.session_id = s.session_id
+  JOIN (SELECT DISTINCT user_id, experiment_group FROM app_experiments) g ON g.user_id = s.user_id
 ),
-c AS (
-  SELECT CAST(COALESCE(SUM(CASE WHEN experiment_group = '{schemas.GROUP_A}' THEN n END), 0) AS BIGINT) AS n_a,
-         CAST(COALESCE(SUM(CASE WHEN experiment_group = '{schemas.GROUP_A}' THEN x END), 0) AS BIGINT) AS x_a,
-         CAST(COALESCE(SUM(CASE WHEN experiment_group = '{schemas.GROUP_B}' THEN n END), 0) AS BIGINT) AS n_b,
-         CAST(COALESCE(SUM(CASE WHEN experiment_group = '{schemas.GROUP_B}' THEN x END), 0) AS BIGINT) AS x_b
-  FROM g
+tally AS (
+  SELECT COUNT(*) FILTER (WHERE experiment_group = '{a}') AS n_a,
+         COUNT(*) FILTER (WHERE experiment_group = '{a}' AND success) AS x_a,
+         COUNT(*) FILTER (WHERE experiment_group = '{b}') AS n_b,
+         COUNT(*) FILTER (WHERE experiment_group = '{b}' AND success) AS x_b
+  FROM trials
 ),
-p AS (
+proportions AS (
   SELECT *,
     CASE WHEN n_a > 0 AND n_b > 0 THEN x_a / n_a END AS rate_a,
     CASE WHEN n_a > 0 AND n_b > 0 THEN x_b / n_b END AS rate_b,
     CASE WHEN n_a > 0 AND n_b > 0 THEN (x_a + x_b) / (n_a + n_b) END AS pooled
-  FROM c
+  FROM tally
 ),
-z AS (
+tested AS (
   SELECT n_a, x_a, n_b, x_b, rate_a, rate_b,
     CASE WHEN pooled > 0 AND pooled < 1
          THEN (rate_b - rate_a) / SQRT(pooled * (1.0 - pooled) * (1.0 / n_a + 1.0 / n_b)) END AS z_score
-  FROM p
+  FROM proportions
 )
-SELECT *, ABS(z_score) > 2.576 AS significant_99 FROM z""")
+SELECT *, ABS(z_score) > 2.576 AS significant_99 FROM tested""")
 
 
-_DEVICE_BASE = """
-, d AS (
-  SELECT s.device_type,
-    COUNT(DISTINCT CASE WHEN e.event_type = 'Add To Cart' THEN s.session_id END) AS cart_sessions,
-    COUNT(DISTINCT CASE WHEN e.event_type = 'Checkout' THEN s.session_id END) AS checkout_sessions
-  FROM app_sessions s JOIN app_events e ON s.session_id = e.session_id
-  GROUP BY s.device_type
+_DEVICE_STAGES = """
+, device_types AS (
+  SELECT DISTINCT s.device_type, s.session_id, e.event_type
+  FROM app_sessions s JOIN app_events e ON e.session_id = s.session_id
+),
+per_device AS (
+  SELECT device_type,
+    COUNT(*) FILTER (WHERE event_type = 'Add To Cart') AS cart_sessions,
+    COUNT(*) FILTER (WHERE event_type = 'Checkout') AS checkout_sessions
+  FROM device_types GROUP BY device_type
 ),
-dr AS (
-  SELECT *, checkout_sessions / NULLIF(cart_sessions, 0) * 100.0 AS transition_rate_pct FROM d
+with_rate AS (
+  SELECT *, checkout_sessions / NULLIF(cart_sessions, 0) * 100.0 AS transition_rate_pct FROM per_device
 )"""
 
 
 def device_checkout() -> str:
-    return _q(_DEVICE_BASE + "\nSELECT * FROM dr")
+    return _q(_DEVICE_STAGES + "\nSELECT * FROM with_rate")
 
 
 def device_leakage(threshold_pts: float = 10.0) -> str:
-    return _q(_DEVICE_BASE + f"""
-, o AS (
-  SELECT dr.*,
-    ((SELECT SUM(checkout_sessions) FROM d) - checkout_sessions)
-      / NULLIF((SELECT SUM(cart_sessions) FROM d) - cart_sessions, 0) * 100.0 AS other_rate_pct
-  FROM dr
+    return _q(_DEVICE_STAGES + f"""
+, others AS (
+  SELECT *,
+    (SUM(checkout_sessions) OVER () - checkout_sessions)
+      / NULLIF(SUM(cart_sessions) OVER () - cart_sessions, 0) * 100.0 AS other_rate_pct
+  FROM with_rate
 )
 SELECT *, other_rate_pct - transition_rate_pct AS gap_pts,
   COALESCE(other_rate_pct - transition_rate_pct > {threshold_pts}, FALSE) AS leakage_flag
-FROM o""")
+FROM others""")
 
 
 # --- derived entities ---------------------------------------------------------
@@ -370,27 +396,35 @@ def orders_built() -> str:
 
 # --- cart model inputs ------------------------------------------------------------
 
-_PAST = "(SELECT COUNT(*) FROM app_orders o WHERE o.user_id = s.user_id AND o.order_date < s.session_date)"
-
-_CART_FEATURES = f"""
-, cart_features AS (
-  SELECT s.session_id, s.session_duration,
-    COUNT(CASE WHEN e.event_type = 'View Product' THEN 1 END) AS num_products_viewed,
-    COUNT(CASE WHEN e.event_type = 'Add To Cart' THEN 1 END) AS items_added_to_cart,
-    s.discount_coupon_applied,
-    {_PAST} AS past_purchases_count,
-    CASE WHEN s.device_type = 'iOS' THEN 1 ELSE 0 END AS is_ios,
-    CASE WHEN COUNT(CASE WHEN e.event_type = 'Purchase' THEN 1 END) > 0 THEN 0 ELSE 1 END AS abandoned
-  FROM app_sessions s LEFT JOIN app_events e ON s.session_id = e.session_id
-  GROUP BY s.session_id, s.session_duration, s.discount_coupon_applied, s.user_id, s.session_date, s.device_type
-  HAVING COUNT(CASE WHEN e.event_type = 'Add To Cart' THEN 1 END) > 0
+# Earlier orders of the session's user, as an inequality join.
+_PRIOR = """
+, prior AS (
+  SELECT s.session_id, s.user_id, s.session_date, COUNT(o.user_id) AS past_purchases_count
+  FROM app_sessions s LEFT JOIN app_orders o ON o.user_id = s.user_id AND o.order_date < s.session_date
+  GROUP BY s.session_id, s.user_id, s.session_date
+)"""
+
+_CART_FEATURES = _PRIOR + """,
+event_tally AS (
+  SELECT s.session_id, s.session_duration, s.discount_coupon_applied, s.device_type,
+    COUNT(e.event_id) FILTER (WHERE e.event_type = 'View Product') AS num_products_viewed,
+    COUNT(e.event_id) FILTER (WHERE e.event_type = 'Add To Cart') AS items_added_to_cart,
+    COUNT(e.event_id) FILTER (WHERE e.event_type = 'Purchase') AS purchase_events
+  FROM app_sessions s LEFT JOIN app_events e ON e.session_id = s.session_id
+  GROUP BY s.session_id, s.session_duration, s.discount_coupon_applied, s.device_type
+),
+cart_features AS (
+  SELECT t.session_id, t.session_duration, t.num_products_viewed, t.items_added_to_cart,
+    t.discount_coupon_applied, p.past_purchases_count,
+    CASE WHEN t.device_type = 'iOS' THEN 1 ELSE 0 END AS is_ios,
+    CASE WHEN t.purchase_events = 0 THEN 1 ELSE 0 END AS abandoned
+  FROM event_tally t JOIN prior p ON p.session_id = t.session_id
+  WHERE t.items_added_to_cart > 0
 )"""
 
 
 def past_purchases() -> str:
-    return _q(f"""
-SELECT s.session_id, s.user_id, s.session_date, {_PAST} AS past_purchases_count
-FROM app_sessions s""")
+    return _q(_PRIOR + "\nSELECT session_id, user_id, session_date, past_purchases_count FROM prior")
 
 
 def cart_features() -> str:

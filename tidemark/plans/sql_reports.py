@@ -64,30 +64,31 @@ def funnel_by_device_sql(tables: AppTables) -> DataFrame:
     return spark.sql(f"""
 WITH {_session_flags(v)},
 user_flags AS (SELECT device_type, user_id, {user_max} FROM session_flags GROUP BY device_type, user_id),
-funnel_base AS (SELECT device_type, {dev_sum} FROM user_flags GROUP BY device_type)
-SELECT {', '.join(cols)} FROM funnel_base""")
+per_device AS (SELECT device_type, {dev_sum} FROM user_flags GROUP BY device_type)
+SELECT {', '.join(cols)} FROM per_device""")
 
 
 def retention_grid_sql(tables: AppTables) -> DataFrame:
     v = _views(tables)
     spark = tables.users.sparkSession
     return spark.sql(f"""
-WITH user_sessions AS (SELECT DISTINCT user_id, session_date FROM {v['sessions']}),
-user_retention AS (
-  SELECT u.user_id, u.acquisition_channel,
-    MAX(CASE WHEN s.session_date = u.signup_date THEN 1 ELSE 0 END) AS d0_active,
-    MAX(CASE WHEN s.session_date = date_add(u.signup_date, 1) THEN 1 ELSE 0 END) AS d1_active,
-    MAX(CASE WHEN s.session_date = date_add(u.signup_date, 7) THEN 1 ELSE 0 END) AS d7_active
-  FROM {v['users']} u LEFT JOIN user_sessions s ON u.user_id = s.user_id
-  GROUP BY u.user_id, u.acquisition_channel, u.signup_date
+WITH active AS (SELECT DISTINCT user_id, session_date FROM {v['sessions']}),
+offsets AS (
+  SELECT u.user_id, u.acquisition_channel, datediff(a.session_date, u.signup_date) AS day_n
+  FROM {v['users']} u LEFT JOIN active a ON a.user_id = u.user_id
+),
+per_user AS (
+  SELECT user_id, acquisition_channel,
+    MAX(IF(day_n = 0, 1, 0)) AS day0, MAX(IF(day_n = 1, 1, 0)) AS day1, MAX(IF(day_n = 7, 1, 0)) AS day7
+  FROM offsets GROUP BY user_id, acquisition_channel
 )
 SELECT acquisition_channel, COUNT(user_id) AS cohort_size,
-  CAST(SUM(d0_active) AS BIGINT) AS d0_users,
-  CAST(SUM(d1_active) AS BIGINT) AS d1_users,
-  {_pct2('SUM(d1_active)', 'COUNT(user_id)')} AS d1_retention_pct,
-  CAST(SUM(d7_active) AS BIGINT) AS d7_users,
-  {_pct2('SUM(d7_active)', 'COUNT(user_id)')} AS d7_retention_pct
-FROM user_retention GROUP BY acquisition_channel""")
+  CAST(SUM(day0) AS BIGINT) AS d0_users,
+  CAST(SUM(day1) AS BIGINT) AS d1_users,
+  {_pct2('SUM(day1)', 'COUNT(user_id)')} AS d1_retention_pct,
+  CAST(SUM(day7) AS BIGINT) AS d7_users,
+  {_pct2('SUM(day7)', 'COUNT(user_id)')} AS d7_retention_pct
+FROM per_user GROUP BY acquisition_channel""")
 
 
 def _rr(a: str, b: str) -> str:
@@ -112,9 +113,10 @@ _ONE_ROW = """, one_row AS (
          MAX(total_sessions) AS total_sessions, MAX(cart_sessions) AS cart_sessions,
          MAX(purchase_sessions) AS purchase_sessions
   FROM (
-    SELECT revenue, aov, total_orders, NULL AS total_sessions, NULL AS cart_sessions, NULL AS purchase_sessions FROM o
-    UNION ALL SELECT NULL, NULL, NULL, total_sessions, NULL, NULL FROM s
-    UNION ALL SELECT NULL, NULL, NULL, NULL, cart_sessions, purchase_sessions FROM f
+    SELECT revenue, aov, total_orders, NULL AS total_sessions, NULL AS cart_sessions, NULL AS purchase_sessions
+      FROM order_side
+    UNION ALL SELECT NULL, NULL, NULL, total_sessions, NULL, NULL FROM session_side
+    UNION ALL SELECT NULL, NULL, NULL, NULL, cart_sessions, purchase_sessions FROM event_side
   )
 )"""
 
@@ -123,15 +125,15 @@ def topline_kpis_sql(tables: AppTables) -> DataFrame:
     v = _views(tables)
     spark = tables.users.sparkSession
     return spark.sql(f"""
-WITH o AS {_order_totals_sql(v['orders'])},
-s AS (SELECT COUNT(DISTINCT session_id) AS total_sessions FROM {v['sessions']}),
+WITH order_side AS {_order_totals_sql(v['orders'])},
+session_side AS (SELECT COUNT(DISTINCT session_id) AS total_sessions FROM {v['sessions']}),
 per_session AS (
   SELECT session_id,
     MAX(CASE WHEN event_type = 'Add To Cart' THEN 1 ELSE 0 END) AS has_cart,
     MAX(CASE WHEN event_type = 'Purchase' THEN 1 ELSE 0 END) AS has_purchase
   FROM {v['events']} GROUP BY session_id
 ),
-f AS (SELECT CAST(SUM(has_cart) AS BIGINT) AS cart_sessions, CAST(SUM(has_purchase) AS BIGINT) AS purchase_sessions
+event_side AS (SELECT CAST(SUM(has_cart) AS BIGINT) AS cart_sessions, CAST(SUM(has_purchase) AS BIGINT) AS purchase_sessions
       FROM per_session WHERE session_id IS NOT NULL)
 {_ONE_ROW}
 SELECT revenue AS total_revenue_usd, aov AS average_order_value_usd,
@@ -148,8 +150,8 @@ def business_kpis_sql(tables: AppTables, city: str | None = None, channel: str |
     flt = "(u.city = :city OR :city IS NULL) AND (u.acquisition_channel = :channel OR :channel IS NULL)"
     text = f"""
 WITH known AS (SELECT u.user_id FROM {v['users']} u WHERE {flt}),
-o AS {_order_totals_sql(f"(SELECT o.session_id, o.amount FROM {v['orders']} o JOIN known k ON o.user_id = k.user_id)")},
-s AS (SELECT GREATEST(COUNT(DISTINCT s.session_id), 1) AS total_sessions
+order_side AS {_order_totals_sql(f"(SELECT o.session_id, o.amount FROM {v['orders']} o JOIN known k ON o.user_id = k.user_id)")},
+session_side AS (SELECT GREATEST(COUNT(DISTINCT s.session_id), 1) AS total_sessions
       FROM {v['sessions']} s JOIN known k ON s.user_id = k.user_id),
 per_session AS (
   SELECT s.session_id,
@@ -159,7 +161,7 @@ per_session AS (
   JOIN known k ON s.user_id = k.user_id
   GROUP BY s.session_id
 ),
-f AS (SELECT COALESCE(SUM(has_cart), 0) AS cart_sessions, COALESCE(SUM(has_purchase), 0) AS purchase_sessions
+event_side AS (SELECT COALESCE(SUM(has_cart), 0) AS cart_sessions, COALESCE(SUM(has_purchase), 0) AS purchase_sessions
       FROM per_session)
 {_ONE_ROW}
 SELECT COALESCE(revenue, 0.0D) AS total_revenue, COALESCE(aov, 0.0D) AS avg_order_value,
