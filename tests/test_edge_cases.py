@@ -124,8 +124,8 @@ def test_exact_day_retention(spark):
         sessions=[session(10, 1, d=1), session(11, 1, d=7), session(12, 2, d=2)],
     )
     per_user = {r["user_id"]: r for r in rows(reports.retention_flags(t))}
-    assert (per_user[1]["d1_active"], per_user[1]["d7_active"]) == (1, 1)
-    assert (per_user[2]["d1_active"], per_user[2]["d7_active"]) == (0, 0)
+    assert (per_user[1]["active_day1"], per_user[1]["active_day7"]) == (1, 1)
+    assert (per_user[2]["active_day1"], per_user[2]["active_day7"]) == (0, 0)
 
 
 def test_segment_boundaries(spark):

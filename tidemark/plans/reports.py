@@ -113,7 +113,7 @@ def funnel_sessions(
 
 
 def retention_flags(tables: AppTables, days: tuple[int, ...] = (0, 1, 7)) -> DataFrame:
-    """Per user: channel and a 0/1 flag ``d{n}_active`` for a session exactly
+    """Per user: channel and a 0/1 flag ``active_day{n}`` for a session exactly
     ``n`` days after signup. Users without sessions stay, with zeros.
 
     (user, day) pairs are de-duplicated before the join, and the join output
@@ -125,7 +125,7 @@ def retention_flags(tables: AppTables, days: tuple[int, ...] = (0, 1, 7)) -> Dat
     aggs = [
         F.max(
             F.when(F.col("session_date") == F.date_add(F.col("signup_date"), n), F.lit(1)).otherwise(F.lit(0))
-        ).alias(f"d{n}_active")
+        ).alias(f"active_day{n}")
         for n in days
     ]
     return joined.groupBy("user_id", "acquisition_channel", "signup_date").agg(*aggs)
@@ -137,10 +137,10 @@ def retention_by_channel(tables: AppTables) -> DataFrame:
     per_user = retention_flags(tables, (1, 7))
     return per_user.groupBy("acquisition_channel").agg(
         F.count("user_id").alias("cohort_size"),
-        _sum_long("d1_active").alias("day1_active_users"),
-        pct2(F.sum("d1_active"), F.count("user_id")).alias("day1_retention_pct"),
-        _sum_long("d7_active").alias("day7_active_users"),
-        pct2(F.sum("d7_active"), F.count("user_id")).alias("day7_retention_pct"),
+        _sum_long("active_day1").alias("day1_active_users"),
+        pct2(F.sum("active_day1"), F.count("user_id")).alias("day1_retention_pct"),
+        _sum_long("active_day7").alias("day7_active_users"),
+        pct2(F.sum("active_day7"), F.count("user_id")).alias("day7_retention_pct"),
     )
 
 
@@ -149,11 +149,11 @@ def retention_grid(tables: AppTables) -> DataFrame:
     per_user = retention_flags(tables, (0, 1, 7))
     return per_user.groupBy("acquisition_channel").agg(
         F.count("user_id").alias("cohort_size"),
-        _sum_long("d0_active").alias("d0_users"),
-        _sum_long("d1_active").alias("d1_users"),
-        pct2(F.sum("d1_active"), F.count("user_id")).alias("d1_retention_pct"),
-        _sum_long("d7_active").alias("d7_users"),
-        pct2(F.sum("d7_active"), F.count("user_id")).alias("d7_retention_pct"),
+        _sum_long("active_day0").alias("d0_users"),
+        _sum_long("active_day1").alias("d1_users"),
+        pct2(F.sum("active_day1"), F.count("user_id")).alias("d1_retention_pct"),
+        _sum_long("active_day7").alias("d7_users"),
+        pct2(F.sum("active_day7"), F.count("user_id")).alias("d7_retention_pct"),
     )
 
 
@@ -164,15 +164,15 @@ def retention_validation(tables: AppTables) -> DataFrame:
     per_user = (
         retention_flags(tables, (0, 1, 7))
         .groupBy("acquisition_channel", "user_id")
-        .agg(*[F.max(f"d{n}_active").alias(f"d{n}_active") for n in (0, 1, 7)])
+        .agg(*[F.max(f"active_day{n}").alias(f"active_day{n}") for n in (0, 1, 7)])
     )
     # One row per (channel, user): counting rows counts distinct users,
     # without the row expansion a distinct aggregate next to sums needs.
     out = per_user.groupBy("acquisition_channel").agg(
         F.count("user_id").alias("total_users"),
-        _sum_long("d0_active").alias("d0_users"),
-        _sum_long("d1_active").alias("d1_users"),
-        _sum_long("d7_active").alias("d7_users"),
+        _sum_long("active_day0").alias("d0_users"),
+        _sum_long("active_day1").alias("d1_users"),
+        _sum_long("active_day7").alias("d7_users"),
     )
     total = F.col("total_users")
     return out.select(
