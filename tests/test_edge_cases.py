@@ -212,3 +212,14 @@ def test_planted_ios_leakage_is_flagged_only_for_ios(spark):
     t = make_tables(spark, users=[user(i) for i in range(1, sid + 1)], sessions=sessions, events=events)
     flagged = {r["device_type"]: r["leakage_flag"] for r in reports.device_leakage(t, threshold_pts=20.0).collect()}
     assert flagged == {"iOS": True, "Android": False, "Web": False}
+
+
+def test_chi_square_is_undefined_without_two_groups_and_outcomes(spark):
+    empty = make_tables(spark, users=[user(1)])
+    assert reports.ab_pvalue(empty).collect()[0]["p_value"] is None
+    one_group = make_tables(
+        spark, users=[user(1)], sessions=[session(10, 1)], events=[event(10, 1, "Checkout")],
+        experiments=[experiment(1, schemas.GROUP_A)],
+    )
+    row = reports.ab_pvalue(one_group).collect()[0]
+    assert row["p_value"] is None and row["dof"] == 0

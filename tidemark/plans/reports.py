@@ -476,13 +476,20 @@ def ab_pvalue(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
             F.col(flags.has_col("purchase")).cast("double").alias("purchased"),
         )
     )
+    out_schema = "p_value double, chi2_statistic double, dof int, significant_99 boolean"
+    spark = tables.users.sparkSession
+    if trials.limit(1).count() == 0:  # no checkout sessions: the test is undefined
+        return spark.createDataFrame([(None, None, None, None)], out_schema)
     vec = VectorAssembler(inputCols=["is_b"], outputCol="group_vec").transform(trials)
     res = ChiSquareTest.test(vec, "group_vec", "purchased")
+    dof = F.col("degreesOfFreedom")[0]
+    defined = dof > 0  # one group or one outcome only: undefined, like a NULL z
+    p_value = F.when(defined, vector_to_array("pValues")[0])
     return res.select(
-        vector_to_array("pValues")[0].alias("p_value"),
-        vector_to_array("statistics")[0].alias("chi2_statistic"),
-        F.col("degreesOfFreedom")[0].alias("dof"),
-        (vector_to_array("pValues")[0] < F.lit(0.01)).alias("significant_99"),
+        p_value.alias("p_value"),
+        F.when(defined, vector_to_array("statistics")[0]).alias("chi2_statistic"),
+        dof.alias("dof"),
+        (p_value < F.lit(0.01)).alias("significant_99"),
     )
 
 
