@@ -54,23 +54,31 @@ def materialize(df: DataFrame, name: str, run_dir: str | None = None) -> DataFra
     return spark.read.parquet(path)
 
 
-def materialize_tables(tables: AppTables, include_events: bool = False) -> AppTables:
+def materialize_tables(tables: AppTables, include_events: bool = False, parallelism: int = 4) -> AppTables:
     """Materialise the derived tables once for a multi-report job (see
     ``materialize``). The event table stays its source scan unless asked,
     since copying the largest table rarely pays off; sessions are read back
-    as a projection of the materialised rollup when there is one."""
+    as a projection of the materialised rollup when there is one. The
+    tables are independent jobs and are written concurrently."""
     from tidemark.session import checkpoint_dir  # noqa: PLC0415
 
     run_dir = f"{checkpoint_dir(tables.users.sparkSession).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    rollup = materialize(tables.session_rollup, "session_rollup", run_dir) if tables.session_rollup is not None else None
-    done = {}
+    todo = {}
+    if tables.session_rollup is not None:
+        todo["session_rollup"] = tables.session_rollup
     for name, df in tables.as_dict().items():
         if name == "events" and not include_events:
-            done[name] = df
-        elif name == "sessions" and rollup is not None:
-            done[name] = rollup.select(*schemas.SESSIONS.fieldNames())
-        else:
-            done[name] = materialize(df, name, run_dir)
+            continue
+        if name == "sessions" and tables.session_rollup is not None:
+            continue
+        todo[name] = df
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        written = dict(zip(todo, pool.map(lambda item: materialize(item[1], item[0], run_dir), todo.items())))
+    rollup = written.pop("session_rollup", None)
+    done = dict(written)
+    done.setdefault("events", tables.events)
+    if rollup is not None:
+        done["sessions"] = rollup.select(*schemas.SESSIONS.fieldNames())
     return AppTables(**done, session_rollup=rollup)
 
 
