@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators import audit, entities
 from tidemark.plans import ml, oracle, reports, sql_reports
 from tidemark.sources.driver_data import load_app_tables
-from tidemark.sources.io import AppTables, materialize_tables
+from tidemark.plans.mart import session_mart
+from tidemark.sources.io import AppTables, materialize, materialize_tables
 
 # Report parameters used by the filtered keys.
 FUNNEL_DEVICE = "iOS"
@@ -47,13 +48,16 @@ def _on_tables(fn, **kwargs) -> Builder:
     return run
 
 
-def _on_materialized(fn, **kwargs) -> Builder:
+def _on_materialized(fn, with_mart: bool = False, **kwargs) -> Builder:
     """For composite reports that read the derived tables many times: the
     tables are written once to the shared checkpoint folder first (see
     ``materialize_tables``)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(materialize_tables(app_tables(spark, sf_dir)), **kwargs)
+        tables = materialize_tables(app_tables(spark, sf_dir))
+        if with_mart:
+            tables.memo["session_mart"] = materialize(session_mart(tables), "session_mart")
+        return fn(tables, **kwargs)
 
     run.__name__ = getattr(fn, "__name__", "report")
     return run
@@ -101,7 +105,7 @@ def queries() -> dict[str, Builder]:
         "business_kpis_sql": _on_tables(sql_reports.business_kpis_sql),
         "business_kpis_filtered_sql": _on_tables(sql_reports.business_kpis_sql, city=KPI_CITY, channel=KPI_CHANNEL),
         "integrity_audit": _on_materialized(audit.integrity_audit),
-        "briefing_context": _on_materialized(reports.briefing_context),
+        "briefing_context": _on_materialized(reports.briefing_context, with_mart=True),
         "model_metrics": _on_tables(ml.model_metrics_report),
         "cart_risk_scores": _on_tables(ml.cart_risk_scores),
     }
