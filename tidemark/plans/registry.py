@@ -34,7 +34,11 @@ def app_tables(spark: SparkSession, sf_dir: str) -> AppTables:
     """The app tables over ``sf_dir``, defined once per Spark application and
     folder (lazy plans: every report still reads and processes the whole
     input; only the Python-side plan construction is shared)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions have no SparkContext
+        app = f"session-{id(spark)}"
+    key = (app, sf_dir)
     if key not in _TABLES:
         _TABLES[key] = load_app_tables(spark, sf_dir)
     return _TABLES[key]
