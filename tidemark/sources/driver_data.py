@@ -77,7 +77,7 @@ def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     raw = read_raw(spark, sf_dir, "events")
     day = F.to_date(F.col("ts"))
-    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    k = F.get_json_object(F.col("props"), "$.k").try_cast("int")
     ev = raw.select(
         F.col("event_id").cast("bigint").alias("event_id"),
         F.col("user_id").cast("bigint").alias("user_id"),
@@ -178,7 +178,7 @@ WITH app_users_base AS (
 ),
 raw_events AS (
   SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id, ts, event_type AS raw_type,
-         value, CAST(props->>'$.k' AS INTEGER) AS k, CAST(ts AS DATE) AS event_date
+         value, TRY_CAST(props->>'$.k' AS INTEGER) AS k, CAST(ts AS DATE) AS event_date
   FROM events
 ),
 app_events AS (
