@@ -300,7 +300,7 @@ def table_counts(tables: AppTables) -> DataFrame:
 def segment_performance(tables: AppTables) -> DataFrame:
     """Per segment: users, sessions, sessions per user, spend and ARPU.
     Orders reach the spend only through a session of the user; users without
-    sessions count with 0 sessions. Spend is rounded to cents."""
+    sessions count with 0 sessions. Spend is summed exactly in cents."""
     per_session = tables.sessions.select("session_id", "user_id").join(
         order_facts(tables.orders).select("session_id", "order_cents"), "session_id", "left"
     )
