@@ -1,5 +1,5 @@
 """Run every registered key in Spark and its oracle SQL in DuckDB and compare
-row count, column names and values (order-insensitive).
+row count, column names, column types and values (order-insensitive).
 
 Usage: python tests/oracle_compare.py [sf_dir] [key ...]
 """
@@ -32,11 +32,22 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_TYPE_NAMES = {
+    "LongType()": "BIGINT",
+    "IntegerType()": "INTEGER",
+    "DoubleType()": "DOUBLE",
+    "StringType()": "VARCHAR",
+    "DateType()": "DATE",
+    "BooleanType()": "BOOLEAN",
+    "TimestampNTZType()": "TIMESTAMP",
+}
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v if os.environ.get("ORACLE_EXACT") else round(v, 9)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v
@@ -67,6 +78,11 @@ def compare(spark, sf_dir: str, key: str, con=None) -> dict:
     if sorted(spark_cols) != sorted(duck_cols):
         res["status"] = f"COLUMNS spark={sorted(spark_cols)} duck={sorted(duck_cols)}"
         return res
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    spark_types = {f.name: _TYPE_NAMES.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    if spark_types != duck_types:
+        res["status"] = f"TYPES spark={spark_types} duck={duck_types}"
+        return res
     a, b = _rows(spark_cols, spark_rows), _rows(duck_cols, duck_rows)
     if len(a) != len(b):
         res["status"] = "ROWCOUNT"
