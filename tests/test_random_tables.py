@@ -21,7 +21,9 @@ from tidemark.sources import schemas
 D0 = dt.date(2024, 1, 1)
 
 
-def random_rows(seed: int):
+def random_rows(seed: int, hot_user: bool = False):
+    """Random five-table rows; with ``hot_user`` user 1 holds most sessions,
+    events and orders (the skew case)."""
     rnd = random.Random(seed)
     n_users = rnd.randint(5, 40)
     users = [
@@ -37,7 +39,7 @@ def random_rows(seed: int):
     sessions, events, orders = [], [], []
     sid, eid, oid = 100, 1, 1
     for u in range(1, n_users + 6):  # a few sessions of unknown users
-        for _ in range(rnd.randint(0, 6)):
+        for _ in range(rnd.randint(60, 80) if hot_user and u == 1 else rnd.randint(0, 6)):
             sid += 1
             day = D0 + dt.timedelta(days=rnd.randint(0, 20))
             coupon = rnd.choice([0, 1, None])
@@ -131,9 +133,10 @@ CASES = {
 }
 
 
-@pytest.fixture(scope="module", params=[1, 2, 3])
+@pytest.fixture(scope="module", params=[(1, False), (2, False), (3, False), (4, True)], ids=["r1", "r2", "r3", "hot"])
 def world(request, spark):
-    rows = random_rows(request.param)
+    seed, hot = request.param
+    rows = random_rows(seed, hot_user=hot)
     return make_tables(spark, **rows), duck_for(rows)
 
 
