@@ -34,7 +34,7 @@ def report_builders(tables: AppTables, mart: DataFrame) -> dict[str, Callable[[]
         "topline_kpis": lambda: reports.topline_kpis(tables),
         "filter_options": lambda: reports.filter_options(tables),
         "table_counts": lambda: reports.table_counts(tables),
-        "segment_performance": lambda: reports.segment_performance(tables),
+        "segment_performance": lambda: reports.segment_performance(tables, mart),
         "segment_by_channel": lambda: reports.segment_by_channel(tables),
         "ab_results": lambda: reports.ab_results(tables, mart),
         "ab_raw": lambda: reports.ab_raw(tables, mart),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cents, dollars, optional_eq, pct2, round_ratio, signed_pct2
 from tidemark.operators import flags
-from tidemark.plans.mart import order_facts, session_mart
+from tidemark.plans.mart import session_mart
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
 
@@ -297,14 +297,13 @@ def table_counts(tables: AppTables) -> DataFrame:
 # --- J4 / J12 segments --------------------------------------------------------
 
 
-def segment_performance(tables: AppTables) -> DataFrame:
+def segment_performance(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
     """Per segment: users, sessions, sessions per user, spend and ARPU.
-    Orders reach the spend only through a session of the user; users without
-    sessions count with 0 sessions. Spend is summed exactly in cents."""
-    per_session = tables.sessions.select("session_id", "user_id").join(
-        order_facts(tables.orders).select("session_id", "order_cents"), "session_id", "left"
-    )
-    per_user = per_session.groupBy("user_id").agg(
+    Orders reach the spend only through a session of the user (the mart's
+    per-session order totals); users without sessions count with 0 sessions.
+    Spend is summed exactly in cents."""
+    mart = mart if mart is not None else session_mart(tables)
+    per_user = mart.groupBy("user_id").agg(
         F.count("session_id").alias("n_sessions"), F.sum("order_cents").alias("spend")
     )
     per_segment_user = (
@@ -567,7 +566,7 @@ def briefing_context(tables: AppTables, mart: DataFrame | None = None) -> DataFr
         _long(funnel_android, "funnel_android", "funnel_stage", BRIEFING_METRICS["funnel"]),
         _long(retention, "retention", "acquisition_channel", BRIEFING_METRICS["retention"]),
         _long(ab, "ab_test", "experiment_group", BRIEFING_METRICS["ab_test"]),
-        _long(segment_performance(tables), "segments", "user_segment", BRIEFING_METRICS["segments"]),
+        _long(segment_performance(tables, mart), "segments", "user_segment", BRIEFING_METRICS["segments"]),
     ]
 
     # iOS vs Android at the Add To Cart → Checkout step (six-row inputs).
