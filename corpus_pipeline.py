@@ -1,14 +1,73 @@
-"""The corpus pipeline: stages from raw documents to packed sequences."""
+"""The corpus pipeline: documents to packed sequences in five stages.
+
+Each stage is one operator of ``tidemark.llm`` over all that the stage before
+kept. The first four return the columns of documents, the last the pieces of
+the packed sequences. What the operators say of nulls, empty and long texts,
+repeated rows, empty tables and further columns holds for their stages.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import langid, mix, pack, simhash, toxicity
+from tidemark.llm.common import documents, nested, run_folder, saved, ship_package, unnested
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    ship_package(spark)
+    machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = toxicity.score_column(machine, spark)
+    scored = nested(docs, "text").withColumn("score", score("text"))
+    return unnested(scored.filter(F.col("score") < toxicity.PREDICT_AT), docs)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows with enough confidence."""
+    ship_package(spark)
+    predict = langid.predict_column(langid.train(docs), spark)
+    predicted = nested(docs, "text").withColumn("p", predict("text"))
+    return unnested(predicted.filter(~F.col("p.rejected")), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document of the smallest doc_id, once."""
+    groups = simhash.near_duplicates(docs, shingle=3, radius=2)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("first_id"), F.col("fingerprint").alias("first_fingerprint")
+    )
+    rows = nested(docs, "doc_id", "text").withColumn("fingerprint", simhash.fingerprint_column()("text"))
+    kept = rows.join(
+        first.distinct(),
+        F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("fingerprint") == F.col("first_fingerprint")),
+        "left_semi",
+    )
+    return unnested(kept, docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return mix.mixed(docs, mix.plan_mix(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack.sequence_pieces(pack.pack_documents(docs, path, end_id=1, length=2048))
 
-from tidemark.llm.common import documents, run_folder, saved
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: The stages train models, hash and tokenise; SQL can't express them.
+#: The stages train models, hash and tokenise, which SQL can't express.
 ORACLE_SQL = None
 
 

@@ -13,10 +13,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrow_tokens, mix, pack, shard, token_counts
+from tidemark.llm import arrow_tokens, langid, mix, pack, shard, simhash, syncmers, token_counts, topk, toxicity
 from tidemark.llm.common import documents, run_folder, text_bytes
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard.shuffle_into_shards(documents(spark, sf_dir), shards=8)
     return rows.select(
@@ -45,6 +50,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_documents(documents(spark, sf_dir), labels)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op8_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark, "arrow-tokens")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,16 +66,48 @@ def op8_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.read_documents(shards, folder)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
+    hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return rows.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk": op1_topk,
         "op2_sharding": op2_sharding,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
+        "op6_toxicity": op6_toxicity,
+        "op7_language": op7_language,
         "op8_arrow_tokens": op8_arrow_tokens,
+        "op9_simhash": op9_simhash,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
+OP1_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
 OP3_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all("text", '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -103,4 +149,4 @@ LEFT JOIN running r ON r.source IS NOT DISTINCT FROM d.source AND r.h = d.h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    return {"op1_topk": OP1_SQL, "op3_mixing": OP3_SQL}
