@@ -3,8 +3,9 @@
 Documents are dealt out by ranges of doc_id and sorted, so shard files in
 name order hold all ids in ascending doc_id order. A shard is two Arrow files
 (the stream format with a footer): ``ids-N.arrow`` has record batches of the
-fixed-size lists ``input_ids`` and ``mask``, so any sequence is a zero-copy
-slice of a mapped file; ``docs-N.arrow`` has each document's start in the
+fixed-size lists ``input_ids`` (16 bits an id where the vocabulary allows, else
+32) and ``mask`` (booleans), so any sequence is a zero-copy slice of a mapped
+file; ``docs-N.arrow`` has each document's start in the
 shard and its number of ids. Only a shard's last sequence is padded (mask 0).
 
 Files are written by the tasks with pyarrow's file systems into the shared
@@ -77,7 +78,7 @@ def sequence(folder: str, shard: int, row: int) -> tuple[np.ndarray, np.ndarray]
 
 def _values(lists: pa.FixedSizeListArray, first: int, n: int) -> np.ndarray:
     size = lists.type.list_size
-    return lists.values.to_numpy()[(lists.offset + first) * size : (lists.offset + first + n) * size]
+    return lists.values.slice((lists.offset + first) * size, n * size).to_numpy(zero_copy_only=False)
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -96,7 +97,8 @@ def _write(folder: str, tokenizer_path: str, end_id: int, length: int):
         store, base = _store(folder)
         names = {kind: (f"{base}/.{kind}-{shard:06d}-{attempt}", f"{base}/{kind}-{shard:06d}.arrow") for kind in ("ids", "docs")}
         tokenizer = codec(tokenizer_path)
-        lists = pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        id_type = pa.uint16() if max(tokenizer.vocabulary, end_id + 1) <= 1 << 16 else pa.uint32()
+        lists = pa.schema([("input_ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.bool_(), length))])
         n_docs = n_tokens = n_sequences = 0
         rest = np.zeros(0, np.uint32)
         writers: list = []
@@ -105,8 +107,8 @@ def _write(folder: str, tokenizer_path: str, end_id: int, length: int):
             """Write whole sequences, of which the first n ids are real."""
             for a in range(0, len(ids), BATCH_ROWS * length):
                 part = ids[a : a + BATCH_ROWS * length]
-                mask = (np.arange(a, a + len(part)) < n).astype(np.uint8)
-                columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (part, mask)]
+                real = np.arange(a, a + len(part)) < n
+                columns = [pa.FixedSizeListArray.from_arrays(x, length) for x in (pa.array(part, id_type), pa.array(real))]
                 writers[0].write_batch(pa.RecordBatch.from_arrays(columns, schema=lists))
 
         sinks: list = []
@@ -185,7 +187,7 @@ class _Ids:
             if self._at == len(self._held):
                 batch = self._reader.get_batch(self._next)
                 ids, mask = (_values(batch.column(c), 0, batch.num_rows) for c in ("input_ids", "mask"))
-                self._held, self._at, self._next = ids[mask == 1] if not mask[-1] else ids, 0, self._next + 1
+                self._held, self._at, self._next = ids if mask[-1] else ids[mask], 0, self._next + 1
             taken = self._held[self._at : self._at + n]
             crc = zlib.crc32(np.ascontiguousarray(taken, "<u4"), crc)
             self._at, n = self._at + len(taken), n - len(taken)
