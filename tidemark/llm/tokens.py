@@ -26,9 +26,11 @@ import pyarrow.compute as pc
 
 from tidemark.llm.common import byte_slices, plain_strings
 
+#: Bytes of text encoded at a time.
+STEP_BYTES = 6 << 20
 #: Distinct chunks that a worker keeps between batches, and words of them.
-CACHE_ENTRIES = 1_500_000
-CACHE_WORDS = 700_000
+CACHE_ENTRIES = 500_000
+CACHE_WORDS = 300_000
 
 #: Letters that need no normalisation, and ASCII marks without the apostrophe
 #: (which starts contractions) and "<" (which starts special tokens).
@@ -97,7 +99,7 @@ class Codec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and each text's number of ids."""
         texts = plain_strings(texts)
-        parts = [self._encode(texts.slice(a, b - a)) for a, b in byte_slices(texts)]
+        parts = [self._encode(texts.slice(a, b - a)) for a, b in byte_slices(texts, STEP_BYTES)]
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
