@@ -55,14 +55,9 @@ def append_misses(docs: DataFrame, tokenizer_path: str, cache_path: str) -> str:
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_tokens."""
+    """Per document: doc_id, n_bytes, n_tokens. One writer at a time."""
     version = append_misses(docs, tokenizer_path, cache_path)
-    counts = (
-        read_cache(docs.sparkSession, cache_path)
-        .filter(F.col("version") == version)
-        .groupBy("digest")  # two writers may both have appended a key
-        .agg(F.max("n_tokens").alias("n_tokens"))
-    )
+    counts = read_cache(docs.sparkSession, cache_path).filter(F.col("version") == version).select("digest", "n_tokens")
     keyed = pick(docs, "doc_id", "text").select(
         "doc_id", text_bytes(F.col("text")).alias("n_bytes"), _digest(normalised(F.col("text"))).alias("digest")
     )
