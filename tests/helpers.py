@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
@@ -50,7 +51,7 @@ def event(sid, uid, etype, d=0, seconds=0, eid=None):
 
 
 def order(oid, uid, sid, amount, d=0, category="Fashion"):
-    return (oid, uid, sid, float(amount), category, day(d))
+    return (oid, uid, sid, None if amount is None else Decimal(str(amount)), category, day(d))
 
 
 def experiment(uid, group, eid=None):

@@ -36,6 +36,7 @@ _TYPE_NAMES = {
     "LongType()": "BIGINT",
     "IntegerType()": "INTEGER",
     "DoubleType()": "DOUBLE",
+    "DecimalType(10,2)": "DECIMAL(10,2)",
     "StringType()": "VARCHAR",
     "DateType()": "DATE",
     "BooleanType()": "BOOLEAN",

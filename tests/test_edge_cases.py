@@ -123,9 +123,8 @@ def test_exact_day_retention(spark):
         users=[user(1, signup=0), user(2, signup=0)],
         sessions=[session(10, 1, d=1), session(11, 1, d=7), session(12, 2, d=2)],
     )
-    per_user = {r["user_id"]: r for r in rows(reports.retention_flags(t))}
-    assert (per_user[1]["active_day1"], per_user[1]["active_day7"]) == (1, 1)
-    assert (per_user[2]["active_day1"], per_user[2]["active_day7"]) == (0, 0)
+    (got,) = rows(reports.retention_grid(t))
+    assert (got["cohort_size"], got["d0_users"], got["d1_users"], got["d7_users"]) == (2, 0, 1, 1)
 
 
 def test_segment_boundaries(spark):

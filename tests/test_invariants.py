@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,12 +20,12 @@ def tables(spark):
 
 def test_anchor_row_counts(tables):
     counts = {r["table_name"]: r["row_count"] for r in reports.table_counts(tables).collect()}
-    assert counts == {"users": 1500, "events": 6981, "sessions": 2800, "orders": 1366, "experiments": 1500}
+    assert counts == {"users": 1500, "events": 10000, "sessions": 4006, "orders": 1981, "experiments": 1500}
 
 
 def test_anchor_session_funnel(tables):
     vols = [r["session_volume"] for r in reports.funnel_sessions(tables).orderBy("stage_idx").collect()]
-    assert vols == [1119, 609, 665, 1111, 1148, 1113]
+    assert vols == [1611, 870, 929, 1601, 1612, 1604]
 
 
 def test_anchor_user_funnel(tables):
@@ -33,9 +35,9 @@ def test_anchor_user_funnel(tables):
         for r in reports.funnel_by_device(tables).collect()
     }
     assert got == {
-        "Android": [137, 92, 100, 136, 138, 143],
-        "Web": [131, 116, 115, 139, 134, 139],
-        "iOS": [142, 117, 110, 137, 138, 130],
+        "Android": [148, 118, 127, 148, 148, 150],
+        "Web": [139, 131, 127, 148, 144, 149],
+        "iOS": [150, 132, 133, 144, 147, 146],
     }
 
 
@@ -50,15 +52,18 @@ def test_anchor_retention_and_segments(tables):
 
 def test_anchor_ab_kpis_features(tables):
     sig = reports.ab_significance(tables).collect()[0]
-    assert (sig["n_a"], sig["x_a"], sig["n_b"], sig["x_b"]) == (561, 205, 587, 205)
-    assert sig["z_score"] ** 2 == pytest.approx(0.3273, abs=1e-4)
+    assert (sig["n_a"], sig["x_a"], sig["n_b"], sig["x_b"]) == (813, 304, 799, 282)
+    assert sig["z_score"] ** 2 == pytest.approx(0.766786, abs=1e-6)
+    p = reports.ab_pvalue(tables).collect()[0]
+    assert p["chi2_statistic"] == pytest.approx(sig["z_score"] ** 2, abs=1e-6)
+    assert p["p_value"] == pytest.approx(math.erfc(abs(sig["z_score"]) / math.sqrt(2)), abs=2e-6)
     kpi = reports.business_kpis(tables).collect()[0]
-    assert kpi["total_revenue"] == 65844.77 and kpi["avg_order_value"] == 48.2 and kpi["total_orders"] == 1113
+    assert kpi["total_revenue"] == 95455.77 and kpi["avg_order_value"] == 48.19 and kpi["total_orders"] == 1604
     f = ml.cart_features(tables).agg(
         F.count("*").alias("n"), F.sum("past_purchases_count").alias("pp"), F.sum("abandoned").alias("ab"),
         F.sum("is_ios").alias("ios"),
     ).collect()[0]
-    assert tuple(f) == (1111, 5189, 711, 392)
+    assert tuple(f) == (1601, 10371, 1010, 568)
 
 
 def test_retention_formulations_agree(tables):

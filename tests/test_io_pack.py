@@ -6,14 +6,18 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from helpers import event, make_tables, order, session, user
 from tidemark.plans import reports, sql_reports
-from tidemark.plans.pack import report_builders, run_report_pack
+from tidemark.plans import registry
+from tidemark.plans.pack import run_report_pack
 from tidemark.sources import schemas
 from tidemark.sources.driver_data import load_app_tables
-from tidemark.sources.io import materialize_tables, read_app_tables, write_app_tables
+from tidemark.session import checkpoint_dir
+from tidemark.sources.io import materialize_tables, read_app_tables, read_jdbc_tables, run_folder, write_app_tables
 
 
 def _sorted(df):
@@ -38,9 +42,68 @@ def test_write_then_read_back_is_identical(spark):
 
 def test_materialized_tables_give_same_reports(spark):
     tables = load_app_tables(spark, SF_SMALL)
-    mat = materialize_tables(tables)
-    assert _sorted(reports.ab_results(mat)) == _sorted(reports.ab_results(tables))
-    assert _sorted(reports.segment_performance(mat)) == _sorted(reports.segment_performance(tables))
+    with run_folder(spark) as folder:
+        mat = materialize_tables(tables, folder)
+        assert _sorted(reports.ab_results(mat)) == _sorted(reports.ab_results(tables))
+        assert _sorted(reports.segment_performance(mat)) == _sorted(reports.segment_performance(tables))
+    assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("key", registry.MATERIALIZED)
+def test_no_folder_is_left(spark, key):
+    shared = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    assert registry.queries()[key](spark, SF_SMALL).count() > 0
+    assert set(os.listdir(shared)) - before == set()
+
+
+def test_an_appended_file_is_seen(spark, tmp_path):
+    for name in ("events", "customer", "nation"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    def events():
+        rows = registry.queries()["table_counts"](spark, str(tmp_path)).filter("table_name = 'events'")
+        return rows.first().row_count
+
+    first = events()
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert first == spark.read.parquet(f"{SF_SMALL}/events.parquet").count() and events() == 2 * first
+
+
+def test_decimal_amounts_are_read_as_they_are(spark, tmp_path):
+    tables = make_tables(
+        spark, users=[user(1)], sessions=[session(10, 1)], events=[event(10, 1, "Purchase")],
+        orders=[order(1, 1, 10, "10.10"), order(2, 1, 10, "0.20"), order(3, 1, 10, "20.00")],
+    )
+    write_app_tables(tables, str(tmp_path))
+    back = read_app_tables(spark, str(tmp_path))
+    assert back.orders.schema["amount"].dataType.simpleString() == "decimal(10,2)"
+    kpi = reports.business_kpis(back).first()
+    assert (kpi.total_revenue, kpi.avg_order_value) == (30.3, 10.1)
+    for name, df in back.as_dict().items():
+        if name == "orders":
+            df = df.withColumn("amount", F.col("amount").cast("double") + 0.005)
+        df.write.parquet(f"{tmp_path}/doubles/{name}")
+    kpi = reports.business_kpis(read_app_tables(spark, f"{tmp_path}/doubles")).first()
+    assert kpi.total_revenue == 30.32  # 30.315: three decimals are summed before rounding
+
+
+def test_jdbc_needs_bounds_of_every_table(spark):
+    with pytest.raises(ValueError, match="events"):
+        read_jdbc_tables(spark, "jdbc:x", {}, {"users": (1, 9)})
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Elsewhere)
 
 
 def test_report_pack_writes_every_report(spark):
@@ -48,7 +111,8 @@ def test_report_pack_writes_every_report(spark):
     out = tempfile.mkdtemp(prefix="tidemark-pack-")
     status = run_report_pack(spark, tables, out)
     assert status and all(v == "ok" for v in status.values()), status
-    assert set(status) == set(report_builders(tables, tables.users))
+    assert set(status) == set(registry.REPORTS) == set(registry.oracle_sql())
+    assert set(registry.queries()) - set(status) == set(registry.MODEL_REPORTS)
     back = spark.read.parquet(os.path.join(out, "funnel_sessions"))
     assert back.count() == 6
 

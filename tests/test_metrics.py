@@ -44,10 +44,14 @@ def test_random_pairs_match_exact_and_duckdb(spark):
         assert got[(a, b)] == exact(a, b) == duck[(a, b)], (a, b)
 
 
-def test_selector_labels_and_money_text(spark):
-    from tidemark.functions import money_text, none_if_all
+def test_money(spark):
+    from decimal import Decimal
 
-    assert none_if_all("All Regions") is None and none_if_all("All Devices") is None
-    assert none_if_all("") == "" and none_if_all("iOS") == "iOS" and none_if_all(None) is None
-    df = spark.createDataFrame([(1234.5,), (65844.77,), (0.0,)], "x double")
-    assert [r[0] for r in df.select(money_text("x")).collect()] == ["1,234.50", "65,844.77", "0.00"]
+    from tidemark.functions import money, money_units
+
+    df = spark.createDataFrame([(10.005, Decimal("10.01")), (-2.5, Decimal("0.10")), (0.1, Decimal("0.20"))], "x double, d decimal(10,2)")
+    one = df.agg(F.sum(money_units("x")).alias("x"), F.sum(money_units("d")).alias("d"), F.count("x").alias("n"))
+    got = one.select(money("x").alias("a"), money("x", "n").alias("b"), money("d").alias("c")).first()
+    assert tuple(got) == (7.61, 2.54, 10.31)  # three decimals are summed before they are rounded
+    huge = spark.range(1).select(money(F.lit(9 * 10**18)).alias("a"), money(F.lit(1), F.lit(0)).alias("b")).first()
+    assert tuple(huge) == (9e14, None)

@@ -45,20 +45,62 @@ def test_gate_blocks_saving(spark, small):
     feats = ml.cart_features(small)
     path = os.path.join(tempfile.mkdtemp(prefix="tidemark-model-"), "m")
     with pytest.raises(ml.QualityGateError):
-        ml.train_cart_model(feats, ml.stratified_split(feats), min_accuracy=1.01, min_f1=None, model_path=path,
-                            num_trees=5)
-    assert ml.load_cart_model(path) is None
+        ml.train_cart_model(ml.stratified_split(feats), min_accuracy=1.01, min_f1=None, model_path=path, num_trees=5)
+    assert ml.load_cart_model(spark, path) is None
+
+
+def test_learnable_data_passes_the_gate(spark):
+    """Sessions whose duration tells the label: the default gate must let them through."""
+    planted = spark.range(600).select(
+        F.col("id").alias("session_id"),
+        F.when(F.col("id") % 3 == 0, 30 + F.col("id") % 50).otherwise(400 + F.col("id") % 90).alias("session_duration"),
+        (F.col("id") % 7).alias("num_products_viewed"),
+        (F.col("id") % 4 + 1).alias("items_added_to_cart"),
+        (F.col("id") % 5).alias("past_purchases_count"),
+        F.when(F.col("id") % 6 > 0, F.col("id") % 2).cast("int").alias("discount_coupon_applied"),
+        (F.col("id") % 2).cast("int").alias("is_ios"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("abandoned"),
+    )
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-model-"), "m")
+    trained = ml.train_cart_model(ml.stratified_split(planted), model_path=path, num_trees=10)
+    metrics = {r["metric"]: r["value"] for r in trained.metrics.collect()}
+    assert trained.gate_passed and metrics["accuracy"] >= 0.8 and metrics["f1_1"] >= 0.8
+    assert ml.load_cart_model(spark, path) is not None
+
+
+def test_a_damaged_model_is_an_error(spark):
+    path = tempfile.mkdtemp(prefix="tidemark-model-")
+    os.makedirs(os.path.join(path, "metadata"))
+    with pytest.raises(Exception, match="."):
+        ml.load_cart_model(spark, path)
+
+
+def test_risk_bands_are_strict(spark):
+    rows = [(1, 0, 0, 0), (2, 7, 0, 0), (3, 7, 0, 1), (4, 4, 0, 0), (5, 4, 1, 0), (6, 30, 30, 1)]
+    df = spark.createDataFrame(rows, "session_id long, items_added_to_cart long, num_products_viewed long, is_ios int")
+    got = [tuple(r)[2:] for r in ml.rule_risk(df).orderBy("session_id").collect()]
+    assert got == [
+        (100.0, "HIGH", "offer"), (70.0, "MEDIUM", "maintain"), (90.0, "HIGH", "offer"),
+        (40.0, "LOW", "maintain"), (45.0, "MEDIUM", "maintain"), (100.0, "HIGH", "offer"),
+    ]
+
+
+def test_scores_come_from_the_saved_model(spark, small):
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-model-"), "m")
+    first = ml.cart_risk_scores(small, model_path=path).orderBy("session_id").collect()
+    stamp = os.path.getmtime(os.path.join(path, "metadata"))
+    assert ml.cart_risk_scores(small, model_path=path).orderBy("session_id").collect() == first
+    assert os.path.getmtime(os.path.join(path, "metadata")) == stamp  # not fitted again
 
 
 def test_train_save_load_score(spark, small):
     feats_all = ml.session_features(small)
     feats = feats_all.filter(F.col("items_added_to_cart") > 0)
     path = os.path.join(tempfile.mkdtemp(prefix="tidemark-model-"), "m")
-    trained = ml.train_cart_model(feats, ml.stratified_split(feats), min_accuracy=None, min_f1=None,
-                                  model_path=path, num_trees=10)
+    trained = ml.train_cart_model(ml.stratified_split(feats), min_accuracy=None, min_f1=None, model_path=path, num_trees=10)
     metrics = {r["metric"]: r["value"] for r in trained.metrics.collect()}
     assert 0.0 <= metrics["accuracy"] <= 1.0 and "f1_1" in metrics
-    model = ml.load_cart_model(path)
+    model = ml.load_cart_model(spark, path)
     assert model is not None
     scored = ml.score_sessions(model, feats_all)
     assert scored.count() == feats_all.count()

@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_ORACLE
 from oracle_compare import compare, duck
+from tidemark.plans import registry
 
 ORACLE_KEYS = sorted(entry.oracle_sql())
 
@@ -24,8 +25,8 @@ def test_key_matches_oracle(spark, con, key):
 
 
 def test_every_key_has_oracle_or_is_rows_only():
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only <= {"model_metrics", "cart_risk_scores", "ab_pvalue"}
+    rows_only = set(registry.queries()) - set(registry.oracle_sql())
+    assert rows_only == {"model_metrics", "cart_risk_scores"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

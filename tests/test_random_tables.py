@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+from decimal import Decimal
 
 import duckdb
 import pandas as pd
@@ -49,13 +50,13 @@ def random_rows(seed: int, hot_user: bool = False):
                 events.append((eid, u, sid, rnd.choice(schemas.STAGES), None, ts))
                 eid += 1
             for _ in range(rnd.choice([0, 0, 1, 2])):  # sessions with two orders
-                orders.append((oid, u, sid, round(rnd.uniform(5, 500), 2), rnd.choice(schemas.CATEGORIES), day))
+                orders.append((oid, u, sid, Decimal(rnd.randint(500, 50000)) / 100, rnd.choice(schemas.CATEGORIES), day))
                 oid += 1
     for _ in range(3):  # orphan events and orders
         ts = dt.datetime.combine(D0, dt.time())
         events.append((eid, 999, 99999, rnd.choice(schemas.STAGES), None, ts))
         eid += 1
-        orders.append((oid, rnd.choice([1, 999]), 99998, 10.0, "Fashion", D0))
+        orders.append((oid, rnd.choice([1, 999]), 99998, Decimal(10), "Fashion", D0))
         oid += 1
     experiments = []
     xid = 1
@@ -73,7 +74,7 @@ def duck_for(rows) -> duckdb.DuckDBPyConnection:
         df = pd.DataFrame(rows[name], columns=schema.fieldNames())
         con.register(f"_{name}", df)
         casts = {
-            "LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+            "LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE", "DecimalType(10,2)": "DECIMAL(10,2)", "StringType()": "VARCHAR",
             "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP",
         }
         cols = ", ".join(f'CAST("{f.name}" AS {casts[repr(f.dataType)]}) AS "{f.name}"' for f in schema.fields)

@@ -8,6 +8,7 @@ import pytest
 
 from conftest import SF_ORACLE
 from oracle_compare import compare, duck
+from tidemark.plans import registry
 
 FORCED = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -39,10 +40,37 @@ def test_shuffle_joins_with_skew_splitting_match_oracle(forced, key):
     assert res["status"] == "ok", res
 
 
-def test_forced_plan_uses_sort_merge_joins(forced):
-    import __spark_entry__ as entry
+def final_plan(df) -> str:
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    return execution.executedPlan().executedPlan().toString()
+
 
-    df = entry.queries()["funnel_sessions_channel"](forced, SF_ORACLE)
-    df.write.format("noop").mode("overwrite").save()
-    plan = df._jdf.queryExecution().executedPlan().toString()
+def test_forced_plan_uses_sort_merge_joins(forced):
+    plan = final_plan(registry.queries()["funnel_sessions_channel"](forced, SF_ORACLE))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("key", ["business_kpis", "past_purchases", "segment_performance", "funnel_sessions", "ab_results"])
+def test_a_hot_user_reaches_no_exchange_unsummed(forced, tmp_path, key):
+    """One user has 100,000 of 102,000 events. Every exchange by user_id must
+    carry partially aggregated rows, or a skewed join must be split."""
+    hot = forced.range(102_000).selectExpr(
+        "id AS event_id", "IF(id < 100000, 1L, id % 500) AS user_id",
+        "timestamp'2024-01-01' + make_interval(0, 0, 0, CAST(id % 29 AS INT)) AS ts",
+        "element_at(array('view', 'click', 'purchase', 'error', 'signup'), CAST(id % 5 + 1 AS INT)) AS event_type",
+        "CAST(id % 100 AS DOUBLE) AS value", "concat('{\"k\":', id % 100, '}') AS props",
+    )
+    hot.repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("customer", "nation"):
+        forced.read.parquet(f"{SF_ORACLE}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    df = registry.queries()[key](forced, str(tmp_path))
+    plan = final_plan(df)
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning(user_id" in line:
+            below = " ".join(lines[i + 1 : i + 7])
+            small = "partial_" in below or "HashAggregate" in below or "c_custkey" in below
+            assert small or "skew=true" in plan, plan
+    events = [int(r.n) for r in hot.groupBy("user_id").count().selectExpr("max(count) AS n").collect()]
+    assert events == [100_004]

@@ -1,27 +1,11 @@
 from tidemark.functions.metrics import (
-    ALL_LABELS,
-    cents,
-    dollars,
-    money_text,
-    none_if_all,
+    UNITS,
+    money,
+    money_units,
     optional_eq,
     pct2,
-    ratio_pct,
-    round2,
     round_ratio,
     signed_pct2,
 )
 
-__all__ = [
-    "ALL_LABELS",
-    "cents",
-    "dollars",
-    "money_text",
-    "none_if_all",
-    "optional_eq",
-    "pct2",
-    "ratio_pct",
-    "round2",
-    "round_ratio",
-    "signed_pct2",
-]
+__all__ = ["UNITS", "money", "money_units", "optional_eq", "pct2", "round_ratio", "signed_pct2"]

@@ -42,26 +42,28 @@ def signed_pct2(num: Column | str, den: Column | str) -> Column:
     return F.signum(n) * pct2(F.abs(n), den)
 
 
-def ratio_pct(num: Column | str, den: Column | str) -> Column:
-    """Unrounded ``100 * num / den``; NULL when ``den`` is 0."""
-    return F.lit(100.0) * _col(num).cast("double") / F.nullif(_col(den).cast("double"), F.lit(0.0))
+#: Money is summed in whole units of a ten-thousandth.
+UNITS = 10_000
 
 
-def round2(x: Column | str) -> Column:
-    """ROUND(x, 2), half away from zero."""
-    return F.round(_col(x), 2)
+def money_units(amount: Column | str) -> Column:
+    """A money amount as a whole number of ``UNITS``. Decimal amounts convert
+    exactly, doubles by their four-decimal value, so totals don't depend on
+    the order of summation and are rounded once, at the end."""
+    return (_col(amount).cast("decimal(18,4)") * F.lit(UNITS)).cast("bigint")
 
 
-def cents(amount: Column | str) -> Column:
-    """A money amount (at most two decimals, the declared DECIMAL(10,2)) as
-    whole cents. Sums of cents are exact and independent of summation
-    order, so totals and their rounded ratios are reproducible."""
-    return F.round(_col(amount) * F.lit(100)).cast("bigint")
-
-
-def dollars(cents_col: Column | str) -> Column:
-    """Whole cents back to a double amount."""
-    return _col(cents_col).cast("double") / F.lit(100.0)
+def money(units: Column | str, count: Column | str | None = None) -> Column:
+    """Units, or their mean over ``count``, as an amount rounded half-up to
+    cents; NULL for no units or a count of 0. Decimal arithmetic throughout,
+    so neither totals nor ties depend on a binary fraction."""
+    n = _col(units).cast("decimal(28,0)")
+    d = F.lit(UNITS).cast("decimal(28,0)")
+    if count is not None:
+        d = (F.nullif(_col(count).cast("bigint"), F.lit(0)) * F.lit(UNITS)).cast("decimal(28,0)")
+    x, y = F.abs(n) * F.lit(200) + d, d * F.lit(2)
+    rounded = ((x - x % y) / y).cast("double") / F.lit(100.0)
+    return F.signum(n).cast("double") * rounded
 
 
 def optional_eq(df: DataFrame, column: str, value) -> DataFrame:
@@ -74,19 +76,3 @@ def optional_eq(df: DataFrame, column: str, value) -> DataFrame:
     if value is None:
         return df
     return df.filter(F.col(column) == F.lit(value))
-
-
-# Dashboard selector labels that mean "no filter" (fixed values).
-ALL_LABELS = ("All Regions", "All Channels", "All Devices")
-
-
-def none_if_all(choice: str | None) -> str | None:
-    """Map a selector's "All …" label to None (no filter); other values pass
-    through unchanged, including the empty string."""
-    return None if choice in ALL_LABELS else choice
-
-
-def money_text(x: Column | str) -> Column:
-    """Display text with thousands separators and two decimals
-    (``1234.5`` → ``1,234.50``), for presentation columns only."""
-    return F.format_number(_col(x), 2)

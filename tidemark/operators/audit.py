@@ -58,18 +58,34 @@ def null_values(tables: AppTables) -> list[DataFrame]:
 
 
 def orphan_keys(tables: AppTables) -> list[DataFrame]:
+    """A child's foreign keys are counted by their distinct combinations in one
+    aggregation, whose exchange its checks share."""
     frames = tables.as_dict()
+    keys_of = {child: sorted({c for t, c, *_ in schemas.FOREIGN_KEYS if t == child}) for child, *_ in schemas.FOREIGN_KEYS}
+    counted = {child: frames[child].groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) for child, keys in keys_of.items()}
     out = []
     for child, col, parent, pcol in schemas.FOREIGN_KEYS:
-        keys = (
-            frames[child].filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-        )
+        keys = counted[child].filter(F.col(col).isNotNull()).groupBy(col).agg(F.sum("_n").alias("_n"))
         parents = frames[parent].select(F.col(pcol).alias(col))
-        missing = keys.join(parents, col, "left_anti")
-        out.append(_row(missing, "orphan_key", child, col, F.sum("_n")))
+        out.append(_row(keys.join(parents, col, "left_anti"), "orphan_key", child, col, F.sum("_n")))
     return out
 
 
+#: Rows that ``with_defects`` spoils: those whose key is divisible by these.
+LOST_USERS, BLANK_DEVICES, DOUBLE_ORDERS, BLANK_CITIES = 41, 37, 50, 23
+
+
+def with_defects(tables: AppTables) -> AppTables:
+    """The tables with defects put into known rows, for checks of the audit:
+    users missing, devices and cities blank, orders doubled."""
+    users = tables.users.filter(F.col("user_id") % LOST_USERS != 0).withColumn(
+        "city", F.when(F.col("user_id") % BLANK_CITIES != 0, F.col("city"))
+    )
+    sessions = tables.sessions.withColumn("device_type", F.when(F.col("user_id") % BLANK_DEVICES != 0, F.col("device_type")))
+    orders = tables.orders.unionByName(tables.orders.filter(F.col("order_id") % DOUBLE_ORDERS == 0))
+    return AppTables(users, sessions, tables.events, orders, tables.experiments)
+
+
 def integrity_audit(tables: AppTables) -> DataFrame:
     """All checks as rows (check_name, table_name, column_name, violations)."""
     frames = duplicate_keys(tables) + null_values(tables) + orphan_keys(tables)

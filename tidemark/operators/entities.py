@@ -17,50 +17,44 @@ from pyspark.sql import functions as F
 from tidemark.sources import schemas
 
 
-def day_number(day: Column, origin: dt.date) -> Column:
-    """Whole days between ``origin`` and ``day``."""
-    return F.date_diff(day, F.lit(origin))
-
-
-def session_key(user_id: Column, day: Column, origin: dt.date, multiplier: int = 1000) -> Column:
-    """Deterministic session id for the one-session-per-(user, day) rule:
-    ``user_id * multiplier + days(day - origin)``."""
-    return user_id.cast("bigint") * F.lit(multiplier) + day_number(day, origin).cast("bigint")
+#: Days from 1970-01-01 that a session key has room for (to the year 2243).
+SESSION_DAYS = 100_000
+
+
+def session_key(user_id: Column, day: Column) -> Column:
+    """Session id of the one-session-per-(user, day) rule: the user and the day
+    since 1970-01-01 in disjoint digits, so no two sessions share an id. A day
+    outside the range raises an error; NULL for no user or no day."""
+    number = F.unix_date(day).cast("bigint")
+    fits = number.between(0, SESSION_DAYS - 1)
+    key = user_id.cast("bigint") * F.lit(SESSION_DAYS) + number
+    return F.when(fits | number.isNull(), key).otherwise(
+        F.raise_error(F.concat(F.lit("no session key for day "), day.cast("string"))).cast("bigint")
+    )
 
 
-def sessionize(
-    events: DataFrame,
-    *,
-    session_col: str = "session_id",
-    user_col: str = "user_id",
-    ts_col: str = "timestamp",
-    day_col: str = "event_date",
-    order_col: str = "event_id",
-    first_event_attrs: dict[str, Column] | None = None,
-    extra_aggs: list[Column] | None = None,
-) -> DataFrame:
-    """I1 + I2: one row per session.
-
-    ``events`` already carries the session key (one session per user and day).
-    The grouping key is the session id alone, so the output is hash-partitioned
-    on it and joins with other per-session aggregates need no re-shuffle; user
-    and day are functionally dependent on it.
-
-    ``session_duration`` is the whole seconds between the first and last event
-    (0 for single-event sessions). ``first_event_attrs`` maps output names to
-    expressions evaluated on the session's lowest-``order_col`` event.
-    ``extra_aggs`` are further per-session aggregates computed in the same
-    pass (e.g. stage counts, so the session mart needs no second scan).
-    """
-    aggs = [
-        F.min(user_col).alias("user_id"),
-        F.min(day_col).alias("session_date"),
-        F.timestamp_diff("SECOND", F.min(ts_col), F.max(ts_col)).alias("session_duration"),
-    ]
-    for name, expr in (first_event_attrs or {}).items():
-        aggs.append(F.min_by(expr, F.col(order_col)).alias(name))
-    aggs.extend(extra_aggs or [])
-    return events.groupBy(F.col(session_col).alias("session_id")).agg(*aggs)
+def sessionize(events: DataFrame, first_event: dict[str, str], extra_aggs: list[Column]) -> DataFrame:
+    """I1 + I2: one row per session, in one hash aggregation of ``events``
+    (session_id, user_id, timestamp, event_date, event_id and whatever the
+    further aggregates read).
+
+    Events without a session (no user or no day) belong to none. The duration
+    is the whole seconds between the first and the last event. ``first_event``
+    maps output names to *numeric* columns, whose value at the lowest event_id
+    is kept (also if NULL): a string there would force Spark to sort the raw
+    events. What derives from them is derived after the aggregation.
+    ``extra_aggs`` are computed in the same pass."""
+    return (
+        events.filter(F.col("session_id").isNotNull())
+        .groupBy("session_id")
+        .agg(
+            F.min("user_id").alias("user_id"),
+            F.min("event_date").alias("session_date"),
+            F.timestamp_diff("SECOND", F.min("timestamp"), F.max("timestamp")).alias("session_duration"),
+            *[F.min_by(column, "event_id").alias(name) for name, column in first_event.items()],
+            *extra_aggs,
+        )
+    )
 
 
 def active_days(sessions: DataFrame) -> DataFrame:
@@ -71,7 +65,7 @@ def active_days(sessions: DataFrame) -> DataFrame:
 def segment_users(
     users: DataFrame,
     sessions: DataFrame,
-    end_date: dt.date,
+    end_date: dt.date | Column,
     new_window_days: int = schemas.NEW_USER_WINDOW_DAYS,
     repeat_min_days: int = schemas.REPEAT_MIN_ACTIVE_DAYS,
 ) -> DataFrame:
@@ -79,11 +73,11 @@ def segment_users(
     with at least ``repeat_min_days`` active days; else Dormant. First match
     wins, so a New user's activity is ignored. Users without sessions have 0
     active days."""
-    cutoff = end_date - dt.timedelta(days=new_window_days)
+    cutoff = F.date_sub(end_date if isinstance(end_date, Column) else F.lit(end_date), new_window_days)
     days = active_days(sessions)
     n_days = F.coalesce(F.col("active_days"), F.lit(0))
     segment = (
-        F.when(F.col("signup_date") >= F.lit(cutoff), F.lit(schemas.SEGMENT_NEW))
+        F.when(F.col("signup_date") >= cutoff, F.lit(schemas.SEGMENT_NEW))
         .when(n_days >= repeat_min_days, F.lit(schemas.SEGMENT_REPEAT))
         .otherwise(F.lit(schemas.SEGMENT_DORMANT))
     )
@@ -115,7 +109,7 @@ def orders_from_events(
         F.col("event_id").alias("order_id"),
         "user_id",
         "session_id",
-        amount.cast("double").alias("amount"),
+        amount.alias("amount"),
         category.alias("category"),
         F.col(day_col).alias("order_date"),
     )

@@ -1,41 +1,47 @@
 """The session mart: one row per session with its attributes, stage counts,
 stage flags and order totals (SURVEY 7.2).
 
-Built from one aggregation of events and one of orders, both keyed by
-``session_id``; the sessions table joins them on the same key, so the two
-aggregates arrive already hash-partitioned and the joins add no shuffle of
-their own. Most reports are cheap sums over this table.
+Tables that are mapped from raw events bring a rollup: one hash aggregation of
+the events gives the sessions' attributes, stage counts, and order counts and
+amounts together, so the mart is one scan and one shuffle. Tables read from a
+store have sessions, events and orders apart; there the counts and totals are
+aggregated by ``session_id`` and joined to the sessions on it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import cents, dollars
+from tidemark.functions import money_units
 from tidemark.operators import flags
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
 
 _COUNT_COLS = flags.COUNT_COLS
+#: Order rows of a session, those with an amount, and their amount in units.
+ORDER_COLS = ["n_orders", "n_amounts", "order_units"]
+
+
+def order_aggs(amount: Column, is_order: Column) -> list[Column]:
+    return [
+        F.count_if(is_order).alias("n_orders"),
+        F.count(F.when(is_order, amount)).alias("n_amounts"),
+        F.sum(F.when(is_order, money_units(amount))).alias("order_units"),
+    ]
 
 
 def order_facts(orders: DataFrame) -> DataFrame:
-    """Per session: number of order rows and their summed amount (exact,
-    summed in cents)."""
-    return orders.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("n_orders"),
-        dollars(F.sum(cents("amount"))).alias("order_amount"),
-        F.sum(cents("amount")).alias("order_cents"),
-    )
+    """Order totals per session."""
+    return orders.groupBy("session_id").agg(*order_aggs(F.col("amount"), F.lit(True)))
 
 
 def session_mart(tables: AppTables) -> DataFrame:
     """sessions ⟕ stage counts ⟕ order facts.
 
     Columns: the session's own columns, ``n_<stage>`` and ``n_events``
-    (0 for sessions without events), ``has_<stage>`` flags (0/1),
-    ``n_orders`` (0 when none) and ``order_amount`` (NULL when none).
+    (0 for sessions without events), ``has_<stage>`` flags (0/1), and
+    ``ORDER_COLS`` (counts 0 and units NULL when there are none).
     The plan is built once per ``AppTables`` and shared by its reports.
     """
     if "session_mart" not in tables.memo:
@@ -45,13 +51,11 @@ def session_mart(tables: AppTables) -> DataFrame:
 
 def _build_mart(tables: AppTables) -> DataFrame:
     if tables.session_rollup is not None:
-        with_counts = tables.session_rollup
+        counted = tables.session_rollup
     else:
-        with_counts = tables.sessions.join(flags.stage_counts(tables.events, "session_id"), "session_id", "left")
-    mart = (
-        with_counts.join(order_facts(tables.orders), "session_id", "left")
-        .fillna(0, subset=_COUNT_COLS + ["n_orders"])
-    )
-    return mart.select(
+        counted = tables.sessions.join(flags.stage_counts(tables.events, "session_id"), "session_id", "left").join(
+            order_facts(tables.orders), "session_id", "left"
+        )
+    return counted.fillna(0, subset=[*_COUNT_COLS, "n_orders", "n_amounts"]).select(
         "*", *[flags.has_flag(k).alias(flags.has_col(k)) for k in schemas.STAGE_KEYS]
     )

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import flags, history
@@ -23,6 +23,7 @@ from tidemark.plans.mart import session_mart
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
 
+# The model's inputs, in order, and the forest's size.
 FEATURES = [
     "session_duration",
     "num_products_viewed",
@@ -31,6 +32,7 @@ FEATURES = [
     "discount_coupon_applied",
     "is_ios",
 ]
+NUM_TREES, MAX_DEPTH = 100, 6
 LABEL = "abandoned"
 
 
@@ -84,15 +86,15 @@ def split_key(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
 
 
-MAX_CLASSES = 1000  # per-class tables below are collected; more classes is an error
+MAX_CLASSES = 1000  # classes a label may have unless the caller allows more
 
 
-def _per_class(df: DataFrame, label_col: str, what: str) -> list:
+def _per_class(df: DataFrame, label_col: str, what: str, max_classes: int = MAX_CLASSES) -> list:
     """Collect a per-class table (one row per label value) after checking
     that it is small: its size is bounded by the number of classes."""
-    rows = df.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{what}: more than {MAX_CLASSES} distinct values of {label_col!r}")
+    rows = df.limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"{what}: more than {max_classes} distinct values of {label_col!r}")
     return rows
 
 
@@ -115,6 +117,7 @@ def stratified_split(
     test_pct: int = 20,
     seed: int = 42,
     bucket_hex_digits: int = 5,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Exact stratified split: per label, the ``round(test_pct% · n_label)``
     rows with the smallest ``split_key`` are ``test``, the rest ``train``.
@@ -125,7 +128,9 @@ def stratified_split(
     running count over it (bounded by the bucket count) locate each label's
     cut bucket. Only that small per-class result reaches the driver; rows
     below the cut bucket are test, above it train, and only the cut bucket's
-    few rows are ranked individually.
+    few rows are ranked individually. That bucket holds about a 16^digits-th
+    of a label: raise ``bucket_hex_digits`` (to 13 at most) with the rows of a
+    label, so that one task can rank it.
     """
     key = split_key(F.col(id_col), seed)
     keyed = df.select(
@@ -149,6 +154,7 @@ def stratified_split(
         cut.select(label_col, "_bucket", (F.col("_k") - (F.col("_cum") - F.col("_cnt"))).alias("_take")),
         label_col,
         "stratified_split",
+        max_classes,
     )
     # Labels without a cut bucket (k = 0) keep -1: every row is train.
     cut_bucket = _by_class(label_col, {r[0]: r[1] for r in cut_rows}, -1)
@@ -191,7 +197,7 @@ def _class_weights(train: DataFrame, label_col: str) -> Column:
     return _by_class(label_col, weights, 1.0).cast("double")
 
 
-def build_pipeline(num_trees: int = 100, max_depth: int = 6, seed: int = 42) -> Pipeline:
+def build_pipeline(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = 42) -> Pipeline:
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="raw_features", handleInvalid="keep")
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     forest = RandomForestClassifier(
@@ -249,35 +255,31 @@ def classification_metrics(predictions: DataFrame) -> DataFrame:
 
 
 def train_cart_model(
-    features: DataFrame,
     split: DataFrame,
     min_accuracy: float | None = schemas.GATE_MIN_ACCURACY,
     min_f1: float | None = schemas.GATE_MIN_F1,
     model_path: str | None = None,
-    num_trees: int = 100,
-    max_depth: int = 6,
+    num_trees: int = NUM_TREES,
+    max_depth: int = MAX_DEPTH,
     seed: int = 42,
 ) -> TrainedModel:
-    """Fit scaler + forest on the train split with balanced class weights,
-    evaluate on the test split, apply the gate, then (only if it passes)
-    save the pipeline to ``model_path``. A gate bound of None disables it.
-
-    The labelled input is persisted (memory, spilling to disk) for the
-    duration of the fit: the scaler and every tree level re-read it, and
-    recomputing the feature plan each time would repeat its shuffles."""
-    data = _model_input(features.join(split.select("session_id", "split"), "session_id"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    train = data.filter(F.col("split") == "train")
-    train = train.withColumn("weight", _class_weights(train, LABEL)).persist(StorageLevel.MEMORY_AND_DISK)
+    """Fit scaler + forest on the ``train`` rows of ``split`` (see
+    ``stratified_split``) with balanced class weights, evaluate on its
+    ``test`` rows, apply the gate, then (only if it passes) save the pipeline
+    to ``model_path``. A gate bound of None disables it.
+
+    The rows are persisted once (memory, spilling to disk) for the duration of
+    the fit: the class counts, the scaler and every tree level re-read them."""
+    data = _model_input(split).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        train = data.filter(F.col("split") == "train")
+        train = train.withColumn("weight", _class_weights(train, LABEL))
         model = build_pipeline(num_trees, max_depth, seed).fit(train)
         test = data.filter(F.col("split") == "test").withColumn("weight", F.lit(1.0))
         values = {r["metric"]: r["value"] for r in classification_metrics(model.transform(test)).collect()}
     finally:
-        train.unpersist()
         data.unpersist()
-    spark = features.sparkSession
-    metrics = spark.createDataFrame(list(values.items()), "metric string, value double")
+    metrics = split.sparkSession.createDataFrame(list(values.items()), "metric string, value double")
     passed = (min_accuracy is None or (values.get("accuracy") or 0.0) >= min_accuracy) and (
         min_f1 is None or (values.get("f1_1") or 0.0) >= min_f1
     )
@@ -290,12 +292,46 @@ def train_cart_model(
     return TrainedModel(model=model, metrics=metrics, gate_passed=passed)
 
 
-def load_cart_model(path: str) -> PipelineModel | None:
-    """The saved pipeline, or None when nothing was saved there."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - absent model → no model, as the reference
+def load_cart_model(spark: SparkSession, path: str) -> PipelineModel | None:
+    """The saved pipeline, or None when nothing was saved there; a damaged or
+    forbidden path is an error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return None
+    return PipelineModel.load(path)
+
+
+def class_weights(split: DataFrame, label_col: str = LABEL) -> DataFrame:
+    """Per label of the train rows: their number and balanced weight (a window
+    over the per-label rows only)."""
+    counts = split.filter(F.col("split") == "train").groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    everything = Window.partitionBy()
+    weight = F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n"))
+    return counts.select(label_col, "n", F.round(weight, 6).alias("weight"))
+
+
+def feature_scaling(split: DataFrame) -> DataFrame:
+    """Per feature, mean and sample deviation over the train rows: what the
+    pipeline's scaler subtracts and divides by."""
+    train = _model_input(split.filter(F.col("split") == "train"))
+    wide = train.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    rows = [
+        F.struct(F.lit(c).alias("feature"), F.round(f"m_{c}", 6).alias("mean"), F.round(f"s_{c}", 6).alias("deviation"))
+        for c in FEATURES
+    ]
+    return wide.select(F.inline(F.array(*rows)))
+
+
+#: A rule in place of the forest, for checks of what surrounds it: a session is
+#: predicted abandoned with fewer views than twice its cart items.
+RULE_VIEWS_PER_ITEM = 2
+
+
+def rule_report(split: DataFrame) -> DataFrame:
+    """``classification_metrics`` of the rule on the test rows."""
+    abandoned = F.col("num_products_viewed") < F.col("items_added_to_cart") * RULE_VIEWS_PER_ITEM
+    test = _model_input(split.filter(F.col("split") == "test")).withColumn("prediction", abandoned.cast("double"))
+    return classification_metrics(test).select("metric", F.round("value", 6).alias("value"))
 
 
 # --- J18 scoring ------------------------------------------------------------------
@@ -326,11 +362,20 @@ def score_sessions(model: PipelineModel, features: DataFrame) -> DataFrame:
     return out.select("*", risk_band(F.col("risk_pct")).alias("risk_band"), risk_action(F.col("risk_pct")).alias("action"))
 
 
+def rule_risk(features: DataFrame) -> DataFrame:
+    """Risk bands over a rule's score (whole numbers from 0 to 100, so the
+    bounds themselves occur): 100 without cart items, as the model's scores."""
+    points = F.col("items_added_to_cart") * 10 + F.col("num_products_viewed") * 5 + F.col("is_ios") * 20
+    risk = F.when(F.col("items_added_to_cart") == 0, F.lit(100.0)).otherwise(F.least(points, F.lit(100)).cast("double"))
+    out = features.select("session_id", "items_added_to_cart", risk.alias("risk_pct"))
+    return out.select("*", risk_band(F.col("risk_pct")).alias("risk_band"), risk_action(F.col("risk_pct")).alias("action"))
+
+
 def model_metrics_report(tables: AppTables, seed: int = 42) -> DataFrame:
     """Train without the gate and report the test metrics plus the gate
     outcome as (metric, value) rows."""
-    feats = cart_features(tables)
-    trained = train_cart_model(feats, stratified_split(feats, seed=seed), min_accuracy=None, min_f1=None, seed=seed)
+    split = stratified_split(cart_features(tables), seed=seed)
+    trained = train_cart_model(split, min_accuracy=None, min_f1=None, seed=seed)
     values = trained.metrics.agg(
         F.max(F.when(F.col("metric") == "accuracy", F.col("value"))).alias("a"),
         F.max(F.when(F.col("metric") == "f1_1", F.col("value"))).alias("f"),
@@ -345,10 +390,13 @@ def model_metrics_report(tables: AppTables, seed: int = 42) -> DataFrame:
     return trained.metrics.unionByName(gate)
 
 
-def cart_risk_scores(tables: AppTables, seed: int = 42) -> DataFrame:
-    """Train (no gate) on cart sessions and score every session in batch."""
-    mart = session_mart(tables)
-    all_feats = session_features(tables, mart)
-    feats = all_feats.filter(F.col("items_added_to_cart") > 0)
-    trained = train_cart_model(feats, stratified_split(feats, seed=seed), min_accuracy=None, min_f1=None, seed=seed)
-    return score_sessions(trained.model, all_feats)
+def cart_risk_scores(tables: AppTables, seed: int = 42, model_path: str | None = None) -> DataFrame:
+    """Score every session in batch with the model saved at ``model_path``;
+    where there is none, train (no gate) on the cart sessions first, and save."""
+    features = session_features(tables)
+    spark = features.sparkSession
+    model = load_cart_model(spark, model_path) if model_path else None
+    if model is None:
+        split = stratified_split(features.filter(F.col("items_added_to_cart") > 0), seed=seed)
+        model = train_cart_model(split, min_accuracy=None, min_f1=None, model_path=model_path, seed=seed).model
+    return score_sessions(model, features)

@@ -12,6 +12,7 @@ half-up rule as ``tidemark.functions.pct2``.
 
 from __future__ import annotations
 
+from tidemark.functions import UNITS
 from tidemark.sources import schemas
 from tidemark.sources.driver_data import oracle_cte
 
@@ -162,8 +163,14 @@ SELECT acquisition_channel, cohort_size,
 FROM sizes""")
 
 
-def _cents(col: str) -> str:
-    return f"CAST(ROUND({col} * 100) AS BIGINT)"
+def _units(col: str) -> str:
+    return f"CAST(CAST({col} AS DECIMAL(18,4)) * {UNITS} AS BIGINT)"
+
+
+def _money(units: str, count: str = "1") -> str:
+    """Units, or their mean, half-up to cents in whole numbers."""
+    n, d = f"CAST({units} AS HUGEINT)", f"NULLIF(CAST({count} AS HUGEINT) * {UNITS}, 0)"
+    return f"(SIGN({n}) * CAST((200 * ABS({n}) + {d}) // (2 * {d}) AS DOUBLE) / 100.0)"
 
 
 def business_kpis(city: str | None = None, channel: str | None = None) -> str:
@@ -177,7 +184,7 @@ def business_kpis(city: str | None = None, channel: str | None = None) -> str:
 , kept AS (SELECT user_id FROM app_users {where_sql}),
 kept_sessions AS (SELECT session_id FROM app_sessions WHERE user_id IN (SELECT user_id FROM kept)),
 order_side AS (
-  SELECT SUM({_cents('amount')}) AS cents, COUNT(amount) AS n_amounts, COUNT(DISTINCT session_id) AS n_order_sessions
+  SELECT SUM({_units('amount')}) AS units, COUNT(amount) AS n_amounts, COUNT(DISTINCT session_id) AS n_order_sessions
   FROM app_orders WHERE user_id IN (SELECT user_id FROM kept)
 ),
 event_side AS (
@@ -186,14 +193,14 @@ event_side AS (
   FROM app_events WHERE session_id IN (SELECT session_id FROM kept_sessions)
 ),
 card AS (
-  SELECT (SELECT cents FROM order_side) AS cents, (SELECT n_amounts FROM order_side) AS n_amounts,
+  SELECT (SELECT units FROM order_side) AS units, (SELECT n_amounts FROM order_side) AS n_amounts,
          (SELECT n_order_sessions FROM order_side) AS total_orders,
          GREATEST((SELECT COUNT(DISTINCT session_id) FROM kept_sessions), 1) AS total_sessions,
          GREATEST((SELECT carts FROM event_side), 1) AS cart_base,
          (SELECT purchases FROM event_side) AS purchases
 )
-SELECT COALESCE(CAST(cents AS BIGINT) / 100.0, 0.0) AS total_revenue,
-  COALESCE({rr('cents', 'n_amounts * 100')}, 0.0) AS avg_order_value,
+SELECT COALESCE({_money('units')}, 0.0) AS total_revenue,
+  COALESCE({_money('units', 'n_amounts')}, 0.0) AS avg_order_value,
   {pct2('total_orders', 'total_sessions')} AS conversion_rate,
   {spct2('(cart_base - purchases)', 'cart_base')} AS abandonment_rate,
   total_orders, CAST(total_sessions AS BIGINT) AS total_sessions
@@ -203,15 +210,15 @@ FROM card""")
 def topline_kpis() -> str:
     return _q(f"""
 , card AS (
-  SELECT (SELECT SUM({_cents('amount')}) FROM app_orders) AS cents,
+  SELECT (SELECT SUM({_units('amount')}) FROM app_orders) AS units,
          (SELECT COUNT(amount) FROM app_orders) AS n_amounts,
          (SELECT COUNT(DISTINCT session_id) FROM app_orders) AS order_sessions,
          (SELECT COUNT(DISTINCT session_id) FROM app_sessions) AS all_sessions,
          (SELECT COUNT(DISTINCT session_id) FILTER (WHERE event_type = 'Add To Cart') FROM app_events) AS carts,
          (SELECT COUNT(DISTINCT session_id) FILTER (WHERE event_type = 'Purchase') FROM app_events) AS purchases
 )
-SELECT CAST(cents AS BIGINT) / 100.0 AS total_revenue_usd,
-  {rr('cents', 'n_amounts * 100')} AS average_order_value_usd,
+SELECT {_money('units')} AS total_revenue_usd,
+  {_money('units', 'n_amounts')} AS average_order_value_usd,
   {pct2('order_sessions', 'all_sessions')} AS overall_conversion_rate_pct,
   {spct2('(carts - purchases)', 'carts')} AS cart_abandonment_rate_pct
 FROM card""")
@@ -239,7 +246,7 @@ def segment_performance() -> str:
 , per_user AS (
   SELECT u.user_id, u.user_segment,
     (SELECT COUNT(*) FROM app_sessions s WHERE s.user_id = u.user_id) AS n_sessions,
-    (SELECT COALESCE(SUM({_cents('o.amount')}), 0)
+    (SELECT COALESCE(SUM({_units('o.amount')}), 0)
        FROM app_orders o JOIN app_sessions s ON s.session_id = o.session_id
       WHERE s.user_id = u.user_id) AS spend
   FROM app_users u
@@ -251,8 +258,8 @@ per_segment AS (
 )
 SELECT user_segment, user_count, total_sessions,
   {rr('total_sessions', 'user_count')} AS avg_sessions_per_user,
-  spend / 100.0 AS total_spend_usd,
-  {rr('spend', 'user_count * 100')} AS arpu
+  {_money('spend')} AS total_spend_usd,
+  {_money('spend', 'user_count')} AS arpu
 FROM per_segment""")
 
 
@@ -338,6 +345,31 @@ tested AS (
 SELECT *, ABS(z_score) > 2.576 AS significant_99 FROM tested""")
 
 
+def ab_pvalue() -> str:
+    """The four counts of ``ab_significance``; erfc by the same published
+    approximation, written as a sum of powers."""
+    from tidemark.plans.reports import ERFC_A, ERFC_P  # noqa: PLC0415
+
+    series = " + ".join(f"({a}) * pow(t, {i + 1})" for i, a in enumerate(ERFC_A))
+    return f"""
+WITH counts AS (SELECT n_a::DOUBLE AS n_a, x_a::DOUBLE AS x_a, n_b::DOUBLE AS n_b, x_b::DOUBLE AS x_b FROM ({ab_significance()})),
+cells AS (
+  SELECT *, n_a + n_b AS n, x_a + x_b AS bought, n_a + n_b - x_a - x_b AS unbought,
+         n_a > 0 AND n_b > 0 AND x_a + x_b > 0 AND n_a + n_b - x_a - x_b > 0 AS defined
+  FROM counts
+),
+expected AS (
+  SELECT defined, CASE WHEN defined THEN
+    pow(x_a - n_a * bought / n, 2) / (n_a * bought / n) + pow(x_b - n_b * bought / n, 2) / (n_b * bought / n)
+    + pow(x_a - n_a * bought / n, 2) / (n_a * unbought / n) + pow(x_b - n_b * bought / n, 2) / (n_b * unbought / n)
+  END AS chi2 FROM cells
+),
+tail AS (SELECT *, 1 / (1 + {ERFC_P}::DOUBLE * sqrt(chi2 / 2)) AS t FROM expected),
+tested AS (SELECT *, ({series}) * exp(-chi2 / 2) AS p FROM tail)
+SELECT round(p, 6) AS p_value, round(chi2, 6) AS chi2_statistic, CAST(defined AS INTEGER) AS dof, p < 0.01 AS significant_99
+FROM tested"""
+
+
 _DEVICE_STAGES = """
 , device_types AS (
   SELECT DISTINCT s.device_type, s.session_id, e.event_type
@@ -454,10 +486,97 @@ SELECT session_id, abandoned, CASE WHEN rn <= (n * {test_pct} + 50) // 100 THEN
 FROM ranked""")
 
 
+_SPLIT = _CART_FEATURES + """,
+numbered AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY abandoned ORDER BY md5('42:' || CAST(session_id AS VARCHAR))) AS rn,
+         COUNT(*) OVER (PARTITION BY abandoned) AS class_rows
+  FROM cart_features
+),
+train AS (SELECT * FROM numbered WHERE rn > (class_rows * 20 + 50) // 100),
+test AS (SELECT * FROM numbered WHERE rn <= (class_rows * 20 + 50) // 100)"""
+
+
+def class_weights() -> str:
+    return _q(_SPLIT + """
+SELECT abandoned, COUNT(*) AS n,
+  round((SELECT COUNT(*) FROM train)::DOUBLE / ((SELECT COUNT(DISTINCT abandoned) FROM train) * COUNT(*)), 6) AS weight
+FROM train GROUP BY abandoned""")
+
+
+def feature_scaling() -> str:
+    from tidemark.plans.ml import FEATURES  # noqa: PLC0415
+
+    return _q(_SPLIT + "".join(
+        f"{' UNION ALL' if i else ''}\nSELECT '{c}' AS feature, round(avg(COALESCE({c}, 0)::DOUBLE), 6) AS mean, "
+        f"round(stddev_samp(COALESCE({c}, 0)::DOUBLE), 6) AS deviation FROM train"
+        for i, c in enumerate(FEATURES)
+    ))
+
+
+def rule_report() -> str:
+    """Per class as by definition, from the test rows themselves."""
+    from tidemark.plans.ml import RULE_VIEWS_PER_ITEM  # noqa: PLC0415
+
+    def count(cond: str) -> str:
+        return f"(SELECT COUNT(*) FROM judged WHERE {cond})::DOUBLE"
+
+    n = count("TRUE")
+    rates = {"accuracy": f"{count('said = abandoned')} / NULLIF({n}, 0)"}
+    for c in (0, 1):
+        hit, said, real = (count(x) for x in (f"said = {c} AND abandoned = {c}", f"said = {c}", f"abandoned = {c}"))
+        rates |= {
+            f"precision_{c}": f"{hit} / NULLIF({said}, 0)",
+            f"recall_{c}": f"{hit} / NULLIF({real}, 0)",
+            f"f1_{c}": f"2 * {hit} / NULLIF({said} + {real}, 0)",
+            f"support_{c}": real,
+        }
+    for m in ("precision", "recall", "f1"):
+        a, b = (f"COALESCE({rates[f'{m}_{c}']}, 0)" for c in (0, 1))
+        rates[f"{m}_macro"] = f"({a} + {b}) / 2"
+        rates[f"{m}_weighted"] = f"({a} * {rates['support_0']} + {b} * {rates['support_1']}) / NULLIF({n}, 0)"
+    rows = "\nUNION ALL ".join(f"SELECT '{k}' AS metric, round({v}, 6) AS value" for k, v in rates.items())
+    return _q(_SPLIT + f""",
+judged AS (SELECT abandoned, CAST(num_products_viewed < items_added_to_cart * {RULE_VIEWS_PER_ITEM} AS INTEGER) AS said FROM test)
+{rows}""")
+
+
+def risk_bands() -> str:
+    return _q("""
+, tally AS (
+  SELECT s.session_id, s.device_type, COUNT(*) FILTER (WHERE e.event_type = 'Add To Cart') AS items_added_to_cart,
+         COUNT(*) FILTER (WHERE e.event_type = 'View Product') AS views
+  FROM app_sessions s JOIN app_events e ON e.session_id = s.session_id GROUP BY s.session_id, s.device_type
+),
+scored AS (
+  SELECT session_id, items_added_to_cart, CASE WHEN items_added_to_cart = 0 THEN 100.0 ELSE
+    CAST(least(100, 10 * items_added_to_cart + 5 * views + CASE WHEN device_type = 'iOS' THEN 20 ELSE 0 END) AS DOUBLE)
+  END::DOUBLE AS risk_pct
+  FROM tally
+)
+SELECT *, CASE WHEN risk_pct > 70 THEN 'HIGH' WHEN risk_pct > 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_band,
+  CASE WHEN risk_pct > 70 THEN 'offer' ELSE 'maintain' END AS action
+FROM scored""")
+
+
 # --- integrity audit ----------------------------------------------------------------
 
 
-def integrity_audit() -> str:
+def _defects() -> str:
+    """The spoiled tables of ``audit.with_defects`` as bad_<table>."""
+    from tidemark.operators import audit  # noqa: PLC0415
+
+    return f"""
+, bad_users AS (
+  SELECT * REPLACE (CASE WHEN user_id % {audit.BLANK_CITIES} <> 0 THEN city END AS city)
+  FROM app_users WHERE user_id % {audit.LOST_USERS} <> 0
+),
+bad_sessions AS (SELECT * REPLACE (CASE WHEN user_id % {audit.BLANK_DEVICES} <> 0 THEN device_type END AS device_type) FROM app_sessions),
+bad_events AS (SELECT * FROM app_events),
+bad_orders AS (SELECT * FROM app_orders UNION ALL SELECT * FROM app_orders WHERE order_id % {audit.DOUBLE_ORDERS} = 0),
+bad_experiments AS (SELECT * FROM app_experiments)"""
+
+
+def integrity_audit(defects: bool = False) -> str:
     parts = []
     for table, key in schemas.PRIMARY_KEYS.items():
         parts.append(
@@ -476,6 +595,8 @@ def integrity_audit() -> str:
             f"SELECT 'orphan_key', '{child}', '{col}', (SELECT COUNT(*) FROM app_{child} c WHERE c.{col} IS NOT NULL "
             f"AND NOT EXISTS (SELECT 1 FROM app_{parent} p WHERE p.{pcol} = c.{col}))"
         )
+    if defects:
+        return _q(_defects() + ("\n" + "\nUNION ALL ".join(parts)).replace("app_", "bad_"))
     return _q("\n" + "\nUNION ALL ".join(parts))
 
 

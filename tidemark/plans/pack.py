@@ -1,63 +1,31 @@
-"""The named report pack: every deterministic report built from
-one materialised session mart and written as one Parquet folder per report.
-
-The derived tables and the mart are written once as Parquet to the shared
-folder named by ``spark.checkpoint.dir`` and read back: later reports read
-them instead of re-running the event aggregation, and a lost executor does
-not force recomputing the lineage. A failing report is recorded and does not
-stop the others.
+"""The named report pack: every deterministic report of the registry,
+built from one materialised session mart and written as one Parquet folder per
+report.
+
+The derived tables and the mart are written once as Parquet to a run folder
+below ``spark.checkpoint.dir`` and read back: later reports read them instead
+of re-running the event aggregation, and a lost executor does not force
+recomputing the lineage. The folder goes when the pack is written. A failing
+report is recorded and does not stop the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tidemark.operators import audit, entities
-from tidemark.plans import ml, reports
-from tidemark.plans.mart import session_mart
-from tidemark.sources.io import AppTables, materialize, materialize_tables, write_reports
-
+from pyspark.sql import SparkSession
 
-def report_builders(tables: AppTables, mart: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    return {
-        "funnel_by_device": lambda: reports.funnel_by_device(tables, mart),
-        "funnel_sessions": lambda: reports.funnel_sessions(tables, mart=mart),
-        "funnel_sessions_ios": lambda: reports.funnel_sessions(tables, device_type="iOS", mart=mart),
-        "funnel_sessions_android": lambda: reports.funnel_sessions(tables, device_type="Android", mart=mart),
-        "retention_by_channel": lambda: reports.retention_by_channel(tables),
-        "retention_grid": lambda: reports.retention_grid(tables),
-        "retention_validation": lambda: reports.retention_validation(tables),
-        "acquisition_share": lambda: reports.acquisition_share(tables),
-        "business_kpis": lambda: reports.business_kpis(tables, mart=mart),
-        "topline_kpis": lambda: reports.topline_kpis(tables),
-        "filter_options": lambda: reports.filter_options(tables),
-        "table_counts": lambda: reports.table_counts(tables),
-        "segment_performance": lambda: reports.segment_performance(tables, mart),
-        "segment_by_channel": lambda: reports.segment_by_channel(tables),
-        "ab_results": lambda: reports.ab_results(tables, mart),
-        "ab_raw": lambda: reports.ab_raw(tables, mart),
-        "ab_lift": lambda: reports.ab_lift(tables, mart),
-        "ab_significance": lambda: reports.ab_significance(tables, mart),
-        "device_checkout": lambda: reports.device_checkout(tables, mart),
-        "device_leakage": lambda: reports.device_leakage(tables, mart=mart),
-        "user_active_days": lambda: entities.active_days(tables.sessions),
-        "cart_features": lambda: ml.cart_features(tables, mart),
-        "integrity_audit": lambda: audit.integrity_audit(tables),
-    }
+from tidemark.plans.registry import REPORTS, with_mart
+from tidemark.sources.io import AppTables, materialize_tables, run_folder, write_reports
 
 
 def run_report_pack(spark: SparkSession, tables: AppTables, out_dir: str) -> dict[str, str]:
     """Write every report under ``out_dir/<name>``; returns per-report status."""
-    tables = materialize_tables(tables)
-    mart = materialize(session_mart(tables), "session_mart")
-    built = {}
-    status = {}
-    for name, build in report_builders(tables, mart).items():
-        try:
-            built[name] = build()
-        except Exception as exc:  # noqa: BLE001 - one bad report must not stop the pack
-            status[name] = f"{type(exc).__name__}: {exc}".splitlines()[0]
-    status.update(write_reports(built, out_dir))
+    built, status = {}, {}
+    with run_folder(spark) as folder:
+        tables = with_mart(materialize_tables(tables, folder), folder)
+        for name, report in REPORTS.items():
+            try:
+                built[name] = report(tables)
+            except Exception as exc:  # noqa: BLE001 - one bad report must not stop the pack
+                status[name] = f"{type(exc).__name__}: {exc}".splitlines()[0]
+        status.update(write_reports(built, out_dir))
     return status

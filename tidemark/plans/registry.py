@@ -1,8 +1,12 @@
-"""Named report registry: one Spark builder per key, and the DuckDB oracle
-SQL for every key whose result is deterministic.
-
-Every builder takes ``(spark, sf_dir)``, derives the app tables from the
-whole test tables in ``sf_dir`` and returns a lazy DataFrame.
+"""Named report registry: what each key builds from the app tables, one Spark
+builder per key, and the DuckDB oracle SQL of every key whose result is
+deterministic.
+
+Every builder takes ``(spark, sf_dir)`` and derives the app tables from the
+whole test tables in ``sf_dir``, whose files are listed anew each time. Most
+return a lazy DataFrame. The split's cut points and the models are computed by
+jobs while building; the composite reports (``MATERIALIZED``) write the derived
+tables, take the report's few rows and remove the tables again.
 """
 
 from __future__ import annotations
@@ -13,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import audit, entities
 from tidemark.plans import ml, oracle, reports, sql_reports
-from tidemark.sources.driver_data import load_app_tables
 from tidemark.plans.mart import session_mart
-from tidemark.sources.io import AppTables, materialize, materialize_tables
+from tidemark.sources.driver_data import load_app_tables
+from tidemark.sources.io import AppTables, materialize, materialize_tables, run_folder
 
 # Report parameters used by the filtered keys.
 FUNNEL_DEVICE = "iOS"
@@ -25,94 +29,96 @@ KPI_CHANNEL = "AUTOMOBILE"
 LEAKAGE_THRESHOLD_PTS = 10.0
 
 Builder = Callable[[SparkSession, str], DataFrame]
-
-
-_TABLES: dict[tuple[str, str], AppTables] = {}
-
-
-def app_tables(spark: SparkSession, sf_dir: str) -> AppTables:
-    """The app tables over ``sf_dir``, defined once per Spark application and
-    folder (lazy plans: every report still reads and processes the whole
-    input; only the Python-side plan construction is shared)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - remote (Connect) sessions have no SparkContext
-        app = f"session-{id(spark)}"
-    key = (app, sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = load_app_tables(spark, sf_dir)
-    return _TABLES[key]
-
-
-def _on_tables(fn, **kwargs) -> Builder:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(app_tables(spark, sf_dir), **kwargs)
-
-    run.__name__ = getattr(fn, "__name__", "report")
-    return run
-
-
-def _on_materialized(fn, with_mart: bool = False, **kwargs) -> Builder:
-    """For composite reports that read the derived tables many times: the
-    tables are written once to the shared checkpoint folder first (see
-    ``materialize_tables``)."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables = materialize_tables(app_tables(spark, sf_dir))
-        if with_mart:
-            tables.memo["session_mart"] = materialize(session_mart(tables), "session_mart")
-        return fn(tables, **kwargs)
-
-    run.__name__ = getattr(fn, "__name__", "report")
-    return run
+Report = Callable[[AppTables], DataFrame]
+
+
+def _split(tables: AppTables) -> DataFrame:
+    return ml.stratified_split(ml.cart_features(tables))
+
+
+#: Every deterministic report.
+REPORTS: dict[str, Report] = {
+    "funnel_by_device": reports.funnel_by_device,
+    "funnel_sessions": reports.funnel_sessions,
+    "funnel_sessions_ios": lambda t: reports.funnel_sessions(t, device_type=FUNNEL_DEVICE),
+    "funnel_sessions_channel": lambda t: reports.funnel_sessions(t, channel=FUNNEL_CHANNEL),
+    "retention_by_channel": reports.retention_by_channel,
+    "retention_grid": reports.retention_grid,
+    "retention_validation": reports.retention_validation,
+    "acquisition_share": reports.acquisition_share,
+    "business_kpis": reports.business_kpis,
+    "business_kpis_filtered": lambda t: reports.business_kpis(t, city=KPI_CITY, channel=KPI_CHANNEL),
+    "topline_kpis": reports.topline_kpis,
+    "filter_options": reports.filter_options,
+    "table_counts": reports.table_counts,
+    "segment_performance": reports.segment_performance,
+    "segment_by_channel": reports.segment_by_channel,
+    "ab_results": reports.ab_results,
+    "ab_raw": reports.ab_raw,
+    "ab_lift": reports.ab_lift,
+    "ab_significance": reports.ab_significance,
+    "ab_pvalue": reports.ab_pvalue,
+    "device_checkout": reports.device_checkout,
+    "device_leakage": lambda t: reports.device_leakage(t, threshold_pts=LEAKAGE_THRESHOLD_PTS),
+    "sessions_built": lambda t: t.sessions,
+    "user_active_days": lambda t: entities.active_days(t.sessions),
+    "user_segments": lambda t: t.users,
+    "experiment_assignment": lambda t: t.experiments,
+    "orders_built": lambda t: t.orders,
+    "past_purchases": ml.past_purchases,
+    "cart_features": ml.cart_features,
+    "feature_sample": lambda t: ml.feature_sample(ml.cart_features(t)),
+    "label_distribution": lambda t: ml.label_distribution(ml.cart_features(t)),
+    "stratified_split": lambda t: _split(t).select("session_id", "abandoned", "split"),
+    "class_weights": lambda t: ml.class_weights(_split(t)),
+    "feature_scaling": lambda t: ml.feature_scaling(_split(t)),
+    "rule_report": lambda t: ml.rule_report(_split(t)),
+    "risk_bands": lambda t: ml.rule_risk(ml.session_features(t)),
+    "funnel_by_device_sql": sql_reports.funnel_by_device_sql,
+    "retention_grid_sql": sql_reports.retention_grid_sql,
+    "topline_kpis_sql": sql_reports.topline_kpis_sql,
+    "business_kpis_sql": sql_reports.business_kpis_sql,
+    "business_kpis_filtered_sql": lambda t: sql_reports.business_kpis_sql(t, city=KPI_CITY, channel=KPI_CHANNEL),
+    "integrity_audit": audit.integrity_audit,
+    "integrity_audit_defects": lambda t: audit.integrity_audit(audit.with_defects(t)),
+    "briefing_context": reports.briefing_context,
+}
+
+#: Reports that read the derived tables many times and have few rows: one per
+#: check, or one per channel, segment, group and stage.
+MATERIALIZED = ("integrity_audit", "integrity_audit_defects", "briefing_context")
+
+#: Reports that depend on the forest's random choices.
+MODEL_REPORTS: dict[str, Report] = {
+    "model_metrics": ml.model_metrics_report,
+    "cart_risk_scores": ml.cart_risk_scores,
+}
+
+
+def _lazy(report: Report) -> Builder:
+    return lambda spark, sf_dir: report(load_app_tables(spark, sf_dir))
+
+
+def _materialized(report: Report) -> Builder:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with run_folder(spark) as folder:
+            tables = with_mart(materialize_tables(load_app_tables(spark, sf_dir), folder), folder)
+            out = report(tables)
+            rows = out.collect()
+        return spark.createDataFrame(rows, out.schema)
+
+    return build
+
+
+def with_mart(tables: AppTables, folder: str) -> AppTables:
+    """The tables with their session mart written to ``folder``."""
+    tables.memo["session_mart"] = materialize(session_mart(tables), f"{folder}/session_mart")
+    return tables
 
 
 def queries() -> dict[str, Builder]:
-    return {
-        "funnel_by_device": _on_tables(reports.funnel_by_device),
-        "funnel_sessions": _on_tables(reports.funnel_sessions),
-        "funnel_sessions_ios": _on_tables(reports.funnel_sessions, device_type=FUNNEL_DEVICE),
-        "funnel_sessions_channel": _on_tables(reports.funnel_sessions, channel=FUNNEL_CHANNEL),
-        "retention_by_channel": _on_tables(reports.retention_by_channel),
-        "retention_grid": _on_tables(reports.retention_grid),
-        "retention_validation": _on_tables(reports.retention_validation),
-        "acquisition_share": _on_tables(reports.acquisition_share),
-        "business_kpis": _on_tables(reports.business_kpis),
-        "business_kpis_filtered": _on_tables(reports.business_kpis, city=KPI_CITY, channel=KPI_CHANNEL),
-        "topline_kpis": _on_tables(reports.topline_kpis),
-        "filter_options": _on_tables(reports.filter_options),
-        "table_counts": _on_tables(reports.table_counts),
-        "segment_performance": _on_tables(reports.segment_performance),
-        "segment_by_channel": _on_tables(reports.segment_by_channel),
-        "ab_results": _on_tables(reports.ab_results),
-        "ab_raw": _on_tables(reports.ab_raw),
-        "ab_lift": _on_tables(reports.ab_lift),
-        "ab_significance": _on_tables(reports.ab_significance),
-        "ab_pvalue": _on_tables(reports.ab_pvalue),
-        "device_checkout": _on_tables(reports.device_checkout),
-        "device_leakage": _on_tables(reports.device_leakage, threshold_pts=LEAKAGE_THRESHOLD_PTS),
-        "sessions_built": _on_tables(lambda t: t.sessions),
-        "user_active_days": _on_tables(lambda t: entities.active_days(t.sessions)),
-        "user_segments": _on_tables(lambda t: t.users),
-        "experiment_assignment": _on_tables(lambda t: t.experiments),
-        "orders_built": _on_tables(lambda t: t.orders),
-        "past_purchases": _on_tables(ml.past_purchases),
-        "cart_features": _on_tables(ml.cart_features),
-        "feature_sample": _on_tables(lambda t: ml.feature_sample(ml.cart_features(t))),
-        "label_distribution": _on_tables(lambda t: ml.label_distribution(ml.cart_features(t))),
-        "stratified_split": _on_tables(
-            lambda t: ml.stratified_split(ml.cart_features(t)).select("session_id", "abandoned", "split")
-        ),
-        "funnel_by_device_sql": _on_tables(sql_reports.funnel_by_device_sql),
-        "retention_grid_sql": _on_tables(sql_reports.retention_grid_sql),
-        "topline_kpis_sql": _on_tables(sql_reports.topline_kpis_sql),
-        "business_kpis_sql": _on_tables(sql_reports.business_kpis_sql),
-        "business_kpis_filtered_sql": _on_tables(sql_reports.business_kpis_sql, city=KPI_CITY, channel=KPI_CHANNEL),
-        "integrity_audit": _on_materialized(audit.integrity_audit),
-        "briefing_context": _on_materialized(reports.briefing_context, with_mart=True),
-        "model_metrics": _on_tables(ml.model_metrics_report),
-        "cart_risk_scores": _on_tables(ml.cart_risk_scores),
-    }
+    found = {name: _materialized(r) if name in MATERIALIZED else _lazy(r) for name, r in REPORTS.items()}
+    return found | {name: _lazy(r) for name, r in MODEL_REPORTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -136,6 +142,7 @@ def oracle_sql() -> dict[str, str]:
         "ab_raw": oracle.ab_raw(),
         "ab_lift": oracle.ab_lift(),
         "ab_significance": oracle.ab_significance(),
+        "ab_pvalue": oracle.ab_pvalue(),
         "device_checkout": oracle.device_checkout(),
         "device_leakage": oracle.device_leakage(LEAKAGE_THRESHOLD_PTS),
         "sessions_built": oracle.sessions_built(),
@@ -148,11 +155,16 @@ def oracle_sql() -> dict[str, str]:
         "feature_sample": oracle.feature_sample(),
         "label_distribution": oracle.label_distribution(),
         "stratified_split": oracle.stratified_split(),
+        "class_weights": oracle.class_weights(),
+        "feature_scaling": oracle.feature_scaling(),
+        "rule_report": oracle.rule_report(),
+        "risk_bands": oracle.risk_bands(),
         "funnel_by_device_sql": oracle.funnel_by_device(),
         "retention_grid_sql": oracle.retention_grid(),
         "topline_kpis_sql": oracle.topline_kpis(),
         "business_kpis_sql": oracle.business_kpis(),
         "business_kpis_filtered_sql": oracle.business_kpis(city=KPI_CITY, channel=KPI_CHANNEL),
         "integrity_audit": oracle.integrity_audit(),
+        "integrity_audit_defects": oracle.integrity_audit(defects=True),
         "briefing_context": oracle.briefing_context(),
     }

@@ -20,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import cents, dollars, optional_eq, pct2, round_ratio, signed_pct2
+from tidemark.functions import money, optional_eq, pct2, round_ratio, signed_pct2
 from tidemark.operators import flags
-from tidemark.plans.mart import session_mart
+from tidemark.plans.mart import order_aggs, order_facts, session_mart
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
 
@@ -86,7 +86,30 @@ def funnel_sessions(
     # sees one row per user however many sessions a hot user has.
     per_user = sessions.groupBy("user_id").agg(*[F.sum(h).alias(k) for h, k in zip(HAS, STAGE_KEYS)])
     users = optional_eq(tables.users.select("user_id", "acquisition_channel"), "acquisition_channel", channel)
-    wide = per_user.join(users.select("user_id"), "user_id").agg(*[_sum_long(k).alias(k) for k in STAGE_KEYS])
+    return per_user.join(users.select("user_id"), "user_id").agg(*_stage_sums()).select(_funnel_rows())
+
+
+def funnels_by_scope(tables: AppTables, devices: dict[str, str], mart: DataFrame) -> DataFrame:
+    """``funnel_sessions`` of all sessions (scope ``all``) and of some devices
+    (scope by device), from one aggregation."""
+    per_user = mart.groupBy("user_id", "device_type").agg(*[F.sum(h).alias(k) for h, k in zip(HAS, STAGE_KEYS)])
+    known = per_user.join(tables.users.select("user_id"), "user_id")
+    by_device = known.groupBy("device_type").agg(*_stage_sums())
+    # Every scope has a row of zeros beside its devices, as an empty funnel has rows too.
+    names = F.array(F.lit("all"), *[F.lit(scope) for scope in devices.values()])
+    of_device = F.array_compact(
+        F.array(F.lit("all"), *[F.when(F.col("device_type") == d, F.lit(scope)) for d, scope in devices.items()])
+    )
+    zeros = tables.users.sparkSession.range(1).select(F.explode(names).alias("scope"), *[F.lit(0).cast("bigint").alias(k) for k in STAGE_KEYS])
+    scoped = by_device.select(F.explode(of_device).alias("scope"), *STAGE_KEYS).unionByName(zeros)
+    return scoped.groupBy("scope").agg(*_stage_sums()).select("scope", _funnel_rows())
+
+
+def _stage_sums() -> list[F.Column]:
+    return [_sum_long(k).alias(k) for k in STAGE_KEYS]
+
+
+def _funnel_rows() -> F.Column:
     base = F.greatest(F.col(STAGE_KEYS[0]), F.lit(1))
     rows = []
     for i, key in enumerate(STAGE_KEYS):
@@ -106,79 +129,82 @@ def funnel_sessions(
                 pct2(F.col(key), base).alias("overall_completion_pct"),
             )
         )
-    return wide.select(F.inline(F.array(*rows)))
+    return F.inline(F.array(*rows))
 
 
 # --- J3 / J8 / J11 retention --------------------------------------------------
 
 
-def retention_flags(tables: AppTables, days: tuple[int, ...] = (0, 1, 7)) -> DataFrame:
-    """Per user: channel and a 0/1 flag ``active_day{n}`` for a session exactly
-    ``n`` days after signup. Users without sessions stay, with zeros.
+def _active_on(tables: AppTables, days: tuple[int, ...]) -> DataFrame:
+    """Users active on a day of their own counting: distinct (channel, user,
+    offset) for the offsets asked for. Sessions are reduced to users' days
+    first, and other offsets go before anything is counted."""
+    own_days = tables.sessions.select("user_id", "session_date").distinct()
+    since = tables.users.select("user_id", "acquisition_channel", "signup_date").join(own_days, "user_id")
+    offset = F.date_diff("session_date", "signup_date")
+    return since.select("acquisition_channel", "user_id", offset.alias("offset")).filter(F.col("offset").isin(*days)).distinct()
 
-    (user, day) pairs are de-duplicated before the join, and the join output
-    is already partitioned by user_id, so the per-user aggregation adds no
-    shuffle."""
-    user_days = tables.sessions.select("user_id", "session_date").distinct()
-    users = tables.users.select("user_id", "acquisition_channel", "signup_date")
-    joined = users.join(user_days, "user_id", "left")
-    aggs = [
-        F.max(
-            F.when(F.col("session_date") == F.date_add(F.col("signup_date"), n), F.lit(1)).otherwise(F.lit(0))
-        ).alias(f"active_day{n}")
-        for n in days
-    ]
-    return joined.groupBy("user_id", "acquisition_channel", "signup_date").agg(*aggs)
+
+def _retention(tables: AppTables, days: tuple[int, ...]) -> DataFrame:
+    """Per channel: cohort_size (its users) and d{n}, the users active n days
+    after their signup. Both are counts per channel, stacked and folded, so a
+    channel without a session keeps its cohort."""
+    cohorts = tables.users.groupBy("acquisition_channel").agg(F.count("user_id").alias("cohort_size"))
+    active = _active_on(tables, days).groupBy("acquisition_channel").agg(
+        *[F.count_if(F.col("offset") == n).alias(f"d{n}") for n in days]
+    )
+    return cohorts.unionByName(active, allowMissingColumns=True).groupBy("acquisition_channel").agg(
+        *[_sum_long(c).alias(c) for c in ("cohort_size", *[f"d{n}" for n in days])]
+    )
 
 
 def retention_by_channel(tables: AppTables) -> DataFrame:
     """Query-layer retention: cohort size, day-1 and day-7 active users and
     their rates per channel (exact-day retention; NULL rate on empty cohort)."""
-    per_user = retention_flags(tables, (1, 7))
-    return per_user.groupBy("acquisition_channel").agg(
-        F.count("user_id").alias("cohort_size"),
-        _sum_long("active_day1").alias("day1_active_users"),
-        pct2(F.sum("active_day1"), F.count("user_id")).alias("day1_retention_pct"),
-        _sum_long("active_day7").alias("day7_active_users"),
-        pct2(F.sum("active_day7"), F.count("user_id")).alias("day7_retention_pct"),
+    return _retention(tables, (1, 7)).select(
+        "acquisition_channel",
+        "cohort_size",
+        F.col("d1").alias("day1_active_users"),
+        pct2("d1", "cohort_size").alias("day1_retention_pct"),
+        F.col("d7").alias("day7_active_users"),
+        pct2("d7", "cohort_size").alias("day7_retention_pct"),
     )
 
 
 def retention_grid(tables: AppTables) -> DataFrame:
     """SQL-pack retention grid: as ``retention_by_channel`` plus day-0 users."""
-    per_user = retention_flags(tables, (0, 1, 7))
-    return per_user.groupBy("acquisition_channel").agg(
-        F.count("user_id").alias("cohort_size"),
-        _sum_long("active_day0").alias("d0_users"),
-        _sum_long("active_day1").alias("d1_users"),
-        pct2(F.sum("active_day1"), F.count("user_id")).alias("d1_retention_pct"),
-        _sum_long("active_day7").alias("d7_users"),
-        pct2(F.sum("active_day7"), F.count("user_id")).alias("d7_retention_pct"),
+    return _retention(tables, (0, 1, 7)).select(
+        "acquisition_channel",
+        "cohort_size",
+        F.col("d0").alias("d0_users"),
+        F.col("d1").alias("d1_users"),
+        pct2("d1", "cohort_size").alias("d1_retention_pct"),
+        F.col("d7").alias("d7_users"),
+        pct2("d7", "cohort_size").alias("d7_retention_pct"),
     )
 
 
 def retention_validation(tables: AppTables) -> DataFrame:
-    """Load-check formulation: distinct users per channel and distinct users
-    active on day 0 / 1 / 7, with unrounded rates that are 0 for an empty
-    channel. Must equal ``retention_grid``'s counts."""
-    per_user = (
-        retention_flags(tables, (0, 1, 7))
-        .groupBy("acquisition_channel", "user_id")
-        .agg(*[F.max(f"active_day{n}").alias(f"active_day{n}") for n in (0, 1, 7)])
+    """Load check of ``retention_grid``, by another way: for each offset the
+    sessions' day is moved back to the signup it would retain, and the users
+    that match are looked up by (user, signup). Unrounded rates, 0 for an
+    empty channel."""
+    users = tables.users.select("user_id", "acquisition_channel", "signup_date")
+    offsets = F.explode(F.array(F.lit(0), F.lit(1), F.lit(7)))
+    wanted = tables.sessions.select("user_id", "session_date", offsets.alias("offset")).select(
+        "user_id", "offset", F.date_sub("session_date", F.col("offset")).alias("signup_date")
+    )
+    found = users.join(wanted, ["user_id", "signup_date"])
+    tagged = found.select("acquisition_channel", "user_id", "offset").unionByName(
+        users.select("acquisition_channel", "user_id", F.lit(-1).alias("offset"))
     )
-    # One row per (channel, user): counting rows counts distinct users,
-    # without the row expansion a distinct aggregate next to sums needs.
-    out = per_user.groupBy("acquisition_channel").agg(
-        F.count("user_id").alias("total_users"),
-        _sum_long("active_day0").alias("d0_users"),
-        _sum_long("active_day1").alias("d1_users"),
-        _sum_long("active_day7").alias("d7_users"),
+    counts = tagged.distinct().groupBy("acquisition_channel").agg(
+        F.count_if(F.col("offset") == -1).alias("total_users"),
+        *[F.count_if(F.col("offset") == n).alias(f"d{n}_users") for n in (0, 1, 7)],
     )
     total = F.col("total_users")
-    return out.select(
-        "*",
-        F.when(total > 0, F.col("d1_users") / total * 100.0).otherwise(F.lit(0.0)).alias("d1_pct"),
-        F.when(total > 0, F.col("d7_users") / total * 100.0).otherwise(F.lit(0.0)).alias("d7_pct"),
+    return counts.select(
+        "*", *[F.when(total > 0, F.col(f"d{n}_users") / total * 100.0).otherwise(F.lit(0.0)).alias(f"d{n}_pct") for n in (1, 7)]
     )
 
 
@@ -193,20 +219,29 @@ def acquisition_share(tables: AppTables) -> DataFrame:
 # --- J1 / J9 KPIs -------------------------------------------------------------
 
 
-def _order_totals(orders: DataFrame) -> DataFrame:
-    """One row: revenue and AOV (over order rows, rounded to cents, exact
-    half-up from integer cents) and the number of distinct sessions with an
-    order. Orders are first totalled per session (map-side combined), so the
-    distinct count is a plain count and no distinct-aggregate expansion is
-    needed. Revenue / AOV are NULL without orders."""
-    per_session = orders.groupBy("session_id").agg(
-        F.sum(cents("amount")).alias("_cents"), F.count("amount").alias("_n")
-    )
-    return per_session.agg(
-        dollars(F.sum("_cents")).alias("revenue"),
-        round_ratio(F.sum("_cents"), F.sum("_n") * F.lit(100)).alias("aov"),
-        F.count("session_id").alias("total_orders"),
-    )
+def _session_totals(tables: AppTables, mart: DataFrame) -> DataFrame:
+    """Rows to sum, each with a user: sessions (n_sessions 1, cart and purchase
+    flags) and order totals per session. Tables with a rollup have both on one
+    row, from one aggregation; otherwise orders are totalled on their own, as
+    they may name another session or user than the sessions table."""
+    sessions = {
+        "n_sessions": F.lit(1),
+        "n_cart": F.col(flags.has_col("add_to_cart")),
+        "n_purchase": F.col(flags.has_col("purchase")),
+    }
+    orders = {
+        "n_order_sessions": F.when(F.col("n_orders") > 0, F.lit(1)).otherwise(F.lit(0)),
+        "n_amounts": F.col("n_amounts"),
+        "order_units": F.col("order_units"),
+    }
+    pick = lambda columns: [c.alias(n) for n, c in columns.items()]
+    if tables.session_rollup is not None:
+        return mart.select("user_id", *pick(sessions | orders))
+    apart = tables.orders.groupBy("user_id", "session_id").agg(*order_aggs(F.col("amount"), F.lit(True)))
+    return mart.select("user_id", *pick(sessions)).unionByName(apart.select("user_id", *pick(orders)), allowMissingColumns=True)
+
+
+_TOTALS = ["n_sessions", "n_cart", "n_purchase", "n_order_sessions", "n_amounts", "order_units"]
 
 
 def business_kpis(
@@ -220,56 +255,51 @@ def business_kpis(
     Revenue and AOV are over order rows of known users (0 when none); orders
     count distinct sessions with an order; ``total_sessions`` is clamped to at
     least 1; abandonment is ``(1 - purchase / max(1, cart)) * 100``, so no
-    carts and no purchases give 100.0."""
+    carts and no purchases give 100.0. Sessions and orders are summed per user
+    before the users are joined, so a hot user joins as one row."""
     mart = mart if mart is not None else session_mart(tables)
     users = optional_eq(optional_eq(tables.users, "city", city), "acquisition_channel", channel).select("user_id")
-    order_part = _order_totals(tables.orders.select("user_id", "session_id", "amount").join(users, "user_id"))
-    order_part = order_part.select(
-        F.coalesce("revenue", F.lit(0.0)).alias("revenue"), F.coalesce("aov", F.lit(0.0)).alias("aov"), "total_orders"
-    )
-    per_user = mart.groupBy("user_id").agg(
-        F.count("session_id").alias("n_sessions"),
-        F.sum(flags.has_col("add_to_cart")).alias("n_cart"),
-        F.sum(flags.has_col("purchase")).alias("n_purchase"),
-    )
-    session_part = per_user.join(users, "user_id").agg(
-        _sum_long("n_sessions").alias("sessions_raw"),
-        _sum_long("n_cart").alias("cart_sessions"),
-        _sum_long("n_purchase").alias("purchase_sessions"),
-    )
-    row = _one_row(order_part, session_part)
-    sessions = F.greatest(F.col("sessions_raw"), F.lit(1)).cast("bigint")
-    carts = F.greatest(F.col("cart_sessions"), F.lit(1))
+    per_user = _session_totals(tables, mart).groupBy("user_id").agg(*[F.sum(c).alias(c) for c in _TOTALS])
+    row = per_user.join(users, "user_id").agg(*[F.sum(c).alias(c) for c in _TOTALS])
+    sessions = F.greatest(F.col("n_sessions"), F.lit(1)).cast("bigint")
+    carts = F.greatest(F.col("n_cart"), F.lit(1)).cast("bigint")
+    purchases, orders = (F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("n_purchase", "n_order_sessions"))
     return row.select(
-        F.col("revenue").alias("total_revenue"),
-        F.col("aov").alias("avg_order_value"),
-        pct2(F.col("total_orders"), sessions).alias("conversion_rate"),
-        signed_pct2(carts - F.col("purchase_sessions"), carts).alias("abandonment_rate"),
-        F.col("total_orders").cast("bigint").alias("total_orders"),
+        F.coalesce(money("order_units"), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(money("order_units", "n_amounts"), F.lit(0.0)).alias("avg_order_value"),
+        pct2(orders, sessions).alias("conversion_rate"),
+        signed_pct2(carts - purchases, carts).alias("abandonment_rate"),
+        orders.alias("total_orders"),
         sessions.alias("total_sessions"),
     )
 
 
-def topline_kpis(tables: AppTables) -> DataFrame:
+def topline_kpis(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
     """SQL-pack KPIs over the base tables (no user join, so orphan orders and
-    events count); NULL on empty input."""
-    order_part = _order_totals(tables.orders)
-    session_part = tables.sessions.agg(F.count_distinct("session_id").alias("total_sessions"))
-    ev = flags.stage_counts(
-        tables.events.select("session_id", "event_type").filter(F.col("session_id").isNotNull()), "session_id"
-    )
-    funnel_part = ev.agg(
-        F.count_if(F.col(flags.n_col("add_to_cart")) > 0).alias("cart_sessions"),
-        F.count_if(F.col(flags.n_col("purchase")) > 0).alias("purchase_sessions"),
-    )
-    row = _one_row(order_part, session_part, funnel_part)
+    events count); NULL on empty input. With a rollup every order and event
+    is in a session, and one pass over the sessions gives all; otherwise
+    events and orders are counted by the sessions that they name."""
+    if tables.session_rollup is not None:
+        rows = _session_totals(tables, mart if mart is not None else session_mart(tables))
+    else:
+        named = flags.stage_counts(tables.events.filter(F.col("session_id").isNotNull()), "session_id").select(
+            flags.has_flag("add_to_cart").alias("n_cart"), flags.has_flag("purchase").alias("n_purchase")
+        )
+        orders = order_facts(tables.orders).select(
+            F.col("session_id").isNotNull().cast("int").alias("n_order_sessions"), "n_amounts", "order_units"
+        )
+        listed = tables.sessions.select("session_id").filter("session_id IS NOT NULL").distinct()
+        rows = (
+            listed.select(F.lit(1).alias("n_sessions"))
+            .unionByName(named, allowMissingColumns=True)
+            .unionByName(orders, allowMissingColumns=True)
+        )
+    row = rows.agg(*[F.sum(c).alias(c) for c in _TOTALS])
     return row.select(
-        F.col("revenue").alias("total_revenue_usd"),
-        F.col("aov").alias("average_order_value_usd"),
-        pct2("total_orders", "total_sessions").alias("overall_conversion_rate_pct"),
-        signed_pct2(F.col("cart_sessions") - F.col("purchase_sessions"), F.col("cart_sessions")).alias(
-            "cart_abandonment_rate_pct"
-        ),
+        money("order_units").alias("total_revenue_usd"),
+        money("order_units", "n_amounts").alias("average_order_value_usd"),
+        pct2(F.coalesce("n_order_sessions", F.lit(0)), "n_sessions").alias("overall_conversion_rate_pct"),
+        signed_pct2(F.col("n_cart") - F.col("n_purchase"), F.col("n_cart")).alias("cart_abandonment_rate_pct"),
     )
 
 
@@ -301,10 +331,10 @@ def segment_performance(tables: AppTables, mart: DataFrame | None = None) -> Dat
     """Per segment: users, sessions, sessions per user, spend and ARPU.
     Orders reach the spend only through a session of the user (the mart's
     per-session order totals); users without sessions count with 0 sessions.
-    Spend is summed exactly in cents."""
+    Spend is summed exactly and rounded once."""
     mart = mart if mart is not None else session_mart(tables)
     per_user = mart.groupBy("user_id").agg(
-        F.count("session_id").alias("n_sessions"), F.sum("order_cents").alias("spend")
+        F.count("session_id").alias("n_sessions"), F.sum("order_units").alias("spend")
     )
     per_segment_user = (
         tables.users.select("user_id", "user_segment")
@@ -322,8 +352,8 @@ def segment_performance(tables: AppTables, mart: DataFrame | None = None) -> Dat
         "user_count",
         "total_sessions",
         round_ratio("total_sessions", "user_count").alias("avg_sessions_per_user"),
-        dollars("spend").alias("total_spend_usd"),
-        round_ratio("spend", F.col("user_count") * F.lit(100)).alias("arpu"),
+        money("spend").alias("total_spend_usd"),
+        money("spend", "user_count").alias("arpu"),
     )
 
 
@@ -339,16 +369,6 @@ def segment_by_channel(tables: AppTables) -> DataFrame:
 # --- J5 / J13 / J14 / J15 experiment -----------------------------------------
 
 
-def _experiment_sessions(tables: AppTables, mart: DataFrame) -> DataFrame:
-    """Sessions with at least one event, once per distinct experiment group of
-    their user (a user in two groups counts in both)."""
-    groups = tables.experiments.select("user_id", "experiment_group").distinct()
-    sessions = mart.filter(F.col("n_events") > 0).select(
-        "session_id", "user_id", flags.has_col("checkout"), flags.has_col("purchase")
-    )
-    return sessions.join(groups, "user_id")
-
-
 def _ab_counts(tables: AppTables, mart: DataFrame | None) -> DataFrame:
     """Per group: checkout sessions, purchase sessions and sessions with both.
     Counted per user first (map-side combined), so the join with the
@@ -455,40 +475,39 @@ def ab_significance(tables: AppTables, mart: DataFrame | None = None) -> DataFra
     )
 
 
+#: The published rational approximation of erfc by Abramowitz and
+#: Stegun (7.1.26), absolute error at most 1.5e-7.
+ERFC_P = 0.3275911
+ERFC_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def _erfc(x: F.Column) -> F.Column:
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERFC_P) * x)
+    series = F.lit(0.0)
+    for a in reversed(ERFC_A):
+        series = (series + F.lit(a)) * t
+    return series * F.exp(-x * x)
+
+
 def ab_pvalue(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
     """Pearson chi-square test of independence between group (A / B) and
-    purchase, over sessions with a Checkout (Spark ML ``ChiSquareTest``, a
-    distributed count of (group, outcome) pairs). With one degree of freedom
-    the statistic equals ``z_score²`` of ``ab_significance``; the p-value is
-    what the dashboard only asserted as text."""
-    from pyspark.ml.feature import VectorAssembler  # noqa: PLC0415
-    from pyspark.ml.functions import vector_to_array  # noqa: PLC0415
-    from pyspark.ml.stat import ChiSquareTest  # noqa: PLC0415
-
-    mart = mart if mart is not None else session_mart(tables)
-    trials = (
-        _experiment_sessions(tables, mart)
-        .filter(F.col("experiment_group").isin(schemas.GROUP_A, schemas.GROUP_B))
-        .filter(F.col(flags.has_col("checkout")) == 1)
-        .select(
-            F.when(F.col("experiment_group") == schemas.GROUP_B, F.lit(1.0)).otherwise(F.lit(0.0)).alias("is_b"),
-            F.col(flags.has_col("purchase")).cast("double").alias("purchased"),
-        )
-    )
-    out_schema = "p_value double, chi2_statistic double, dof int, significant_99 boolean"
-    spark = tables.users.sparkSession
-    if trials.limit(1).count() == 0:  # no checkout sessions: the test is undefined
-        return spark.createDataFrame([(None, None, None, None)], out_schema)
-    vec = VectorAssembler(inputCols=["is_b"], outputCol="group_vec").transform(trials)
-    res = ChiSquareTest.test(vec, "group_vec", "purchased")
-    dof = F.col("degreesOfFreedom")[0]
-    defined = dof > 0  # one group or one outcome only: undefined, like a NULL z
-    p_value = F.when(defined, vector_to_array("pValues")[0])
-    return res.select(
-        p_value.alias("p_value"),
-        F.when(defined, vector_to_array("statistics")[0]).alias("chi2_statistic"),
-        dof.alias("dof"),
-        (p_value < F.lit(0.01)).alias("significant_99"),
+    purchase, over sessions with a Checkout. The statistic follows exactly from
+    the four counts, with one degree of freedom; the tail probability is
+    erfc(sqrt(chi2 / 2)) by a closed approximation, to six decimals. NULL (and
+    0 degrees) when a group or an outcome is missing."""
+    row = ab_significance(tables, mart).select("n_a", "x_a", "n_b", "x_b")
+    n_a, x_a, n_b, x_b = (F.col(c).cast("double") for c in ("n_a", "x_a", "n_b", "x_b"))
+    bought, left = x_a + x_b, n_a + n_b - x_a - x_b
+    defined = (n_a > 0) & (n_b > 0) & (bought > 0) & (left > 0)
+    cross = x_b * n_a - x_a * n_b
+    chi2 = F.when(defined, (n_a + n_b) * cross * cross / (n_a * n_b * bought * left))
+    tested = row.select(chi2.alias("chi2"), defined.cast("int").alias("dof"))
+    p = _erfc(F.sqrt(F.col("chi2") / 2))
+    return tested.select(
+        F.round(p, 6).alias("p_value"),
+        F.round("chi2", 6).alias("chi2_statistic"),
+        "dof",
+        (p < F.lit(0.01)).alias("significant_99"),
     )
 
 
@@ -555,15 +574,14 @@ def briefing_context(tables: AppTables, mart: DataFrame | None = None) -> DataFr
     for — iOS vs Android at the checkout step, each channel's retention vs
     all other channels pooled, and group B vs A."""
     mart = mart if mart is not None else session_mart(tables)
-    funnel_all = funnel_sessions(tables, mart=mart)
-    funnel_ios = funnel_sessions(tables, device_type="iOS", mart=mart)
-    funnel_android = funnel_sessions(tables, device_type="Android", mart=mart)
+    funnels = funnels_by_scope(tables, {"iOS": "iOS", "Android": "Android"}, mart)
     retention = retention_by_channel(tables)
     ab = ab_results(tables, mart)
     parts = [
-        _long(funnel_all, "funnel_all", "funnel_stage", BRIEFING_METRICS["funnel"]),
-        _long(funnel_ios, "funnel_ios", "funnel_stage", BRIEFING_METRICS["funnel"]),
-        _long(funnel_android, "funnel_android", "funnel_stage", BRIEFING_METRICS["funnel"]),
+        _long(funnels.filter(F.col("scope") == scope), f"funnel_{scope.lower()}", "funnel_stage", BRIEFING_METRICS["funnel"])
+        for scope in ("all", "iOS", "Android")
+    ]
+    parts += [
         _long(retention, "retention", "acquisition_channel", BRIEFING_METRICS["retention"]),
         _long(ab, "ab_test", "experiment_group", BRIEFING_METRICS["ab_test"]),
         _long(segment_performance(tables, mart), "segments", "user_segment", BRIEFING_METRICS["segments"]),
@@ -571,13 +589,7 @@ def briefing_context(tables: AppTables, mart: DataFrame | None = None) -> DataFr
 
     # iOS vs Android at the Add To Cart → Checkout step (six-row inputs).
     checkout = "Checkout"
-    tagged = funnel_ios.filter(F.col("funnel_stage") == checkout).select(
-        F.lit("iOS").alias("device"), "step_conversion_pct", "step_dropoff_pct"
-    ).unionByName(
-        funnel_android.filter(F.col("funnel_stage") == checkout).select(
-            F.lit("Android").alias("device"), "step_conversion_pct", "step_dropoff_pct"
-        )
-    )
+    tagged = funnels.filter(F.col("funnel_stage") == checkout).withColumnRenamed("scope", "device")
 
     def on(device: str, col: str) -> F.Column:
         return F.max(F.when(F.col("device") == device, F.col(col)))
@@ -620,6 +632,7 @@ def briefing_context(tables: AppTables, mart: DataFrame | None = None) -> DataFr
     return out
 
 
+#: The dashboard's column labels.
 DISPLAY_NAMES = {
     "funnel_sessions": {
         "funnel_stage": "Funnel Stage",

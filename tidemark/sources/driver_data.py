@@ -5,12 +5,16 @@ Rules (``k`` = integer ``$.k`` of ``events.props``; ``d0`` = 2024-01-01;
 ``day`` = date of ``ts``):
 
 * users       customer ⋈ nation; user_id = c_custkey, signup = d0 + custkey % 20,
-              city = n_name, channel = c_mktsegment, segment by the I4 rule.
-* events      events of known users with day >= signup; session_id =
-              user_id * 1000 + days(day - d0); event types mapped below.
+              city = n_name, channel = c_mktsegment, segment by the I4 rule
+              with the last day of the events as its end.
+* events      every raw event, whoever its user; session_id from user and day;
+              event types mapped below.
 * sessions    one per (user, day); device / coupon from k of the first event.
 * orders      one per Purchase event; amount = value; category = k % 5.
 * experiments one per user, by user_id parity.
+
+No event is left out: those of unknown users or from before a signup stay, and
+reports that are about known users join the users.
 """
 
 from __future__ import annotations
@@ -21,13 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import entities, flags
+from tidemark.plans import mart
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
 
 ORIGIN = dt.date(2024, 1, 1)
-END_DATE = dt.date(2024, 1, 30)
 SIGNUP_SPREAD_DAYS = 20
-SESSION_KEY_MULTIPLIER = 1000
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,16 +72,11 @@ def base_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw events on or after their user's signup day, with the session key,
-    the app event type and the helper columns ``k``, ``value`` and
-    ``event_date`` — not yet restricted to known users.
-
-    The signup day depends on user_id alone, so this filter needs no join.
-    """
-    raw = read_raw(spark, sf_dir, "events")
+    """All raw events with the session key, the app event type and the helper
+    columns ``k``, ``value`` and ``event_date``."""
     day = F.to_date(F.col("ts"))
     k = F.get_json_object(F.col("props"), "$.k").try_cast("int")
-    ev = raw.select(
+    raw = read_raw(spark, sf_dir, "events").select(
         F.col("event_id").cast("bigint").alias("event_id"),
         F.col("user_id").cast("bigint").alias("user_id"),
         F.col("ts").alias("timestamp"),
@@ -86,11 +84,11 @@ def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value"),
         k.alias("k"),
         day.alias("event_date"),
-    ).filter(F.col("event_date") >= _signup_date(F.col("user_id")))
-    return ev.select(
+    )
+    return raw.select(
         "event_id",
         "user_id",
-        entities.session_key(F.col("user_id"), F.col("event_date"), ORIGIN, SESSION_KEY_MULTIPLIER).alias("session_id"),
+        entities.session_key(F.col("user_id"), F.col("event_date")).alias("session_id"),
         _event_type(F.col("raw_type"), F.col("k")).alias("event_type"),
         F.lit(None).cast("string").alias("feature_name"),
         "timestamp",
@@ -100,28 +98,25 @@ def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def known_users_only(df: DataFrame, users: DataFrame) -> DataFrame:
-    """Rows of users that exist: a left-semi (existence) join, which never
-    duplicates a row and whose skewed partitions AQE can split."""
-    return df.join(users.select("user_id"), "user_id", "left_semi")
-
-
-def enriched_events(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
-    """Event rows of known users (see ``mapped_events``)."""
-    return known_users_only(mapped_events(spark, sf_dir), users)
+def last_event_date(spark: SparkSession, sf_dir: str) -> Column:
+    """The last day of the events, as a scalar subquery over ``ts`` alone."""
+    return read_raw(spark, sf_dir, "events").agg(F.max(F.to_date("ts"))).scalar()
 
 
 def build_session_rollup(events: DataFrame) -> DataFrame:
-    """Sessions and their stage counts from a single aggregation of events."""
-    k = F.col("k")
-    return entities.sessionize(
+    """Sessions, their stage counts and order totals from one aggregation."""
+    is_order = F.coalesce(F.col("event_type") == F.lit("Purchase"), F.lit(False))
+    rollup = entities.sessionize(
         events,
-        first_event_attrs={
-            "device_type": _pick(k % 3, schemas.DEVICES),
-            "discount_coupon_applied": F.when(k % 5 == 0, F.lit(1)).otherwise(F.lit(0)),
-        },
-        extra_aggs=flags.stage_count_aggs(),
+        first_event={"first_k": "k"},
+        extra_aggs=[*flags.stage_count_aggs(), *mart.order_aggs(F.col("value"), is_order)],
     )
+    k = F.col("first_k")
+    return rollup.select(
+        "*",
+        _pick(k % 3, schemas.DEVICES).alias("device_type"),
+        F.when(k % 5 == 0, F.lit(1)).otherwise(F.lit(0)).alias("discount_coupon_applied"),
+    ).drop("first_k")
 
 
 def build_sessions(events: DataFrame) -> DataFrame:
@@ -134,25 +129,22 @@ def build_orders(events: DataFrame) -> DataFrame:
     )
 
 
-def load_app_tables(spark: SparkSession, sf_dir: str, end_date: dt.date = END_DATE) -> AppTables:
-    """The five app tables over the test data in ``sf_dir`` (lazy plans)."""
+def load_app_tables(spark: SparkSession, sf_dir: str, end_date: dt.date | None = None) -> AppTables:
+    """The five app tables over the test data in ``sf_dir`` (lazy plans).
+    ``end_date`` closes the New-user window; by default it is the last day of
+    the events."""
     users0 = base_users(spark, sf_dir)
-    mapped = mapped_events(spark, sf_dir)
-    ev = known_users_only(mapped, users0)
-    # All events of a session share its user, so restricting to known users
-    # after sessionising is the same as before it — and the existence join
-    # then runs on one row per session instead of shuffling raw events by a
-    # (possibly hot) user_id.
-    rollup = known_users_only(build_session_rollup(mapped), users0)
+    events = mapped_events(spark, sf_dir)
+    rollup = build_session_rollup(events)
     sessions = rollup.select(*schemas.SESSIONS.fieldNames())
-    users = entities.segment_users(users0, sessions, end_date).select(*schemas.USERS.fieldNames())
+    users = entities.segment_users(users0, sessions, end_date or last_event_date(spark, sf_dir))
     return AppTables(
-        users=users,
+        users=users.select(*schemas.USERS.fieldNames()),
         sessions=sessions,
-        events=ev.select(*schemas.EVENTS.fieldNames()),
-        orders=build_orders(ev),
+        events=events.select(*schemas.EVENTS.fieldNames()),
+        orders=build_orders(events),
         experiments=entities.assign_experiments(users0, schemas.EXPERIMENT_FEATURE, ORIGIN),
-        session_rollup=rollup.select(*schemas.SESSIONS.fieldNames(), *flags.COUNT_COLS),
+        session_rollup=rollup.select(*schemas.SESSIONS.fieldNames(), *flags.COUNT_COLS, *mart.ORDER_COLS),
     )
 
 
@@ -168,7 +160,6 @@ def oracle_cte() -> str:
     """A ``WITH`` prefix defining app_users, app_events, app_sessions,
     app_orders and app_experiments over the driver's views in DuckDB."""
     d0 = f"DATE '{ORIGIN.isoformat()}'"
-    cutoff = END_DATE - dt.timedelta(days=schemas.NEW_USER_WINDOW_DAYS)
     return f"""
 WITH app_users_base AS (
   SELECT CAST(c.c_custkey AS BIGINT) AS user_id,
@@ -183,7 +174,7 @@ raw_events AS (
 ),
 app_events AS (
   SELECT event_id, user_id,
-         user_id * {SESSION_KEY_MULTIPLIER} + date_diff('day', {d0}, event_date) AS session_id,
+         user_id * {entities.SESSION_DAYS} + date_diff('day', DATE '1970-01-01', event_date) AS session_id,
          CASE WHEN raw_type = 'signup' THEN 'App Open'
               WHEN raw_type = 'view' AND k < 50 THEN 'Search'
               WHEN raw_type = 'view' THEN 'View Product'
@@ -192,20 +183,18 @@ app_events AS (
               WHEN raw_type = 'purchase' THEN 'Purchase' END AS event_type,
          CAST(NULL AS VARCHAR) AS feature_name, ts AS "timestamp", event_date, k, value
   FROM raw_events
-  WHERE event_date >= {d0} + CAST(user_id % {SIGNUP_SPREAD_DAYS} AS INTEGER)
-    AND user_id IN (SELECT user_id FROM app_users_base)
 ),
 app_sessions AS (
   SELECT session_id, MIN(user_id) AS user_id,
          date_sub('second', MIN("timestamp"), MAX("timestamp")) AS session_duration,
-         {_sql_pick('arg_min(k, event_id) % 3', schemas.DEVICES)} AS device_type,
+         {_sql_pick('arg_min_null(k, event_id) % 3', schemas.DEVICES)} AS device_type,
          MIN(event_date) AS session_date,
-         CASE WHEN arg_min(k, event_id) % 5 = 0 THEN 1 ELSE 0 END AS discount_coupon_applied
-  FROM app_events GROUP BY session_id
+         CASE WHEN arg_min_null(k, event_id) % 5 = 0 THEN 1 ELSE 0 END AS discount_coupon_applied
+  FROM app_events WHERE session_id IS NOT NULL GROUP BY session_id
 ),
 app_users AS (
   SELECT u.user_id, u.signup_date, u.city, u.acquisition_channel,
-         CASE WHEN u.signup_date >= DATE '{cutoff.isoformat()}' THEN '{schemas.SEGMENT_NEW}'
+         CASE WHEN u.signup_date >= (SELECT MAX(event_date) FROM raw_events) - {schemas.NEW_USER_WINDOW_DAYS} THEN '{schemas.SEGMENT_NEW}'
               WHEN COALESCE(a.active_days, 0) >= {schemas.REPEAT_MIN_ACTIVE_DAYS} THEN '{schemas.SEGMENT_REPEAT}'
               ELSE '{schemas.SEGMENT_DORMANT}' END AS user_segment
   FROM app_users_base u

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.session import checkpoint_dir
 from tidemark.sources import schemas
 
 # Tables that are written partitioned by day, so date filters prune files.
-_PARTITION_COLUMNS = {"sessions": "session_date", "orders": "order_date"}
+_PARTITION_COLUMNS = {"sessions": "session_date", "orders": "order_date", "events": "event_day"}
 
 
 @dataclass(frozen=True)
@@ -23,9 +28,9 @@ class AppTables:
     events: DataFrame
     orders: DataFrame
     experiments: DataFrame
-    # Optional: sessions already joined with their per-session stage counts
-    # (``tidemark.operators.flags.COUNT_COLS``), when both come from one pass
-    # over events. Used by the session mart instead of a second aggregation.
+    # Optional: sessions with their stage counts and order totals
+    # (``flags.COUNT_COLS``, ``mart.ORDER_COLS``) from one pass over events.
+    # The session mart then aggregates neither events nor orders again.
     session_rollup: DataFrame | None = None
     # Lazily built plans derived from these tables (e.g. the session mart),
     # shared by the reports of one run. Holds DataFrame definitions only.
@@ -40,107 +45,116 @@ class AppTables:
             df.createOrReplaceTempView(prefix + name)
 
 
-def materialize(df: DataFrame, name: str, run_dir: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and return a
-    reader over the files: the lineage is cut (a lost executor re-reads files
-    instead of recomputing the plan), the data is computed exactly once, and
-    later scans keep column pruning and filter pushdown."""
-    from tidemark.session import checkpoint_dir  # noqa: PLC0415
-
-    spark = df.sparkSession
-    base = run_dir or f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    path = f"{base}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def materialize_tables(tables: AppTables, include_events: bool = False, parallelism: int = 4) -> AppTables:
-    """Materialise the derived tables once for a multi-report job (see
-    ``materialize``). The event table stays its source scan unless asked,
-    since copying the largest table rarely pays off; sessions are read back
-    as a projection of the materialised rollup when there is one. The
-    tables are independent jobs and are written concurrently."""
-    from tidemark.session import checkpoint_dir  # noqa: PLC0415
-
-    run_dir = f"{checkpoint_dir(tables.users.sparkSession).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    todo = {}
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for one run's intermediate tables below the shared checkpoint
+    folder, removed at the end."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet and return a reader over the files: the lineage
+    is cut (a lost executor re-reads files instead of recomputing the plan),
+    the data is computed exactly once, and later scans keep column pruning and
+    filter pushdown."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_tables(tables: AppTables, folder: str, parallelism: int = 4) -> AppTables:
+    """Write the derived tables once for a multi-report job (see
+    ``materialize``). The events stay a source scan, since copying the largest
+    table rarely pays off; sessions are read back as a projection of the rollup
+    when there is one. The tables are independent jobs and are written
+    concurrently."""
+    todo = {name: df for name, df in tables.as_dict().items() if name != "events"}
     if tables.session_rollup is not None:
         todo["session_rollup"] = tables.session_rollup
-    for name, df in tables.as_dict().items():
-        if name == "events" and not include_events:
-            continue
-        if name == "sessions" and tables.session_rollup is not None:
-            continue
-        todo[name] = df
+        del todo["sessions"]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        written = dict(zip(todo, pool.map(lambda item: materialize(item[1], item[0], run_dir), todo.items())))
-    rollup = written.pop("session_rollup", None)
-    done = dict(written)
-    done.setdefault("events", tables.events)
-    if rollup is not None:
-        done["sessions"] = rollup.select(*schemas.SESSIONS.fieldNames())
-    return AppTables(**done, session_rollup=rollup)
+        done = dict(zip(todo, pool.map(lambda item: materialize(item[1], f"{folder}/{item[0]}"), todo.items())))
+    if tables.session_rollup is not None:
+        done["sessions"] = done["session_rollup"].select(*schemas.SESSIONS.fieldNames())
+    return AppTables(events=tables.events, **done)
 
 
 def read_app_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> AppTables:
-    """Read the five tables from ``{path}/{table}`` with declared schemas (no
-    inference; the reader prunes columns and pushes filters to the files)."""
-    frames = {
-        name: spark.read.format(fmt).schema(schema).load(f"{path}/{name}")
-        for name, schema in schemas.TABLE_SCHEMAS.items()
-    }
-    return AppTables(**{k: v.select(*schemas.TABLE_SCHEMAS[k].fieldNames()) for k, v in frames.items()})
+    """Read the five tables from ``{path}/{table}`` as their declared schemas.
+    Files that carry types of their own are read by those and cast, so amounts
+    stored as doubles are read as well as decimal ones (a double keeps its
+    type, so that it isn't rounded row by row); others are parsed by the
+    declared schema, without inference."""
+    frames = {}
+    for name, schema in schemas.TABLE_SCHEMAS.items():
+        if fmt not in ("parquet", "orc"):
+            frames[name] = spark.read.format(fmt).schema(schema).load(f"{path}/{name}").select(*schema.fieldNames())
+            continue
+        stored = spark.read.format(fmt).load(f"{path}/{name}")
+        frames[name] = stored.select(
+            *[
+                F.col(f.name) if f.name == "amount" and stored.schema[f.name].dataType == T.DoubleType()
+                else F.col(f.name).cast(f.dataType)
+                for f in schema.fields
+            ]
+        )
+    return AppTables(**frames)
 
 
 def read_jdbc_tables(
     spark: SparkSession,
     url: str,
     properties: dict[str, str],
-    partition_bounds: dict[str, tuple[int, int]] | None = None,
+    partition_bounds: dict[str, tuple[int, int]],
     num_partitions: int = 64,
 ) -> AppTables:
-    """Read the five tables from a relational store over JDBC.
-
-    Every table is read in ``num_partitions`` parallel range slices of its
-    primary key (``partition_bounds[table] = (lower, upper)``), so no single
-    task pulls a whole table. Requires the store's JDBC driver on the class
-    path; it cannot be exercised in the test environment.
-    """
-    bounds = partition_bounds or {}
+    """Read the five tables from a relational store over JDBC, each in
+    ``num_partitions`` parallel range slices of its primary key.
+
+    ``partition_bounds[table] = (lower, upper)`` is required for every table,
+    so that no single task pulls a whole one. Requires the store's JDBC driver
+    on the class path; there is none in the test environment."""
+    missing = sorted(set(schemas.TABLE_SCHEMAS) - set(partition_bounds))
+    if missing:
+        raise ValueError(f"partition_bounds lacks {', '.join(missing)}")
     frames = {}
     for name, schema in schemas.TABLE_SCHEMAS.items():
+        lower, upper = partition_bounds[name]
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
         for key, value in properties.items():
             reader = reader.option(key, value)
-        if name in bounds:
-            lower, upper = bounds[name]
-            reader = (
-                reader.option("partitionColumn", schemas.PRIMARY_KEYS[name])
-                .option("lowerBound", str(lower))
-                .option("upperBound", str(upper))
-                .option("numPartitions", str(num_partitions))
-            )
-        df = reader.load()
+        df = (
+            reader.option("partitionColumn", schemas.PRIMARY_KEYS[name])
+            .option("lowerBound", str(lower))
+            .option("upperBound", str(upper))
+            .option("numPartitions", str(num_partitions))
+            .load()
+        )
         frames[name] = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
     return AppTables(**frames)
 
 
 def write_app_tables(tables: AppTables, path: str) -> None:
     """Full-refresh load: every table is replaced (``mode('overwrite')``);
-    sessions and orders are partitioned by day.
+    sessions, orders and events are partitioned by day.
 
-    A ``rebalance`` hint by the partition column precedes each partitioned
-    write, so each day's rows are gathered into few files (not one file per
-    shuffle partition per day), while AQE still splits a day that holds a
-    large share of the rows into several tasks."""
+    A ``rebalance`` hint by the day precedes each partitioned write, so each
+    day's rows are gathered into few files (not one file per shuffle partition
+    per day), while AQE still splits a day that holds a large share of the
+    rows into several tasks. The other tables are written as they come."""
     for name, df in tables.as_dict().items():
         out = df.select(*schemas.TABLE_SCHEMAS[name].fieldNames())
         part = _PARTITION_COLUMNS.get(name)
-        out = out.hint("rebalance", part) if part else out.hint("rebalance")
-        writer = out.write.mode("overwrite")
+        if name == "events":
+            out = out.withColumn(part, F.to_date("timestamp"))
         if part:
-            writer = writer.partitionBy(part)
-        writer.parquet(f"{path}/{name}")
+            out.hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(f"{path}/{name}")
+        else:
+            out.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_reports(reports: dict[str, DataFrame], path: str, parallelism: int = 4) -> dict[str, str]:

@@ -70,7 +70,7 @@ ORDERS = T.StructType([
     _f("order_id", T.LongType()),
     _f("user_id", T.LongType()),
     _f("session_id", T.LongType()),
-    _f("amount", T.DoubleType()),
+    _f("amount", T.DecimalType(10, 2)),
     _f("category", T.StringType()),
     _f("order_date", T.DateType()),
 ])
