@@ -47,7 +47,7 @@ def test_sessions_of_two_users_stay_apart(spark, odd):
 def test_no_event_is_dropped(spark, odd):
     tables = load_app_tables(spark, odd)
     assert tables.events.count() == len(EVENTS)
-    assert tables.orders.count() == sum(e[3] == "purchase" for e in EVENTS)
+    assert tables.orders.count() == sum(e[3] == "purchase" and None not in e[1:3] for e in EVENTS)
 
 
 def test_a_day_without_room_is_an_error(spark, odd):

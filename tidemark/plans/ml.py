@@ -235,7 +235,7 @@ def classification_metrics(predictions: DataFrame) -> DataFrame:
             (tp / F.nullif(pred, F.lit(0))).alias(f"precision_{c}"),
             (tp / F.nullif(actual, F.lit(0))).alias(f"recall_{c}"),
             (F.lit(2.0) * tp / F.nullif(pred + actual, F.lit(0))).alias(f"f1_{c}"),
-            actual.cast("double").alias(f"support_{c}"),
+            F.coalesce(actual, F.lit(0)).cast("double").alias(f"support_{c}"),
         ]
     correct = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
     wide = conf.agg((correct / F.sum("n")).alias("accuracy"), *per_class)

@@ -10,7 +10,8 @@ Rules (``k`` = integer ``$.k`` of ``events.props``; ``d0`` = 2024-01-01;
 * events      every raw event, whoever its user; session_id from user and day;
               event types mapped below.
 * sessions    one per (user, day); device / coupon from k of the first event.
-* orders      one per Purchase event; amount = value; category = k % 5.
+* orders      one per Purchase event of a session (it has a user and a time);
+              amount = value; category = k % 5.
 * experiments one per user, by user_id parity.
 
 No event is left out: those of unknown users or from before a signup stay, and
@@ -125,7 +126,7 @@ def build_sessions(events: DataFrame) -> DataFrame:
 
 def build_orders(events: DataFrame) -> DataFrame:
     return entities.orders_from_events(
-        events, amount=F.col("value"), category=_pick(F.col("k") % 5, schemas.CATEGORIES)
+        events.filter(F.col("session_id").isNotNull()), amount=F.col("value"), category=_pick(F.col("k") % 5, schemas.CATEGORIES)
     )
 
 
@@ -204,7 +205,7 @@ app_users AS (
 app_orders AS (
   SELECT event_id AS order_id, user_id, session_id, value AS amount,
          {_sql_pick('k % 5', schemas.CATEGORIES)} AS category, event_date AS order_date
-  FROM app_events WHERE event_type = 'Purchase'
+  FROM app_events WHERE event_type = 'Purchase' AND session_id IS NOT NULL
 ),
 app_experiments AS (
   SELECT user_id AS experiment_id, user_id,
