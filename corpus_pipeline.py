@@ -34,18 +34,27 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest doc_id, once."""
-    groups = simhash.near_duplicates(docs, shingle=3, radius=2)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("first_id"), F.col("fingerprint").alias("first_fingerprint")
-    )
-    rows = nested(docs, "doc_id", "text").withColumn("fingerprint", simhash.fingerprint_column()("text"))
-    kept = rows.join(
-        first.distinct(),
-        F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("fingerprint") == F.col("first_fingerprint")),
-        "left_semi",
+    """Of each group one row: the smallest doc_id (nulls last), then the
+    smallest hash of the text, then the first as written."""
+    ship_package(spark)
+    folder = run_folder(spark, "near-duplicates")
+    # Written once, so that every later read has the same row numbers.
+    rows = saved(
+        nested(docs, "doc_id", "text").select(
+            "row",
+            "doc_id",
+            F.xxhash64("text").alias("text_hash"),
+            simhash.fingerprint_column(shingle=3)("text").alias("fingerprint"),
+            F.monotonically_increasing_id().alias("number"),
+        ),
+        f"{folder}/rows",
     )
-    return unnested(kept, docs)
+    place = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash", "number")
+    # Aggregated by fingerprint before the join: a hot text is one row of it.
+    nearest = rows.groupBy("fingerprint").agg(F.min(place).alias("first"))
+    roots = simhash.groups(rows.select("doc_id", "fingerprint"), folder, radius=2).select("fingerprint", "root")
+    first = nearest.join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    return unnested(rows.join(first.select("first.number"), "number", "left_semi"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
+import random
+
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from llm.helpers import empty
-from tidemark.llm import queries
+from llm.helpers import components, empty
+from tidemark.llm import queries, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,6 +51,38 @@ def test_pipeline_packs_every_kept_token(spark):
     assert (pieces[pieces.doc_id == doc].doc_tokens == len(plain.encode(text, add_special_tokens=False).ids) + 1).all()
 
 
+def linked_texts(n, seed):
+    """Texts whose fingerprints differ, each within the radius of the first."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+    found, prints = [" ".join(words)], [simhash.fingerprints(pa.array([" ".join(words)]))[0]]
+    while len(found) < n:
+        at = rng.randrange(len(words))
+        text = " ".join([*words[:at], "other", *words[at + 1 :]])
+        mark = simhash.fingerprints(pa.array([text]))[0]
+        if mark not in prints and (mark ^ prints[0]).bit_count() <= simhash.RADIUS:
+            found.append(text)
+            prints.append(mark)
+    return found
+
+
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    nulls, same, mixed = (linked_texts(3, seed) for seed in (1, 2, 3))
+    rows = [(None, t, "x") for t in nulls for _ in range(4)]  # no id at all, copies and linked texts
+    rows += [(7, t, str(k)) for t in same for k in (1, 1, 2)]  # one id, repeated rows, several texts
+    rows += [(None, mixed[0], "x"), (9, mixed[1], "x"), (9, mixed[1], "x"), (8, mixed[2], "x")]
+    rows += [(None, None, "x"), (None, "", "x"), (3, "", "x"), (11, "a text of its own", "x"), (11, "and one more such text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    prints = simhash.fingerprints(pa.array([r[1] for r in rows], pa.string()))
+    group = components(prints, lambda a, b: (a ^ b).bit_count() <= simhash.RADIUS)
+    assert len(kept) == len(set(group)) and set(kept) <= set(rows)
+    least = {}
+    for g, r in zip(group, rows, strict=True):
+        least[g] = min(least.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    assert sorted((d is None, d or 0) for d, _, _ in kept) == sorted(least.values())
+
+
 def test_empty_documents_pass(spark):
     docs = empty(spark)
     for _, stage in corpus_pipeline.STAGES:

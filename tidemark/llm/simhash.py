@@ -91,6 +91,14 @@ def near_duplicates(
         pick(docs, "doc_id", "text").select("doc_id", fingerprint_column(shingle, seed)("text").alias("fingerprint")),
         f"{folder}/fingerprints",
     )
+    labels = saved(groups(rows, folder, radius, tile).select("fingerprint", "component_id"), f"{folder}/labels")
+    return rows.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def groups(rows: DataFrame, folder: str, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Per distinct fingerprint of ``rows``: fingerprint, root (a fingerprint
+    that its component alone has), component_id (its smallest doc_id, null if
+    all are)."""
     nodes = saved(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")), f"{folder}/nodes")
     links = saved(tile_links(nodes, radius, tile), f"{folder}/links")
     roots = components(links, folder)
@@ -98,12 +106,9 @@ def near_duplicates(
     linked = roots.join(nodes, roots["node"] == nodes["fingerprint"]).select("node", "root", "first_doc")
     first = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     alone = nodes.join(roots, roots["node"] == nodes["fingerprint"], "left_anti").select(
-        "fingerprint", F.col("first_doc").alias("component_id")
+        "fingerprint", F.col("fingerprint").alias("root"), F.col("first_doc").alias("component_id")
     )
-    labels = saved(
-        linked.join(first, "root").select(F.col("node").alias("fingerprint"), "component_id").unionByName(alone), f"{folder}/labels"
-    )
-    return rows.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return linked.join(first, "root").select(F.col("node").alias("fingerprint"), "root", "component_id").unionByName(alone)
 
 
 def tile_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
