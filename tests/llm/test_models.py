@@ -39,6 +39,20 @@ def test_toxicity_tolerates_an_insertion_near_the_start(machine):
     assert machine.scores(pa.array([f"{clean} grxumpus {clean}"]))[0] >= 0.3
 
 
+@pytest.mark.parametrize("gap", ["\n", "\t", "\r\n", "\u00a0", "  "])
+def test_toxicity_cuts_words_at_all_white_space(machine, gap):
+    clean = words(6_000, "abcdefgh", 5)
+    said = " ".join([*clean.split()[:3_000], "grumpus", *clean.split()[3_000:]])
+    texts = [clean, said, clean.replace(" ", gap), said.replace(" ", gap)]
+    scores = machine.scores(pa.array(texts))
+    assert scores[2] < 0.3 <= scores[3] and scores[0] < 0.3 <= scores[1], scores
+    if gap in ("\t", "  ", "\u00a0"):
+        assert np.allclose(scores[:2], scores[2:])
+    decisions = machine.decisions(pa.array([f"ab{gap}grumpus{gap}ef", f"ab{gap}grumpus{gap}Grumpus,{gap}ef"]))
+    assert np.isclose(*decisions)
+    assert toxicity.sentences("a\tb c.\nd\r\ne") == [["a", "b", "c"], ["d"], ["e"]]
+
+
 def test_kernel_equals_brute_force():
     def counts(word):
         found, word = {}, "^" + word
