@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from helpers import event, make_tables, order, session, user
-from tidemark.plans import reports, sql_reports
-from tidemark.plans import registry
+from tidemark.functions import money_text, none_if_all, number_text, percent_text, with_text_times
+from tidemark.plans import registry, reports, sql_reports
+from tidemark.plans.mart import user_device_facts
 from tidemark.plans.pack import run_report_pack
 from tidemark.sources import schemas
 from tidemark.sources.driver_data import load_app_tables
@@ -50,11 +51,55 @@ def test_materialized_tables_give_same_reports(spark):
 
 
 @pytest.mark.parametrize("key", registry.MATERIALIZED)
-def test_no_folder_is_left(spark, key):
+def test_only_the_result_is_left(spark, key):
     shared = checkpoint_dir(spark).removeprefix("file:")
     before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
     assert registry.queries()[key](spark, SF_SMALL).count() > 0
-    assert set(os.listdir(shared)) - before == set()
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and all(name.endswith("-result") for name in left)
+
+
+def tables_read(df) -> set[str]:
+    """Folders that the plan reads."""
+    return {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+
+
+FACT_REPORTS = ["funnel_by_device", "funnel_sessions", "funnel_sessions_ios", "business_kpis", "topline_kpis"] + [
+    "segment_performance", "ab_results", "ab_raw", "ab_lift", "ab_significance", "ab_pvalue", "device_checkout", "device_leakage"
+]
+
+
+def test_a_pack_scans_the_mart_once_for_all_reports_over_it(spark):
+    tables = load_app_tables(spark, SF_SMALL)
+    with run_folder(spark) as folder:
+        written = materialize_tables(tables, folder)
+        facts = user_device_facts(written)
+        assert tables_read(facts) == {"sessions"}
+        assert facts._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        packed = registry.with_facts(written, folder)
+        for key in FACT_REPORTS:
+            df = registry.REPORTS[key](packed)
+            read = tables_read(df)
+            assert "user_device_facts" in read and "sessions" not in read and "events.parquet" not in read, (key, read)
+            assert _sorted(df) == _sorted(registry.REPORTS[key](tables)), key
+
+
+def test_words_for_everything_are_no_filter(spark):
+    tables = load_app_tables(spark, SF_SMALL)
+    assert none_if_all("city", "All Regions") is None and none_if_all("city", "All Devices") == "All Devices"
+    every = reports.business_kpis(tables)
+    assert _sorted(reports.business_kpis(tables, "All Regions", "All Channels")) == _sorted(every)
+    assert reports.business_kpis(tables, "All Channels").first().total_revenue == 0.0
+
+
+def test_text_output(spark):
+    df = spark.createDataFrame([(1234567.891, -0.5, None)], "a double, b double, c double")
+    out = df.select(
+        money_text("a"), money_text("a", grouped=False), number_text("a", 0), percent_text("b"), percent_text("a", 1), money_text("c")
+    ).first()
+    assert tuple(out) == ("$1,234,567.89", "$1234567.89", "1,234,568", "-0.50%", "1234567.9%", None)
+    shown = with_text_times(make_tables(spark, events=[event(1, 1, "Search", 2, 3661)]).events).first()
+    assert shown.timestamp == "2024-01-03 01:01:01"
 
 
 def test_an_appended_file_is_seen(spark, tmp_path):

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from tidemark.plans import ml
+from tidemark.plans import forest, ml
+from tidemark.sources import versions
 from tidemark.sources.driver_data import load_app_tables
 
 
@@ -88,9 +89,9 @@ def test_risk_bands_are_strict(spark):
 def test_scores_come_from_the_saved_model(spark, small):
     path = os.path.join(tempfile.mkdtemp(prefix="tidemark-model-"), "m")
     first = ml.cart_risk_scores(small, model_path=path).orderBy("session_id").collect()
-    stamp = os.path.getmtime(os.path.join(path, "metadata"))
+    stamp = versions.numbers(spark, path)
     assert ml.cart_risk_scores(small, model_path=path).orderBy("session_id").collect() == first
-    assert os.path.getmtime(os.path.join(path, "metadata")) == stamp  # not fitted again
+    assert versions.numbers(spark, path) == stamp == [1]  # not fitted again
 
 
 def test_train_save_load_score(spark, small):
@@ -109,6 +110,46 @@ def test_train_save_load_score(spark, small):
     assert scored.filter((F.col("risk_pct") < 0) | (F.col("risk_pct") > 100)).count() == 0
 
 
+def test_a_failed_save_keeps_the_published_model(spark, small, monkeypatch):
+    split = ml.stratified_split(ml.cart_features(small))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-model-"), "m")
+    first = ml.train_cart_model(split, None, None, model_path=path, num_trees=3)
+    old = ml.model_folder(spark, path)
+    stored = spark.read.parquet(f"{old}/metrics")
+    assert sorted(stored.collect()) == sorted(first.metrics.collect())
+
+    def fails(*_):
+        raise OSError("no room")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(versions, "publish", fails)  # after the new folder is written
+        with pytest.raises(OSError, match="no room"):
+            ml.train_cart_model(split, None, None, model_path=path, num_trees=2)
+    assert ml.model_folder(spark, path) == old
+    assert ml.load_cart_model(spark, path).stages[-1].getNumTrees == 3
+    ml.train_cart_model(split, None, None, model_path=path, num_trees=2)
+    assert ml.load_cart_model(spark, path).stages[-1].getNumTrees == 2
+    assert ml.load_cart_model(spark, path, version=1).stages[-1].getNumTrees == 3
+
+
+def test_scores_equal_the_node_table(spark, small):
+    """Every session's probability, from the stored nodes by joins alone."""
+    features = ml.session_features(small)
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-model-"), "m")
+    split = ml.stratified_split(features.filter(F.col("items_added_to_cart") > 0))
+    model = ml.train_cart_model(split, None, None, model_path=path, num_trees=12).model
+    saved = f"{ml.model_folder(spark, path)}/pipeline"
+    nodes = forest.forest_nodes(spark, saved)
+    by_nodes = {r[0]: r[1] for r in forest.score_by_nodes(features, nodes, *forest.scaling(spark, saved)).collect()}
+    scored = ml.score_sessions(model, features).collect()
+    assert len(scored) == len(by_nodes) > 0
+    for r in scored:
+        risk = 100.0 if r.items_added_to_cart == 0 else 100.0 * by_nodes[r.session_id]
+        assert abs(r.risk_pct - risk) <= 1e-7  # 1e-9 as a probability
+        band = "HIGH" if risk > 70 else "MEDIUM" if risk > 40 else "LOW"
+        assert min(abs(risk - 70), abs(risk - 40)) < 1e-7 or r.risk_band == band
+
+
 def test_per_class_tables_are_size_checked(spark):
     n = (ml.MAX_CLASSES + 1) * 5  # five rows per class, so every class has a cut bucket
     df = spark.range(n).select(F.col("id").alias("session_id"), (F.col("id") % (ml.MAX_CLASSES + 1)).alias("abandoned"))

@@ -11,7 +11,7 @@ from tidemark.plans import registry, reports
 from tidemark.sources.driver_data import load_app_tables
 
 # Keys whose plans legitimately contain Expand: unpivots of one-row / few-row results.
-EXPAND_OK = {"integrity_audit", "integrity_audit_defects", "briefing_context"}
+EXPAND_OK = {"integrity_audit", "integrity_audit_defects", "briefing_context", "briefing_text"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"]
 
 
@@ -52,6 +52,15 @@ def test_mart_reports_sort_nothing_and_aggregate_events_once(spark, key):
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
+@pytest.mark.parametrize("key", ["past_purchases", "cart_features", "feature_sample"])
+def test_prior_orders_come_from_the_rollup(spark, key):
+    """One scan of the events, one exchange by session and one by user."""
+    plan = executed_plan(build(spark, key))
+    assert len([x for x in plan.splitlines() if "FileScan parquet" in x]) == 1, plan
+    assert plan.count("Exchange hashpartitioning(session_id") == 1
+    assert plan.count("Exchange hashpartitioning(user_id") == 1 and "Join" not in plan
+
+
 def test_sessions_come_from_one_hash_aggregation(spark):
     plan = executed_plan(build(spark, "sessions_built"))
     assert "SortAggregate" not in plan and plan.count("HashAggregate(keys=[session_id") == 2

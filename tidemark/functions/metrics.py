@@ -66,13 +66,24 @@ def money(units: Column | str, count: Column | str | None = None) -> Column:
     return F.signum(n).cast("double") * rounded
 
 
+#: What the dashboard's filters call no filter, by column.
+ALL_OF = {"city": "All Regions", "acquisition_channel": "All Channels", "device_type": "All Devices"}
+
+
+def none_if_all(column: str, value):
+    """The filter value, or None for the column's word for everything."""
+    return None if value == ALL_OF.get(column) else value
+
+
 def optional_eq(df: DataFrame, column: str, value) -> DataFrame:
-    """``WHERE (column = value OR value IS NULL)``: None means no filter; any
-    other value (including the empty string) is an equality filter.
+    """``WHERE (column = value OR value IS NULL)``: None and the column's word
+    for everything (``ALL_OF``) mean no filter; any other value (including the
+    empty string) is an equality filter.
 
     Resolved on the driver, so the plan carries either a plain pushed-down
     equality or nothing at all.
     """
+    value = none_if_all(column, value)
     if value is None:
         return df
     return df.filter(F.col(column) == F.lit(value))

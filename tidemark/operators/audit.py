@@ -7,6 +7,11 @@ nothing enforces them, so the audit reports violations instead:
 * ``null_value``    — NULLs in a column declared NOT NULL;
 * ``orphan_key``    — child rows whose (non-NULL) foreign key has no parent.
 
+Tables that were written for this run were counted on the way
+(``memo["observed"]``): their NULLs are known, and the audit reads them again for
+keys and orphans only. Of the others, a child's NULLs are counted in the same
+aggregation as its foreign keys.
+
 Child keys are counted per distinct value before the anti-join (a map-side
 combined aggregation), so a hot key that holds a third of the rows reaches
 the join as a single row.
@@ -40,17 +45,45 @@ def duplicate_keys(tables: AppTables) -> list[DataFrame]:
     return out
 
 
+def _keys_of(child: str) -> list[str]:
+    return sorted({c for t, c, *_ in schemas.FOREIGN_KEYS if t == child})
+
+
+def _counted_keys(tables: AppTables, child: str) -> DataFrame:
+    """Rows (``_n``) and NULLs of the required columns by the distinct
+    combinations of a child's foreign keys: one aggregation, whose exchange the
+    checks of the table share."""
+    keys = _keys_of(child)
+    nulls = [] if child in tables.memo.get("observed", {}) else [c for c in _required(child) if c not in keys]
+    return tables.as_dict()[child].groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).cast("bigint").alias(f"_null_{c}") for c in nulls]
+    )
+
+
+def _required(table: str) -> list[str]:
+    return [f.name for f in schemas.TABLE_SCHEMAS[table].fields if not f.nullable]
+
+
 def null_values(tables: AppTables) -> list[DataFrame]:
-    """One aggregation per table counts the NULLs of all its NOT NULL columns."""
+    """One row per NOT NULL column of each table."""
+    observed = tables.memo.get("observed", {})
     out = []
-    for table, schema in schemas.TABLE_SCHEMAS.items():
-        required = [f.name for f in schema.fields if not f.nullable]
-        wide = tables.as_dict()[table].agg(
-            *[F.count_if(F.col(c).isNull()).cast("bigint").alias(c) for c in required]
-        )
-        long = wide.unpivot([], required, "column_name", "violations")
+    for table in schemas.TABLE_SCHEMAS:
+        required, keys = _required(table), _keys_of(table)
+        if table in observed:
+            counts = [F.lit(observed[table]["nulls"][c]) for c in required]
+            wide = tables.users.sparkSession.range(1)
+        elif keys:
+            counted = _counted_keys(tables, table)
+            per_key = {c: F.sum(F.when(F.col(c).isNull(), F.col("_n"))) if c in keys else F.sum(f"_null_{c}") for c in required}
+            wide = counted.agg(*[F.coalesce(n, F.lit(0)).alias(c) for c, n in per_key.items()])
+            counts = [F.col(c) for c in required]
+        else:
+            wide = tables.as_dict()[table].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
+            counts = [F.col(c) for c in required]
+        rows = [F.struct(F.lit(c).alias("column_name"), n.cast("bigint").alias("violations")) for c, n in zip(required, counts)]
         out.append(
-            long.select(
+            wide.select(F.inline(F.array(*rows))).select(
                 F.lit("null_value").alias("check_name"), F.lit(table).alias("table_name"), "column_name", "violations"
             )
         )
@@ -58,15 +91,11 @@ def null_values(tables: AppTables) -> list[DataFrame]:
 
 
 def orphan_keys(tables: AppTables) -> list[DataFrame]:
-    """A child's foreign keys are counted by their distinct combinations in one
-    aggregation, whose exchange its checks share."""
-    frames = tables.as_dict()
-    keys_of = {child: sorted({c for t, c, *_ in schemas.FOREIGN_KEYS if t == child}) for child, *_ in schemas.FOREIGN_KEYS}
-    counted = {child: frames[child].groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) for child, keys in keys_of.items()}
+    counted = {child: _counted_keys(tables, child) for child, *_ in schemas.FOREIGN_KEYS}
     out = []
     for child, col, parent, pcol in schemas.FOREIGN_KEYS:
         keys = counted[child].filter(F.col(col).isNotNull()).groupBy(col).agg(F.sum("_n").alias("_n"))
-        parents = frames[parent].select(F.col(pcol).alias(col))
+        parents = tables.as_dict()[parent].select(F.col(pcol).alias(col))
         out.append(_row(keys.join(parents, col, "left_anti"), "orphan_key", child, col, F.sum("_n")))
     return out
 

@@ -45,9 +45,3 @@ def has_flag(stage_key: str) -> Column:
     """1 when the entity has at least one event of the stage, else 0 (NULL
     counts from an outer join count as 0)."""
     return (F.coalesce(F.col(n_col(stage_key)), F.lit(0)) > 0).cast("int")
-
-
-def any_flags(df: DataFrame, *keys: str) -> DataFrame:
-    """Roll per-session flags up to ``keys`` (e.g. device and user): the flag
-    is 1 when any of the entity's sessions has it."""
-    return df.groupBy(*keys).agg(*[F.max(has_col(k)).alias(has_col(k)) for k in schemas.STAGE_KEYS])

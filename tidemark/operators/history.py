@@ -4,13 +4,16 @@ How many orders a session's user had placed on earlier days. Asked per session
 this is a correlated count, which Spark either rejects (in a grouped query) or
 plans as a join of all sessions with all orders of the user.
 
-The answer depends only on (user, day). Orders are counted per
-(user, day); the distinct session days of each user join that with weight 0;
-a running sum over the user's *days* (strictly before the current day) gives
-the count. The window's partitions hold one row per distinct active day of a
-user — bounded by the calendar span, not by the user's event or session
-volume — so a user with a third of all traffic is still a small partition.
-The result joins back to sessions on (user_id, session_date).
+Tables with a rollup have the number of orders on every session, so the answer
+is a sum over the rows of the user's earlier days: one window over the rollup,
+no second pass over events and no join (``with_prior_orders``). Its partitions
+hold a user's sessions, one per active day, so they are bounded by the calendar
+span, not by the user's events.
+
+Where sessions and orders are stored apart, orders are counted per (user, day);
+the distinct session days of each user join that with weight 0; a running sum
+over the user's *days* (strictly before the current day) gives the count, which
+joins back to sessions on (user_id, session_date).
 """
 
 from __future__ import annotations
@@ -19,6 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_prior_orders(rollup: DataFrame) -> DataFrame:
+    """``rollup`` with past_purchases_count: the orders (``n_orders``) of the
+    user's sessions on strictly earlier days."""
+    earlier = Window.partitionBy("user_id").orderBy(F.unix_date("session_date")).rangeBetween(Window.unboundedPreceding, -1)
+    return rollup.withColumn("past_purchases_count", F.coalesce(F.sum("n_orders").over(earlier), F.lit(0)).cast("bigint"))
+
+
 def prior_order_counts_by_day(sessions: DataFrame, orders: DataFrame) -> DataFrame:
     """(user_id, session_date, past_purchases_count) for every distinct
     session or order day of a user: orders dated strictly before that day."""

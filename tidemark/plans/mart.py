@@ -6,6 +6,10 @@ the events gives the sessions' attributes, stage counts, and order counts and
 amounts together, so the mart is one scan and one shuffle. Tables read from a
 store have sessions, events and orders apart; there the counts and totals are
 aggregated by ``session_id`` and joined to the sessions on it.
+
+The user-device facts sum the mart per user and device once. The funnels, the
+KPIs, the segments, the experiment and the devices' checkout all add these up
+further (by device, by user, over all), so a pack of them scans the mart once.
 """
 
 from __future__ import annotations
@@ -59,3 +63,38 @@ def _build_mart(tables: AppTables) -> DataFrame:
     return counted.fillna(0, subset=[*_COUNT_COLS, "n_orders", "n_amounts"]).select(
         "*", *[flags.has_flag(k).alias(flags.has_col(k)) for k in schemas.STAGE_KEYS]
     )
+
+
+def s_col(stage_key: str) -> str:
+    return f"s_{stage_key}"
+
+
+#: Measures of the user-device facts, each a sum over the sessions of the mart:
+#: sessions, those with events, those that reached each stage (``s_<stage>``),
+#: those with both a checkout and a purchase, those with an order; and the
+#: amounts.
+STAGE_SESSIONS = [s_col(k) for k in schemas.STAGE_KEYS]
+FACTS = ["n_sessions", "n_eventful", *STAGE_SESSIONS, "s_checkout_purchase", "n_order_sessions", "n_amounts", "order_units"]
+
+
+def user_device_facts(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
+    """One row per user and device of the mart with the ``FACTS``. Built once
+    per ``AppTables`` over its own mart and shared by its reports."""
+    if mart is not None and mart is not tables.memo.get("session_mart"):
+        return _build_facts(mart)
+    if "user_device_facts" not in tables.memo:
+        tables.memo["user_device_facts"] = _build_facts(session_mart(tables))
+    return tables.memo["user_device_facts"]
+
+
+def _build_facts(mart: DataFrame) -> DataFrame:
+    both = F.col(flags.has_col("checkout")) * F.col(flags.has_col("purchase"))
+    return mart.groupBy("user_id", "device_type").agg(
+        F.count("session_id").alias("n_sessions"),
+        F.count_if(F.col("n_events") > 0).alias("n_eventful"),
+        *[F.sum(flags.has_col(k)).alias(s_col(k)) for k in schemas.STAGE_KEYS],
+        F.sum(both).alias("s_checkout_purchase"),
+        F.count_if(F.col("n_orders") > 0).alias("n_order_sessions"),
+        F.sum("n_amounts").alias("n_amounts"),
+        F.sum("order_units").alias("order_units"),
+    )

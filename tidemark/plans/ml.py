@@ -8,6 +8,7 @@ checkout and purchase included, so the label leaks into that feature.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import flags, history
 from tidemark.plans.mart import session_mart
-from tidemark.sources import schemas
+from tidemark.sources import schemas, versions
 from tidemark.sources.io import AppTables
 
 # The model's inputs, in order, and the forest's size.
@@ -42,8 +43,12 @@ LABEL = "abandoned"
 def session_features(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
     """Feature columns and label for every session (carts or not)."""
     mart = mart if mart is not None else session_mart(tables)
-    prior = history.prior_order_counts_by_day(tables.sessions, tables.orders)
-    return mart.join(prior, ["user_id", "session_date"], "left").select(
+    if tables.session_rollup is not None:
+        known = history.with_prior_orders(mart)
+    else:
+        prior = history.prior_order_counts_by_day(tables.sessions, tables.orders)
+        known = mart.join(prior, ["user_id", "session_date"], "left")
+    return known.select(
         "session_id",
         "session_duration",
         F.col(flags.n_col("view_product")).alias("num_products_viewed"),
@@ -68,7 +73,10 @@ def feature_sample(features: DataFrame, n: int = 5) -> DataFrame:
 
 def past_purchases(tables: AppTables) -> DataFrame:
     """Per session: orders of the same user dated strictly before it."""
-    return history.past_purchases(tables.sessions, tables.orders)
+    if tables.session_rollup is None:
+        return history.past_purchases(tables.sessions, tables.orders)
+    known = history.with_prior_orders(session_mart(tables))
+    return known.select("session_id", "user_id", "session_date", "past_purchases_count")
 
 
 # --- K10 / K2 -------------------------------------------------------------------
@@ -265,8 +273,8 @@ def train_cart_model(
 ) -> TrainedModel:
     """Fit scaler + forest on the ``train`` rows of ``split`` (see
     ``stratified_split``) with balanced class weights, evaluate on its
-    ``test`` rows, apply the gate, then (only if it passes) save the pipeline
-    to ``model_path``. A gate bound of None disables it.
+    ``test`` rows, apply the gate, then (only if it passes) publish the pipeline
+    and its metrics below ``model_path``. A gate bound of None disables it.
 
     The rows are persisted once (memory, spilling to disk) for the duration of
     the fit: the class counts, the scaler and every tree level re-read them."""
@@ -288,17 +296,35 @@ def train_cart_model(
             f"accuracy {values.get('accuracy')} / F1 {values.get('f1_1')} below gate {min_accuracy} / {min_f1}"
         )
     if model_path:
-        model.write().overwrite().save(model_path)
+        publish_model(model, metrics, model_path)
     return TrainedModel(model=model, metrics=metrics, gate_passed=passed)
 
 
-def load_cart_model(spark: SparkSession, path: str) -> PipelineModel | None:
-    """The saved pipeline, or None when nothing was saved there; a damaged or
-    forbidden path is an error."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return None
-    return PipelineModel.load(path)
+def publish_model(model: PipelineModel, metrics: DataFrame, path: str) -> int:
+    """Save the pipeline and its metrics as a new version below ``path`` and
+    point to it; until then, and if anything fails, the last version stays the
+    one that is loaded. Gives the version."""
+    spark = metrics.sparkSession
+    folder = f"model-{uuid.uuid4().hex[:12]}"
+    model.write().save(f"{path}/{folder}/pipeline")
+    metrics.write.parquet(f"{path}/{folder}/metrics")
+    return versions.publish(spark, path, {"model": folder})
+
+
+def model_folder(spark: SparkSession, path: str, version: int | None = None) -> str | None:
+    """Where a version's ``pipeline`` and ``metrics`` lie, the newest by
+    default; None when nothing was published."""
+    found = versions.content(spark, path, version)
+    return None if found is None else f"{path}/{found['model']}"
+
+
+def load_cart_model(spark: SparkSession, path: str, version: int | None = None) -> PipelineModel | None:
+    """The published pipeline, or one saved at ``path`` itself; None when
+    there is neither. A damaged or forbidden path is an error."""
+    folder = model_folder(spark, path, version)
+    if folder is not None:
+        return PipelineModel.load(f"{folder}/pipeline")
+    return PipelineModel.load(path) if versions.exists(spark, path) else None
 
 
 def class_weights(split: DataFrame, label_col: str = LABEL) -> DataFrame:

@@ -66,6 +66,28 @@ per_device AS (
 SELECT {', '.join(cols)} FROM per_device""")
 
 
+def funnel_by_device_weekly() -> str:
+    cols = ["week", "device_type", "app_open AS app_open_users"]
+    for prev, cur in zip(KEYS, KEYS[1:]):
+        cols += [
+            f"{cur} AS {cur}_users",
+            f"{pct2(cur, prev)} AS {cur}_step_conv_pct",
+            f"{spct2(f'({prev} - {cur})', prev)} AS {cur}_step_drop_pct",
+        ]
+    cols.append(f"{pct2('purchase', 'app_open')} AS overall_conversion_pct")
+    return _q(f"""
+, reached AS (
+  SELECT DISTINCT CAST(date_trunc('week', s.session_date) AS DATE) AS week, s.device_type, s.user_id, e.event_type
+  FROM app_sessions s LEFT JOIN app_events e ON e.session_id = s.session_id
+),
+per_week AS (
+  SELECT week, device_type,
+    {_stage_counts('reached', 'user_id')}
+  FROM reached GROUP BY week, device_type
+)
+SELECT {', '.join(cols)} FROM per_week""")
+
+
 def funnel_sessions(device_type: str | None = None, channel: str | None = None) -> str:
     where = []
     if device_type is not None:
@@ -649,3 +671,45 @@ def briefing_context() -> str:
         _unpivot("(SELECT 'B vs A' AS comparison, * FROM lf)", "b_vs_a", "comparison", ["abs_lift_pts", "rel_lift_pct"]),
     ]
     return f"WITH {with_sql}\n" + "\nUNION ALL ".join(body)
+
+
+# --- text output ----------------------------------------------------------------------
+
+
+def _number_text(value: str, decimals: int, grouped: bool = True) -> str:
+    return f"format('{{:{',' if grouped else ''}.{decimals}f}}', CAST({value} AS DOUBLE))"
+
+
+def _money_text(value: str, grouped: bool = True) -> str:
+    return f"'$' || {_number_text(value, 2, grouped)}"
+
+
+def _percent_text(value: str) -> str:
+    return f"{_number_text(value, 2, False)} || '%'"
+
+
+def kpi_text() -> str:
+    return f"""SELECT {_money_text('total_revenue')} AS total_revenue, {_money_text('avg_order_value', False)} AS avg_order_value,
+  {_percent_text('conversion_rate')} AS conversion_rate, {_percent_text('abandonment_rate')} AS abandonment_rate,
+  {_number_text('total_orders', 0)} AS total_orders, {_number_text('total_sessions', 0)} AS total_sessions
+FROM ({business_kpis()})"""
+
+
+def briefing_text() -> str:
+    return f"""SELECT section, entity, metric,
+  CASE WHEN metric IN ('total_spend_usd', 'arpu') THEN {_money_text('value')}
+       WHEN suffix(metric, '_pct') OR suffix(metric, '_pts') THEN {_percent_text('value')}
+       WHEN metric = 'avg_sessions_per_user' THEN {_number_text('value', 2)}
+       ELSE {_number_text('value', 0)} END AS value_text
+FROM ({briefing_context()})"""
+
+
+def orders_text() -> str:
+    return _q("""
+SELECT order_id, user_id, session_id, amount, category, strftime(order_date, '%Y-%m-%d') AS order_date FROM app_orders""")
+
+
+def events_text() -> str:
+    return _q("""
+SELECT event_id, user_id, session_id, event_type, feature_name, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp"
+FROM app_events""")

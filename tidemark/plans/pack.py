@@ -1,8 +1,8 @@
 """The named report pack: every deterministic report of the registry,
-built from one materialised session mart and written as one Parquet folder per
-report.
+written as one Parquet folder per report.
 
-The derived tables and the mart are written once as Parquet to a run folder
+The derived tables and the user-device facts, which the funnels, KPIs, segments,
+experiment and device reports add up, are written once as Parquet to a run folder
 below ``spark.checkpoint.dir`` and read back: later reports read them instead
 of re-running the event aggregation, and a lost executor does not force
 recomputing the lineage. The folder goes when the pack is written. A failing
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tidemark.plans.registry import REPORTS, with_mart
+from tidemark.plans.registry import REPORTS, with_facts
 from tidemark.sources.io import AppTables, materialize_tables, run_folder, write_reports
 
 
@@ -21,7 +21,7 @@ def run_report_pack(spark: SparkSession, tables: AppTables, out_dir: str) -> dic
     """Write every report under ``out_dir/<name>``; returns per-report status."""
     built, status = {}, {}
     with run_folder(spark) as folder:
-        tables = with_mart(materialize_tables(tables, folder), folder)
+        tables = with_facts(materialize_tables(tables, folder), folder)
         for name, report in REPORTS.items():
             try:
                 built[name] = report(tables)

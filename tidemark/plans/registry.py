@@ -6,7 +6,8 @@ Every builder takes ``(spark, sf_dir)`` and derives the app tables from the
 whole test tables in ``sf_dir``, whose files are listed anew each time. Most
 return a lazy DataFrame. The split's cut points and the models are computed by
 jobs while building; the composite reports (``MATERIALIZED``) write the derived
-tables, take the report's few rows and remove the tables again.
+tables that they read, write the report's rows beside them, and remove the
+tables again.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions import with_text_times
 from tidemark.operators import audit, entities
 from tidemark.plans import ml, oracle, reports, sql_reports
-from tidemark.plans.mart import session_mart
+from tidemark.plans.mart import user_device_facts
 from tidemark.sources.driver_data import load_app_tables
 from tidemark.sources.io import AppTables, materialize, materialize_tables, run_folder
 
@@ -39,7 +41,9 @@ def _split(tables: AppTables) -> DataFrame:
 #: Every deterministic report.
 REPORTS: dict[str, Report] = {
     "funnel_by_device": reports.funnel_by_device,
+    "funnel_by_device_weekly": reports.funnel_by_device_weekly,
     "funnel_sessions": reports.funnel_sessions,
+    "funnel_sessions_all": lambda t: reports.funnel_sessions(t, device_type="All Devices", channel="All Channels"),
     "funnel_sessions_ios": lambda t: reports.funnel_sessions(t, device_type=FUNNEL_DEVICE),
     "funnel_sessions_channel": lambda t: reports.funnel_sessions(t, channel=FUNNEL_CHANNEL),
     "retention_by_channel": reports.retention_by_channel,
@@ -48,6 +52,8 @@ REPORTS: dict[str, Report] = {
     "acquisition_share": reports.acquisition_share,
     "business_kpis": reports.business_kpis,
     "business_kpis_filtered": lambda t: reports.business_kpis(t, city=KPI_CITY, channel=KPI_CHANNEL),
+    "business_kpis_all": lambda t: reports.business_kpis(t, city="All Regions", channel="All Channels"),
+    "kpi_text": reports.kpi_text,
     "topline_kpis": reports.topline_kpis,
     "filter_options": reports.filter_options,
     "table_counts": reports.table_counts,
@@ -65,6 +71,8 @@ REPORTS: dict[str, Report] = {
     "user_segments": lambda t: t.users,
     "experiment_assignment": lambda t: t.experiments,
     "orders_built": lambda t: t.orders,
+    "events_text": lambda t: with_text_times(t.events),
+    "orders_text": lambda t: with_text_times(t.orders),
     "past_purchases": ml.past_purchases,
     "cart_features": ml.cart_features,
     "feature_sample": lambda t: ml.feature_sample(ml.cart_features(t)),
@@ -82,11 +90,17 @@ REPORTS: dict[str, Report] = {
     "integrity_audit": audit.integrity_audit,
     "integrity_audit_defects": lambda t: audit.integrity_audit(audit.with_defects(t)),
     "briefing_context": reports.briefing_context,
+    "briefing_text": reports.briefing_text,
 }
 
-#: Reports that read the derived tables many times and have few rows: one per
-#: check, or one per channel, segment, group and stage.
-MATERIALIZED = ("integrity_audit", "integrity_audit_defects", "briefing_context")
+#: Reports that read derived tables many times, and the tables that are written
+#: for them first.
+MATERIALIZED = {
+    "integrity_audit": ("users", "sessions", "orders"),
+    "integrity_audit_defects": ("users", "sessions", "orders"),
+    "briefing_context": ("users", "sessions"),
+    "briefing_text": ("users", "sessions"),
+}
 
 #: Reports that depend on the forest's random choices.
 MODEL_REPORTS: dict[str, Report] = {
@@ -99,32 +113,33 @@ def _lazy(report: Report) -> Builder:
     return lambda spark, sf_dir: report(load_app_tables(spark, sf_dir))
 
 
-def _materialized(report: Report) -> Builder:
+def _materialized(report: Report, names: tuple[str, ...]) -> Builder:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         with run_folder(spark) as folder:
-            tables = with_mart(materialize_tables(load_app_tables(spark, sf_dir), folder), folder)
-            out = report(tables)
-            rows = out.collect()
-        return spark.createDataFrame(rows, out.schema)
+            tables = materialize_tables(load_app_tables(spark, sf_dir), folder, names)
+            return materialize(report(tables), f"{folder}-result")
 
     return build
 
 
-def with_mart(tables: AppTables, folder: str) -> AppTables:
-    """The tables with their session mart written to ``folder``."""
-    tables.memo["session_mart"] = materialize(session_mart(tables), f"{folder}/session_mart")
+def with_facts(tables: AppTables, folder: str) -> AppTables:
+    """The tables with their user-device facts written to ``folder``, so that
+    the reports over them share one scan of the mart."""
+    tables.memo["user_device_facts"] = materialize(user_device_facts(tables), f"{folder}/user_device_facts")
     return tables
 
 
 def queries() -> dict[str, Builder]:
-    found = {name: _materialized(r) if name in MATERIALIZED else _lazy(r) for name, r in REPORTS.items()}
+    found = {name: _materialized(r, MATERIALIZED[name]) if name in MATERIALIZED else _lazy(r) for name, r in REPORTS.items()}
     return found | {name: _lazy(r) for name, r in MODEL_REPORTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "funnel_by_device": oracle.funnel_by_device(),
+        "funnel_by_device_weekly": oracle.funnel_by_device_weekly(),
         "funnel_sessions": oracle.funnel_sessions(),
+        "funnel_sessions_all": oracle.funnel_sessions(),
         "funnel_sessions_ios": oracle.funnel_sessions(device_type=FUNNEL_DEVICE),
         "funnel_sessions_channel": oracle.funnel_sessions(channel=FUNNEL_CHANNEL),
         "retention_by_channel": oracle.retention_by_channel(),
@@ -133,6 +148,8 @@ def oracle_sql() -> dict[str, str]:
         "acquisition_share": oracle.acquisition_share(),
         "business_kpis": oracle.business_kpis(),
         "business_kpis_filtered": oracle.business_kpis(city=KPI_CITY, channel=KPI_CHANNEL),
+        "business_kpis_all": oracle.business_kpis(),
+        "kpi_text": oracle.kpi_text(),
         "topline_kpis": oracle.topline_kpis(),
         "filter_options": oracle.filter_options(),
         "table_counts": oracle.table_counts(),
@@ -150,6 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "user_segments": oracle.user_segments(),
         "experiment_assignment": oracle.experiment_assignment(),
         "orders_built": oracle.orders_built(),
+        "events_text": oracle.events_text(),
+        "orders_text": oracle.orders_text(),
         "past_purchases": oracle.past_purchases(),
         "cart_features": oracle.cart_features(),
         "feature_sample": oracle.feature_sample(),
@@ -167,4 +186,5 @@ def oracle_sql() -> dict[str, str]:
         "integrity_audit": oracle.integrity_audit(),
         "integrity_audit_defects": oracle.integrity_audit(defects=True),
         "briefing_context": oracle.briefing_context(),
+        "briefing_text": oracle.briefing_text(),
     }

@@ -17,17 +17,18 @@ channels) or conditional aggregation.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import money, optional_eq, pct2, round_ratio, signed_pct2
-from tidemark.operators import flags
-from tidemark.plans.mart import order_aggs, order_facts, session_mart
+from tidemark.functions import money, money_text, number_text, optional_eq, pct2, percent_text, round_ratio, signed_pct2
+from tidemark.operators import bitmaps, flags
+from tidemark.plans.mart import STAGE_SESSIONS, order_aggs, order_facts, s_col, session_mart, user_device_facts
 from tidemark.sources import schemas
 from tidemark.sources.io import AppTables
 
 STAGE_KEYS = schemas.STAGE_KEYS
-HAS = [flags.has_col(k) for k in STAGE_KEYS]
 
 
 def _sum_long(col: str) -> F.Column:
@@ -51,10 +52,13 @@ def funnel_by_device(tables: AppTables, mart: DataFrame | None = None) -> DataFr
     """Users per device reaching each stage, with step conversion and drop-off
     (NULL on a zero denominator) and overall conversion. A user on two devices
     counts in both; devices whose sessions have no events stay, with zeros."""
-    mart = mart if mart is not None else session_mart(tables)
-    per_user = flags.any_flags(mart.select("device_type", "user_id", *HAS), "device_type", "user_id")
-    per_device = per_user.groupBy("device_type").agg(*[_sum_long(h).alias(k) for h, k in zip(HAS, STAGE_KEYS)])
-    cols = [F.col("device_type"), F.col("app_open").alias("app_open_users")]
+    facts = user_device_facts(tables, mart)
+    return _user_funnel(facts.groupBy("device_type").agg(*[F.count_if(F.col(s_col(k)) > 0).alias(k) for k in STAGE_KEYS]))
+
+
+def _user_funnel(per_device: DataFrame, *more: str) -> DataFrame:
+    """Conversions of users by device (and ``more``) and stage."""
+    cols = [*more, F.col("device_type"), F.col("app_open").alias("app_open_users")]
     for prev, cur in zip(STAGE_KEYS, STAGE_KEYS[1:]):
         cols += [
             F.col(cur).alias(f"{cur}_users"),
@@ -65,6 +69,20 @@ def funnel_by_device(tables: AppTables, mart: DataFrame | None = None) -> DataFr
     return per_device.select(*cols)
 
 
+def funnel_by_device_weekly(tables: AppTables, daily: DataFrame | None = None) -> DataFrame:
+    """``funnel_by_device`` for every week (by its Monday), from the daily
+    bitmaps of users: those of ``daily``, or built from the mart."""
+    daily = daily if daily is not None else bitmaps.daily_stage_bitmaps(session_mart(tables))
+    week = F.trunc("day", "week").alias("week")
+    return _user_funnel(bitmaps.distinct_users(bitmaps.merged(daily, week, "device_type"), "week", "device_type"), "week")
+
+
+def funnel_by_device_between(daily: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """``funnel_by_device`` over a range of days, from stored daily bitmaps."""
+    some = bitmaps.merged(bitmaps.between(daily, first, last), "device_type")
+    return _user_funnel(bitmaps.distinct_users(some, "device_type"))
+
+
 # --- J2 session funnel --------------------------------------------------------
 
 
@@ -80,19 +98,21 @@ def funnel_sessions(
     with its base clamped to at least 1. Sessions of unknown users are
     excluded (inner join with users). Stages are not ordered in time: a stage
     counts sessions having any event of that type."""
-    mart = mart if mart is not None else session_mart(tables)
-    sessions = optional_eq(mart.select("user_id", "device_type", *HAS), "device_type", device_type)
-    # Sessions per user first (map-side combined), so the join with users
-    # sees one row per user however many sessions a hot user has.
-    per_user = sessions.groupBy("user_id").agg(*[F.sum(h).alias(k) for h, k in zip(HAS, STAGE_KEYS)])
+    # Sessions per user and device first (map-side combined), so the join with
+    # users sees few rows per user however many sessions a hot user has.
+    per_user = optional_eq(user_device_facts(tables, mart).select("user_id", "device_type", *_stages()), "device_type", device_type)
     users = optional_eq(tables.users.select("user_id", "acquisition_channel"), "acquisition_channel", channel)
     return per_user.join(users.select("user_id"), "user_id").agg(*_stage_sums()).select(_funnel_rows())
 
 
-def funnels_by_scope(tables: AppTables, devices: dict[str, str], mart: DataFrame) -> DataFrame:
+def _stages() -> list[F.Column]:
+    return [F.col(s).alias(k) for s, k in zip(STAGE_SESSIONS, STAGE_KEYS)]
+
+
+def funnels_by_scope(tables: AppTables, devices: dict[str, str], mart: DataFrame | None = None) -> DataFrame:
     """``funnel_sessions`` of all sessions (scope ``all``) and of some devices
     (scope by device), from one aggregation."""
-    per_user = mart.groupBy("user_id", "device_type").agg(*[F.sum(h).alias(k) for h, k in zip(HAS, STAGE_KEYS)])
+    per_user = user_device_facts(tables, mart).select("user_id", "device_type", *_stages())
     known = per_user.join(tables.users.select("user_id"), "user_id")
     by_device = known.groupBy("device_type").agg(*_stage_sums())
     # Every scope has a row of zeros beside its devices, as an empty funnel has rows too.
@@ -219,26 +239,19 @@ def acquisition_share(tables: AppTables) -> DataFrame:
 # --- J1 / J9 KPIs -------------------------------------------------------------
 
 
-def _session_totals(tables: AppTables, mart: DataFrame) -> DataFrame:
-    """Rows to sum, each with a user: sessions (n_sessions 1, cart and purchase
-    flags) and order totals per session. Tables with a rollup have both on one
-    row, from one aggregation; otherwise orders are totalled on their own, as
-    they may name another session or user than the sessions table."""
-    sessions = {
-        "n_sessions": F.lit(1),
-        "n_cart": F.col(flags.has_col("add_to_cart")),
-        "n_purchase": F.col(flags.has_col("purchase")),
-    }
-    orders = {
-        "n_order_sessions": F.when(F.col("n_orders") > 0, F.lit(1)).otherwise(F.lit(0)),
-        "n_amounts": F.col("n_amounts"),
-        "order_units": F.col("order_units"),
-    }
-    pick = lambda columns: [c.alias(n) for n, c in columns.items()]
+def _session_totals(tables: AppTables, mart: DataFrame | None) -> DataFrame:
+    """Rows to sum, each with a user: sessions (and those with a cart, with a
+    purchase) and order totals. Tables with a rollup have both in their facts;
+    otherwise orders are totalled on their own, as they may name another session
+    or user than the sessions table."""
+    facts = user_device_facts(tables, mart)
+    sessions = [F.col("n_sessions"), F.col(s_col("add_to_cart")).alias("n_cart"), F.col(s_col("purchase")).alias("n_purchase")]
+    orders = ["n_order_sessions", "n_amounts", "order_units"]
     if tables.session_rollup is not None:
-        return mart.select("user_id", *pick(sessions | orders))
+        return facts.select("user_id", *sessions, *orders)
     apart = tables.orders.groupBy("user_id", "session_id").agg(*order_aggs(F.col("amount"), F.lit(True)))
-    return mart.select("user_id", *pick(sessions)).unionByName(apart.select("user_id", *pick(orders)), allowMissingColumns=True)
+    apart = apart.select("user_id", (F.col("n_orders") > 0).cast("int").alias("n_order_sessions"), "n_amounts", "order_units")
+    return facts.select("user_id", *sessions).unionByName(apart, allowMissingColumns=True)
 
 
 _TOTALS = ["n_sessions", "n_cart", "n_purchase", "n_order_sessions", "n_amounts", "order_units"]
@@ -257,7 +270,6 @@ def business_kpis(
     least 1; abandonment is ``(1 - purchase / max(1, cart)) * 100``, so no
     carts and no purchases give 100.0. Sessions and orders are summed per user
     before the users are joined, so a hot user joins as one row."""
-    mart = mart if mart is not None else session_mart(tables)
     users = optional_eq(optional_eq(tables.users, "city", city), "acquisition_channel", channel).select("user_id")
     per_user = _session_totals(tables, mart).groupBy("user_id").agg(*[F.sum(c).alias(c) for c in _TOTALS])
     row = per_user.join(users, "user_id").agg(*[F.sum(c).alias(c) for c in _TOTALS])
@@ -280,7 +292,7 @@ def topline_kpis(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
     is in a session, and one pass over the sessions gives all; otherwise
     events and orders are counted by the sessions that they name."""
     if tables.session_rollup is not None:
-        rows = _session_totals(tables, mart if mart is not None else session_mart(tables))
+        rows = _session_totals(tables, mart)
     else:
         named = flags.stage_counts(tables.events.filter(F.col("session_id").isNotNull()), "session_id").select(
             flags.has_flag("add_to_cart").alias("n_cart"), flags.has_flag("purchase").alias("n_purchase")
@@ -313,10 +325,15 @@ def filter_options(tables: AppTables) -> DataFrame:
 
 
 def table_counts(tables: AppTables) -> DataFrame:
-    """Row count per table."""
+    """Row count per table; of tables that were counted while they were written,
+    that count."""
+    observed = tables.memo.get("observed", {})
+    spark = tables.users.sparkSession
     frames = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        for name, df in tables.as_dict().items()
+        spark.range(1).select(F.lit(name).alias("table_name"), F.lit(observed[name]["rows"]).cast("bigint").alias("row_count"))
+        if name in observed
+        else tables.as_dict()[name].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        for name in schemas.TABLE_SCHEMAS
     ]
     out = frames[0]
     for f in frames[1:]:
@@ -332,9 +349,8 @@ def segment_performance(tables: AppTables, mart: DataFrame | None = None) -> Dat
     Orders reach the spend only through a session of the user (the mart's
     per-session order totals); users without sessions count with 0 sessions.
     Spend is summed exactly and rounded once."""
-    mart = mart if mart is not None else session_mart(tables)
-    per_user = mart.groupBy("user_id").agg(
-        F.count("session_id").alias("n_sessions"), F.sum("order_units").alias("spend")
+    per_user = user_device_facts(tables, mart).groupBy("user_id").agg(
+        F.sum("n_sessions").alias("n_sessions"), F.sum("order_units").alias("spend")
     )
     per_segment_user = (
         tables.users.select("user_id", "user_segment")
@@ -373,15 +389,14 @@ def _ab_counts(tables: AppTables, mart: DataFrame | None) -> DataFrame:
     """Per group: checkout sessions, purchase sessions and sessions with both.
     Counted per user first (map-side combined), so the join with the
     experiment groups sees one row per user, not per session."""
-    mart = mart if mart is not None else session_mart(tables)
-    checkout, purchase = F.col(flags.has_col("checkout")), F.col(flags.has_col("purchase"))
     per_user = (
-        mart.filter(F.col("n_events") > 0)
+        user_device_facts(tables, mart)
+        .filter(F.col("n_eventful") > 0)
         .groupBy("user_id")
         .agg(
-            F.sum(checkout).alias("c"),
-            F.sum(purchase).alias("p"),
-            F.sum(checkout * purchase).alias("cp"),
+            F.sum(s_col("checkout")).alias("c"),
+            F.sum(s_col("purchase")).alias("p"),
+            F.sum("s_checkout_purchase").alias("cp"),
         )
     )
     groups = tables.experiments.select("user_id", "experiment_group").distinct()
@@ -516,13 +531,13 @@ def ab_pvalue(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
 
 def device_checkout(tables: AppTables, mart: DataFrame | None = None) -> DataFrame:
     """Cart→checkout per device over sessions with events (unrounded rate)."""
-    mart = mart if mart is not None else session_mart(tables)
     out = (
-        mart.filter(F.col("n_events") > 0)
+        user_device_facts(tables, mart)
+        .filter(F.col("n_eventful") > 0)
         .groupBy("device_type")
         .agg(
-            _sum_long(flags.has_col("add_to_cart")).alias("cart_sessions"),
-            _sum_long(flags.has_col("checkout")).alias("checkout_sessions"),
+            _sum_long(s_col("add_to_cart")).alias("cart_sessions"),
+            _sum_long(s_col("checkout")).alias("checkout_sessions"),
         )
     )
     return out.select(
@@ -573,7 +588,6 @@ def briefing_context(tables: AppTables, mart: DataFrame | None = None) -> DataFr
     results and segment performance, plus the comparisons the briefing asks
     for — iOS vs Android at the checkout step, each channel's retention vs
     all other channels pooled, and group B vs A."""
-    mart = mart if mart is not None else session_mart(tables)
     funnels = funnels_by_scope(tables, {"iOS": "iOS", "Android": "Android"}, mart)
     retention = retention_by_channel(tables)
     ab = ab_results(tables, mart)
@@ -632,6 +646,36 @@ def briefing_context(tables: AppTables, mart: DataFrame | None = None) -> DataFr
     return out
 
 
+def kpi_text(tables: AppTables, city: str | None = None, channel: str | None = None) -> DataFrame:
+    """``business_kpis`` as the dashboard's cards print them."""
+    k = business_kpis(tables, city, channel)
+    return k.select(
+        money_text("total_revenue").alias("total_revenue"),
+        money_text("avg_order_value", grouped=False).alias("avg_order_value"),
+        percent_text("conversion_rate").alias("conversion_rate"),
+        percent_text("abandonment_rate").alias("abandonment_rate"),
+        number_text("total_orders", 0).alias("total_orders"),
+        number_text("total_sessions", 0).alias("total_sessions"),
+    )
+
+
+#: Metrics of the briefing that are money, and that are neither whole nor rates.
+MONEY_METRICS, PLAIN_METRICS = ("total_spend_usd", "arpu"), ("avg_sessions_per_user",)
+
+
+def briefing_text(tables: AppTables) -> DataFrame:
+    """``briefing_context`` with every value as the text of its kind: money,
+    percent (rates and gaps in points), or a count."""
+    metric, value = F.col("metric"), F.col("value")
+    text = (
+        F.when(metric.isin(*MONEY_METRICS), money_text(value))
+        .when(metric.endswith("_pct") | metric.endswith("_pts"), percent_text(value))
+        .when(metric.isin(*PLAIN_METRICS), number_text(value))
+        .otherwise(number_text(value, 0))
+    )
+    return briefing_context(tables).select("section", "entity", "metric", text.alias("value_text"))
+
+
 #: The dashboard's column labels.
 DISPLAY_NAMES = {
     "funnel_sessions": {

@@ -21,6 +21,7 @@ reports that are about known users join the users.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,17 @@ ORIGIN = dt.date(2024, 1, 1)
 SIGNUP_SPREAD_DAYS = 20
 
 
+#: The raw columns that the mapping reads (fixed values). They are declared, so
+#: no file is opened to infer them.
+RAW_SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "customer": "c_custkey long, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _signup_date(user_id: Column) -> Column:
@@ -99,9 +109,9 @@ def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def last_event_date(spark: SparkSession, sf_dir: str) -> Column:
-    """The last day of the events, as a scalar subquery over ``ts`` alone."""
-    return read_raw(spark, sf_dir, "events").agg(F.max(F.to_date("ts"))).scalar()
+def last_event_date(events: DataFrame) -> Column:
+    """The last day of the events, as a scalar subquery over their time alone."""
+    return events.agg(F.max("event_date")).scalar()
 
 
 def build_session_rollup(events: DataFrame) -> DataFrame:
@@ -130,23 +140,53 @@ def build_orders(events: DataFrame) -> DataFrame:
     )
 
 
+class MappedTables(AppTables):
+    """The five app tables over the test data in ``sf_dir``; each plan is built
+    when it is first asked for, so a report pays for the tables it reads."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, end_date: dt.date | None = None):
+        self.__dict__ |= {"memo": {}, "_spark": spark, "_sf_dir": sf_dir, "_end_date": end_date}
+
+    @cached_property
+    def _base_users(self) -> DataFrame:
+        return base_users(self._spark, self._sf_dir)
+
+    @cached_property
+    def _mapped_events(self) -> DataFrame:
+        return mapped_events(self._spark, self._sf_dir)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        end = self._end_date or last_event_date(self._mapped_events)
+        return entities.segment_users(self._base_users, self.sessions, end).select(*schemas.USERS.fieldNames())
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self.session_rollup.select(*schemas.SESSIONS.fieldNames())
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._mapped_events.select(*schemas.EVENTS.fieldNames())
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return build_orders(self._mapped_events)
+
+    @cached_property
+    def experiments(self) -> DataFrame:
+        return entities.assign_experiments(self._base_users, schemas.EXPERIMENT_FEATURE, ORIGIN)
+
+    @cached_property
+    def session_rollup(self) -> DataFrame:
+        rollup = build_session_rollup(self._mapped_events)
+        return rollup.select(*schemas.SESSIONS.fieldNames(), *flags.COUNT_COLS, *mart.ORDER_COLS)
+
+
 def load_app_tables(spark: SparkSession, sf_dir: str, end_date: dt.date | None = None) -> AppTables:
     """The five app tables over the test data in ``sf_dir`` (lazy plans).
     ``end_date`` closes the New-user window; by default it is the last day of
     the events."""
-    users0 = base_users(spark, sf_dir)
-    events = mapped_events(spark, sf_dir)
-    rollup = build_session_rollup(events)
-    sessions = rollup.select(*schemas.SESSIONS.fieldNames())
-    users = entities.segment_users(users0, sessions, end_date or last_event_date(spark, sf_dir))
-    return AppTables(
-        users=users.select(*schemas.USERS.fieldNames()),
-        sessions=sessions,
-        events=events.select(*schemas.EVENTS.fieldNames()),
-        orders=build_orders(events),
-        experiments=entities.assign_experiments(users0, schemas.EXPERIMENT_FEATURE, ORIGIN),
-        session_rollup=rollup.select(*schemas.SESSIONS.fieldNames(), *flags.COUNT_COLS, *mart.ORDER_COLS),
-    )
+    return MappedTables(spark, sf_dir, end_date)
 
 
 # --- the same mapping as DuckDB SQL, for the oracle ------------------------

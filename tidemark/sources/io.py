@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from tidemark.session import checkpoint_dir
 from tidemark.sources import schemas
 
 # Tables that are written partitioned by day, so date filters prune files.
-_PARTITION_COLUMNS = {"sessions": "session_date", "orders": "order_date", "events": "event_day"}
+DAY_COLUMNS = {"sessions": "session_date", "orders": "order_date", "events": "event_day"}
 
 
 @dataclass(frozen=True)
@@ -66,21 +66,50 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_tables(tables: AppTables, folder: str, parallelism: int = 4) -> AppTables:
-    """Write the derived tables once for a multi-report job (see
-    ``materialize``). The events stay a source scan, since copying the largest
-    table rarely pays off; sessions are read back as a projection of the rollup
-    when there is one. The tables are independent jobs and are written
-    concurrently."""
-    todo = {name: df for name, df in tables.as_dict().items() if name != "events"}
-    if tables.session_rollup is not None:
-        todo["session_rollup"] = tables.session_rollup
-        del todo["sessions"]
+class WrittenRows:
+    """Counts the rows of a table, and the NULLs in its required columns, while
+    it is written. The counters stand last in the plan, in the tasks that write,
+    so every partition counts once, however often an earlier stage ran."""
+
+    def __init__(self, name: str):
+        self._name = name
+        self._observation = Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._observation, F.count(F.lit(1)).alias("rows"), *null_counts(self._name))
+
+    def result(self) -> dict:
+        """``rows`` and ``nulls`` by column; waits for the write."""
+        found = dict(self._observation.get)
+        return {"rows": found.pop("rows"), "nulls": found}
+
+
+def null_counts(name: str) -> list[Column]:
+    """The NULLs in each column that the table's schema requires."""
+    return [F.count_if(F.col(f.name).isNull()).cast("bigint").alias(f.name) for f in schemas.TABLE_SCHEMAS[name].fields if not f.nullable]
+
+
+def materialize_tables(tables: AppTables, folder: str, names: tuple[str, ...] | None = None, parallelism: int = 4) -> AppTables:
+    """Write the derived tables of ``names`` (all by default) once for a
+    multi-report job, counting them on the way (``memo["observed"]``); the rest
+    stay as they are. The events are never copied, since the largest table
+    rarely pays that back; sessions are written as the rollup when there is one,
+    of which they are a projection. The tables are independent jobs and are
+    written concurrently."""
+    frames = tables.as_dict()
+    todo = {name: df for name, df in frames.items() if name != "events" and (names is None or name in names)}
+    if "sessions" in todo and tables.session_rollup is not None:
+        todo["sessions"] = tables.session_rollup
+    watches = {name: WrittenRows(name) for name in todo}
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        done = dict(zip(todo, pool.map(lambda item: materialize(item[1], f"{folder}/{item[0]}"), todo.items())))
-    if tables.session_rollup is not None:
-        done["sessions"] = done["session_rollup"].select(*schemas.SESSIONS.fieldNames())
-    return AppTables(events=tables.events, **done)
+        written = pool.map(lambda name: materialize(watches[name].watch(todo[name]), f"{folder}/{name}"), todo)
+        done = dict(zip(todo, written))
+    rollup = tables.session_rollup
+    if rollup is not None and "sessions" in done:
+        rollup = done["sessions"]
+        done["sessions"] = rollup.select(*schemas.SESSIONS.fieldNames())
+    observed = {name: watch.result() for name, watch in watches.items()}
+    return AppTables(**(frames | done), session_rollup=rollup, memo={"observed": observed})
 
 
 def read_app_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> AppTables:
@@ -140,7 +169,8 @@ def read_jdbc_tables(
 
 def write_app_tables(tables: AppTables, path: str) -> None:
     """Full-refresh load: every table is replaced (``mode('overwrite')``);
-    sessions, orders and events are partitioned by day.
+    sessions, orders and events are partitioned by day. Readers may see tables of
+    two loads while this runs; ``snapshots.write_snapshot`` spares them that.
 
     A ``rebalance`` hint by the day precedes each partitioned write, so each
     day's rows are gathered into few files (not one file per shuffle partition
@@ -148,7 +178,7 @@ def write_app_tables(tables: AppTables, path: str) -> None:
     rows into several tasks. The other tables are written as they come."""
     for name, df in tables.as_dict().items():
         out = df.select(*schemas.TABLE_SCHEMAS[name].fieldNames())
-        part = _PARTITION_COLUMNS.get(name)
+        part = DAY_COLUMNS.get(name)
         if name == "events":
             out = out.withColumn(part, F.to_date("timestamp"))
         if part:
