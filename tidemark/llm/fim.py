@@ -40,6 +40,9 @@ OTHER, SPACE, FIRST, LATER = range(4)
 #: A unit begins at each code point of these classes.
 BEGINS = (OTHER, SPACE, FIRST)
 
+#: Bytes of text that are cut at a time.
+STEP_BYTES = 4 << 20
+
 _RESULT = "n long, form string, prefix_chars long, middle_chars long, output string"
 
 
@@ -179,7 +182,7 @@ def _transformed():
     def run(texts: pa.Array, h1: pa.Array, h2: pa.Array, h3: pa.Array, h4: pa.Array) -> pa.Array:
         hashed = [np.asarray(h, np.int64) for h in (h1, h2, h3, h4)]
         texts = plain_strings(texts)
-        parts = [transform_texts(texts.slice(a, b - a), [h[a:b] for h in hashed]) for a, b in byte_slices(texts)]
+        parts = [transform_texts(texts.slice(a, b - a), [h[a:b] for h in hashed]) for a, b in byte_slices(texts, STEP_BYTES)]
         return pa.concat_arrays(parts) if parts else transform_texts(texts, hashed)
 
     return run
