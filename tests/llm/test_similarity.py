@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -130,25 +131,36 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in random.normal(0, 0.3, 8)]) for i in range(400)]
     rows += [(400 + i, [0.25] * 8) for i in range(90)]  # ties beyond k
     rows += [(20, rows[20][1]), (600, None), (601, [1.0, None] + [0.0] * 6), (602, [float("nan")] * 8), (603, [float("inf")] * 8)]
-    rows += [(604, []), (605, [0.5, -0.5]), (620, [-1e30] * 8), (None, [0.1] * 8)]
+    rows += [(604, []), (605, [0.5, -0.5]), (None, [0.1] * 8), (640, [4e7] + [0.0] * 7), (641, [38 / 64] * 8), (660, [-3e8] * 8)]
+    rows += [(20, [-x for x in rows[20][1]])]  # another query of the same vec_id
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS block", "3 AS VEC_ID")
     got = topk.search(data, F.col("vec_id") % 20 == 0, k=5, rows=64, query_rows=7).collect()
-    top = 2**31 - 1
     whole = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     ids = [i for i, _ in whole]
-    vectors = [[int(max(-top, min(top, np.floor(64 * x)))) for x in v] for _, v in whole]
+    vectors = [[int(np.floor(64 * x)) for x in v] for _, v in whole]
     found = {}
     for r in got:
-        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    asked = {i for i in ids if i % 20 == 0}
-    assert set(found) == asked
-    for i, v in zip(ids, vectors, strict=True):
-        if i in asked and ids.count(i) == 1:
-            assert [(a, b) for _, a, b in sorted(found[i])] == plain_top(ids, vectors, (i, v), 5)
+        found.setdefault((r.query_id, r.query_row), []).append((r["rank"], r.vec_id, r.score))
+    asked = [(i, v) for i, v in zip(ids, vectors, strict=True) if i % 20 == 0]
+    assert {q for q, _ in found} == {i for i, _ in asked} and len(found) == len(asked)
+    for i in {i for i, _ in asked}:
+        want = sorted(plain_top(ids, vectors, (q, v), 5) for q, v in asked if q == i)
+        assert sorted([(a, b) for _, a, b in sorted(found[key])] for key in found if key[0] == i) == want
+    assert any(abs(r.score) > 2**40 for r in got)
     assert topk.search(data.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert topk.search(spark.createDataFrame([(7, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_scores_of_64_bits(spark):
+    big = spark.createDataFrame([(20, [4e7, 1.0]), (1, [38 / 64, 0.0]), (2, [-4e7, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.search(big, F.col("vec_id") % 20 == 0, k=2).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 97_280_000_000), (2, -((64 * 4 * 10**7) ** 2))]
+    for far in ([1e30], [1e9, 1e9]):
+        bad = spark.createDataFrame([(20, far), (40, far)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit"):
+            topk.search(bad, F.col("vec_id") % 20 == 0).collect()
+
+
 def test_slices_add_up():
     random = np.random.default_rng(3)
     vectors = random.integers(-9, 9, (130, 5)).astype(np.int32)

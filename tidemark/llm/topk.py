@@ -16,9 +16,12 @@ k rows a query at most, and a window keeps the first k of them.
 
 Vectors that are null or hold null or non-finite components take no part.
 Vectors of unequal length are compared over their common components.
-Quantised components are held to 32 bits (saturating). A query never gets
-rows of its own vec_id; repeated rows of another are all candidates. An empty
-table, or one without queries, gives no rows. Columns beyond ``vec_id`` and
+Quantised components are whole numbers of less than 62 bits, scores of 64; where
+one of the k doesn't fit, or a component, the job raises an error. A query never gets rows of its own vec_id;
+repeated rows of another are all candidates, and of equal score and vec_id in any
+order. Rows that repeat a query's vec_id are queries of their own, each with its
+``k`` rows (``query_row`` tells them apart). An empty table, or one without
+queries, gives no rows. Columns beyond ``vec_id`` and
 ``embedding`` are ignored.
 """
 
@@ -38,19 +41,20 @@ ROWS, QUERIES = 16384, 256
 #: The walk down the slices ends when this many times k rows are left.
 LEFT = 4
 
-_BLOCK = "block int, n int, dims int, low int, bits int, ids binary, slices binary, vectors binary"
+_BLOCK = "block int, n int, dims int, low long, bits int, ids binary, slices binary, vectors binary"
 _QUERY = "n int, dims int, ids binary, vectors binary"
-_HIT = "query_id long, vec_id long, score long"
+_HIT = "pack long, query_row int, query_id long, vec_id long, score long"
 
 
 def quantised(embedding: Column, scale: float) -> Column:
     """floor(scale * x) of every component; null for vectors that take no
     part."""
-    value = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale))
+    # A cast beyond 64 bits is an error, whatever the session's rules.
+    scaled = lambda x: x.cast("double") * scale
+    too_large = F.raise_error(F.lit("a component does not fit into 64 bits")).cast("bigint")
+    value = F.transform(embedding, lambda x: F.when(F.abs(scaled(x)) < 2.0**62, F.floor(scaled(x))).otherwise(too_large))
     fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    top = (1 << 31) - 1
-    held = F.transform(value, lambda v: F.greatest(F.least(v, F.lit(top)), F.lit(-top)).cast("int"))
-    return F.when(embedding.isNotNull() & F.coalesce(fine, F.lit(False)), held)
+    return F.when(embedding.isNotNull() & F.coalesce(fine, F.lit(False)), value)
 
 
 def build_index(vectors: DataFrame, path: str, scale: float = 64.0, rows: int = ROWS) -> int:
@@ -65,8 +69,9 @@ def build_index(vectors: DataFrame, path: str, scale: float = 64.0, rows: int =
 def search(
     vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, rows: int = ROWS, query_rows: int = QUERIES
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score for every row of ``vectors``
-    where ``queries`` (over vec_id) holds."""
+    """query_id, rank (from 1), vec_id, score, query_row (0, or more for rows
+    that repeat a query_id) for every row of ``vectors`` where ``queries`` (over
+    vec_id) holds."""
     spark = vectors.sparkSession
     folder = run_folder(spark, "bit-slices")
     blocks = build_index(vectors, f"{folder}/index", scale, rows)
@@ -78,6 +83,7 @@ def search(
     copies = ceil_div(2 * spark.sparkContext.defaultParallelism, blocks)
     index = spark.read.schema(_BLOCK).parquet(f"{folder}/index").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     tiles = packed.select(
+        "pack",
         F.col("n").alias("q_n"),
         F.col("dims").alias("q_dims"),
         F.col("ids").alias("q_ids"),
@@ -86,8 +92,12 @@ def search(
         F.pmod(F.xxhash64("pack"), F.lit(copies)).cast("int").alias("copy"),
     ).join(index, ["block", "copy"])
     hits = tiles.mapInArrow(_search_tiles(k), _HIT)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id", "pack", "query_row").orderBy(F.col("score").desc(), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    # The rows of one query_id are numbered over their k hits each.
+    again = Window.partitionBy("query_id").orderBy("pack", "query_row")
+    numbered = ranked.withColumn("query_row", F.dense_rank().over(again) - 1)
+    return numbered.select("query_id", "rank", "vec_id", "score", "query_row")
 
 
 def _quantised(vectors: DataFrame, scale: float) -> DataFrame:
@@ -100,8 +110,8 @@ def _dense(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     with zeros (which add nothing to a product)."""
     ids = np.concatenate([b.column("vec_id").to_numpy() for b in batches])
     sizes = np.concatenate([np.diff(np.asarray(b.column("v").offsets)) for b in batches])
-    flat = np.concatenate([b.column("v").flatten().to_numpy() for b in batches]).astype(np.int32)
-    out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int32)
+    flat = np.concatenate([b.column("v").flatten().to_numpy() for b in batches])
+    out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
     out[np.arange(out.shape[1]) < sizes[:, None]] = flat
     order = np.argsort(ids, kind="stable")
     return ids[order].astype(np.int64), out[order]
@@ -126,13 +136,17 @@ def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _row(numbers: list[int], blobs: list[bytes], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in numbers], *[pa.array([x], pa.binary()) for x in blobs]], names)
+    kinds = [pa.int64() if n == "low" else pa.int32() for n in names[: len(numbers)]]
+    return pa.RecordBatch.from_arrays(
+        [*[pa.array([x], t) for x, t in zip(numbers, kinds, strict=True)], *[pa.array([x], pa.binary()) for x in blobs]], names
+    )
 
 
 def bit_slices(vectors: np.ndarray, low: int) -> tuple[np.ndarray, int]:
     """Bitmaps by dimension and bit (least first) of ``vectors - low``, 64
     rows a word."""
-    shifted = (vectors.astype(np.int64) - low).T
+    # Differences below 2**63, since components are below 2**62.
+    shifted = (vectors - low).T
     bits = max(1, int(shifted.max(initial=0)).bit_length())
     words = -(-vectors.shape[0] // 64)
     out = np.zeros((vectors.shape[1], bits, words * 8), np.uint8)
@@ -192,10 +206,15 @@ def select_top(slices: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarra
     return np.flatnonzero(rows)
 
 
-def top_of_block(query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, slices: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and scores of the block's k best rows for one query."""
+def top_of_block(
+    query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, slices: np.ndarray, largest: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """vec_ids and scores of the block's k best rows for one query. ``largest``:
+    the block's largest component by dimension, in absolute value."""
     dims = min(len(query), vectors.shape[1])
-    query = query[:dims].astype(np.int64)
+    query = query[:dims]
+    # Slices hold sums of any size; products are of Python's whole numbers where 64 bits might not do.
+    wide = sum(abs(q) * m for q, m in zip(query.tolist(), largest.tolist())) >= 1 << 63
     bits, words = slices.shape[1:]
     weight = np.abs(query)
     columns: list[list[np.ndarray]] = []
@@ -213,7 +232,13 @@ def top_of_block(query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.
     own = np.packbits(ids != query_id, bitorder="little")
     valid[: len(own)] = own
     rows = select_top(add_slices(columns), valid.view(np.uint64), k)
-    scores = vectors[rows, :dims].astype(np.int64) @ query
+    if wide:
+        exact = [sum(a * b for a, b in zip(v, query.tolist())) for v in vectors[rows, :dims].tolist()]
+        best = sorted(range(len(rows)), key=lambda i: (-exact[i], ids[rows[i]]))[:k]
+        if any(abs(exact[i]) >= 1 << 63 for i in best):
+            raise OverflowError("a score does not fit into 64 bits")
+        return ids[rows][best], np.array([exact[i] for i in best], np.int64)
+    scores = vectors[rows, :dims] @ query
     best = np.lexsort((ids[rows], -scores))[:k]
     return ids[rows][best], scores[best]
 
@@ -223,20 +248,22 @@ def _search_tiles(k: int):
         for batch in batches:
             for tile in batch.to_pylist():
                 ids = np.frombuffer(tile["ids"], np.int64)
-                vectors = np.frombuffer(tile["vectors"], np.int32).reshape(tile["n"], tile["dims"])
+                vectors = np.frombuffer(tile["vectors"], np.int64).reshape(tile["n"], tile["dims"])
                 slices = np.frombuffer(tile["slices"], np.uint64).reshape(tile["dims"], tile["bits"], -1)
-                asked = np.frombuffer(tile["q_vectors"], np.int32).reshape(tile["q_n"], tile["q_dims"])
-                found = [
-                    (q, *top_of_block(q, v, ids, vectors, slices, k))
-                    for q, v in zip(np.frombuffer(tile["q_ids"], np.int64).tolist(), asked, strict=True)
-                ]
+                asked = np.frombuffer(tile["q_vectors"], np.int64).reshape(tile["q_n"], tile["q_dims"])
+                largest = np.abs(vectors).max(axis=0, initial=0)
+                query_ids = np.frombuffer(tile["q_ids"], np.int64)
+                found = [top_of_block(q, v, ids, vectors, slices, largest, k) for q, v in zip(query_ids.tolist(), asked, strict=True)]
+                sizes = [len(v) for v, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([np.full(len(v), q) for q, v, _ in found])),
-                        pa.array(np.concatenate([v for _, v, _ in found])),
-                        pa.array(np.concatenate([s for _, _, s in found])),
+                        pa.array(np.full(sum(sizes), tile["pack"], np.int64)),
+                        pa.array(np.repeat(np.arange(len(found), dtype=np.int32), sizes)),
+                        pa.array(np.repeat(query_ids, sizes)),
+                        pa.array(np.concatenate([v for v, _ in found])),
+                        pa.array(np.concatenate([s for _, s in found])),
                     ],
-                    ["query_id", "vec_id", "score"],
+                    ["pack", "query_row", "query_id", "vec_id", "score"],
                 )
 
     return run
