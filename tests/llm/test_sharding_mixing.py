@@ -81,3 +81,51 @@ def test_mixed_keeps_columns(spark):
     words = sum(len((r[1] or "").split(" ")) for r in out.collect())
     assert math.isclose(words, rows.taken.sum(), rel_tol=0.05)
     assert mixture(spark, empty(spark))[1].empty
+
+
+def hot_rows(spark, n=3_000):
+    """A third of all rows are one row."""
+    return spark.range(n).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("t "), F.col("id"))).otherwise(F.repeat(F.lit("same "), 20)).alias("text"),
+        F.lit("en").alias("lang"),
+        F.lit("s").alias("source"),
+    )
+
+
+def test_no_bucket_takes_all_copies(spark):
+    docs = hot_rows(spark)
+    rows = shard.shuffle_into_shards(docs, shards=4, bucket_bytes=4_000).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == sorted(r.doc_id or 0 for r in docs.collect())
+    hot = [r for r in rows if r.doc_id is None]
+    assert len(hot) == 1_000 and len({r.shard for r in hot}) == 1
+    (mine,) = {r.shard for r in hot}
+    slots = sorted(r.slot for r in rows if r.shard == mine)
+    assert slots == list(range(len(slots)))
+    # Spread over the shard: its copies lie all over its slots.
+    thirds = [sum(len(slots) * k // 3 <= r.slot < len(slots) * (k + 1) // 3 for r in hot) for k in range(3)]
+    assert min(thirds) > 150
+    again = shard.shuffle_into_shards(docs.repartition(7), shards=4, bucket_bytes=4_000).collect()
+    place = lambda found: sorted((r.doc_id or 0, r.text, r.shard, r.slot) for r in found)
+    assert place(rows) == place(again)
+
+
+def test_mix_of_null_ids_and_copies(spark):
+    """40 % of the rows have no doc_id, some rows are there many times."""
+    docs = spark.range(5_000).select(
+        F.when(F.col("id") % 5 > 1, F.col("id")).alias("doc_id"),
+        F.concat(F.lit("w "), F.col("id") % 900, F.repeat(F.lit(" x"), (F.col("id") % 7).cast("int"))).alias("text"),
+        F.concat(F.lit("s"), F.col("id") % 4).alias("source"),
+    )
+    docs = docs.unionByName(hot_rows(spark).select("doc_id", "text", "source").withColumn("source", F.lit("s9")))
+    plan, rows = mixture(spark, docs)
+    by_source = rows.groupby(["source_size", "target"]).taken.sum().reset_index()
+    assert len(by_source) == 5 and ((by_source.taken - by_source.target).abs() <= 25).all(), by_source
+    assert (rows.taken <= 2 * rows["size"]).all()
+    again = mixture(spark, docs.repartition(9))[1]
+    key = lambda x: sorted(zip(x.doc_id.fillna(-1), x["size"], x.source_size, x.taken, strict=True))
+    assert key(rows) == key(again)
+    documents = docs.toArrow()  # noqa: F841 - read by DuckDB
+    assert key(duckdb.sql(queries.OP3_SQL).df()) == key(rows)
+    words = F.size(F.split(F.trim("text"), "\\s+"))
+    assert mix.mixed(docs, plan).agg(F.sum(words)).first()[0] == rows.taken.sum()

@@ -7,11 +7,12 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import tidemark
@@ -94,6 +95,32 @@ def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def with_copies(rows: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """``rows`` with ``copy``: 0, 1, ... for rows that share all ``keys``, which
+    of them has which being left open. Only such rows are written (below
+    ``folder``) and numbered, by the partitions that they lie in, so no task
+    holds a group of them."""
+    same = [F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)]
+    often = saved(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), f"{folder}/repeated")
+    n_often = often.count()
+    if not n_often:
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+
+    def of(left: DataFrame, right: DataFrame) -> Column:
+        return reduce(Column.__and__, [left[k].eqNullSafe(right[f"of_{i}"]) for i, k in enumerate(keys)])
+
+    alone = rows.join(small(often, n_often), of(rows, often), "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    held = rows.join(small(often, n_often), of(rows, often), "left_semi").withColumn("copy_part", F.spark_partition_id())
+    copies = saved(held, f"{folder}/copies")
+    counts = copies.groupBy(*same, F.col("copy_part").alias("of_part")).agg(F.count(F.lit(1)).alias("n"))
+    names = [f"of_{i}" for i in range(len(keys))]
+    earlier = Window.partitionBy(*names).orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("copy_part", *keys).orderBy("copy_part"))
+    numbered = copies.withColumn("within", within - 1).join(bases, of(copies, bases) & (F.col("copy_part") == F.col("of_part")))
+    return alone.unionByName(numbered.withColumn("copy", F.col("base") + F.col("within")).select(*alone.columns))
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 

@@ -11,8 +11,12 @@ by the next bits, and so on until the bucket is one hash value, which is taken
 if that comes nearer to the target. Documents are then kept by comparing
 their hash; nothing is sorted but the histograms.
 
-The hash is the first 60 bits of the MD5 of doc_id, so reruns agree; rows of
-one doc_id go together. Null texts and empty texts have size 0 and add nothing.
+The hash is the first 60 bits of the MD5 of doc_id and text, so reruns agree.
+Rows of one source that repeat both are numbered from 0, and the number, unless
+it is 0, is hashed too, so every row has a hash of its own and a group of copies
+is cut as closely as other rows; which of the copies has which number makes no
+difference. Numbering counts the copies by the partitions of a written table, so
+no task holds a group. Null texts and empty texts have size 0 and add nothing.
 The null source comes last. An empty table gives no rows. Columns beyond
 ``doc_id``, ``text`` and ``source`` are ignored here and kept by ``mixed``.
 """
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import nested, pick, run_folder, saved, small, unnested
+from tidemark.llm.common import nested, pick, run_folder, saved, small, unnested, with_copies
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -34,11 +38,13 @@ HASH_BITS, LEVEL_BITS = 60, 12
 @dataclass(frozen=True)
 class MixPlan:
     """``sizes``: doc_id, source, size, h of every document. ``sources``:
-    source, source_size, target, repeats, threshold; ``n_sources`` of them."""
+    source, source_size, target, repeats, threshold; ``n_sources`` of them.
+    ``folder``: of the run's tables."""
 
     sizes: DataFrame
     sources: DataFrame
     n_sources: int
+    folder: str
 
 
 def word_count(text: Column) -> Column:
@@ -46,21 +52,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def hash60(doc_id: Column) -> Column:
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def hash60(doc_id: Column, text: Column, copy: Column | None = None) -> Column:
+    said = [F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))]
+    if copy is not None:
+        said.append(F.when(copy > 0, F.concat(F.lit("\n"), copy.cast("string"))).otherwise(F.lit("")))
+    digest = F.md5(F.concat(*said).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
+def hashed_rows(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` (doc_id, text, source and others) with their hash ``h``, and
+    without the text."""
+    keyed = with_copies(rows.withColumn("h", hash60(F.col("doc_id"), F.col("text"))), ["source", "h"], folder)
+    again = hash60(F.col("doc_id"), F.col("text"), F.col("copy"))
+    return keyed.withColumn("h", F.when(F.col("copy") > 0, again).otherwise(F.col("h"))).drop("text", "copy")
+
+
 def plan_mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, folder: str | None = None
 ) -> MixPlan:
     folder = folder or run_folder(docs.sparkSession, "mix")
-    sizes = saved(
-        pick(docs, "doc_id", "text", "source").select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")
-        ),
-        f"{folder}/sizes",
-    )
+    rows = pick(docs, "doc_id", "text", "source").withColumn("size", word_count(F.col("text")))
+    sizes = saved(hashed_rows(rows, folder).select("doc_id", "source", "size", "h"), f"{folder}/sizes")
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     numbered = _numbered(by_source, F.col("source").asc_nulls_last(), f"{folder}/sources")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
@@ -82,7 +95,7 @@ def plan_mix(
         ),
         f"{folder}/plan",
     )
-    return MixPlan(sizes, sources, n_sources)
+    return MixPlan(sizes, sources, n_sources, folder)
 
 
 def taken_words(plan: MixPlan) -> DataFrame:
@@ -94,7 +107,7 @@ def taken_words(plan: MixPlan) -> DataFrame:
 
 def mixed(docs: DataFrame, plan: MixPlan) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    rows = nested(docs, "doc_id", "source").withColumn("h", hash60(F.col("doc_id")))
+    rows = hashed_rows(nested(docs, "doc_id", "text", "source"), f"{plan.folder}/again")
     copies = _with_copies(rows, plan)
     return unnested(copies.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs)
 

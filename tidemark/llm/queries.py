@@ -33,7 +33,7 @@ from tidemark.llm.common import documents, pick, run_folder, text_bytes
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0).drop("query_row")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,26 +148,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP1_SQL = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.n, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
   FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20
 """
 
 OP3_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all("text", '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
-  FROM documents
+         CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '') || chr(10) || COALESCE("text", '')
+              || CASE copy WHEN 0 THEN '' ELSE chr(10) || copy END), 1, 15) AS BIGINT) AS h
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, "text", source) - 1 AS copy FROM documents)
 ),
 weighed AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS n,

@@ -8,7 +8,8 @@ Fisher-Yates, seeded by the bucket, and writes it. A record's slot is its
 place in its bucket plus the records of the shard's buckets before.
 
 Records of one doc_id (null included) share a shard; records that repeat a
-doc_id and text as well share a bucket. Null texts count 1 byte. An empty
+doc_id and text as well are numbered, and the number is hashed too, so a group
+of copies of any size spreads over its shard's buckets. Null texts count 1 byte. An empty
 table gives no rows. All input columns are kept, whatever their names.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ceil_div, nested, run_folder, saved, ship_package, small, text_bytes
+from tidemark.llm.common import ceil_div, nested, run_folder, saved, ship_package, small, text_bytes, with_copies
 
 LAW = "key"
 #: Bytes of text of a bucket.
@@ -40,18 +41,19 @@ def shuffle_into_shards(
     order, beside doc_id and text."""
     ship_package(docs.sparkSession)
     folder = folder or run_folder(docs.sparkSession, "shards")
-    rows = nested(docs, "doc_id", "text")
+    rows = nested(docs, "doc_id", "text").withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text"))
     total = rows.agg(F.sum(text_bytes(F.col("text")) + 1)).first()[0] or 0
     per_shard = ceil_div(total, shards * bucket_bytes)
-    key = F.xxhash64(F.lit(seed), "doc_id", "text")
-    scattered = rows.select(
+    key = F.when(F.col("copy") > 0, F.xxhash64(F.col("key"), "copy")).otherwise(F.col("key"))
+    scattered = with_copies(rows, ["key"], folder).select(
         shard_of(F.col("doc_id"), shards, seed).alias("shard"),
         shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
         key.alias("key"),
         "row",
     ).withColumn("bucket", F.col("shard") * per_shard + F.pmod("key", F.lit(per_shard)).cast("int"))
     schema = scattered.withColumn("place", F.lit(0).cast("long")).schema
-    shuffled = scattered.groupBy("bucket").applyInArrow(_fisher_yates(seed), schema)
+    # As many partitions as buckets, whatever the session's setting.
+    shuffled = scattered.repartition(shards * per_shard, "bucket").groupBy("bucket").applyInArrow(_fisher_yates(seed), schema)
     written = saved(shuffled.drop("key"), f"{folder}/rows")
     counts = written.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
