@@ -110,6 +110,34 @@ def test_token_counts_and_cache(spark, monkeypatch):
     assert token_counts.count_tokens(empty(spark), path, run_folder(spark, "test-cache")).count() == 0
 
 
+def test_a_cache_with_repeats_and_a_warm_one(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    cache = run_folder(spark, "test-cache")
+    docs = awkward(spark)
+    first = token_counts.count_tokens(docs, path, cache).collect()
+    spark.read.parquet(cache).write.mode("append").parquet(cache + "-twice")
+    spark.read.parquet(cache).write.mode("append").parquet(cache + "-twice")
+    stored = spark.read.parquet(cache + "-twice").count()
+    again = token_counts.count_tokens(docs, path, cache + "-twice").collect()
+    order = lambda rows: sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in rows)
+    assert order(again) == order(first) and spark.read.parquet(cache + "-twice").count() == stored
+
+
+def test_equal_rows_are_split_over_shards(spark):
+    """A third of all rows are one row; no shard exceeds its bound much."""
+    docs = spark.range(3_000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(7).alias("doc_id"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("t "), F.col("id"))).otherwise(F.lit("the same text")).alias("text"),
+    )
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder = run_folder(spark, "test-arrow")
+    shards = arrow_tokens.write_sequences(docs, folder, path, length=64, shard_bytes=3_000)
+    assert shards.count() >= 8 and shards.agg(F.max("n_docs")).first()[0] < 800
+    rows = sorted(arrow_tokens.read_documents(shards, folder).collect(), key=lambda r: r.start)
+    assert len(rows) == 3_000 and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert [r.start for r in rows] == [int(x) for x in np.cumsum([0, *[r.n_tokens for r in rows]])[:-1]]
+
+
 def test_arrow_files_round_trip(spark):
     path, plain = public_tokenizers.path("byte_bpe_50k.json"), library("byte_bpe_50k.json")
     folder = run_folder(spark, "test-arrow")

@@ -13,7 +13,9 @@ folder: under a name of the attempt first, then renamed, so a repeated task
 replaces its own file with equal content.
 
 Null and empty texts are documents of the end id alone. Documents with equal
-doc_id lie in the order of a hash of their texts. An empty table gives no files and no
+doc_id lie in the order of a hash of their texts, equal rows in any order, and a
+group of them may go on in the next shard. Texts of any length are encoded whole.
+An empty table gives no files and no
 rows. Columns beyond ``doc_id`` and ``text`` are ignored.
 """
 
@@ -50,10 +52,9 @@ def write_sequences(
     ship_package(docs.sparkSession)
     rows = pick(docs, "doc_id", "text")
     total = rows.agg(F.sum(text_bytes(F.col("text")))).first()[0] or 0
-    # doc_id alone sets the range; equal ids of unequal texts may still be split.
-    ordered = rows.repartitionByRange(ceil_div(total, shard_bytes), "doc_id", F.xxhash64("text")).sortWithinPartitions(
-        "doc_id", F.xxhash64("text")
-    )
+    # The last key is a row's number, so that rows equal in the others can be split too.
+    order = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
+    ordered = rows.repartitionByRange(ceil_div(total, shard_bytes), *order).sortWithinPartitions(*order[:2])
     return saved(ordered.mapInArrow(_write(folder, tokenizer_path, end_id, length), _SHARD), f"{folder}/shards")
 
 

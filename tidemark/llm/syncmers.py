@@ -163,7 +163,9 @@ def fingerprint_edits(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     rows = pick(docs, "doc_id", "text")
     total = rows.agg(F.sum(text_bytes(F.col("text")))).first()[0] or 0
     order = [F.col("doc_id").desc(), F.xxhash64("text").desc()]
-    ranges = rows.repartitionByRange(ceil_div(total, range_bytes), *order).sortWithinPartitions(*order)
+    # The last key of the ranges is a row's number, so that equal rows can be split too.
+    parted = rows.repartitionByRange(ceil_div(total, range_bytes), *order, F.monotonically_increasing_id().desc())
+    ranges = parted.sortWithinPartitions(*order)
     walked = saved(ranges.mapInArrow(_walk, f"part int, kind string, text string, {_RESULT}"), f"{folder}/walked")
     edges = walked.filter("kind <> 'done'")
     firsts = edges.filter("kind = 'first'").select("part", F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
