@@ -112,6 +112,38 @@ def test_language_on_held_out_rows(spark):
     assert (found.lang_pred == found.lang).mean() > 0.97 and found.rejected.mean() < 0.005
 
 
+def test_language_rejection():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{SF}/documents.parquet", columns=["text", "lang"]).to_pandas().dropna()
+    apart = np.arange(len(rows)) % 4 == 0
+    learned, others = rows[~apart].groupby("lang").head(langid.PER_LANGUAGE), rows[apart]
+    model = langid.fit(pa.array(learned.text.tolist()), learned.lang.tolist())
+
+    def rejected(texts, by=model):
+        return by.predict(pa.array(texts, pa.string()))[2].mean()
+
+    assert rejected(others.text.tolist()) <= 0.01
+    random = np.random.default_rng(3)
+    letters, consonants = list("abcdefghijklmnopqrstuvwxyz"), list("bcdfghjklmnpqrstvwxz")
+    for of in (letters, consonants):
+        words = [" ".join("".join(random.choice(of, random.integers(3, 9))) for _ in range(30)) for _ in range(100)]
+        assert rejected(words) >= 0.9
+    garbled = [bytes(random.integers(128, 256, 200).tolist()).decode("latin-1") for _ in range(100)]
+    assert rejected(garbled) >= 0.9
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "Omnes homines liberi aequique dignitate atque iuribus nascuntur.",
+    ]
+    assert rejected(foreign) == 1
+    for language in sorted(set(learned.lang)):
+        known = learned[learned.lang != language]
+        without = langid.fit(pa.array(known.text.tolist()), known.lang.tolist())
+        left_out = others[others.lang == language].text
+        assert rejected(left_out[left_out.str.len() >= 200].tolist(), without) >= 0.9, language
+
+
 def test_language_edges(spark):
     rows = {r.doc_id: r for r in langid.identify(awkward(spark)).collect()}
     assert len(rows) == len({r[0] for r in awkward_rows()})

@@ -10,14 +10,24 @@ layer is one row of a table (``BUCKETS`` by languages, a fixed size), so a
 whole text costs one look-up per subword in an Arrow function.
 
 Scores are softmax probabilities at a temperature fitted on the part of the
-sample kept from training. The rejection threshold is the score that
-``REJECT_RATE`` of that part falls below, and never over 0.5.
+sample kept from training. A text is rejected for a low score, below which
+``REJECT_RATE`` of that part falls (never over 0.5), or for unfamiliar
+subwords: the share of its subwords (under a wider hash) that training saw
+less than twice, with ``PRIOR`` familiar ones added, so that short texts aren't
+rejected by chance. The limit of that share is the geometric mean of what
+``REJECT_RATE`` of the kept-apart texts exceed (``USUAL`` at least) and what nine
+in ten texts of every kind outside the known languages exceed: each language's kept-apart texts
+as seen without that language's training texts, texts with their letters
+shuffled, and words of random letters. With fewer than ``MIN_APART`` kept-apart
+texts there is no such limit.
 
 Learned from at most ``PER_LANGUAGE`` rows a language and ``MAX_ROWS`` in all,
 of at most ``MAX_BYTES`` each, with lang and text and not held out. Null texts
-and texts without a letter are ``und``, score 0. Without a row to learn from
-every text is ``und``. An empty table gives no rows. Other columns are never
-read.
+and texts without a letter are ``und``, score 0 and rejected. Without a row to
+learn from every text is. Texts of any length are read whole, step by step.
+Equal scores go to the language first in order. Repeated rows are predicted
+each; in the sample a doc_id stands for all of its rows. An empty table gives
+no rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -37,6 +47,10 @@ BUCKETS, WIDTH = 1 << 15, 16
 PER_LANGUAGE, MAX_ROWS, MAX_BYTES = 250, 5_000, 8 << 10
 EPOCHS, RATE, BATCH, WINDOW_BYTES = 4, 0.5, 64, 400
 REJECT_RATE = 0.001
+#: The hash under which a subword is familiar or not, and when it is.
+WIDE, SEEN_TWICE, PRIOR, MIN_APART, USUAL = 1 << 20, 2, 20, 50, 0.01
+#: Examples of each kind of noise, and characters of each.
+NOISE, NOISE_CHARS = 200, 1_000
 _SIZES = (2, 3, 4)
 
 #: ASCII letters stay, other ASCII bytes are borders, all further bytes stay.
@@ -50,21 +64,33 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: np.ndarray  # WIDE
+    limit: float  # of the share of unfamiliar subwords
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and whether rejected, of every text."""
         texts = plain_strings(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        parts = [self._logits(texts.slice(a, b - a)) for a, b in byte_slices(texts, 1 << 20)]
-        logits = np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        logits, strange = self.read(texts)
         chance = softmax(logits / self.temperature)
         best = chance.argmax(axis=1)
         lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
         names = [self.languages[i] if x else UNKNOWN for i, x in zip(best, lettered, strict=True)]
-        return names, np.where(lettered, chance[np.arange(len(best)), best], 0.0)
+        scores = np.where(lettered, chance[np.arange(len(best)), best], 0.0)
+        return names, scores, ~lettered | (scores < self.threshold) | (strange > self.limit)
 
-    def _logits(self, texts: pa.Array) -> np.ndarray:
-        buckets, text = subwords(texts)
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Logits and share of unfamiliar subwords of every text."""
+        parts = [self._read(texts.slice(a, b - a)) for a, b in byte_slices(texts, 1 << 20)]
+        if not parts:
+            return np.zeros((0, len(self.languages))), np.zeros(0)
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+    def _read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        wide, text = subwords(texts, WIDE)
+        strange = unfamiliar(self.familiar, wide, text, len(texts))
+        buckets = wide & (BUCKETS - 1)
         counts = np.bincount(text, minlength=len(texts))
         out = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(counts)
@@ -72,7 +98,13 @@ class LanguageModel:
         for c in range(len(self.languages)):
             if len(full):
                 out[full, c] = np.add.reduceat(self.table[:, c][buckets], starts, dtype=np.float64) / counts[full]
-        return out + self.bias
+        return out + self.bias, strange
+
+
+def unfamiliar(familiar: np.ndarray, wide: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Each text's share of subwords that aren't ``familiar``."""
+    strange = np.bincount(text[~familiar[wide]], minlength=n)
+    return strange / (np.bincount(text, minlength=n) + PRIOR)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -80,8 +112,9 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of every subword, in the order of the texts."""
+def subwords(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and text of every subword, in the order of the texts. Among fewer
+    buckets (a power of two) a subword's is the lower bits of this one."""
     raw, starts = string_bytes(pc.utf8_lower(texts))
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -103,7 +136,7 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ code[where + j]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
         at.append(where)
-        bucket.append(h & np.uint32(BUCKETS - 1))
+        bucket.append(h & np.uint32(buckets - 1))
     borders = starts + np.arange(len(starts))
     at, bucket = np.concatenate(at), np.concatenate(bucket)
     text = np.searchsorted(borders, at, "right") - 1
@@ -130,7 +163,7 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 7) -> LanguageModel:
     texts = plain_strings(texts)
     languages = tuple(sorted(set(langs)))
     if not languages:
-        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(WIDE, dtype=bool), 1.0)
     target = np.array([languages.index(x) for x in langs])
     random = np.random.default_rng(seed)
     apart = random.random(len(target)) < 0.2
@@ -163,11 +196,13 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 7) -> LanguageModel:
             bias -= rate * error.mean(axis=0)
             np.subtract.at(embed, mine, np.repeat((rate * back).astype(np.float32), sizes, axis=0))
     table = (embed @ layer).astype(np.float32)
-    model = LanguageModel(languages, table, bias.astype(np.float64), 1.0, 0.0)
+    learned = texts.filter(pa.array(~apart))
+    seen = sightings(learned)
+    model = LanguageModel(languages, table, bias.astype(np.float64), 1.0, 0.0, seen >= SEEN_TWICE, 1.0)
     if not apart.any():
         return model
     kept = texts.filter(pa.array(apart))
-    logits = np.concatenate([model._logits(kept.slice(a, b - a)) for a, b in byte_slices(kept)])
+    logits, strange = model.read(kept)
     truth = target[apart]
 
     def loss(t: float) -> float:
@@ -175,7 +210,41 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 7) -> LanguageModel:
 
     temperature = min((0.25, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 5.0), key=loss)
     scores = softmax(logits / temperature).max(axis=1)
-    return LanguageModel(languages, table, model.bias, temperature, min(0.5, float(np.quantile(scores, REJECT_RATE))))
+    threshold = min(0.5, float(np.quantile(scores, REJECT_RATE)))
+    limit = 1.0
+    if len(kept) >= MIN_APART:
+        usual = max(USUAL, float(np.quantile(strange, 1 - REJECT_RATE)))
+        kinds = [unfamiliar(model.familiar, *subwords(x, WIDE), len(x)) for x in noise(kept, random)]
+        for c in range(len(languages)):
+            foreign = kept.filter(pa.array(truth == c))
+            others = seen - sightings(learned.filter(pa.array(target[~apart] == c)))
+            if len(foreign) >= MIN_APART / 5:
+                kinds.append(unfamiliar(others >= SEEN_TWICE, *subwords(foreign, WIDE), len(foreign)))
+        strangest = min(float(np.quantile(x, 0.1)) for x in kinds)
+        limit = max(usual, float(np.sqrt(usual * strangest)))
+    return LanguageModel(languages, table, model.bias, temperature, threshold, model.familiar, limit)
+
+
+def sightings(texts: pa.Array) -> np.ndarray:
+    """How often each wide bucket occurs; the sample is bounded."""
+    found = np.zeros(WIDE, np.int64)
+    for a, b in byte_slices(texts, 1 << 20):
+        found += np.bincount(subwords(texts.slice(a, b - a), WIDE)[0], minlength=WIDE)
+    return found
+
+
+def noise(texts: pa.Array, random: np.random.Generator) -> list[pa.Array]:
+    """Examples outside every language: the texts with each word's letters
+    shuffled, and words of random letters. Of at least ``PRIOR`` words."""
+    some = [x.split() for x in texts.slice(0, NOISE).to_pylist()]
+    words = [w for x in some for w in x if len(w) > 2]
+    drawn = [list(random.permutation(words)[: NOISE_CHARS // 10]) for _ in range(NOISE)] if len(words) >= PRIOR else []
+    shuffled = [" ".join("".join(random.permutation(list(w))) for w in x) for x in drawn]
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    random_words = [
+        " ".join("".join(random.choice(letters, random.integers(3, 10))) for _ in range(NOISE_CHARS // 20)) for _ in range(NOISE)
+    ]
+    return [pa.array(x, pa.string()) for x in (shuffled, random_words) if x]
 
 
 def predict_column(model: LanguageModel, session):
@@ -184,8 +253,7 @@ def predict_column(model: LanguageModel, session):
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(texts)
-        rejected = (scores < shared.value.threshold) | np.array([x == UNKNOWN for x in names], dtype=bool)
+        names, scores, rejected = shared.value.predict(texts)
         return pa.StructArray.from_arrays(
             [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
             ["lang_pred", "score", "rejected"],
