@@ -12,9 +12,9 @@ smallest one that it reaches there), never as all pairs. Components grow from
 these links by rounds of taking the smallest label of a node's neighbours and
 of its label's node, each round written to the shared folder.
 
-Null and empty texts have fingerprint zero and link like any other. Repeated
-rows are documents of their own in one component; an empty table gives no
-rows. Columns beyond ``doc_id`` and ``text`` are ignored.
+Null and empty texts have fingerprint zero and link like any other. Texts of
+any length are read whole, one after another. Repeated rows are documents of
+their own in one component; an empty table gives no rows. Columns beyond ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import byte_slices, pick, plain_strings, remove_folder, run_folder, saved, ship_package
+from tidemark.llm.common import byte_slices, nested, pick, plain_strings, remove_folder, run_folder, saved, ship_package, unnested
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 PARTS = 4
@@ -80,6 +80,31 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Of each group one row, with all its columns: the smallest doc_id (nulls
+    last), then the smallest hash of the text, then the first as written."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    folder = run_folder(spark, "near-duplicates")
+    # Written once, so that every later read has the same row numbers.
+    rows = saved(
+        nested(docs, "doc_id", "text").select(
+            "row",
+            "doc_id",
+            F.xxhash64("text").alias("text_hash"),
+            fingerprint_column(shingle)("text").alias("fingerprint"),
+            F.monotonically_increasing_id().alias("number"),
+        ),
+        f"{folder}/rows",
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash", "number")
+    # Aggregated by fingerprint before the join: a hot text is one row of it.
+    nearest = rows.groupBy("fingerprint").agg(F.min(place).alias("first"))
+    roots = groups(rows.select("doc_id", "fingerprint"), folder, radius=radius).select("fingerprint", "root")
+    first = nearest.join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    return unnested(rows.join(first.select("first.number"), "number", "left_semi"), docs)
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, tile: int = TILE
 ) -> DataFrame:
