@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mix, pack, simhash, toxicity
-from tidemark.llm.common import documents, nested, run_folder, saved, ship_package, unnested
+from tidemark.llm.common import documents, nested, remove_folder, run_folder, saved, ship_package, unnested
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,27 +34,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group one row: the smallest doc_id (nulls last), then the
-    smallest hash of the text, then the first as written."""
-    ship_package(spark)
-    folder = run_folder(spark, "near-duplicates")
-    # Written once, so that every later read has the same row numbers.
-    rows = saved(
-        nested(docs, "doc_id", "text").select(
-            "row",
-            "doc_id",
-            F.xxhash64("text").alias("text_hash"),
-            simhash.fingerprint_column(shingle=3)("text").alias("fingerprint"),
-            F.monotonically_increasing_id().alias("number"),
-        ),
-        f"{folder}/rows",
-    )
-    place = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash", "number")
-    # Aggregated by fingerprint before the join: a hot text is one row of it.
-    nearest = rows.groupBy("fingerprint").agg(F.min(place).alias("first"))
-    roots = simhash.groups(rows.select("doc_id", "fingerprint"), folder, radius=2).select("fingerprint", "root")
-    first = nearest.join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
-    return unnested(rows.join(first.select("first.number"), "number", "left_semi"), docs)
+    """One row of each group of near copies."""
+    return simhash.one_of_each(docs, shingle=3, radius=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,9 +63,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage's result is written as Parquet and reread as the next one's
-    documents."""
+    documents; it goes when the next one's is written."""
     folder = run_folder(spark, "pipeline")
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if before is not None:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return docs
