@@ -7,6 +7,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -69,6 +70,20 @@ def test_learnable_data_passes_the_gate(spark):
     assert ml.load_cart_model(spark, path) is not None
 
 
+@pytest.fixture
+def observed(spark):
+    """A session that holds what can't be sent to tasks, as after any observation."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    return spark
+
+
+def test_metrics_after_an_observation(observed, small):
+    metrics = {r["metric"]: r["value"] for r in ml.model_metrics_report(small).collect()}
+    assert metrics["support_0"] + metrics["support_1"] > 0 and metrics["gate_passed"] in (0.0, 1.0)
+
+
 def test_a_damaged_model_is_an_error(spark):
     path = tempfile.mkdtemp(prefix="tidemark-model-")
     os.makedirs(os.path.join(path, "metadata"))

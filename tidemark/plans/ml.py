@@ -282,7 +282,9 @@ def train_cart_model(
     try:
         train = data.filter(F.col("split") == "train")
         train = train.withColumn("weight", _class_weights(train, LABEL))
-        model = build_pipeline(num_trees, max_depth, seed).fit(train)
+        # A copy leaves out the training summary. That holds the SparkSession, which
+        # can't go to tasks with the model once anything was observed in it.
+        model = build_pipeline(num_trees, max_depth, seed).fit(train).copy()
         test = data.filter(F.col("split") == "test").withColumn("weight", F.lit(1.0))
         values = {r["metric"]: r["value"] for r in classification_metrics(model.transform(test)).collect()}
     finally:
