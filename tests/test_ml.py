@@ -84,6 +84,11 @@ def test_metrics_after_an_observation(observed, small):
     assert metrics["support_0"] + metrics["support_1"] > 0 and metrics["gate_passed"] in (0.0, 1.0)
 
 
+def test_scores_after_an_observation(observed, small):
+    scores = ml.cart_risk_scores(small)
+    assert scores.filter(F.col("risk_pct").between(0, 100)).count() == small.sessions.count()
+
+
 def test_a_damaged_model_is_an_error(spark):
     path = tempfile.mkdtemp(prefix="tidemark-model-")
     os.makedirs(os.path.join(path, "metadata"))
