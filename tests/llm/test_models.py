@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -180,3 +181,42 @@ def test_held_out_share(spark):
 
     ids = spark.range(4000).select(held_out(F.col("id")).alias("x"))
     assert 900 < ids.filter("x").count() < 1100
+
+
+def _peak_mb(job) -> float:
+    tracemalloc.start()
+    try:
+        job()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def _words(n: int, seed: int) -> list[str]:
+    random = np.random.default_rng(seed)
+    return ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), random.integers(3, 10))) for _ in range(n)]
+
+
+def test_the_drivers_fits_need_little_memory():
+    """Samples as large as the bounds allow: the fits run in the driver, beside
+    Spark's own memory."""
+    random, words = np.random.default_rng(3), _words(20_000, 3)
+    texts = [" ".join(random.choice(words, 300)) for _ in range(1_000)]
+    assert _peak_mb(lambda: langid.fit(pa.array(texts), ["xx", "yy"] * 500)) < 130
+    rows = random.normal(0, 1, (toxicity.CLEAN_SENTENCES, 80))
+    bad = [rows[:1_000] + 1 for _ in range(5)]
+    assert _peak_mb(lambda: toxicity._support_vectors(rows, bad)) < 10  # rows: 19 MB, copies of all: three times that
+
+
+def test_support_vectors_are_those_of_all_examples_at_once():
+    """Newton steps summed over steps of rows, against plain ones."""
+    random = np.random.default_rng(4)
+    clean, toxic = random.normal(0, 1, (2_500, 6)), [random.normal(0.7, 1, (300, 6)), random.normal(1, 1, (40, 6))]
+    weight, bias = toxicity._support_vectors(clean, toxic)
+    x = np.hstack([np.concatenate([clean, *toxic]), np.ones((2_840, 1))])
+    sign = np.repeat([-1.0, 1.0], [2_500, 340])
+    cost = np.where(sign > 0, 0.5 / 340, 0.5 / 2_500)
+    w = np.append(weight, bias)
+    slack = np.maximum(0, 1 - sign * (x @ w))
+    gradient = np.append(toxicity.PENALTY * weight, 1e-9 * bias) - x.T @ (cost * sign * slack)
+    assert np.abs(gradient).max() < 1e-6

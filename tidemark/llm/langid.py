@@ -49,6 +49,8 @@ EPOCHS, RATE, BATCH, WINDOW_BYTES = 4, 0.5, 64, 400
 REJECT_RATE = 0.001
 #: The hash under which a subword is familiar or not, and when it is.
 WIDE, SEEN_TWICE, PRIOR, MIN_APART, USUAL = 1 << 20, 2, 20, 50, 0.01
+#: Bytes of text that training and prediction cut at a time.
+STEP_BYTES = 1 << 18
 #: Examples of each kind of noise, and characters of each.
 NOISE, NOISE_CHARS = 200, 1_000
 _SIZES = (2, 3, 4)
@@ -82,7 +84,7 @@ class LanguageModel:
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Logits and share of unfamiliar subwords of every text."""
-        parts = [self._read(texts.slice(a, b - a)) for a, b in byte_slices(texts, 1 << 20)]
+        parts = [self._read(texts.slice(a, b - a)) for a, b in byte_slices(texts, STEP_BYTES)]
         if not parts:
             return np.zeros((0, len(self.languages))), np.zeros(0)
         return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
@@ -174,8 +176,7 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 7) -> LanguageModel:
         for a in range(0, len(text), WINDOW_BYTES):
             windows.append(text[a : a + int(random.integers(40, WINDOW_BYTES))])
             labels.append(target[i])
-    bucket, owner = subwords(pa.array(windows, pa.string()))
-    ends = np.searchsorted(owner, np.arange(len(windows) + 1))
+    bucket, ends = _by_window(pa.array(windows, pa.string()))
     embed = random.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     labels = np.array(labels, dtype=np.int64)
@@ -225,10 +226,21 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 7) -> LanguageModel:
     return LanguageModel(languages, table, model.bias, temperature, threshold, model.familiar, limit)
 
 
+def _by_window(windows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all windows' subwords in a row, and where each window's begin
+    (and the last one's end)."""
+    found, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for a, b in byte_slices(windows, STEP_BYTES):
+        bucket, owner = subwords(windows.slice(a, b - a))
+        found.append(bucket.astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=b - a))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+
 def sightings(texts: pa.Array) -> np.ndarray:
     """How often each wide bucket occurs; the sample is bounded."""
     found = np.zeros(WIDE, np.int64)
-    for a, b in byte_slices(texts, 1 << 20):
+    for a, b in byte_slices(texts, STEP_BYTES):
         found += np.bincount(subwords(texts.slice(a, b - a), WIDE)[0], minlength=WIDE)
     return found
 
