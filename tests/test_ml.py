@@ -11,6 +11,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from helpers import event, make_tables, order, session, user
 from tidemark.plans import forest, ml
 from tidemark.sources import versions
 from tidemark.sources.driver_data import load_app_tables
@@ -89,6 +90,45 @@ def test_scores_after_an_observation(observed, small):
     assert scores.filter(F.col("risk_pct").between(0, 100)).count() == small.sessions.count()
 
 
+def carts(spark, added, bought):
+    """Twelve one-day sessions; ``added`` and ``bought`` tell by number whether
+    a session has an Add To Cart and a Purchase."""
+    ids = range(1, 13)
+    events = [event(i, i, "View Product") for i in ids]
+    events += [event(i, i, "Add To Cart", seconds=5) for i in ids if added(i)]
+    events += [event(i, i, "Purchase", seconds=9) for i in ids if bought(i)]
+    return make_tables(
+        spark, [user(i) for i in ids], [session(i, i) for i in ids], events, [order(i, i, i, 10) for i in ids if bought(i)]
+    )
+
+
+@pytest.mark.parametrize("bought", [lambda i: True, lambda i: i % 2])
+def test_scores_where_no_session_has_a_cart(spark, bought):
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-model-"), "m")
+    tables = carts(spark, lambda i: False, bought)
+    got = {r.session_id: (r.risk_pct, r.risk_band, r.action) for r in ml.cart_risk_scores(tables, model_path=path).collect()}
+    assert got == {i: (100.0, "HIGH", "offer") for i in range(1, 13)}
+    assert ml.load_cart_model(spark, path) is None
+
+
+def test_scores_without_any_session(spark):
+    assert ml.cart_risk_scores(make_tables(spark)).collect() == []
+
+
+@pytest.mark.parametrize("all_bought", [True, False])
+def test_scores_where_all_carts_end_alike(spark, all_bought):
+    tables = carts(spark, lambda i: i > 4, lambda i: all_bought and i > 4)
+    got = {r.session_id: (r.risk_pct, r.risk_band, r.action) for r in ml.cart_risk_scores(tables).collect()}
+    carted = (0.0, "LOW", "maintain") if all_bought else (100.0, "HIGH", "offer")
+    assert got == {i: carted if i > 4 else (100.0, "HIGH", "offer") for i in range(1, 13)}
+
+
+def test_carts_need_a_model(spark):
+    features = ml.session_features(carts(spark, lambda i: i == 1, lambda i: False))
+    with pytest.raises(Exception, match="without a model"):
+        ml.score_sessions(None, features).collect()
+
+
 def test_a_damaged_model_is_an_error(spark):
     path = tempfile.mkdtemp(prefix="tidemark-model-")
     os.makedirs(os.path.join(path, "metadata"))

@@ -189,6 +189,10 @@ class QualityGateError(RuntimeError):
     """Raised when the test metrics are below the gate; nothing is saved."""
 
 
+class NoTrainingRows(ValueError):
+    """Raised when there is nothing to fit a model on; nothing is saved."""
+
+
 @dataclass
 class TrainedModel:
     model: PipelineModel
@@ -200,6 +204,8 @@ def _class_weights(train: DataFrame, label_col: str) -> Column:
     """Balanced weights n / (n_classes · n_label) as a per-class constant
     expression (the per-class counts are a checked, class-sized result)."""
     counts = _per_class(train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")), label_col, "class weights")
+    if not counts:
+        raise NoTrainingRows("no rows to train on")
     total = sum(r["n"] for r in counts)
     weights = {r[label_col]: total / (len(counts) * r["n"]) for r in counts}
     return _by_class(label_col, weights, 1.0).cast("double")
@@ -379,12 +385,18 @@ def risk_action(risk: Column) -> Column:
     return F.when(risk > F.lit(schemas.RISK_HIGH_ABOVE), F.lit("offer")).otherwise(F.lit("maintain"))
 
 
-def score_sessions(model: PipelineModel, features: DataFrame) -> DataFrame:
+def score_sessions(model: PipelineModel | None, features: DataFrame) -> DataFrame:
     """Abandonment risk for every session: 100.0 without the model when
     nothing was added to the cart, else P(abandoned) · 100; with band and
-    action. Scoring is a map-only transform (no shuffle)."""
-    scored = model.transform(_model_input(features).withColumn("weight", F.lit(1.0)))
-    prob = vector_to_array(F.col("probability"))[1] * F.lit(100.0)
+    action. Scoring is a map-only transform (no shuffle). Without a model
+    (None) a session with cart items is an error."""
+    scored = _model_input(features).withColumn("weight", F.lit(1.0))
+    if model is None:
+        prob = F.raise_error(F.lit("a session with cart items can't be scored without a model")).cast("double")
+    else:
+        scored = model.transform(scored)
+        # A model fitted on bought carts alone has no class 1.
+        prob = F.coalesce(F.get(vector_to_array(F.col("probability")), F.lit(1)), F.lit(0.0)) * F.lit(100.0)
     risk = F.when(F.col("items_added_to_cart") == 0, F.lit(100.0)).otherwise(prob)
     out = scored.select("session_id", *FEATURES, risk.alias("risk_pct"))
     return out.select("*", risk_band(F.col("risk_pct")).alias("risk_band"), risk_action(F.col("risk_pct")).alias("action"))
@@ -420,11 +432,15 @@ def model_metrics_report(tables: AppTables, seed: int = 42) -> DataFrame:
 
 def cart_risk_scores(tables: AppTables, seed: int = 42, model_path: str | None = None) -> DataFrame:
     """Score every session in batch with the model saved at ``model_path``;
-    where there is none, train (no gate) on the cart sessions first, and save."""
+    where there is none, train (no gate) on the cart sessions first, and save.
+    Where there are no cart sessions either, no score needs a model."""
     features = session_features(tables)
     spark = features.sparkSession
     model = load_cart_model(spark, model_path) if model_path else None
     if model is None:
         split = stratified_split(features.filter(F.col("items_added_to_cart") > 0), seed=seed)
-        model = train_cart_model(split, min_accuracy=None, min_f1=None, model_path=model_path, seed=seed).model
+        try:
+            model = train_cart_model(split, min_accuracy=None, min_f1=None, model_path=model_path, seed=seed).model
+        except NoTrainingRows:
+            model = None
     return score_sessions(model, features)
