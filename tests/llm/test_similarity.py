@@ -161,6 +161,29 @@ def test_scores_of_64_bits(spark):
             topk.search(bad, F.col("vec_id") % 20 == 0).collect()
 
 
+def test_tiles_broadcast_nothing(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in random.normal(0, 0.3, 4)]) for i in range(700)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = [[int(np.floor(64 * x)) for x in v] for _, v in rows]
+    want = {(i, rank, *hit) for i in range(0, 700, 5) for rank, hit in enumerate(plain_top(range(700), vectors, (i, vectors[i]), 3), 1)}
+    for shape in ((11, 20), (4, 3), (1, 1)):
+        monkeypatch.setattr(topk, "tile_counts", lambda *_, shape=shape: shape)
+        found = topk.search(data, F.col("vec_id") % 5 == 0, k=3, rows=64, query_rows=7)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # Small as they look, the packs are taken once for every area of blocks.
+        assert not re.search("Broadcast|Join", plan), plan
+        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()} == want
+
+
+def test_tiles_are_bounded():
+    for blocks, packs, tasks in ((1, 1, 8), (2, 11, 6), (19, 121, 6), (480, 2883, 6), (480, 2883, 400)):
+        areas, groups = topk.tile_counts(blocks, packs, tasks)
+        assert 1 <= areas <= blocks and 1 <= groups <= packs
+        assert -(-blocks // areas) <= topk.AREA and -(-packs // groups) <= topk.GROUP
+        assert areas * groups >= min(8 * tasks, areas * packs)
+
+
 def test_slices_add_up():
     random = np.random.default_rng(3)
     vectors = random.integers(-9, 9, (130, 5)).astype(np.int32)

@@ -10,9 +10,13 @@ that have the bit while the others of the tied set don't are ahead; it ends
 when few rows are left, whose scores are then computed exactly, ties going to
 the smaller vec_id.
 
-Queries are a set named by the caller. Blocks of queries meet all blocks of
-rows by an equality join on the row block's number; each pair of blocks gives
-k rows a query at most, and a window keeps the first k of them.
+Queries are a set named by the caller. Areas of row blocks and groups of query
+packs make tiles: every block goes to the tiles of its area, every pack to those
+of its group, and the task of a tile reads its blocks first, then runs each pack
+over all of them. No join is planned, so nothing is ever broadcast, however small
+the packs look; the driver holds counts only. A tile gives k rows a query at most,
+and a window keeps the first k of them. Pairs of rows and queries are all
+compared, so the work grows with the square of the table.
 
 Vectors that are null or hold null or non-finite components take no part.
 Vectors of unequal length are compared over their common components.
@@ -37,12 +41,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ceil_div, pick, run_folder, saved, ship_package
 
-ROWS, QUERIES = 16384, 256
+ROWS, QUERIES = 32768, 256
+#: Row blocks of an area, and the most query packs of a group.
+AREA, GROUP = 4, 64
 #: The walk down the slices ends when this many times k rows are left.
 LEFT = 4
 
-_BLOCK = "block int, n int, dims int, low long, bits int, ids binary, slices binary, vectors binary"
-_QUERY = "n int, dims int, ids binary, vectors binary"
+_BLOCK = "number int, n int, dims int, width int, bits int, ids binary, slices binary, vectors binary"
+_QUERY = "number int, n int, dims int, width int, ids binary, vectors binary"
 _HIT = "pack long, query_row int, query_id long, vec_id long, score long"
 
 
@@ -77,20 +83,14 @@ def search(
     blocks = build_index(vectors, f"{folder}/index", scale, rows)
     asked = _quantised(vectors, scale).filter(queries)
     packs = ceil_div(asked.count(), query_rows)
-    packed = asked.repartition(packs).mapInArrow(_pack_queries, _QUERY).withColumn("pack", F.monotonically_increasing_id())
-    packed = saved(packed, f"{folder}/queries")
-    # With few row blocks, each is handed to several tasks.
-    copies = ceil_div(2 * spark.sparkContext.defaultParallelism, blocks)
-    index = spark.read.schema(_BLOCK).parquet(f"{folder}/index").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    tiles = packed.select(
-        "pack",
-        F.col("n").alias("q_n"),
-        F.col("dims").alias("q_dims"),
-        F.col("ids").alias("q_ids"),
-        F.col("vectors").alias("q_vectors"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("pack"), F.lit(copies)).cast("int").alias("copy"),
-    ).join(index, ["block", "copy"])
+    packed = saved(asked.repartition(packs).mapInArrow(_pack_queries, _QUERY), f"{folder}/queries")
+    areas, groups = tile_counts(blocks, packs, spark.sparkContext.defaultParallelism)
+    index = spark.read.schema(_BLOCK).parquet(f"{folder}/index")
+    of_area = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.col("number") % areas * groups + g))
+    of_group = F.explode(F.transform(F.sequence(F.lit(0), F.lit(areas - 1)), lambda a: a * groups + F.col("number") % groups))
+    # Blocks come before packs: packs have no bits.
+    parts = index.select("*", of_area.alias("tile")).unionByName(packed.select("*", of_group.alias("tile")), allowMissingColumns=True)
+    tiles = parts.repartitionById(areas * groups, F.col("tile").cast("int")).sortWithinPartitions("tile", F.col("bits").isNull(), "number")
     hits = tiles.mapInArrow(_search_tiles(k), _HIT)
     order = Window.partitionBy("query_id", "pack", "query_row").orderBy(F.col("score").desc(), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -100,6 +100,13 @@ def search(
     return numbered.select("query_id", "rank", "vec_id", "score", "query_row")
 
 
+def tile_counts(blocks: int, packs: int, tasks: int) -> tuple[int, int]:
+    """Areas of row blocks and groups of query packs: several tiles for every
+    task that runs at once, as long as there are packs enough."""
+    areas = ceil_div(blocks, AREA)
+    return areas, min(packs, max(ceil_div(packs, GROUP), ceil_div(8 * tasks, areas)))
+
+
 def _quantised(vectors: DataFrame, scale: float) -> DataFrame:
     both = pick(vectors, "vec_id", "embedding").select("vec_id", quantised(F.col("embedding"), scale).alias("v"))
     return both.filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
@@ -122,32 +129,37 @@ def _slice_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     ids, vectors = _dense(held)
-    low = int(vectors.min(initial=0))
-    slices, bits = bit_slices(vectors, low)
-    values = [TaskContext.get().partitionId(), len(ids), vectors.shape[1], low, bits]
-    yield _row(values, [ids.tobytes(), slices.tobytes(), vectors.tobytes()], ["block", "n", "dims", "low", "bits", "ids", "slices", "vectors"])
+    slices, bits = bit_slices(vectors, int(vectors.min(initial=0)))
+    narrow = _narrow(vectors)
+    numbers = [TaskContext.get().partitionId(), len(ids), vectors.shape[1], narrow.itemsize, bits]
+    yield _row(numbers, [ids.tobytes(), slices.tobytes(), narrow.tobytes()], ["number", "n", "dims", "width", "bits", "ids", "slices", "vectors"])
 
 
 def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if held:
         ids, vectors = _dense(held)
-        yield _row([len(ids), vectors.shape[1]], [ids.tobytes(), vectors.tobytes()], ["n", "dims", "ids", "vectors"])
+        narrow = _narrow(vectors)
+        numbers = [TaskContext.get().partitionId(), len(ids), vectors.shape[1], narrow.itemsize]
+        yield _row(numbers, [ids.tobytes(), narrow.tobytes()], ["number", "n", "dims", "width", "ids", "vectors"])
+
+
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """In the fewest bytes that hold every component."""
+    low, high = int(vectors.min(initial=0)), int(vectors.max(initial=0))
+    return vectors.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
 def _row(numbers: list[int], blobs: list[bytes], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64() if n == "low" else pa.int32() for n in names[: len(numbers)]]
-    return pa.RecordBatch.from_arrays(
-        [*[pa.array([x], t) for x, t in zip(numbers, kinds, strict=True)], *[pa.array([x], pa.binary()) for x in blobs]], names
-    )
+    return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in numbers], *[pa.array([x], pa.binary()) for x in blobs]], names)
 
 
 def bit_slices(vectors: np.ndarray, low: int) -> tuple[np.ndarray, int]:
     """Bitmaps by dimension and bit (least first) of ``vectors - low``, 64
     rows a word."""
     # Differences below 2**63, since components are below 2**62.
-    shifted = (vectors - low).T
-    bits = max(1, int(shifted.max(initial=0)).bit_length())
+    bits = max(1, (int(vectors.max(initial=low)) - low).bit_length())
+    shifted = (vectors - low).T.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if bits <= np.iinfo(t).bits), order="C")
     words = -(-vectors.shape[0] // 64)
     out = np.zeros((vectors.shape[1], bits, words * 8), np.uint8)
     for b in range(bits):
@@ -160,26 +172,30 @@ def add_slices(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Score slices, least first: ``columns[p]`` lists stacks of bitmaps of
     weight 2^p, which carry-save adders reduce to one bitmap a weight."""
     out: list[np.ndarray] = []
-    p = 0
-    while p < len(columns):
-        stack = np.concatenate(columns[p]) if columns[p] else None
-        while stack is not None and len(stack) > 1:
-            if len(columns) == p + 1:
-                columns.append([])
-            if len(stack) == 2:
-                columns[p + 1].append(stack[:1] & stack[1:])
-                stack = stack[:1] ^ stack[1:]
-                continue
-            third = len(stack) // 3
-            a, b, c, rest = stack[:third], stack[third : 2 * third], stack[2 * third : 3 * third], stack[3 * third :]
-            half = a ^ b
-            carry = a & b
-            carry |= c & half
-            half ^= c
-            columns[p + 1].append(carry)
-            stack = np.concatenate([half, rest]) if len(rest) else half
-        out.append(stack[0] if stack is not None else None)
-        p += 1
+    stack, n, p = None, 0, 0  # the bitmaps of this weight, carried ones first
+    while p < len(columns) or n:
+        for given in columns[p] if p < len(columns) else []:
+            if stack is None:
+                stack = np.empty((sum(map(len, columns[p])), given.shape[1]), np.uint64)
+            stack[n : n + len(given)] = given
+            n += len(given)
+        following = sum(map(len, columns[p + 1])) if p + 1 < len(columns) else 0
+        carries, m = np.empty((n - 1 + following, stack.shape[1]), np.uint64) if n > 1 else None, 0
+        while n > 2:
+            third = n // 3
+            a, b, c = stack[n - 3 * third : n - 2 * third], stack[n - 2 * third : n - third], stack[n - third : n]
+            carry = np.bitwise_and(a, b, out=carries[m : m + third])
+            a ^= b
+            np.bitwise_and(a, c, out=b)
+            carry |= b
+            a ^= c
+            n, m = n - 2 * third, m + third
+        if n == 2:
+            np.bitwise_and(stack[0], stack[1], out=carries[m])
+            stack[0] ^= stack[1]
+            m += 1
+        out.append(stack[0] if n else None)
+        stack, n, p = carries, m, p + 1
     return out
 
 
@@ -206,64 +222,93 @@ def select_top(slices: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarra
     return np.flatnonzero(rows)
 
 
-def top_of_block(
-    query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, slices: np.ndarray, largest: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and scores of the block's k best rows for one query. ``largest``:
-    the block's largest component by dimension, in absolute value."""
-    dims = min(len(query), vectors.shape[1])
-    query = query[:dims]
-    # Slices hold sums of any size; products are of Python's whole numbers where 64 bits might not do.
-    wide = sum(abs(q) * m for q, m in zip(query.tolist(), largest.tolist())) >= 1 << 63
-    bits, words = slices.shape[1:]
-    weight = np.abs(query)
-    columns: list[list[np.ndarray]] = []
-    for j in range(int(weight.max(initial=0)).bit_length()):
-        with_bit = weight >> j & 1 == 1
-        up, down = np.flatnonzero(with_bit & (query > 0)), np.flatnonzero(with_bit & (query < 0))
-        while len(columns) < j + bits:
-            columns.append([])
-        for i in range(bits):
-            if len(up):
-                columns[i + j].append(slices[up, i])
-            if len(down):
-                columns[i + j].append(~slices[down, i])
-    valid = np.zeros(words * 8, np.uint8)
-    own = np.packbits(ids != query_id, bitorder="little")
-    valid[: len(own)] = own
-    rows = select_top(add_slices(columns), valid.view(np.uint64), k)
-    if wide:
-        exact = [sum(a * b for a, b in zip(v, query.tolist())) for v in vectors[rows, :dims].tolist()]
-        best = sorted(range(len(rows)), key=lambda i: (-exact[i], ids[rows[i]]))[:k]
-        if any(abs(exact[i]) >= 1 << 63 for i in best):
-            raise OverflowError("a score does not fit into 64 bits")
-        return ids[rows][best], np.array([exact[i] for i in best], np.int64)
-    scores = vectors[rows, :dims] @ query
-    best = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows][best], scores[best]
+class Block:
+    """Rows of the index, with what a search needs of them."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, slices: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.dims, self.bits, self.words = slices.shape
+        #: Bitmaps by sign, dimension and bit: complemented ones for negative factors.
+        self.signed = np.concatenate([slices, ~slices]).reshape(2 * self.dims * self.bits, self.words)
+        #: The largest component by dimension, in absolute value.
+        self.largest = [max(int(a), -int(b)) for a, b in zip(vectors.max(axis=0, initial=0), vectors.min(axis=0, initial=0), strict=True)]
+
+    def partial_sums(self, query: np.ndarray) -> list[list[np.ndarray]]:
+        """Bitmaps to be added by weight, one for every set bit of a component
+        of the query and every bit of the block."""
+        factor = np.abs(query)
+        dim, j = np.nonzero(factor[:, None] >> np.arange(int(factor.max(initial=0)).bit_length()) & 1)
+        i = np.arange(self.bits)
+        at = (((query[dim] < 0) * self.dims + dim)[:, None] * self.bits + i).ravel()
+        weight = (j[:, None] + i).ravel()
+        at = at[np.argsort(weight, kind="stable")]
+        ends = np.cumsum(np.bincount(weight)).tolist()
+        return [[self.signed.take(at[a:b], axis=0)] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """vec_ids and scores of the k best rows for one query."""
+        dims = min(len(query), self.dims)
+        query = query[:dims]
+        # Slices hold sums of any size; products are of Python's whole numbers where 64 bits might not do.
+        wide = sum(abs(q) * m for q, m in zip(query.tolist(), self.largest, strict=False)) >= 1 << 63
+        valid = np.zeros(self.words * 8, np.uint8)
+        own = np.packbits(self.ids != query_id, bitorder="little")
+        valid[: len(own)] = own
+        rows = select_top(add_slices(self.partial_sums(query)), valid.view(np.uint64), k)
+        ids = self.ids[rows]
+        if wide:
+            exact = [sum(a * b for a, b in zip(v, query.tolist(), strict=True)) for v in self.vectors[rows, :dims].tolist()]
+            best = sorted(range(len(rows)), key=lambda i: (-exact[i], ids[i]))[:k]
+            if any(abs(exact[i]) >= 1 << 63 for i in best):
+                raise OverflowError("a score does not fit into 64 bits")
+            return ids[best], np.array([exact[i] for i in best], np.int64)
+        scores = self.vectors[rows, :dims] @ query
+        best = np.lexsort((ids, ~scores))[:k]
+        return ids[best], scores[best]
 
 
 def _search_tiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, blocks = None, []
         for batch in batches:
-            for tile in batch.to_pylist():
-                ids = np.frombuffer(tile["ids"], np.int64)
-                vectors = np.frombuffer(tile["vectors"], np.int64).reshape(tile["n"], tile["dims"])
-                slices = np.frombuffer(tile["slices"], np.uint64).reshape(tile["dims"], tile["bits"], -1)
-                asked = np.frombuffer(tile["q_vectors"], np.int64).reshape(tile["q_n"], tile["q_dims"])
-                largest = np.abs(vectors).max(axis=0, initial=0)
-                query_ids = np.frombuffer(tile["q_ids"], np.int64)
-                found = [top_of_block(q, v, ids, vectors, slices, largest, k) for q, v in zip(query_ids.tolist(), asked, strict=True)]
-                sizes = [len(v) for v, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(sum(sizes), tile["pack"], np.int64)),
-                        pa.array(np.repeat(np.arange(len(found), dtype=np.int32), sizes)),
-                        pa.array(np.repeat(query_ids, sizes)),
-                        pa.array(np.concatenate([v for v, _ in found])),
-                        pa.array(np.concatenate([s for _, s in found])),
-                    ],
-                    ["pack", "query_row", "query_id", "vec_id", "score"],
-                )
+            for i in range(batch.num_rows):
+                row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+                if tile != row["tile"].as_py():
+                    tile, blocks = row["tile"].as_py(), []
+                n, dims = row["n"].as_py(), row["dims"].as_py()
+                ids = _numbers(row["ids"], np.int64)
+                vectors = _numbers(row["vectors"], f"i{row['width'].as_py()}").reshape(n, dims)
+                if row["bits"].is_valid:
+                    slices = _numbers(row["slices"], np.uint64).reshape(dims, row["bits"].as_py(), -(-n // 64))
+                    blocks.append(Block(ids, vectors, slices))
+                elif blocks:
+                    yield _top_of_blocks(row["number"].as_py(), ids, vectors.astype(np.int64), blocks, k)
 
     return run
+
+
+def _numbers(blob: pa.Scalar, kind: type | str) -> np.ndarray:
+    """Shares the memory of the batch."""
+    return np.frombuffer(blob.as_buffer(), kind)
+
+
+def _top_of_blocks(pack: int, ids: np.ndarray, vectors: np.ndarray, blocks: list[Block], k: int) -> pa.RecordBatch:
+    """The k best rows of all ``blocks`` for each query of a pack."""
+    found = [[block.top(i, v, k) for i, v in zip(ids.tolist(), vectors, strict=True)] for block in blocks]
+    kept = []
+    for each in zip(*found, strict=True):
+        vec_ids, scores = np.concatenate([v for v, _ in each]), np.concatenate([s for _, s in each])
+        # Bit complement: in the order of -scores, without its overflow.
+        best = np.lexsort((vec_ids, ~scores))[:k]
+        kept.append((vec_ids[best], scores[best]))
+    sizes = [len(v) for v, _ in kept]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(sum(sizes), pack, np.int64)),
+            pa.array(np.repeat(np.arange(len(kept), dtype=np.int32), sizes)),
+            pa.array(np.repeat(ids, sizes)),
+            pa.array(np.concatenate([v for v, _ in kept])),
+            pa.array(np.concatenate([s for _, s in kept])),
+        ],
+        ["pack", "query_row", "query_id", "vec_id", "score"],
+    )
