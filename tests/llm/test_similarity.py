@@ -191,3 +191,20 @@ def test_slices_add_up():
     total = topk.add_slices([[slices[:, i]] for i in range(bits)])
     back = sum(np.unpackbits(s.view(np.uint8), bitorder="little")[:130].astype(int) << p for p, s in enumerate(total) if s is not None)
     assert back.tolist() == (vectors + 9).sum(axis=1).tolist()
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_blocks_equal_brute_force(monkeypatch, together):
+    random = np.random.default_rng(4)
+    for dims in (1, 4, 7):
+        for far in (1, 3, 100, 2**29):
+            vectors, ids = random.integers(-far, far, (300, dims)), np.sort(random.integers(0, 200, 300))
+            monkeypatch.setattr(topk, "TOGETHER", together)
+            block = topk.Block(ids, topk._narrow(vectors), topk.bit_slices(vectors, int(vectors.min()))[0])
+            assert block.together == together
+            for i in range(20):
+                query = random.integers(-far, far, dims + i % 3)
+                got = block.top(int(ids[i]), query, 5)
+                assert list(zip(*map(np.ndarray.tolist, got), strict=True)) == plain_top(
+                    ids.tolist(), vectors.tolist(), (ids[i], query.tolist()), 5
+                )

@@ -5,6 +5,8 @@ rows; in a block, each dimension has one bitmap per bit of the (shifted)
 value. For a query, the rows' scores are bit slices too: the dimensions'
 slices are added with carry-save adders of bitmap operations, once for every
 set bit of the query's component (complemented slices where it is negative).
+Neighbouring dimensions that have the same bit set add their sum instead, which
+a block computes once for all queries.
 Selection walks the score slices from the most significant one downward: rows
 that have the bit while the others of the tied set don't are ahead; it ends
 when few rows are left, whose scores are then computed exactly, ties going to
@@ -12,10 +14,10 @@ the smaller vec_id.
 
 Queries are a set named by the caller. Areas of row blocks and groups of query
 packs make tiles: every block goes to the tiles of its area, every pack to those
-of its group, and the task of a tile reads its blocks first, then runs each pack
-over all of them. No join is planned, so nothing is ever broadcast, however small
-the packs look; the driver holds counts only. A tile gives k rows a query at most,
-and a window keeps the first k of them. Pairs of rows and queries are all
+of its group. The task of a tile holds its packs and one block after the other.
+No join is planned, so nothing is ever broadcast, however small the packs look;
+the driver holds counts only. A tile gives k rows a query at most, and a window
+keeps the first k of them. Pairs of rows and queries are all
 compared, so the work grows with the square of the table.
 
 Vectors that are null or hold null or non-finite components take no part.
@@ -31,6 +33,7 @@ queries, gives no rows. Columns beyond ``vec_id`` and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +44,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ceil_div, pick, run_folder, saved, ship_package
 
-ROWS, QUERIES = 32768, 256
+ROWS, QUERIES = 49152, 256
 #: Row blocks of an area, and the most query packs of a group.
-AREA, GROUP = 4, 64
+AREA, GROUP = 2, 128
+#: Packs that one task writes.
+WRITTEN = 8
+#: Most dimensions that share sums, and most bytes of a block's shared sums.
+TOGETHER, SHARED_BYTES = 3, 64 << 20
 #: The walk down the slices ends when this many times k rows are left.
 LEFT = 4
 
@@ -63,15 +70,6 @@ def quantised(embedding: Column, scale: float) -> Column:
     return F.when(embedding.isNotNull() & F.coalesce(fine, F.lit(False)), value)
 
 
-def build_index(vectors: DataFrame, path: str, scale: float = 64.0, rows: int = ROWS) -> int:
-    """Write the bit-sliced blocks of all rows; gives the number of blocks."""
-    ship_package(vectors.sparkSession)
-    whole = _quantised(vectors, scale)
-    blocks = ceil_div(whole.count(), rows)
-    saved(whole.repartition(blocks).mapInArrow(_slice_block, _BLOCK), path)
-    return blocks
-
-
 def search(
     vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, rows: int = ROWS, query_rows: int = QUERIES
 ) -> DataFrame:
@@ -79,18 +77,20 @@ def search(
     that repeat a query_id) for every row of ``vectors`` where ``queries`` (over
     vec_id) holds."""
     spark = vectors.sparkSession
+    ship_package(spark)
     folder = run_folder(spark, "bit-slices")
-    blocks = build_index(vectors, f"{folder}/index", scale, rows)
-    asked = _quantised(vectors, scale).filter(queries)
-    packs = ceil_div(asked.count(), query_rows)
-    packed = saved(asked.repartition(packs).mapInArrow(_pack_queries, _QUERY), f"{folder}/queries")
+    whole = _quantised(vectors, scale)
+    counts = whole.agg(F.count(F.lit(1)).alias("rows"), F.count_if(queries).alias("asked")).first()
+    blocks, packs = ceil_div(counts["rows"], rows), ceil_div(counts["asked"], query_rows)
+    index = saved(whole.repartition(blocks).mapInArrow(_slice_block, _BLOCK), f"{folder}/index")
+    tasks = ceil_div(packs, WRITTEN)
+    packed = saved(whole.filter(queries).repartition(tasks).mapInArrow(_pack_queries(query_rows, tasks), _QUERY), f"{folder}/queries")
     areas, groups = tile_counts(blocks, packs, spark.sparkContext.defaultParallelism)
-    index = spark.read.schema(_BLOCK).parquet(f"{folder}/index")
     of_area = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.col("number") % areas * groups + g))
     of_group = F.explode(F.transform(F.sequence(F.lit(0), F.lit(areas - 1)), lambda a: a * groups + F.col("number") % groups))
-    # Blocks come before packs: packs have no bits.
+    # Packs, which have no bits, come before blocks.
     parts = index.select("*", of_area.alias("tile")).unionByName(packed.select("*", of_group.alias("tile")), allowMissingColumns=True)
-    tiles = parts.repartitionById(areas * groups, F.col("tile").cast("int")).sortWithinPartitions("tile", F.col("bits").isNull(), "number")
+    tiles = parts.repartitionById(areas * groups, F.col("tile").cast("int")).sortWithinPartitions("tile", F.col("bits").isNotNull(), "number")
     hits = tiles.mapInArrow(_search_tiles(k), _HIT)
     order = Window.partitionBy("query_id", "pack", "query_row").orderBy(F.col("score").desc(), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -135,13 +135,18 @@ def _slice_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _row(numbers, [ids.tobytes(), slices.tobytes(), narrow.tobytes()], ["number", "n", "dims", "width", "bits", "ids", "slices", "vectors"])
 
 
-def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if held:
+def _pack_queries(query_rows: int, tasks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
         ids, vectors = _dense(held)
-        narrow = _narrow(vectors)
-        numbers = [TaskContext.get().partitionId(), len(ids), vectors.shape[1], narrow.itemsize]
-        yield _row(numbers, [ids.tobytes(), narrow.tobytes()], ["number", "n", "dims", "width", "ids", "vectors"])
+        for i, at in enumerate(range(0, len(ids), query_rows)):
+            narrow = _narrow(vectors[at : at + query_rows])
+            numbers = [TaskContext.get().partitionId() + i * tasks, len(narrow), narrow.shape[1], narrow.itemsize]
+            yield _row(numbers, [ids[at : at + query_rows].tobytes(), narrow.tobytes()], ["number", "n", "dims", "width", "ids", "vectors"])
+
+    return run
 
 
 def _narrow(vectors: np.ndarray) -> np.ndarray:
@@ -168,19 +173,25 @@ def bit_slices(vectors: np.ndarray, low: int) -> tuple[np.ndarray, int]:
     return out.view(np.uint64), bits
 
 
-def add_slices(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
+def add_slices(columns: list[list[np.ndarray]], table: np.ndarray | None = None) -> list[np.ndarray]:
     """Score slices, least first: ``columns[p]`` lists stacks of bitmaps of
-    weight 2^p, which carry-save adders reduce to one bitmap a weight."""
+    weight 2^p (or the places of bitmaps in ``table``), which carry-save adders
+    reduce to one bitmap a weight."""
     out: list[np.ndarray] = []
+    counts = [sum(map(len, c)) for c in columns]
     stack, n, p = None, 0, 0  # the bitmaps of this weight, carried ones first
     while p < len(columns) or n:
         for given in columns[p] if p < len(columns) else []:
             if stack is None:
-                stack = np.empty((sum(map(len, columns[p])), given.shape[1]), np.uint64)
-            stack[n : n + len(given)] = given
+                stack = np.empty((counts[p], (given if table is None else table).shape[1]), np.uint64)
+            room = stack[n : n + len(given)]
+            if table is None:
+                room[:] = given
+            else:
+                table.take(given, axis=0, out=room, mode="clip")  # other modes fill a buffer first
             n += len(given)
-        following = sum(map(len, columns[p + 1])) if p + 1 < len(columns) else 0
-        carries, m = np.empty((n - 1 + following, stack.shape[1]), np.uint64) if n > 1 else None, 0
+        following = counts[p + 1] if p + 1 < len(columns) else 0
+        carries, m = np.empty((n // 2 + following, stack.shape[1]), np.uint64) if n > 1 else None, 0
         while n > 2:
             third = n // 3
             a, b, c = stack[n - 3 * third : n - 2 * third], stack[n - 2 * third : n - third], stack[n - third : n]
@@ -222,67 +233,142 @@ def select_top(slices: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarra
     return np.flatnonzero(rows)
 
 
+def shared_sums(slices: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bit slices of the sums of up to ``together`` neighbouring dimensions.
+    Gives a table of bitmaps and, by code, the number of slices and of those
+    before them; a code has a digit of base 3 for each of the dimensions: left
+    out, added, or subtracted (the complement added). Each slice is in the table
+    once for every group of dimensions."""
+    dims, bits, words = slices.shape
+    groups = -(-dims // together)
+    padded = np.zeros((groups * together, bits, words), np.uint64)
+    padded[:dims] = slices
+    each = padded.reshape(groups, together, bits, words).transpose(1, 2, 0, 3).reshape(together, bits, groups * words)
+    sums: list[list[np.ndarray]] = [[]]
+    for plus in each:
+        sums += [_sum(s, list(x)) for x in (plus, ~plus) for s in sums]
+    counts = np.array([len(s) for s in sums])
+    table = np.concatenate([x.reshape(groups, words) for s in sums for x in s])
+    return table, counts, np.cumsum(counts) - counts
+
+
+def _sum(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    return add_slices([[np.stack([*a[p : p + 1], *b[p : p + 1]])] for p in range(max(len(a), len(b)))])
+
+
 class Block:
-    """Rows of the index, with what a search needs of them."""
+    """Rows of the index in the order of their ids, with what a search needs
+    of them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, slices: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.dims, self.bits, self.words = slices.shape
-        #: Bitmaps by sign, dimension and bit: complemented ones for negative factors.
-        self.signed = np.concatenate([slices, ~slices]).reshape(2 * self.dims * self.bits, self.words)
+        self.dims, bits, words = slices.shape
+        slices_of = lambda t: sum(math.comb(t, m) * 2**m * (bits + m - 1) for m in range(1, t + 1))
+        fits = [t for t in range(2, TOGETHER + 1) if -(-self.dims // t) * slices_of(t) * words * 8 <= SHARED_BYTES]
+        self.together = max(fits, default=1)
+        self.groups = -(-self.dims // self.together)
+        self.table, self.counts, self.before = shared_sums(slices, self.together)
         #: The largest component by dimension, in absolute value.
-        self.largest = [max(int(a), -int(b)) for a, b in zip(vectors.max(axis=0, initial=0), vectors.min(axis=0, initial=0), strict=True)]
+        self.largest = np.maximum(vectors.max(axis=0, initial=0).astype(float), -vectors.min(axis=0, initial=0).astype(float))
+        self.all = np.zeros(words, np.uint64)
+        self.all.view(np.uint8)[: -(-len(ids) // 8)] = np.packbits(np.ones(len(ids), bool), bitorder="little")
 
     def partial_sums(self, query: np.ndarray) -> list[list[np.ndarray]]:
-        """Bitmaps to be added by weight, one for every set bit of a component
-        of the query and every bit of the block."""
-        factor = np.abs(query)
-        dim, j = np.nonzero(factor[:, None] >> np.arange(int(factor.max(initial=0)).bit_length()) & 1)
-        i = np.arange(self.bits)
-        at = (((query[dim] < 0) * self.dims + dim)[:, None] * self.bits + i).ravel()
-        weight = (j[:, None] + i).ravel()
+        """Places in the table, by weight, of what makes up the scores: for
+        every bit of the query, the sums of the dimensions that have it."""
+        padded = np.zeros(self.groups * self.together, np.int64)
+        padded[: len(query)] = query
+        factor = np.abs(padded)
+        digits = (factor[:, None] >> np.arange(int(factor.max(initial=0)).bit_length()) & 1) << (padded < 0)[:, None]
+        codes = (digits.reshape(self.groups, self.together, digits.shape[1]) * 3 ** np.arange(self.together)[:, None]).sum(axis=1)
+        group, j = np.nonzero(codes)
+        code = codes[group, j]
+        n = self.counts[code]
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = (np.repeat(self.before[code], n) + i) * self.groups + np.repeat(group, n)
+        weight = np.repeat(j, n) + i
         at = at[np.argsort(weight, kind="stable")]
         ends = np.cumsum(np.bincount(weight)).tolist()
-        return [[self.signed.take(at[a:b], axis=0)] for a, b in zip([0, *ends], ends, strict=False)]
+        return [[at[a:b]] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def others(self, query_id: int) -> np.ndarray:
+        """Bitmap of the rows that have another id."""
+        if np.searchsorted(self.ids, query_id, "left") == np.searchsorted(self.ids, query_id, "right"):
+            return self.all
+        out = np.zeros_like(self.all)
+        out.view(np.uint8)[: -(-len(self.ids) // 8)] = np.packbits(self.ids != query_id, bitorder="little")
+        return out
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """vec_ids and scores of the k best rows for one query."""
         dims = min(len(query), self.dims)
         query = query[:dims]
-        # Slices hold sums of any size; products are of Python's whole numbers where 64 bits might not do.
-        wide = sum(abs(q) * m for q, m in zip(query.tolist(), self.largest, strict=False)) >= 1 << 63
-        valid = np.zeros(self.words * 8, np.uint8)
-        own = np.packbits(self.ids != query_id, bitorder="little")
-        valid[: len(own)] = own
-        rows = select_top(add_slices(self.partial_sums(query)), valid.view(np.uint64), k)
+        rows = select_top(add_slices(self.partial_sums(query), self.table), self.others(query_id), k)
         ids = self.ids[rows]
-        if wide:
+        # Slices hold sums of any size; products are of Python's whole numbers where 64 bits might not do.
+        if np.abs(query).astype(float) @ self.largest[:dims] >= 2.0**62:
             exact = [sum(a * b for a, b in zip(v, query.tolist(), strict=True)) for v in self.vectors[rows, :dims].tolist()]
             best = sorted(range(len(rows)), key=lambda i: (-exact[i], ids[i]))[:k]
             if any(abs(exact[i]) >= 1 << 63 for i in best):
                 raise OverflowError("a score does not fit into 64 bits")
             return ids[best], np.array([exact[i] for i in best], np.int64)
         scores = self.vectors[rows, :dims] @ query
-        best = np.lexsort((ids, ~scores))[:k]
+        best = _first(ids, scores, k)
         return ids[best], scores[best]
 
 
+def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    # Bit complement: in the order of -scores, without its overflow.
+    return np.lexsort((ids, ~scores))[:k]
+
+
+class Pack:
+    """Queries, with the best rows of the blocks that they have met."""
+
+    def __init__(self, number: int, ids: np.ndarray, vectors: np.ndarray):
+        self.number, self.ids, self.vectors = number, ids, vectors.astype(np.int64)
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+
+    def meet(self, block: Block, k: int) -> None:
+        for i, (query_id, query) in enumerate(zip(self.ids.tolist(), self.vectors, strict=True)):
+            ids, scores = (np.concatenate(x) for x in zip(self.best[i], block.top(query_id, query, k), strict=True))
+            first = _first(ids, scores, k)
+            self.best[i] = ids[first], scores[first]
+
+    def hits(self) -> pa.RecordBatch:
+        sizes = [len(ids) for ids, _ in self.best]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(sum(sizes), self.number, np.int64)),
+                pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)),
+                pa.array(np.repeat(self.ids, sizes)),
+                pa.array(np.concatenate([ids for ids, _ in self.best])),
+                pa.array(np.concatenate([scores for _, scores in self.best])),
+            ],
+            ["pack", "query_row", "query_id", "vec_id", "score"],
+        )
+
+
 def _search_tiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, blocks = None, []
+        tile, packs = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
                 if tile != row["tile"].as_py():
-                    tile, blocks = row["tile"].as_py(), []
+                    yield from (pack.hits() for pack in packs)
+                    tile, packs = row["tile"].as_py(), []
                 n, dims = row["n"].as_py(), row["dims"].as_py()
                 ids = _numbers(row["ids"], np.int64)
                 vectors = _numbers(row["vectors"], f"i{row['width'].as_py()}").reshape(n, dims)
-                if row["bits"].is_valid:
+                if not row["bits"].is_valid:
+                    packs.append(Pack(row["number"].as_py(), ids, vectors))
+                elif packs:
                     slices = _numbers(row["slices"], np.uint64).reshape(dims, row["bits"].as_py(), -(-n // 64))
-                    blocks.append(Block(ids, vectors, slices))
-                elif blocks:
-                    yield _top_of_blocks(row["number"].as_py(), ids, vectors.astype(np.int64), blocks, k)
+                    block = Block(ids, vectors, slices)
+                    for pack in packs:
+                        pack.meet(block, k)
+        yield from (pack.hits() for pack in packs)
 
     return run
 
@@ -290,25 +376,3 @@ def _search_tiles(k: int):
 def _numbers(blob: pa.Scalar, kind: type | str) -> np.ndarray:
     """Shares the memory of the batch."""
     return np.frombuffer(blob.as_buffer(), kind)
-
-
-def _top_of_blocks(pack: int, ids: np.ndarray, vectors: np.ndarray, blocks: list[Block], k: int) -> pa.RecordBatch:
-    """The k best rows of all ``blocks`` for each query of a pack."""
-    found = [[block.top(i, v, k) for i, v in zip(ids.tolist(), vectors, strict=True)] for block in blocks]
-    kept = []
-    for each in zip(*found, strict=True):
-        vec_ids, scores = np.concatenate([v for v, _ in each]), np.concatenate([s for _, s in each])
-        # Bit complement: in the order of -scores, without its overflow.
-        best = np.lexsort((vec_ids, ~scores))[:k]
-        kept.append((vec_ids[best], scores[best]))
-    sizes = [len(v) for v, _ in kept]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(sum(sizes), pack, np.int64)),
-            pa.array(np.repeat(np.arange(len(kept), dtype=np.int32), sizes)),
-            pa.array(np.repeat(ids, sizes)),
-            pa.array(np.concatenate([v for v, _ in kept])),
-            pa.array(np.concatenate([s for _, s in kept])),
-        ],
-        ["pack", "query_row", "query_id", "vec_id", "score"],
-    )
